@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mixloom.session import scratch_path
+from mixloom.sources.readers import spread
 
 CHAT_TAGS = {
     "role_tag": "role", "content_tag": "content",
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over the cores for work on their whole texts."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def instruction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn with the assistant turn after it.
 
@@ -42,7 +48,7 @@ def without_fifth_words(text: Column) -> Column:
 
 def prediction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a reference, predicted by its words but every fifth."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.col("text").alias("reference"), without_fifth_words(F.col("text")).alias("prediction")
     )
 
@@ -51,7 +57,7 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a run-metric log: the user is the run, the event number the step."""
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run"), F.col("event_id").alias("step"), "ts",
-        (F.col("value") / 100).alias("loss"), (1 + F.col("event_id") % 50).alias("n_tokens"),
+        F.sqrt(F.col("value") / 100).alias("loss"), (1 + F.col("event_id") % 50).alias("n_tokens"),
     )
 
 
@@ -80,7 +86,7 @@ def entries() -> dict[str, dict]:
 
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a record of its source, shaped as that source's entry says."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     kind = F.substring("source", 4, 9).cast("int") % 8
     asked = F.concat_ws(" ", "lang", "doc_id")
     named = lambda **fields: F.to_variant_object(
@@ -111,7 +117,7 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a JSON line of one of nine record shapes."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     kind, text, source = F.col("doc_id") % 9, F.col("text"), F.col("source")
     line = lambda *fields: F.to_json(F.struct(*[v.alias(n) for n, v in fields]))
     turn = lambda a, b: F.array(F.struct(F.lit("user").alias(a), text.alias(b)))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from mixloom.functions.text import SPACE_CLASS
-
 ORACLES: dict[str, str] = {}
 
-# White space for trim(), and the 13a tokeniser, spelled in SQL.
+# White space for trim() and for regular expressions, and the 13a tokeniser, spelled in SQL.
+SPACE_CLASS = (
+    r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 SPACES = "(" + " || ".join(
     f"chr({c})" for c in [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 ) + ")"
@@ -47,7 +49,7 @@ PAIRS = """pairs AS (
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 RUNS = """runs AS (
-  SELECT user_id AS run, event_id AS step, ts, value / 100 AS loss, 1 + event_id % 50 AS n_tokens
+  SELECT user_id AS run, event_id AS step, ts, sqrt(value / 100) AS loss, 1 + event_id % 50 AS n_tokens
   FROM events)"""
 
 PREAMBLE = (

@@ -477,12 +477,12 @@ def run_eta(spark, sf_dir):
 
 @query
 def prompt_target(spark, sf_dir):
-    return metrics.cut_prompt(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return metrics.cut_prompt(inputs.documents(spark, sf_dir), keep=("doc_id",))
 
 
 @query
 def strip_prompt(spark, sf_dir):
-    cut = metrics.cut_prompt(table(spark, sf_dir, "documents"), keep=("doc_id", "source"))
+    cut = metrics.cut_prompt(inputs.documents(spark, sf_dir), keep=("doc_id", "source"))
     echoed = F.concat("prompt", F.lit(" \t "), "target", F.lit(" \n"))
     return metrics.strip_prompt(cut.withColumn("output", echoed), keep=("doc_id",))
 
@@ -492,13 +492,13 @@ def batch_predict(spark, sf_dir):
     def make_model():
         return lambda prompts: [f"{len(p)}:{p.split(' ')[0]}" for p in prompts]
 
-    prompts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    prompts = inputs.documents(spark, sf_dir).select("doc_id", F.col("text").alias("prompt"))
     return batching.batch_predict(prompts, "prompt", make_model).select("doc_id", "response")
 
 
 @query
 def token_truncate(spark, sf_dir):
-    cut = batching.truncate_tokens(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    cut = batching.truncate_tokens(inputs.documents(spark, sf_dir), keep=("doc_id",))
     return cut.select("doc_id", "n_tokens", F.array_join("tokens", " ").alias("text"))
 
 

@@ -93,6 +93,16 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table just read, spread over the cores when it came in fewer pieces.
+
+    For costly per-row work on small files. A table of many splits is returned
+    as it is, so nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def suffix(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
     return "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
