@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mixloom.functions.text import strip
+from mixloom.functions.text import json_text, strip
+from mixloom.operators.sampling import head
+from mixloom.session import materialize
 
 # Fields, keys and aliases that give a format away, first match first.
 CHAT_FIELDS = ("messages", "conversations")
@@ -21,6 +23,9 @@ INSTRUCTION_ALIASES = {
 }
 TEXT_FIELDS = ("text", "content", "body")
 
+# Profiles of up to this many groups are broadcast.
+BROADCAST_GROUPS = 100_000
+
 
 def _first_in(keys: Column, names: tuple[str, ...]) -> Column:
     """The first of the names that is among the keys."""
@@ -114,27 +119,28 @@ def format_profile(lines: DataFrame, key: str, value: str = "value") -> DataFram
 
     ``like_first`` marks the group of the corpus's first record, whose share is
     the part of the corpus that one look at the first record would describe.
+    Lines are parsed in one counting pass; the earliest records are then
+    fetched by key, and shares come from the written counts.
     """
-    detected = detect_format(lines, value, keep=(key, value))
-    groups = detected.groupBy("format", "columns", "tags").agg(
-        F.count("*").alias("records"),
-        F.min(key).alias("first_key"),
-        F.min_by(value, key).alias("first_record"),
+    detected = detect_format(lines, value, keep=(key,))
+    groups = materialize(
+        detected.groupBy("format", "columns", "tags").agg(
+            F.count("*").alias("records"), F.min(key).alias("first_key")
+        ),
+        "format-profile",
     )
-    whole = groups.agg(F.sum("records").alias("n"), F.min("first_key").alias("k"))
-    total, first = whole.select("n").scalar(), whole.select("k").scalar()
-    return groups.select(
+    whole = groups.agg(F.struct(F.sum("records").alias("n"), F.min("first_key").alias("k"))).scalar()
+    firsts = F.broadcast(groups) if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else groups
+    earliest = lines.select(F.col(key).alias("first_key"), F.col(value).alias("first_record"))
+    return earliest.join(firsts, "first_key").select(
         "format", "columns", "tags", "records",
-        (F.col("records") / total).alias("share"),
-        (F.col("first_key") == first).alias("like_first"),
+        (F.col("records") / whole["n"]).alias("share"),
+        (F.col("first_key") == whole["k"]).alias("like_first"),
         "first_key", "first_record",
     )
 
 
 def preview(df: DataFrame, key: str, n: int = 5, width: int = 500) -> DataFrame:
     """The first n records in key order as JSON text cut at a width."""
-    from mixloom.functions.text import json_text
-    from mixloom.operators.sampling import head
-
     record = json_text(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema)
     return head(df, n, key).select(key, F.left(record, F.lit(width)).alias("record"))

@@ -77,6 +77,7 @@ def run_eta(df: DataFrame, run: str, step: str, ts: str, total: int | Column) ->
     per_step = whole + F.when(up, 1).otherwise(0)
     left = F.col("total") - F.col("step")
     seconds = F.floor(F.try_divide(per_step * left, F.lit(1_000_000)))
+    known = F.col("seconds_left").isNotNull()
     return runs.select(run, "step", "total", seconds.alias("seconds_left")).withColumn(
-        "remaining", F.coalesce(_duration_text(F.col("seconds_left")), F.lit("Unknown"))
+        "remaining", F.when(known, _duration_text(F.col("seconds_left"))).otherwise("Unknown")
     )

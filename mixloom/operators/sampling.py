@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from mixloom.session import materialize
+
 HASH_DIGITS = 15
 HASH_SPACE = 16**HASH_DIGITS
 
@@ -143,31 +145,28 @@ def rank_in_band(df: DataFrame, band: Column, key: str, seed: int = 42) -> DataF
 
     A band of any size is cut into groups of neighbouring hashes of about
     ``GROUP_ROWS`` rows; the exact sizes of all earlier groups of the band give
-    the group's offset. Only bands are counted up front, and the groups table
-    is bounded by the number of bands plus ``MAX_GROUPS``.
+    the group's offset. Bands and groups are counted over the key column alone,
+    and the groups table is bounded by the number of bands plus ``MAX_GROUPS``.
     """
     hashed = df.select(
         "*", band.cast("bigint").alias("band"), hash_order(F.col(key), seed).alias("_h")
     )
-    sizes = hashed.groupBy("band").agg(F.count("*").alias("_n"))
+    sizes = materialize(hashed.groupBy("band").agg(F.count("*").alias("_n")), "band-sizes")
     rows = sizes.agg(F.sum("_n")).first()[0] or 0
     group_rows = max(GROUP_ROWS, rows // MAX_GROUPS)
     if rows <= group_rows:
-        grouped = hashed.withColumn("_g", F.lit(0).cast("bigint"))
-    else:
-        cuts = sizes.select("band", F.ceil(F.col("_n") / group_rows).alias("_cuts"))
-        share = F.col("_h") / F.lit(float(HASH_SPACE))
-        grouped = hashed.join(_small(cuts), "band").withColumn(
-            "_g", F.floor(share * F.col("_cuts")).cast("bigint")
-        ).drop("_cuts")
-    inside = Window.partitionBy("band", "_g").orderBy("_h", key)
-    if rows <= group_rows:
-        return grouped.withColumn("rank", (F.row_number().over(inside) - 1).cast("bigint")).drop("_h", "_g")
+        inside = Window.partitionBy("band").orderBy("_h", key)
+        rank = (F.row_number().over(inside) - 1).cast("bigint")
+        return hashed.withColumn("rank", rank).drop("_h")
+    cuts = sizes.select("band", F.ceil(F.col("_n") / group_rows).alias("_cuts"))
+    share = F.col("_h") / F.lit(float(HASH_SPACE))
+    grouped = hashed.join(_small(cuts), "band").withColumn(
+        "_g", F.floor(share * F.col("_cuts")).cast("bigint")
+    ).drop("_cuts")
+    groups = materialize(grouped.groupBy("band", "_g").agg(F.count("*").alias("_n")), "group-sizes")
     before = Window.partitionBy("band").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        grouped.groupBy("band", "_g").agg(F.count("*").alias("_n"))
-        .select("band", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
+    offsets = groups.select("band", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("band", "_g").orderBy("_h", key)
     return (
         grouped.join(_small(offsets), ["band", "_g"])
         .withColumn("rank", F.col("_before") + F.row_number().over(inside) - 1)
@@ -220,7 +219,6 @@ def split_counts(df: DataFrame) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Broadcast when the table is within the bound, else leave it to the planner."""
-    if df.limit(HISTOGRAM_BUCKETS * 2 + 1).count() <= HISTOGRAM_BUCKETS * 2:
-        return F.broadcast(df)
-    return df
+    """A materialised table, broadcast when within the bound, else left to the planner."""
+    bound = HISTOGRAM_BUCKETS + MAX_GROUPS
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -20,6 +20,9 @@ def build_session(app: str = "mixloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Conversations are collected per key; the default of 128 keys would
+        # send nearly every task to the sorting fallback.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
@@ -46,3 +49,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="mixloom-")
         spark.conf.set(CHECKPOINT_DIR, root)
     return f"{root.rstrip('/')}/mixloom/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """A small derived table written once to the shared folder and read back.
+
+    Later steps then neither recompute it nor lose it with an executor.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
