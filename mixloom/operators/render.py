@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from string import Formatter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mixloom.functions.content import flatten_content
@@ -173,6 +175,18 @@ def render_template(
     return df.select(*keep, fill_template(template, slots).alias("text"))
 
 
+def map_text(
+    df: DataFrame, to_text: Callable[[pd.DataFrame], pd.Series], keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """A user's own rendering, applied to Arrow batches of rows."""
+    def render_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows[list(keep)].assign(text=to_text(rows))
+
+    fields = [df.schema[c] for c in keep] + [T.StructField("text", T.StringType())]
+    return df.mapInPandas(render_batches, T.StructType(fields))
+
+
 def chat_line(role: Column, content: Column, tags: dict[str, str | Column]) -> Column:
     """One labelled turn, NULL for a role that is not rendered."""
     line = None

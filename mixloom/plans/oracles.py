@@ -132,6 +132,8 @@ WITH {PAIRS} SELECT conv_id, turn, 'Instruction: ' || instruction
 ORACLES["custom_template"] = f"""
 WITH {PAIRS} SELECT conv_id, turn, '{{Q}} ' || instruction || chr(10) || '[' || input || ']' || chr(10)
   || '{{A}} ' || output || ' (' || instruction || ')' AS text FROM pairs"""
+ORACLES["user_map"] = f"""
+WITH {PAIRS} SELECT conv_id, turn, instruction || ' -> ' || output AS text FROM pairs"""
 ORACLES["chat_render"] = _chat_query()
 ORACLES["chat_render_tags"] = _chat_query()
 ORACLES["chat_render_stream"] = _chat_query()
@@ -209,6 +211,10 @@ WITH texts AS (SELECT DISTINCT conv_id || ':' || turn // 10000 AS id FROM conver
 tagged AS ({_split('id', 'id', TENTH.format('texts'), table='texts')})
 SELECT split, count(*) AS rows FROM tagged GROUP BY split"""
 
+ORACLES["prepare_datasets"] = f"""
+WITH sized AS (SELECT count(*) AS n, CAST({TENTH.format('documents')} AS BIGINT) AS k FROM documents)
+SELECT 'test' AS split, k AS rows, k AS ids FROM sized UNION ALL SELECT 'train', n - k, n - k FROM sized"""
+
 # Metrics
 ORACLES["perplexity"] = f"""
 WITH {RUNS} SELECT round(exp(sum(loss * n_tokens) / sum(n_tokens)), 6) AS perplexity FROM runs"""

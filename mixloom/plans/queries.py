@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mixloom import prepare
 from mixloom.functions.content import flatten_content
 from mixloom.operators import batching, metrics, mixture, profile, records, render, runs, sampling
 from mixloom.plans import inputs
@@ -68,8 +69,8 @@ def scan_text(spark, sf_dir):
     return readers.read_text(spark, path)
 
 
-@query
-def load_mixture(spark, sf_dir):
+def _written_entries(spark, sf_dir):
+    """The documents as four datasets of different formats, with their catalogue."""
     base = written(spark, "mixture")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     of = lambda lang: docs.filter(F.col("lang") == lang)
@@ -79,13 +80,19 @@ def load_mixture(spark, sf_dir):
     inputs.write_array_files(
         docs.filter(~F.col("lang").isin("en", "fr", "de")), "doc_id", f"{base}/rest.json"
     )
-    entries = {
-        "en": {"file_name": "en.jsonl"},
-        "fr": {"file_name": "fr.csv"},
-        "de": {"hf_hub_url": "org/de"},
-        "rest": {"file_name": "rest.json"},
+    plain = {"formatting": "text", "columns": {"prompt": "text"}}
+    return base, {
+        "en": {"file_name": "en.jsonl", **plain},
+        "fr": {"file_name": "fr.csv", **plain},
+        "de": {"hf_hub_url": "org/de", **plain},
+        "rest": {"file_name": "rest.json", **plain},
     }
-    loaded = mixtures.load_mixture(spark, entries, base=base, hub_root=f"{base}/hub")
+
+
+@query
+def load_mixture(spark, sf_dir):
+    base, entries = _written_entries(spark, sf_dir)
+    loaded = mixtures.load_mixture(spark, entries, root=base, hub_root=f"{base}/hub")
     return loaded.select(
         "dataset",
         F.try_variant_get("record", "$.doc_id", "bigint").alias("doc_id"),
@@ -93,6 +100,18 @@ def load_mixture(spark, sf_dir):
     )
 
 
+@query
+def prepare_datasets(spark, sf_dir):
+    base, entries = _written_entries(spark, sf_dir)
+    train, test = prepare.prepare_datasets(
+        spark, entries, root=base, hub_root=f"{base}/hub", test_size=0.1, shuffle=True
+    )
+    parts = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return parts.groupBy("split").agg(
+        F.count("*").alias("rows"), F.countDistinct("_id").alias("ids")
+    )
+
+
 @query
 def scan_partitioned(spark, sf_dir):
     path = written(spark, "partitioned")
@@ -195,6 +214,14 @@ def custom_template(spark, sf_dir):
     )
 
 
+@query
+def user_map(spark, sf_dir):
+    rows = inputs.instruction_rows(spark, sf_dir)
+    return render.map_text(
+        rows, lambda r: r["instruction"] + " -> " + r["output"], keep=("conv_id", "turn")
+    )
+
+
 @query
 def chat_render(spark, sf_dir):
     return render.render_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", tags=CHAT_TAGS)

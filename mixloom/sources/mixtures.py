@@ -8,9 +8,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from mixloom.sources.readers import (
-    SOURCE_ORDER, first_in_source, read_csv, read_parquet, read_text, suffix, with_source_order,
+    SOURCE_ORDER, first_in_source, read_csv, read_parquet, read_text, suffix, with_positions, with_source_order,
 )
 
+# Room for the row positions of one entry inside a mixture's keys.
+POSITIONS_PER_ENTRY = 2**48
+
 
 def read_partitioned(
     spark: SparkSession, path: str, split: str | None = "train",
@@ -56,57 +59,63 @@ def _as_variant(df: DataFrame) -> DataFrame:
     return df.withColumn("record", F.to_variant_object(row))
 
 
-def _entry_path(entry: dict, base: str, hub_root: str | None) -> tuple[str, bool]:
-    """Where an entry lies, and whether that is a mirrored hub directory."""
+def _places(name: str, root: str) -> list[str]:
+    """Where a local file may lie: as named, beside the catalogue, or under ``data``."""
+    if name.startswith(("/", "data/")) or "://" in name:
+        return [name]
+    return [f"{root.rstrip('/')}/{name}", f"data/{name}"]
+
+
+def _first_found(spark: SparkSession, places: list[str]) -> DataFrame:
+    for place in places:
+        try:
+            return _records(spark, place)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise FileNotFoundError(f"Local dataset file not found: {places[0]}")
+
+
+def _entry_records(spark: SparkSession, name: str, entry: dict, root: str, hub_root: str | None) -> DataFrame:
     repo = entry.get("hf_hub_url") or entry.get("ms_hub_url")
     if repo:
         if hub_root is None:
             raise ValueError(f"hub_root must name the folder that mirrors '{repo}'")
-        return f"{hub_root.rstrip('/')}/{repo}", True
-    name = entry.get("file_name")
-    if not name:
-        raise ValueError("No valid source found for dataset")
-    if name.startswith("/") or "://" in name:
-        return name, False
-    return f"{base.rstrip('/')}/{name}", False
+        return _as_variant(read_partitioned(
+            spark, f"{hub_root.rstrip('/')}/{repo}", entry.get("split", "train"),
+            entry.get("subset"), entry.get("folder"),
+        ))
+    if not entry.get("file_name"):
+        raise ValueError(f"No valid source found for dataset '{name}'")
+    return _first_found(spark, _places(entry["file_name"], root))
 
 
 def load_mixture(
     spark: SparkSession, entries: dict[str, dict], names: list[str] | None = None,
-    base: str = "data", hub_root: str | None = None, max_samples: int | None = None,
-    source_order: bool = False,
+    root: str = ".", hub_root: str | None = None, max_samples: int | None = None, row_ids: bool = False,
 ) -> DataFrame:
     """The files of the named entries as ``(dataset, record)``.
 
     Hub entries are read from a mirrored directory, honouring split, subset and
     folder. ``num_samples`` of an entry, or else ``max_samples``, keeps its
-    first rows in source order. ``source_order`` keeps the position column.
+    first rows in source order. ``row_ids`` adds a whole-number key ``_id`` that
+    follows the order of the names and the rows' source order.
     """
     names = list(entries) if names is None else names
     unknown = [n for n in names if n not in entries]
     if unknown:
         raise ValueError(f"unknown dataset names: {', '.join(unknown)}")
     tables = []
-    for name in names:
-        entry = entries[name]
-        path, mirrored = _entry_path(entry, base, hub_root)
-        try:
-            if mirrored:
-                df = _as_variant(read_partitioned(
-                    spark, path, entry.get("split", "train"), entry.get("subset"), entry.get("folder")
-                ))
-            else:
-                df = _records(spark, path)
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                raise FileNotFoundError(f"Local dataset file not found: {path}") from error
-            raise
-        limit = entry.get("num_samples") or max_samples
-        columns = [F.lit(name).alias("dataset"), "record"]
-        if limit or source_order:
-            ordered = with_source_order(df).select(*columns, SOURCE_ORDER)
-            ordered = first_in_source(ordered, limit)
-            tables.append(ordered if source_order else ordered.drop(SOURCE_ORDER))
-        else:
-            tables.append(df.select(*columns))
+    for index, name in enumerate(names):
+        df = _entry_records(spark, name, entries[name], root, hub_root)
+        limit = entries[name].get("num_samples") or max_samples
+        columns = ["record"]
+        if limit:
+            df = with_source_order(df)
+            columns.append(SOURCE_ORDER)
+        if row_ids:
+            df = with_positions(df)
+            columns.append((F.lit(index * POSITIONS_PER_ENTRY) + F.col("_id")).alias("_id"))
+        df = df.select(F.lit(name).alias("dataset"), *columns)
+        tables.append(first_in_source(df, limit).drop(SOURCE_ORDER) if limit else df)
     return reduce(DataFrame.unionByName, tables)

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from mixloom.operators.sampling import DRIVER_ROWS
+from mixloom.session import materialize
 
 CORRUPT = "_corrupt_record"
 SOURCE_ORDER = "_source_order"
 
+# File pieces whose offsets are broadcast: some 100 bytes each.
+BROADCAST_PIECES = 1_000_000
+
 
 def read_json(
     spark: SparkSession, path: str | list[str], field: str | None = None,
@@ -170,6 +175,34 @@ def first_in_source(df: DataFrame, n: int | None) -> DataFrame:
     return df
 
 
+def with_positions(df: DataFrame, name: str = "_id") -> DataFrame:
+    """Add every row's position in source order to a table just read from files.
+
+    Files come in path order. Parquet knows its row numbers; for other formats
+    a row's number is counted inside its file piece. One counting pass gives
+    the pieces' sizes, whose running sum is joined back, so the position does
+    not depend on how the files were cut into tasks.
+    """
+    placed = df.withColumn("_file", F.col("_metadata.file_path"))
+    try:
+        placed = placed.withColumns({"_block": F.lit(0), "_row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        placed = placed.withColumns({
+            "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()
+        })
+    size = F.max("_row") - F.min("_row") + 1
+    pieces = materialize(
+        placed.groupBy("_file", "_block").agg(size.alias("_n"), F.min("_row").alias("_first")), "file-pieces"
+    )
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")
+    shifts = pieces.select("_file", "_block", shift.alias("_shift"))
+    if pieces.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES:
+        shifts = F.broadcast(shifts)
+    position = (F.col("_shift") + F.col("_row")).alias(name)
+    return placed.join(shifts, ["_file", "_block"]).select(*df.columns, position)
+
+
 def concat_datasets(spark: SparkSession, paths: list[str], source: str = "source") -> DataFrame:
     """Files of one shape as one table, with the file or folder each row came from.
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from mixloom import prepare
 from mixloom.sources import catalogue, mixtures, readers, sinks
 
 
@@ -99,6 +100,27 @@ def test_first_rows_in_source_order(spark, file, monkeypatch, driver_rows):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_positions_do_not_depend_on_file_pieces(spark, file, tmp_path):
+    for name in ("b", "a"):
+        file(f"d/{name}.jsonl", "".join(json.dumps({"k": f"{name}{i}"}) + "\n" for i in range(40)))
+    path = str(tmp_path / "d")
+
+    def positions():
+        rows = readers.with_positions(readers.read_jsonl(spark, path, schema="k string")).collect()
+        return {r["k"]: r["_id"] for r in rows}
+
+    whole = positions()
+    assert whole == {f"{n}{i}": 40 * (n == "b") + i for n in "ab" for i in range(40)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        assert positions() == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.range(25).repartitionByRange(3, "id").write.parquet(str(tmp_path / "p"))
+    parquet = readers.with_positions(readers.read_parquet(spark, str(tmp_path / "p"))).collect()
+    assert all(r["id"] == r["_id"] for r in parquet) and len(parquet) == 25
+
+
 def test_concat_unites_shapes_and_names_sources(spark, file, tmp_path):
     a, b = file("a.jsonl", '{"x": 1}\n'), file("b.jsonl", '{"x": 2, "y": "t"}\n')
     c = file("c.csv", "y,z\nu,v\n")
@@ -169,7 +191,7 @@ def test_load_mixture(spark, file, tmp_path):
         "three": {"file_name": "three.csv"}, "four": {"file_name": "four.txt"},
         "five": {"hf_hub_url": "org/five", "folder": "en", "subset": "s1"},
     }
-    loaded = mixtures.load_mixture(spark, entries, base=str(tmp_path / "data"), hub_root=str(tmp_path / "hub"))
+    loaded = mixtures.load_mixture(spark, entries, root=str(tmp_path / "data"), hub_root=str(tmp_path / "hub"))
     rows = loaded.filter("dataset <> 'five'").select("dataset", F.to_json("record").alias("record")).collect()
     got = sorted(((r["dataset"], json.loads(r["record"])) for r in rows), key=str)
     assert got[0] == ("four", {"text": "last"})
@@ -178,7 +200,7 @@ def test_load_mixture(spark, file, tmp_path):
     assert [r for n, r in got if n == "three"] == [{"a": "1", "b": ""}]
     five = loaded.filter("dataset = 'five'").select(F.try_variant_get("record", "$.k", "int").alias("k")).collect()
     assert [r["k"] for r in five] == [1]
-    limited = mixtures.load_mixture(spark, entries, ["four"], base=str(tmp_path / "data"), max_samples=1)
+    limited = mixtures.load_mixture(spark, entries, ["four"], root=str(tmp_path / "data"), max_samples=1)
     assert limited.select(F.to_json("record")).first()[0] == '{"text":"line"}'
 
 
@@ -186,13 +208,46 @@ def test_load_mixture_errors(spark, file, tmp_path):
     base = str(tmp_path)
     file("a.xml", "x")
     with pytest.raises(ValueError, match="Unsupported file format"):
-        mixtures.load_mixture(spark, {"a": {"file_name": "a.xml"}}, base=base)
+        mixtures.load_mixture(spark, {"a": {"file_name": "a.xml"}}, root=base)
     with pytest.raises(FileNotFoundError):
-        mixtures.load_mixture(spark, {"a": {"file_name": "gone.json"}}, base=base)
+        mixtures.load_mixture(spark, {"a": {"file_name": "gone.json"}}, root=base)
     with pytest.raises(ValueError, match="nope"):
-        mixtures.load_mixture(spark, {"a": {"file_name": "gone.json"}}, ["nope"], base=base)
+        mixtures.load_mixture(spark, {"a": {"file_name": "gone.json"}}, ["nope"], root=base)
     with pytest.raises(ValueError, match="hub_root"):
-        mixtures.load_mixture(spark, {"a": {"ms_hub_url": "o/a"}}, base=base)
+        mixtures.load_mixture(spark, {"a": {"ms_hub_url": "o/a"}}, root=base)
+
+
+def test_local_files_beside_the_catalogue_or_in_data(spark, file, tmp_path, monkeypatch):
+    spark.range(1).write.json(str(tmp_path / "x.jsonl"))
+    loaded = mixtures.load_mixture(spark, {"a": {"file_name": str(tmp_path / "x.jsonl")}}, row_ids=True)
+    assert loaded.columns == ["dataset", "record", "_id"] and loaded.count() == 1
+
+
+def test_prepare_datasets(spark, file, tmp_path):
+    file("chat.jsonl", "".join(json.dumps({"conversations": [{"from": "human", "value": f"q{i}"}]}) + "\n" for i in range(30)))
+    file("ask.json", json.dumps([{"instruction": f"i{i}", "input": "", "output": "o"} for i in range(21)]))
+    entries = {"chat": {"file_name": "chat.jsonl", "formatting": "sharegpt"}, "ask": {"file_name": "ask.json"}}
+    train, test = prepare.prepare_datasets(spark, entries, root=str(tmp_path), max_samples=20)
+    assert (train.count(), test.count()) == (36, 4)
+    texts = {r["text"] for r in train.unionByName(test).collect()}
+    assert len(texts) == 40 and {f"User: q{i}" for i in range(20)} < texts
+    staged, _ = prepare.prepare_datasets(spark, entries, root=str(tmp_path), max_samples=20, stage=str(tmp_path / "stage"))
+    assert {r["text"] for r in staged.collect()} == {r["text"] for r in train.collect()}
+    _, tail = prepare.prepare_datasets(spark, entries, ["ask", "chat"], root=str(tmp_path), test_size=5, shuffle=False)
+    assert {r["text"] for r in tail.collect()} == {f"User: q{i}" for i in range(25, 30)}
+    everything, none = prepare.prepare_datasets(spark, entries, ["chat"], root=str(tmp_path), test_size=0)
+    assert none is None and everything.count() == 30
+
+
+def test_prepare_table(spark):
+    df = spark.range(10).withColumn("body", F.concat(F.lit("t"), "id"))
+    train, test = prepare.prepare_table(df, "id", text_field="body", test_size=3)
+    assert (train.count(), test.count()) == (7, 3)
+    templated, _ = prepare.prepare_table(
+        df, "id", template="{instruction}!{output}", instruction_field="body", output_field="body",
+        test_size=0, shuffle=False, max_samples=2,
+    )
+    assert {r["text"] for r in templated.collect()} == {"t0!t0", "t1!t1"}
 
 
 def test_second_hub_entry_reads_the_mirror(spark, tmp_path):
