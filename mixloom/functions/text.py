@@ -18,9 +18,10 @@ SPACE_CLASS = (
 )
 
 # The public mteval-v13a tokenisation, as (pattern, replacement).
-# The first class begins after the space: spaces split tokens anyway.
+# The first pattern lists ASCII punctuation but ' , - . one by one: Java tests a
+# plain list with one table look-up per character, and ranges one after another.
 MTEVAL_13A_RULES = (
-    (r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])", " $1 "),
+    (r"[!\"#$%&()*+/:;<=>?@\[\\\]^_`{|}~]", " $0 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),

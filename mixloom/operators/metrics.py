@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -39,78 +39,78 @@ def perplexity(df: DataFrame, loss: str = "loss", tokens: str = "n_tokens", by:
     return grouped.agg(F.exp(weighted).alias("perplexity"))
 
 
-def _grams(tokens: str, n: int, side: int, hashed: bool) -> Column:
-    """Every n-gram of a token array; entries past the last one are NULL.
+def _clustered(df: DataFrame, key: str, prediction: str, reference: str, clustered: bool) -> DataFrame:
+    """Both texts by key, with all that follows of a row in one partition.
 
-    Hashed, a gram is a 63-bit hash with the side in the lowest bit; otherwise
-    a struct of the gram's text and the side.
+    The one shuffle moves the texts, before they are split and exploded; their
+    n-grams, many times larger, are then counted where they are made.
     """
-    def gram(token: Column, at: Column) -> Column:
-        parts = [token] + [F.get(F.col(tokens), at + j) for j in range(1, n)]
-        if hashed:
-            coded = F.shiftleft(F.xxhash64(*parts), 1).bitwiseOR(F.lit(side).cast("bigint"))
-        else:
-            coded = F.struct(F.concat_ws(" ", *parts).alias("g"), F.lit(side).alias("s"))
-        return F.when(at <= F.size(tokens) - n, coded)
-
-    return F.transform(F.col(tokens), gram)
+    texts = df.select(
+        key, as_text(F.col(prediction)).alias("_prediction"), as_text(F.col(reference)).alias("_reference")
+    )
+    return texts if clustered else texts.repartition(key)
 
 
-def clipped_matches(prediction: str, reference: str, n: int, hashed: bool = True) -> Column:
-    """N-grams two token arrays share, each counted at most as often as it occurs in both.
+def _gram_counts(
+    tokens: DataFrame, key: str, orders: Sequence[int], carry: tuple[str, ...] = (), hashed: bool = True
+) -> DataFrame:
+    """How often every n-gram of a row occurs in its ``_p`` and its ``_r`` tokens.
 
-    The grams of both sides are sorted together, so that equal grams are
-    neighbours with the prediction's first, and one pass pairs them up. It all
-    happens inside the row: no gram is shuffled and nothing spans rows. The
-    chance that hashing merges two grams of one row is below n²/2⁶⁴; with
-    ``hashed`` off the grams themselves are compared.
+    A row without n-grams of an order keeps one entry with a NULL gram.
     """
-    grams = F.sort_array(F.concat(_grams(prediction, n, 0, hashed), _grams(reference, n, 1, hashed)))
-    if hashed:
-        gram_of = lambda x: F.shiftright(x, 1)
-        predicted = lambda x: x.bitwiseAND(F.lit(1).cast("bigint")) == 0
-        start = F.lit(None).cast("bigint")
-    else:
-        gram_of, predicted = (lambda x: x["g"]), (lambda x: x["s"] == 0)
-        start = F.lit(None).cast("string")
-
-    def pair(state: Column, x: Column) -> Column:
-        gram = gram_of(x)
-        same = F.coalesce(state["gram"] == gram, F.lit(False))
-        open_ = F.when(same, state["open"]).otherwise(0)
-        matched = (open_ > 0) & ~predicted(x)
-        return F.struct(
-            gram.alias("gram"),
-            F.when(predicted(x), open_ + 1).when(matched, open_ - 1).otherwise(0).alias("open"),
-            F.when(matched, state["n"] + 1).otherwise(state["n"]).alias("n"),
-        )
+    joined = tokens.select(key, *carry, F.concat("_p", "_r").alias("_t"), F.size("_p").alias("_np"))
+    placed = joined.select(
+        key, *carry, "_t", "_np", F.size("_t").alias("_nt"), F.posexplode_outer("_t").alias("_i", "_w")
+    )
+    predicted = F.col("_i") < F.col("_np")
+    left = F.when(predicted, F.col("_np")).otherwise(F.col("_nt")) - F.col("_i")
+
+    def gram(n: int) -> Column:
+        words_ = [F.col("_w"), *(F.get(F.col("_t"), F.col("_i") + j) for j in range(1, n))]
+        whole = F.xxhash64(*words_) if hashed else F.concat_ws(" ", *words_)
+        return F.struct(F.lit(n).alias("_n"), F.when(left >= n, whole).alias("_gram"))
 
-    state = F.struct(start.alias("gram"), F.lit(0).alias("open"), F.lit(0).alias("n"))
-    return F.aggregate(grams, state, pair, lambda s: s["n"])
+    grams = placed.select(
+        key, *carry, predicted.cast("int").alias("_side"), F.inline(F.array(*[gram(n) for n in orders]))
+    )
+    return grams.groupBy(key, "_n", "_gram").agg(
+        F.sum("_side").alias("_ps"), F.sum(1 - F.col("_side")).alias("_rs"),
+        *[F.max(c).alias(c) for c in carry],
+    )
+
+
+def _sum_of(n: int, value: Column) -> Column:
+    """A sum over the n-grams of one order."""
+    of_order = (F.col("_n") == n) & F.col("_gram").isNotNull()
+    return F.coalesce(F.sum(F.when(of_order, value)), F.lit(0))
 
 
 def bleu(
-    df: DataFrame, prediction: str = "prediction", reference: str = "reference",
-    max_order: int = MAX_ORDER, hashed: bool = True,
+    df: DataFrame, key: str = "id", prediction: str = "prediction", reference: str = "reference",
+    max_order: int = MAX_ORDER, hashed: bool = True, clustered: bool = False,
 ) -> DataFrame:
     """Corpus BLEU: clipped n-gram precisions, brevity penalty, no smoothing.
 
-    One scan with per-row counts and one partial aggregate. No reference tokens
-    give NULL; no matches of some order give 0.
+    ``key`` identifies a row; set ``clustered`` when the table is already
+    partitioned by it. No reference tokens give NULL; no matches of some order
+    give 0. Grams are compared by 64-bit hash, within one row (a chance below
+    n²/2⁶⁴ of merging two); with ``hashed`` off, by their text.
     """
     orders = range(1, max_order + 1)
-    tokens = df.select(
-        tokens_13a(as_text(F.col(prediction))).alias("_p"), tokens_13a(as_text(F.col(reference))).alias("_r")
+    texts = _clustered(df, key, prediction, reference, clustered)
+    tokens = texts.select(
+        key, tokens_13a(F.col("_prediction")).alias("_p"), tokens_13a(F.col("_reference")).alias("_r")
     )
-    rows = tokens.select(
-        F.size("_p").alias("_np"), F.size("_r").alias("_nr"),
-        *[clipped_matches("_p", "_r", n, hashed).alias(f"_m{n}") for n in orders],
+    counts = _gram_counts(tokens, key, orders, hashed=hashed).filter(F.col("_gram").isNotNull())
+    by_order = counts.groupBy("_n").agg(
+        F.sum(F.least("_ps", "_rs")).alias("_m"), F.sum("_ps").alias("_t"), F.sum("_rs").alias("_r")
     )
-    sums = rows.agg(
-        F.sum("_np").alias("translation_length"),
-        F.sum("_nr").alias("reference_length"),
-        *[F.sum(f"_m{n}").alias(f"_m{n}") for n in orders],
-        *[F.sum(F.greatest(F.col("_np") - (n - 1), F.lit(0))).alias(f"_t{n}") for n in orders],
+    of = lambda n, c: F.coalesce(F.sum(F.when(F.col("_n") == n, F.col(c))), F.lit(0))
+    sums = by_order.agg(
+        *[of(n, "_m").alias(f"_m{n}") for n in orders],
+        *[of(n, "_t").alias(f"_t{n}") for n in orders],
+        of(1, "_t").alias("translation_length"),
+        of(1, "_r").alias("reference_length"),
     )
     precision = lambda n: F.when(F.col(f"_t{n}") > 0, F.col(f"_m{n}") / F.col(f"_t{n}")).otherwise(0.0)
     ratio = F.col("translation_length") / F.nullif(F.col("reference_length"), F.lit(0))
@@ -156,38 +156,46 @@ def lcs_length():
 
 
 def rouge_scores(
-    df: DataFrame, prediction: str = "prediction", reference: str = "reference",
-    kinds: tuple[str, ...] = ("rouge1", "rouge2", "rougeL"), keep: tuple[str, ...] = (), hashed: bool = True,
+    df: DataFrame, key: str = "id", prediction: str = "prediction", reference: str = "reference",
+    kinds: tuple[str, ...] = ("rouge1", "rouge2", "rougeL"), hashed: bool = True, clustered: bool = False,
 ) -> DataFrame:
-    """F1 of every row for the chosen ROUGE kinds."""
-    tokens = df.select(
-        *keep,
-        tokens_rouge(as_text(F.col(prediction))).alias("_p"),
-        tokens_rouge(as_text(F.col(reference))).alias("_r"),
+    """F1 of every row, by key, for the chosen ROUGE kinds.
+
+    The longest common subsequence alone needs no shuffle; it is computed per
+    row and carried along when n-grams are counted too.
+    """
+    orders = [int(kind.removeprefix("rouge")) for kind in kinds if kind != "rougeL"]
+    texts = _clustered(df, key, prediction, reference, clustered or not orders)
+    tokens = texts.select(
+        key, tokens_rouge(F.col("_prediction")).alias("_p"), tokens_rouge(F.col("_reference")).alias("_r")
     )
-    scores = []
-    for kind in kinds:
-        if kind == "rougeL":
-            matches, n = lcs_length()("_p", "_r"), 1
-        else:
-            n = int(kind.removeprefix("rouge"))
-            matches = clipped_matches("_p", "_r", n, hashed)
-        grams = lambda side: F.greatest(F.size(side) - (n - 1), F.lit(0))  # noqa: E731, B023
-        scores.append((kind, matches, grams("_p"), grams("_r")))
-    counted = tokens.select(*keep, *[
-        column.alias(f"_{kind}_{i}") for kind, *columns in scores for i, column in enumerate(columns)
-    ])
-    return counted.select(*keep, *[
-        _f1(*[F.col(f"_{kind}_{i}") for i in range(3)]).alias(kind) for kind in kinds
-    ])
+    columns = ["_lcs", "_np", "_nr"] if "rougeL" in kinds else []
+    if columns:
+        tokens = tokens.select(
+            key, "_p", "_r", lcs_length()("_p", "_r").alias("_lcs"), F.size("_p").alias("_np"), F.size("_r").alias("_nr")
+        )
+    score = {"rougeL": _f1(F.col("_lcs"), F.col("_np"), F.col("_nr"))}
+    rows = tokens
+    if orders:
+        carried = tokens.withColumnsRenamed({"_np": "_lp", "_nr": "_lr"})
+        carry = ("_lcs", "_lp", "_lr") if columns else ()
+        rows = _gram_counts(carried, key, orders, carry, hashed).groupBy(key).agg(
+            *[_sum_of(n, F.least("_ps", "_rs")).alias(f"_m{n}") for n in orders],
+            *[_sum_of(n, F.col("_ps")).alias(f"_p{n}") for n in orders],
+            *[_sum_of(n, F.col("_rs")).alias(f"_r{n}") for n in orders],
+            *[F.max(c).alias(c) for c in carry],
+        )
+        score = {f"rouge{n}": _f1(F.col(f"_m{n}"), F.col(f"_p{n}"), F.col(f"_r{n}")) for n in orders}
+        score["rougeL"] = _f1(F.col("_lcs"), F.col("_lp"), F.col("_lr"))
+    return rows.select(key, *[score[kind].alias(kind) for kind in kinds])
 
 
 def rouge(
-    df: DataFrame, prediction: str = "prediction", reference: str = "reference",
-    kinds: tuple[str, ...] = ("rouge1", "rouge2", "rougeL"), hashed: bool = True,
+    df: DataFrame, key: str = "id", prediction: str = "prediction", reference: str = "reference",
+    kinds: tuple[str, ...] = ("rouge1", "rouge2", "rougeL"), hashed: bool = True, clustered: bool = False,
 ) -> DataFrame:
     """Mean ROUGE F1 over rows."""
-    scores = rouge_scores(df, prediction, reference, kinds, hashed=hashed)
+    scores = rouge_scores(df, key, prediction, reference, kinds, hashed, clustered)
     return scores.agg(*[F.avg(kind).alias(kind) for kind in kinds])
 
 

@@ -222,22 +222,25 @@ ORACLES["perplexity_by_run"] = f"""
 WITH {RUNS} SELECT run, round(exp(sum(loss * n_tokens) / sum(n_tokens)), 6) AS perplexity FROM runs GROUP BY run"""
 
 
-def _matches(tokens: Callable[[str], str], orders: str) -> str:
-    """Per document, side and order: n-gram counts, then the clipped matches."""
+def _matches(tokens: Callable[[str], str], orders: str, table: str, key: str, p: str, r: str) -> str:
+    """Per row, side and order: n-gram counts, from which the clipped matches follow."""
     return f"""
 toks AS (
-  SELECT doc_id, {tokens('text')} AS r, {tokens(FIFTH.format('text'))} AS p FROM documents),
+  SELECT {key} AS id, {tokens(r)} AS r, {tokens(p)} AS p FROM {table}),
 grams AS (
-  SELECT doc_id, n, array_to_string(list_slice(p, i, i + n - 1), ' ') AS gram, 1 AS ps, 0 AS rs
-  FROM (SELECT doc_id, p, n, unnest(range(1, len(p) - n + 2)) AS i FROM toks, (SELECT unnest({orders}) AS n))
+  SELECT id, n, array_to_string(list_slice(p, i, i + n - 1), ' ') AS gram, 1 AS ps, 0 AS rs
+  FROM (SELECT id, p, n, unnest(range(1, len(p) - n + 2)) AS i FROM toks, (SELECT unnest({orders}) AS n))
   UNION ALL
-  SELECT doc_id, n, array_to_string(list_slice(r, i, i + n - 1), ' '), 0, 1
-  FROM (SELECT doc_id, r, n, unnest(range(1, len(r) - n + 2)) AS i FROM toks, (SELECT unnest({orders}) AS n))),
-counted AS (SELECT doc_id, n, gram, sum(ps) AS ps, sum(rs) AS rs FROM grams GROUP BY ALL)"""
+  SELECT id, n, array_to_string(list_slice(r, i, i + n - 1), ' '), 0, 1
+  FROM (SELECT id, r, n, unnest(range(1, len(r) - n + 2)) AS i FROM toks, (SELECT unnest({orders}) AS n))),
+counted AS (SELECT id, n, gram, sum(ps) AS ps, sum(rs) AS rs FROM grams GROUP BY ALL)"""
+
+
+DOCUMENT_PAIRS = ("documents", "doc_id", FIFTH.format("text"), "text")
 
 
 ORACLES["bleu"] = f"""
-WITH {_matches(_tokens_13a, '[1, 2, 3, 4]')},
+WITH {_matches(_tokens_13a, '[1, 2, 3, 4]', *DOCUMENT_PAIRS)},
 sizes AS (SELECT sum(len(p)) AS np, sum(len(r)) AS nr FROM toks),
 orders AS (SELECT n, sum(least(ps, rs)) / sum(ps) AS prec FROM counted GROUP BY n),
 wide AS (SELECT exp(avg(ln(prec))) AS mean, max(prec) FILTER (WHERE n = 1) AS p1, max(prec) FILTER (WHERE n = 2) AS p2,
@@ -252,13 +255,16 @@ def _tokens_rouge(text: str) -> str:
     return f"regexp_extract_all(lower({text}), '[a-z0-9]+')"
 
 
+F1 = """CASE WHEN coalesce({m}, 0) = 0 THEN 0.0
+    ELSE 2 * ({m} / {p}) * ({m} / {r}) / ({m} / {p} + {m} / {r}) END"""
+
+
 def _rouge(n: int) -> str:
     return f"""
-WITH {_matches(_tokens_rouge, f'[{n}]')},
-hits AS (SELECT doc_id, sum(least(ps, rs)) AS m, sum(ps) AS np, sum(rs) AS nr FROM counted GROUP BY doc_id),
-scores AS (SELECT d.doc_id, CASE WHEN coalesce(m, 0) = 0 THEN 0.0
-    ELSE 2 * (m / np) * (m / nr) / (m / np + m / nr) END AS f
-  FROM documents d LEFT JOIN hits USING (doc_id))
+WITH {_matches(_tokens_rouge, f'[{n}]', *DOCUMENT_PAIRS)},
+hits AS (SELECT id, sum(least(ps, rs)) AS m, sum(ps) AS np, sum(rs) AS nr FROM counted GROUP BY id),
+scores AS (SELECT d.doc_id, {F1.format(m='m', p='np', r='nr')} AS f
+  FROM documents d LEFT JOIN hits ON hits.id = d.doc_id)
 SELECT round(avg(f), 6) AS rouge{n} FROM scores"""
 
 
@@ -266,21 +272,29 @@ ORACLES["rouge1"] = _rouge(1)
 ORACLES["rouge2"] = _rouge(2)
 # The longest common subsequence as the longest increasing run of match
 # positions: each match replaces the first tail that is not smaller.
+LCS = """
+ps AS (SELECT id, unnest(p) AS w, unnest(range(1, len(p) + 1)) AS i FROM toks),
+rs AS (SELECT id, unnest(r) AS w, unnest(range(1, len(r) + 1)) AS j FROM toks),
+matched AS (SELECT id, list([j] ORDER BY i, j DESC) AS js FROM ps JOIN rs USING (id, w) GROUP BY id),
+chains AS (SELECT id, len(list_reduce(js, lambda t, x:
+    list_filter(t, lambda v: v < x[1]) || x || list_filter(t, lambda v: v > x[1])
+      [2 - CAST(list_contains(t, x[1]) AS INT):])) AS lcs FROM matched)"""
+ORACLES["rouge_rows"] = f"""
+WITH {PAIRS},
+{_matches(_tokens_rouge, '[1, 2]', 'pairs', "conv_id || '/' || turn", 'instruction', 'output')},
+hits AS (SELECT id, sum(least(ps, rs)) FILTER (WHERE n = 1) AS m1, sum(least(ps, rs)) FILTER (WHERE n = 2) AS m2
+  FROM counted GROUP BY id),
+{LCS}
+SELECT id, round({F1.format(m='m1', p='len(p)', r='len(r)')}, 6) AS rouge1,
+  round({F1.format(m='m2', p='(len(p) - 1)', r='(len(r) - 1)')}, 6) AS rouge2,
+  round({F1.format(m='lcs', p='len(p)', r='len(r)')}, 6) AS rougel
+FROM toks LEFT JOIN hits USING (id) LEFT JOIN chains USING (id)"""
 ORACLES["rouge_l"] = f"""
 WITH {PAIRS}, toks AS (
-  SELECT conv_id, turn, regexp_extract_all(lower(instruction), '[a-z0-9]+') AS p,
-    regexp_extract_all(lower(output), '[a-z0-9]+') AS r FROM pairs),
-ps AS (SELECT conv_id, turn, unnest(p) AS w, unnest(range(1, len(p) + 1)) AS i FROM toks),
-rs AS (SELECT conv_id, turn, unnest(r) AS w, unnest(range(1, len(r) + 1)) AS j FROM toks),
-hits AS (SELECT conv_id, turn, list([j] ORDER BY i, j DESC) AS js
-  FROM ps JOIN rs USING (conv_id, turn, w) GROUP BY ALL),
-chains AS (SELECT conv_id, turn, len(list_reduce(js, lambda t, x:
-    list_filter(t, lambda v: v < x[1]) || x || list_filter(t, lambda v: v > x[1])
-      [2 - CAST(list_contains(t, x[1]) AS INT):])) AS m FROM hits),
-sized AS (SELECT conv_id, turn, coalesce(m, 0) AS m, len(p) AS np, len(r) AS nr
-  FROM toks LEFT JOIN chains USING (conv_id, turn))
-SELECT conv_id, turn, round(CASE WHEN m = 0 THEN 0.0
-  ELSE 2 * (m / np) * (m / nr) / (m / np + m / nr) END, 6) AS rouge_l FROM sized"""
+  SELECT conv_id || '/' || turn AS id, {_tokens_rouge('instruction')} AS p, {_tokens_rouge('output')} AS r FROM pairs),
+{LCS}
+SELECT id, round({F1.format(m='lcs', p='len(p)', r='len(r)')}, 6) AS rouge_l
+FROM toks LEFT JOIN chains USING (id)"""
 ORACLES["planned_steps"] = """
 SELECT source AS dataset, count(*) AS rows, count(*) // 8 * 3 AS steps FROM documents GROUP BY source"""
 

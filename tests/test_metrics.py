@@ -75,7 +75,9 @@ def test_bleu_and_rouge_equal_plain_python(spark, pairs):
         got, want = metrics.bleu(df, hashed=hashed).first()["bleu"], plain_bleu(pairs)
         assert (got is None) == (want is None)
         assert got is None or math.isclose(got, want, abs_tol=1e-9)
-    scores = metrics.rouge_scores(df, keep=("id",)).orderBy("id").collect()
+    scores = metrics.rouge_scores(df).orderBy("id").collect()
+    alone = metrics.rouge_scores(df, kinds=("rougeL",)).orderBy("id").collect()
+    assert [r["rougeL"] for r in scores] == [r["rougeL"] for r in alone]
     for (p, r), row in zip(pairs, scores):
         for kind in ("rouge1", "rouge2", "rougeL"):
             assert math.isclose(row[kind], plain_rouge(p, r, kind), abs_tol=1e-9), (p, r, kind)

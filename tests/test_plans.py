@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
-from mixloom.operators import mixture, render, sampling
+from mixloom.operators import metrics, mixture, render, sampling
 from mixloom.plans import inputs
 from mixloom.sources import catalogue, readers
 
 SF_DIR = "/root/testdata/sf0.001"
-PYTHON_QUERIES = {"rouge_l", "batch_predict", "user_map"}
+PYTHON_QUERIES = {"rouge_l", "rouge_rows", "batch_predict", "user_map"}
 # Ranks of at most GROUP_ROWS rows take one task; larger tables are cut into groups.
 BOUNDED_WINDOW = {"shuffle_rank"}
 
@@ -77,3 +77,21 @@ def test_spread_leaves_large_tables_alone(spark):
     small = readers.spread(spark.read.parquet(f"{SF_DIR}/documents.parquet"), "doc_id")
     assert "Exchange" in plan_of(small)
     assert "Exchange" not in plan_of(readers.spread(spark.range(0, 100, 1, 64).toDF("doc_id"), "doc_id"))
+
+
+@pytest.mark.parametrize("metric", [metrics.bleu, metrics.rouge])
+def test_gram_counting_shuffles_the_texts_and_not_the_grams(spark, metric):
+    pairs = spark.range(100).selectExpr("id", "string(id) as prediction", "string(id + 1) as reference")
+    plan = plan_of(metric(pairs))
+    exploded = plan.index("Generate posexplode")
+    assert re.findall(r"Exchange (\w+)", plan[exploded:]) == ["hashpartitioning"]
+    for below in re.findall(r"Exchange .*\n(.*)", plan[:exploded]):
+        assert re.search(r"Aggregate\(.*partial_", below), below
+
+
+def test_rows_already_clustered_are_not_shuffled(spark):
+    pairs = spark.range(100).selectExpr("id", "string(id) as prediction", "string(id + 1) as reference")
+    placed = pairs.repartition(4, "id")
+    plan = plan_of(metrics.bleu(placed, clustered=True))
+    assert plan[plan.index("Generate posexplode"):].count("Exchange") == 1
+    assert "Exchange hashpartitioning(id" in plan
