@@ -6,13 +6,16 @@ import warnings
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mixloom.functions.text import as_text, strip, tokens_13a, tokens_rouge
 
 MAX_ORDER = 4
 
+# Tokens counted together; rows are never split.
+CHUNK_TOKENS = 2_000_000
+
 
 def cut_prompt(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Text cut in half by characters: the prompt, and the target stripped."""
@@ -39,78 +42,90 @@ def perplexity(df: DataFrame, loss: str = "loss", tokens: str = "n_tokens", by:
     return grouped.agg(F.exp(weighted).alias("perplexity"))
 
 
-def _clustered(df: DataFrame, key: str, prediction: str, reference: str, clustered: bool) -> DataFrame:
-    """Both texts by key, with all that follows of a row in one partition.
-
-    The one shuffle moves the texts, before they are split and exploded; their
-    n-grams, many times larger, are then counted where they are made.
-    """
-    texts = df.select(
-        key, as_text(F.col(prediction)).alias("_prediction"), as_text(F.col(reference)).alias("_reference")
-    )
-    return texts if clustered else texts.repartition(key)
-
+def matched_grams(max_order: int, orders: Sequence[int] | None = None):
+    """A vectorised function for the clipped n-gram matches of two token arrays, by order.
 
-def _gram_counts(
-    tokens: DataFrame, key: str, orders: Sequence[int], carry: tuple[str, ...] = (), hashed: bool = True
-) -> DataFrame:
-    """How often every n-gram of a row occurs in its ``_p`` and its ``_r`` tokens.
-
-    A row without n-grams of an order keeps one entry with a NULL gram.
+    An n-gram the two share counts as often as it occurs in both. Grams are
+    numbered exactly (order n from the number of order n-1 and the next token)
+    and counted with sorted arrays over a whole Arrow batch. Nothing is
+    shuffled and memory is bounded by a batch: exploding the grams into a
+    grouped count moves and hashes several times the text, and spilled on
+    ordinary partitions. It is a closure so that executors need no copy of this
+    package.
     """
-    joined = tokens.select(key, *carry, F.concat("_p", "_r").alias("_t"), F.size("_p").alias("_np"))
-    placed = joined.select(
-        key, *carry, "_t", "_np", F.size("_t").alias("_nt"), F.posexplode_outer("_t").alias("_i", "_w")
-    )
-    predicted = F.col("_i") < F.col("_np")
-    left = F.when(predicted, F.col("_np")).otherwise(F.col("_nt")) - F.col("_i")
-
-    def gram(n: int) -> Column:
-        words_ = [F.col("_w"), *(F.get(F.col("_t"), F.col("_i") + j) for j in range(1, n))]
-        whole = F.xxhash64(*words_) if hashed else F.concat_ws(" ", *words_)
-        return F.struct(F.lit(n).alias("_n"), F.when(left >= n, whole).alias("_gram"))
-
-    grams = placed.select(
-        key, *carry, predicted.cast("int").alias("_side"), F.inline(F.array(*[gram(n) for n in orders]))
-    )
-    return grams.groupBy(key, "_n", "_gram").agg(
-        F.sum("_side").alias("_ps"), F.sum(1 - F.col("_side")).alias("_rs"),
-        *[F.max(c).alias(c) for c in carry],
-    )
-
-
-def _sum_of(n: int, value: Column) -> Column:
-    """A sum over the n-grams of one order."""
-    of_order = (F.col("_n") == n) & F.col("_gram").isNotNull()
-    return F.coalesce(F.sum(F.when(of_order, value)), F.lit(0))
+    wanted = list(orders or range(1, max_order + 1))
+    chunk_tokens = CHUNK_TOKENS
+
+    def count(left, right):
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n_rows = len(left)
+        sizes = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (left, right)])
+        tokens = pa.concat_arrays([left.flatten(), right.flatten()]).dictionary_encode()
+        word = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        side = np.repeat(np.arange(2 * n_rows), sizes)
+        to_end = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(word))
+        out = np.zeros((n_rows, max_order), dtype=np.int64)
+        gram = word
+        for n in range(1, max_order + 1):
+            if n > 1:
+                pairs = gram[:-1] * len(tokens.dictionary) + word[n - 1:]
+                gram = pd.factorize(pairs)[0]
+            whole = to_end[:len(gram)] >= n
+            if not whole.any():
+                break
+            if n not in wanted:
+                continue
+            key = side[:len(gram)][whole] * (gram.max() + 1) + gram[whole]
+            seen, times = np.unique(key, return_counts=True)
+            reference = np.searchsorted(seen, n_rows * (gram.max() + 1))
+            _, p, r = np.intersect1d(
+                seen[:reference], seen[reference:] - n_rows * (gram.max() + 1),
+                assume_unique=True, return_indices=True,
+            )
+            shared = np.minimum(times[:reference][p], times[reference:][r])
+            out[:, n - 1] = np.bincount(seen[p] // (gram.max() + 1), weights=shared, minlength=n_rows)
+        return out
+
+    def matches(predictions: pa.Array, references: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sizes = pc.add(pc.list_value_length(predictions), pc.list_value_length(references))
+        chunk = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64) // chunk_tokens
+        starts = np.flatnonzero(np.diff(chunk, prepend=-1))
+        ends = [*starts[1:], len(chunk)]
+        parts = [count(predictions.slice(a, b - a), references.slice(a, b - a)) for a, b in zip(starts, ends)]
+        found = np.concatenate(parts) if parts else np.zeros((0, max_order), dtype=np.int64)
+        return pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), max_order).cast(pa.list_(pa.int64()))
+
+    return F.arrow_udf(matches, "array<bigint>")
 
 
 def bleu(
-    df: DataFrame, key: str = "id", prediction: str = "prediction", reference: str = "reference",
-    max_order: int = MAX_ORDER, hashed: bool = True, clustered: bool = False,
+    df: DataFrame, prediction: str = "prediction", reference: str = "reference", max_order: int = MAX_ORDER
 ) -> DataFrame:
     """Corpus BLEU: clipped n-gram precisions, brevity penalty, no smoothing.
 
-    ``key`` identifies a row; set ``clustered`` when the table is already
-    partitioned by it. No reference tokens give NULL; no matches of some order
-    give 0. Grams are compared by 64-bit hash, within one row (a chance below
-    n²/2⁶⁴ of merging two); with ``hashed`` off, by their text.
+    One scan with counts per row and one partial aggregate. No reference tokens
+    give NULL; no matches of some order give 0.
     """
     orders = range(1, max_order + 1)
-    texts = _clustered(df, key, prediction, reference, clustered)
-    tokens = texts.select(
-        key, tokens_13a(F.col("_prediction")).alias("_p"), tokens_13a(F.col("_reference")).alias("_r")
+    tokens = df.select(
+        tokens_13a(as_text(F.col(prediction))).alias("_p"), tokens_13a(as_text(F.col(reference))).alias("_r")
     )
-    counts = _gram_counts(tokens, key, orders, hashed=hashed).filter(F.col("_gram").isNotNull())
-    by_order = counts.groupBy("_n").agg(
-        F.sum(F.least("_ps", "_rs")).alias("_m"), F.sum("_ps").alias("_t"), F.sum("_rs").alias("_r")
+    rows = tokens.select(
+        F.size("_p").alias("_np"), F.size("_r").alias("_nr"), matched_grams(max_order)("_p", "_r").alias("_m")
     )
-    of = lambda n, c: F.coalesce(F.sum(F.when(F.col("_n") == n, F.col(c))), F.lit(0))
-    sums = by_order.agg(
-        *[of(n, "_m").alias(f"_m{n}") for n in orders],
-        *[of(n, "_t").alias(f"_t{n}") for n in orders],
-        of(1, "_t").alias("translation_length"),
-        of(1, "_r").alias("reference_length"),
+    sums = rows.agg(
+        F.sum("_np").alias("translation_length"),
+        F.sum("_nr").alias("reference_length"),
+        *[F.sum(F.col("_m")[n - 1]).alias(f"_m{n}") for n in orders],
+        *[F.sum(F.greatest(F.col("_np") - (n - 1), F.lit(0))).alias(f"_t{n}") for n in orders],
     )
     precision = lambda n: F.when(F.col(f"_t{n}") > 0, F.col(f"_m{n}") / F.col(f"_t{n}")).otherwise(0.0)
     ratio = F.col("translation_length") / F.nullif(F.col("reference_length"), F.lit(0))
@@ -132,13 +147,15 @@ def _f1(matches: Column, predicted: Column, referred: Column) -> Column:
 
 
 def lcs_length():
-    """A vectorised function for the longest common subsequence of two token arrays.
+    """A function over Arrow batches for the longest common subsequence of two token arrays.
 
     Bit-parallel (Crochemore et al. 2001, Hyyrö 2004): one wide-integer step per
     prediction token. It is a closure so that executors need no copy of this
     package.
     """
-    def lengths(predictions: pd.Series, references: pd.Series) -> pd.Series:
+    def lengths(predictions: pa.Array, references: pa.Array) -> pa.Array:
+        import pyarrow as pa
+
         def one(left, right) -> int:
             places: dict[str, int] = {}
             for i, token in enumerate(right):
@@ -150,53 +167,44 @@ def lcs_length():
                 row = ((row + hit) | (row - hit)) & mask
             return len(right) - row.bit_count()
 
-        return pd.Series([one(p, r) for p, r in zip(predictions, references)], dtype="int64")
+        return pa.array([one(p.as_py(), r.as_py()) for p, r in zip(predictions, references)], pa.int64())
 
-    return F.pandas_udf(lengths, "bigint")
+    return F.arrow_udf(lengths, "bigint")
 
 
 def rouge_scores(
-    df: DataFrame, key: str = "id", prediction: str = "prediction", reference: str = "reference",
-    kinds: tuple[str, ...] = ("rouge1", "rouge2", "rougeL"), hashed: bool = True, clustered: bool = False,
+    df: DataFrame, prediction: str = "prediction", reference: str = "reference",
+    kinds: tuple[str, ...] = ("rouge1", "rouge2", "rougeL"), keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """F1 of every row, by key, for the chosen ROUGE kinds.
-
-    The longest common subsequence alone needs no shuffle; it is computed per
-    row and carried along when n-grams are counted too.
-    """
-    orders = [int(kind.removeprefix("rouge")) for kind in kinds if kind != "rougeL"]
-    texts = _clustered(df, key, prediction, reference, clustered or not orders)
-    tokens = texts.select(
-        key, tokens_rouge(F.col("_prediction")).alias("_p"), tokens_rouge(F.col("_reference")).alias("_r")
+    """F1 of every row for the chosen ROUGE kinds."""
+    orders = {kind: int(kind.removeprefix("rouge")) for kind in kinds if kind != "rougeL"}
+    tokens = df.select(
+        *keep,
+        tokens_rouge(as_text(F.col(prediction))).alias("_p"),
+        tokens_rouge(as_text(F.col(reference))).alias("_r"),
     )
-    columns = ["_lcs", "_np", "_nr"] if "rougeL" in kinds else []
-    if columns:
-        tokens = tokens.select(
-            key, "_p", "_r", lcs_length()("_p", "_r").alias("_lcs"), F.size("_p").alias("_np"), F.size("_r").alias("_nr")
-        )
-    score = {"rougeL": _f1(F.col("_lcs"), F.col("_np"), F.col("_nr"))}
-    rows = tokens
+    counted = [F.size("_p").alias("_np"), F.size("_r").alias("_nr")]
     if orders:
-        carried = tokens.withColumnsRenamed({"_np": "_lp", "_nr": "_lr"})
-        carry = ("_lcs", "_lp", "_lr") if columns else ()
-        rows = _gram_counts(carried, key, orders, carry, hashed).groupBy(key).agg(
-            *[_sum_of(n, F.least("_ps", "_rs")).alias(f"_m{n}") for n in orders],
-            *[_sum_of(n, F.col("_ps")).alias(f"_p{n}") for n in orders],
-            *[_sum_of(n, F.col("_rs")).alias(f"_r{n}") for n in orders],
-            *[F.max(c).alias(c) for c in carry],
-        )
-        score = {f"rouge{n}": _f1(F.col(f"_m{n}"), F.col(f"_p{n}"), F.col(f"_r{n}")) for n in orders}
-        score["rougeL"] = _f1(F.col("_lcs"), F.col("_lp"), F.col("_lr"))
-    return rows.select(key, *[score[kind].alias(kind) for kind in kinds])
+        highest = max(orders.values())
+        counted.append(matched_grams(highest, list(orders.values()))("_p", "_r").alias("_m"))
+    if "rougeL" in kinds:
+        counted.append(lcs_length()("_p", "_r").alias("_lcs"))
+
+    def score(kind: str) -> Column:
+        if kind == "rougeL":
+            return _f1(F.col("_lcs"), F.col("_np"), F.col("_nr"))
+        n = orders[kind]
+        return _f1(F.col("_m")[n - 1], *[F.greatest(F.col(c) - (n - 1), F.lit(0)) for c in ("_np", "_nr")])
+
+    return tokens.select(*keep, *counted).select(*keep, *[score(kind).alias(kind) for kind in kinds])
 
 
 def rouge(
-    df: DataFrame, key: str = "id", prediction: str = "prediction", reference: str = "reference",
-    kinds: tuple[str, ...] = ("rouge1", "rouge2", "rougeL"), hashed: bool = True, clustered: bool = False,
+    df: DataFrame, prediction: str = "prediction", reference: str = "reference",
+    kinds: tuple[str, ...] = ("rouge1", "rouge2", "rougeL"),
 ) -> DataFrame:
     """Mean ROUGE F1 over rows."""
-    scores = rouge_scores(df, key, prediction, reference, kinds, hashed, clustered)
-    return scores.agg(*[F.avg(kind).alias(kind) for kind in kinds])
+    return rouge_scores(df, prediction, reference, kinds).agg(*[F.avg(kind).alias(kind) for kind in kinds])
 
 
 Metric = Callable[[DataFrame], DataFrame]

@@ -441,7 +441,7 @@ def perplexity_by_run(spark, sf_dir):
 
 @query
 def bleu(spark, sf_dir):
-    scored = metrics.bleu(inputs.prediction_pairs(spark, sf_dir), "doc_id")
+    scored = metrics.bleu(inputs.prediction_pairs(spark, sf_dir))
     doubles = ["bleu", "precision_1", "precision_2", "precision_3", "precision_4", "brevity_penalty"]
     return scored.select(
         *[F.round(c, 6).alias(c) for c in doubles], "translation_length", "reference_length"
@@ -450,7 +450,7 @@ def bleu(spark, sf_dir):
 
 def _rouge_n(spark, sf_dir, kind):
     pairs = inputs.prediction_pairs(spark, sf_dir)
-    return metrics.rouge(pairs, "doc_id", kinds=(kind,)).select(F.round(kind, 6).alias(kind))
+    return metrics.rouge(pairs, kinds=(kind,)).select(F.round(kind, 6).alias(kind))
 
 
 @query
@@ -466,14 +466,14 @@ def rouge2(spark, sf_dir):
 @query
 def rouge_l(spark, sf_dir):
     rows = inputs.instruction_rows(spark, sf_dir).withColumn("id", F.concat_ws("/", "conv_id", "turn"))
-    scores = metrics.rouge_scores(rows, "id", "instruction", "output", ("rougeL",))
+    scores = metrics.rouge_scores(rows, "instruction", "output", ("rougeL",), keep=("id",))
     return scores.select("id", F.round("rougeL", 6).alias("rouge_l"))
 
 
 @query
 def rouge_rows(spark, sf_dir):
     rows = inputs.instruction_rows(spark, sf_dir).withColumn("id", F.concat_ws("/", "conv_id", "turn"))
-    scores = metrics.rouge_scores(rows, "id", "instruction", "output")
+    scores = metrics.rouge_scores(rows, "instruction", "output", keep=("id",))
     return scores.select("id", *[F.round(k, 6).alias(k.lower()) for k in ("rouge1", "rouge2", "rougeL")])
 
 
