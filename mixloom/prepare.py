@@ -28,20 +28,14 @@ def prepare_datasets(
     spark: SparkSession, entries: dict[str, dict], names: list[str] | None = None, root: str = ".",
     hub_root: str | None = None, max_samples: int | None = None, test_size: float | int = 0.1,
     seed: int = 42, shuffle: bool = True, null_text: str = "", strict_columns: bool = False,
-    stage: str | None = None,
 ) -> Splits:
     """Catalogue entries loaded, rendered to ``text`` and split.
 
     Rows are keyed by their place in the sources, so the split and the order
-    are the same on every cluster. Splitting counts over the keys first; name a
-    ``stage`` path to write the keyed records as Parquet once and count over
-    that, where the keys are one column, instead of over the source files.
+    are the same on every cluster, and splitting counts over the keys alone.
     """
     chosen = {n: e for n, e in entries.items() if names is None or n in names}
     records = load_mixture(spark, entries, names, root, hub_root, max_samples, row_ids=True)
-    if stage:
-        records.write.parquet(stage)
-        records = spark.read.parquet(stage)
     resolved = mixture.resolve_mixture(
         records, catalogue_table(spark, chosen), strict_columns=strict_columns
     )

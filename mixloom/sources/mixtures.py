@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from mixloom.sources.readers import (
-    SOURCE_ORDER, first_in_source, read_csv, read_parquet, read_text, suffix, with_positions, with_source_order,
+    first_in_source, read_csv, read_parquet, read_text, suffix, with_positions,
 )
 
 # Room for the row positions of one entry inside a mixture's keys.
@@ -109,13 +109,12 @@ def load_mixture(
     for index, name in enumerate(names):
         df = _entry_records(spark, name, entries[name], root, hub_root)
         limit = entries[name].get("num_samples") or max_samples
-        columns = ["record"]
-        if limit:
-            df = with_source_order(df)
-            columns.append(SOURCE_ORDER)
+        columns = [F.lit(name).alias("dataset"), "record"]
         if row_ids:
             df = with_positions(df)
+            df = df.filter(F.col("_id") < limit) if limit else df
             columns.append((F.lit(index * POSITIONS_PER_ENTRY) + F.col("_id")).alias("_id"))
-        df = df.select(F.lit(name).alias("dataset"), *columns)
-        tables.append(first_in_source(df, limit).drop(SOURCE_ORDER) if limit else df)
+        else:
+            df = first_in_source(df, limit)
+        tables.append(df.select(*columns))
     return reduce(DataFrame.unionByName, tables)

@@ -11,7 +11,6 @@ from mixloom.operators.sampling import DRIVER_ROWS
 from mixloom.session import materialize
 
 CORRUPT = "_corrupt_record"
-SOURCE_ORDER = "_source_order"
 
 # File pieces whose offsets are broadcast: some 100 bytes each.
 BROADCAST_PIECES = 1_000_000
@@ -136,60 +135,22 @@ def load_custom(
     return loader(spark, options)
 
 
-def with_source_order(df: DataFrame) -> DataFrame:
-    """Add a sortable position in the source files to a table just read from them.
-
-    File and block start order the file pieces; inside a piece, the row number
-    Spark hands out while reading is increasing.
-    """
-    return df.withColumn(
-        SOURCE_ORDER,
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
-    )
-
-
-def first_in_source(df: DataFrame, n: int | None) -> DataFrame:
-    """The first n rows in source order of a table made by ``with_source_order``.
-
-    A large n keeps whole file blocks by a filter and cuts only the last one.
-    """
-    if not n:
-        return df
-    if n <= DRIVER_ROWS:
-        return df.orderBy(SOURCE_ORDER).limit(n)
-    place = F.struct(F.col(f"{SOURCE_ORDER}.file").alias("file"), F.col(f"{SOURCE_ORDER}.block").alias("block"))
-    blocks = df.groupBy(place.alias("place")).count().orderBy("place")
-    before = 0
-    for row in blocks.toLocalIterator():
-        if before + row["count"] >= n:
-            last = F.struct(
-                F.lit(row["place"]["file"]).alias("file"), F.lit(row["place"]["block"]).alias("block")
-            )
-            rest = df.filter(place == last).orderBy(SOURCE_ORDER).limit(n - before)
-            return df.filter(place < last).unionByName(rest)
-        before += row["count"]
-    return df
-
-
 def with_positions(df: DataFrame, name: str = "_id") -> DataFrame:
     """Add every row's position in source order to a table just read from files.
 
-    Files come in path order. Parquet knows its row numbers; for other formats
-    a row's number is counted inside its file piece. One counting pass gives
-    the pieces' sizes, whose running sum is joined back, so the position does
-    not depend on how the files were cut into tasks.
+    Files come in path order. Parquet knows its row numbers. Rows of other
+    formats are numbered within file pieces while they are read, and written to
+    the shared folder with those numbers: pieces may be cut differently when
+    files are read again. The pieces' running sizes are then joined back.
     """
-    placed = df.withColumn("_file", F.col("_metadata.file_path"))
+    file = F.col("_metadata.file_path")
     try:
-        placed = placed.withColumns({"_block": F.lit(0), "_row": F.col("_metadata.row_index")})
+        placed = df.withColumns({"_file": file, "_block": F.lit(0), "_row": F.col("_metadata.row_index")})
     except AnalysisException:
-        placed = placed.withColumns({
-            "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()
-        })
+        block = F.col("_metadata.file_block_start")
+        placed = materialize(
+            df.withColumns({"_file": file, "_block": block, "_row": F.monotonically_increasing_id()}), "placed"
+        )
     size = F.max("_row") - F.min("_row") + 1
     pieces = materialize(
         placed.groupBy("_file", "_block").agg(size.alias("_n"), F.min("_row").alias("_first")), "file-pieces"
@@ -203,6 +164,22 @@ def with_positions(df: DataFrame, name: str = "_id") -> DataFrame:
     return placed.join(shifts, ["_file", "_block"]).select(*df.columns, position)
 
 
+def first_in_source(df: DataFrame, n: int | None) -> DataFrame:
+    """The first n rows in source order of a table just read from files.
+
+    Few rows are a top-n over (file, piece, row number); many are a filter on
+    the rows' positions, so that no task has to hold them.
+    """
+    if not n:
+        return df
+    if n > DRIVER_ROWS:
+        return with_positions(df, "_position").filter(F.col("_position") < n).drop("_position")
+    order = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    placed = df.withColumns({f"_order{i}": c for i, c in enumerate(order)})
+    first = placed.orderBy(*[f"_order{i}" for i in range(len(order))]).limit(n)
+    return first.select(*df.columns)
+
+
 def concat_datasets(spark: SparkSession, paths: list[str], source: str = "source") -> DataFrame:
     """Files of one shape as one table, with the file or folder each row came from.
 
