@@ -59,11 +59,8 @@ def mapped_value(fields: Column, columns: Column, part: str) -> Column:
 
 def variant_text(value: Column, null_text: str = "") -> Column:
     """A field as rendered text: missing is empty, JSON null is ``null_text``."""
-    return (
-        F.when(value.isNull(), "")
-        .when(F.is_variant_null(value), null_text)
-        .otherwise(value.cast("string"))
-    )
+    absent = F.when(value.isNull(), "").otherwise(null_text) if null_text else F.lit("")
+    return F.coalesce(value.cast("string"), absent)
 
 
 def with_mapped_columns(df: DataFrame, parts: tuple[str, ...], null_text: str = "") -> DataFrame:

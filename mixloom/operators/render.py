@@ -187,13 +187,10 @@ def map_text(
     return df.mapInPandas(render_batches, T.StructType(fields))
 
 
-def chat_line(role: Column, content: Column, tags: dict[str, str | Column]) -> Column:
+def chat_line(role: Column, content: Column, tags: dict[str, Column]) -> Column:
     """One labelled turn, NULL for a role that is not rendered."""
-    line = None
-    for tag, label in SPEAKERS:
-        said = F.concat(F.lit(label), content)
-        line = F.when(role == tags[tag], said) if line is None else line.when(role == tags[tag], said)
-    return line
+    label = F.coalesce(*[F.when(role == tags[tag], label) for tag, label in SPEAKERS])
+    return F.when(label.isNotNull(), F.concat(label, content))
 
 
 def render_chat(

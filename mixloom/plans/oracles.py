@@ -95,7 +95,7 @@ SELECT doc_id, text, lang AS subset, 'train' AS split FROM documents WHERE lang
 ORACLES["concat_datasets"] = """
 SELECT doc_id, NULL AS item_id, text, NULL AS quality, NULL AS toxic, 'documents' AS origin FROM documents
 UNION ALL SELECT NULL, item_id, text, NULL, NULL, 'benchmark' FROM benchmark
-UNION ALL SELECT doc_id, NULL, NULL, quality, toxic, 'labels' FROM labels"""
+UNION ALL SELECT doc_id, NULL, NULL, CAST(quality AS BIGINT), CAST(toxic AS BIGINT), 'labels' FROM labels"""
 ORACLES["metrics_append"] = f"""
 WITH {RUNS} SELECT step, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, run, loss, n_tokens FROM runs"""
 
@@ -156,8 +156,8 @@ ORACLES["feedback_rows"] = """
 SELECT d.doc_id, d.source AS prompt, d.text AS completion, l.quality = 1 AS label
 FROM documents d JOIN labels l USING (doc_id)"""
 ORACLES["check_media"] = """
-SELECT conv_id, turn // 10000 AS part, sum(turn % 10000 % 3) AS images_tokens,
-  count(*) - max(conv_id) % 2 AS images_paths,
+SELECT conv_id, turn // 10000 AS part, CAST(sum(turn % 10000 % 3) AS INTEGER) AS images_tokens,
+  CAST(count(*) - max(conv_id) % 2 AS INTEGER) AS images_paths,
   sum(turn % 10000 % 3) = count(*) - max(conv_id) % 2 AS media_ok
 FROM conversations GROUP BY conv_id, turn // 10000"""
 ROLES = """
@@ -172,7 +172,8 @@ checked AS (
   FROM placed GROUP BY conv_id)"""
 ORACLES["check_roles"] = f"{ROLES} SELECT conv_id, first_bad IS NULL AS roles_ok, first_bad FROM checked"
 ORACLES["check_roles_nested"] = (
-    f"{ROLES} SELECT conv_id, 0 AS part, first_bad IS NULL AS roles_ok, first_bad FROM checked"
+    f"{ROLES} SELECT conv_id, CAST(0 AS BIGINT) AS part, first_bad IS NULL AS roles_ok,"
+    " CAST(first_bad AS INTEGER) AS first_bad FROM checked"
 )
 ORACLES["check_required"] = f"""
 WITH {PAIRS} SELECT conv_id, turn, concat_ws(',',
@@ -181,7 +182,7 @@ WITH {PAIRS} SELECT conv_id, turn, concat_ws(',',
   CASE WHEN turn % 4 >= 2 OR trim(output, {SPACES}) = '' THEN 'missing output' END) AS reasons
 FROM pairs"""
 ORACLES["loss_mask"] = """
-SELECT conv_id, turn // 10000 AS part, turn % 10000 AS pos, role, text AS content,
+SELECT conv_id, turn // 10000 AS part, CAST(turn % 10000 AS INTEGER) AS pos, role, text AS content,
   CASE WHEN turn % 10000 % 3 = 2 THEN 0.5 WHEN role = 'assistant' THEN 1.0 ELSE 0.0 END::DOUBLE AS loss_weight
 FROM conversations"""
 ORACLES["history_messages"] = f"""
@@ -189,8 +190,8 @@ WITH {PAIRS}, numbered AS (
   SELECT *, turn // 10000 AS part, row_number() OVER (PARTITION BY conv_id, turn // 10000 ORDER BY turn) - 1 AS n,
     CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS lead
   FROM pairs)
-SELECT conv_id, part, lead + 2 * n AS pos, 'user' AS role, instruction AS content FROM numbered
-UNION ALL SELECT conv_id, part, lead + 2 * n + 1, 'assistant', output FROM numbered
+SELECT conv_id, part, CAST(lead + 2 * n AS INTEGER) AS pos, 'user' AS role, instruction AS content FROM numbered
+UNION ALL SELECT conv_id, part, CAST(lead + 2 * n + 1 AS INTEGER), 'assistant', output FROM numbered
 UNION ALL SELECT DISTINCT conv_id, part, 0, 'system', 'Be brief.' FROM numbered WHERE lead = 1"""
 
 # Limits, shuffle, split
@@ -248,7 +249,7 @@ wide AS (SELECT exp(avg(ln(prec))) AS mean, max(prec) FILTER (WHERE n = 1) AS p1
 whole AS (SELECT *, CASE WHEN np > nr THEN 1.0 ELSE exp(1 - nr / np) END AS bp FROM wide, sizes)
 SELECT round(mean * bp, 6) AS bleu, round(p1, 6) AS precision_1, round(p2, 6) AS precision_2,
   round(p3, 6) AS precision_3, round(p4, 6) AS precision_4, round(bp, 6) AS brevity_penalty,
-  np AS translation_length, nr AS reference_length FROM whole"""
+  CAST(np AS BIGINT) AS translation_length, CAST(nr AS BIGINT) AS reference_length FROM whole"""
 
 
 def _tokens_rouge(text: str) -> str:
@@ -332,15 +333,15 @@ ORACLES["batch_predict"] = """
 SELECT doc_id, length(text) || ':' || split_part(text, ' ', 1) AS response FROM documents"""
 ORACLES["token_truncate"] = f"""
 WITH toks AS (SELECT doc_id, {_words('text')} AS t FROM documents)
-SELECT doc_id, len(t) AS n_tokens, array_to_string(t[1:2048], ' ') AS text FROM toks"""
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t[1:2048], ' ') AS text FROM toks"""
 BATCHES = f"""
 WITH banded AS (SELECT doc_id, n_chars AS length, least(n_chars // 256, 65536) AS band FROM documents),
 batched AS (SELECT *, (row_number() OVER (PARTITION BY band ORDER BY {_hash('doc_id', '42')}, doc_id) - 1) // 8 AS batch
   FROM banded)"""
 ORACLES["length_batches"] = f"{BATCHES} SELECT doc_id, length, band, batch FROM batched"
 ORACLES["padding_report"] = f"""{BATCHES}
-SELECT band, batch, count(*) AS rows, sum(length) AS tokens, max(length) AS longest,
-  count(*) * max(length) - sum(length) AS padding FROM batched GROUP BY band, batch"""
+SELECT band, batch, count(*) AS rows, CAST(sum(length) AS BIGINT) AS tokens, max(length) AS longest,
+  CAST(count(*) * max(length) - sum(length) AS BIGINT) AS padding FROM batched GROUP BY band, batch"""
 
 # Mixtures: the entry of a source follows from its number.
 KIND = "CAST(source[4:] AS INT) % 8"
