@@ -72,35 +72,36 @@ def detect_format(lines: DataFrame, value: str = "value", keep: tuple[str, ...]
 
     A chat field wins over instruction aliases, these over a text field, else
     the first key is the text. Lines that are no JSON object, or an empty one,
-    are ``invalid``. Blank lines are dropped.
+    are ``invalid``. Blank lines are dropped. The parsed form sorts its keys, so
+    a line is scanned again for its first key only when that decides.
     """
     parsed = lines.filter(strip(F.col(value)) != "").select(
-        *keep,
-        F.array_distinct(F.json_object_keys(value)).alias("_keys"),
+        *keep, F.col(value).alias("_line"),
         F.try_parse_json(value).try_cast("map<string,variant>").alias("_fields"),
     )
     styled = parsed.select(
-        *keep, "_keys", F.col("_fields").isNotNull().alias("_object"),
+        *keep, "_line", F.map_keys("_fields").alias("_keys"),
         *[_style(_first_message(F.col("_fields"), f)).alias(f"_{f}") for f in CHAT_FIELDS],
     )
     keys = F.col("_keys")
     chat_field = F.coalesce(*[F.when(F.col(f"_{f}").isNotNull(), f) for f in CHAT_FIELDS])
     style = F.coalesce(*[F.col(f"_{f}") for f in CHAT_FIELDS])
     named = styled.select(
-        *keep, "_keys", "_object", chat_field.alias("_chat"), style.alias("_style"),
+        *keep, "_line", "_keys", chat_field.alias("_chat"), style.alias("_style"),
         *[_first_in(keys, names).alias(f"_{part}") for part, names in INSTRUCTION_ALIASES.items()],
     )
-    valid = F.col("_object") & (F.size("_keys") > 0)
+    valid = F.coalesce(F.size("_keys") > 0, F.lit(False))
     is_chat = F.col("_chat").isNotNull()
     is_instruction = F.col("_instruction").isNotNull() & F.col("_output").isNotNull()
     chat_columns = _pairs(
         [("messages", F.col("_chat"))] + [(x, F.when(F.array_contains(keys, x), x)) for x in CHAT_EXTRAS]
     )
     instruction_columns = _pairs([(p, F.col(f"_{p}")) for p in INSTRUCTION_ALIASES])
-    text_columns = _pairs([("prompt", F.coalesce(_first_in(keys, TEXT_FIELDS), F.get(keys, 0)))])
+    first_key = F.when(F.size(keys) == 1, F.get(keys, 0)).otherwise(F.get(F.json_object_keys("_line"), 0))
+    text_columns = _pairs([("prompt", F.coalesce(_first_in(keys, TEXT_FIELDS), first_key))])
     return named.select(
         *keep,
-        F.when(~F.coalesce(valid, F.lit(False)), "invalid")
+        F.when(~valid, "invalid")
         .when(is_chat, "sharegpt").when(is_instruction, "alpaca").otherwise("text").alias("format"),
         F.when(valid, F.when(is_chat, chat_columns).when(is_instruction, instruction_columns)
                .otherwise(text_columns)).alias("columns"),

@@ -96,6 +96,7 @@ ORACLES["concat_datasets"] = """
 SELECT doc_id, NULL AS item_id, text, NULL AS quality, NULL AS toxic, 'documents' AS origin FROM documents
 UNION ALL SELECT NULL, item_id, text, NULL, NULL, 'benchmark' FROM benchmark
 UNION ALL SELECT doc_id, NULL, NULL, CAST(quality AS BIGINT), CAST(toxic AS BIGINT), 'labels' FROM labels"""
+ORACLES["load_custom"] = "SELECT doc_id, lang, n_chars FROM documents"
 ORACLES["metrics_append"] = f"""
 WITH {RUNS} SELECT step, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, run, loss, n_tokens FROM runs"""
 
@@ -200,6 +201,7 @@ ORACLES["shuffle_rank"] = f"""
 SELECT doc_id, row_number() OVER (ORDER BY {_hash('doc_id', '42')}, doc_id) - 1 AS rank FROM documents"""
 ORACLES["split_fraction"] = _split("doc_id, n_chars", "doc_id", TENTH.format("documents"))
 ORACLES["split_count"] = _split("doc_id", "doc_id", "50", seed=7)
+ORACLES["split_none"] = "SELECT doc_id, 'train' AS split FROM documents"
 ORACLES["split_ordered"] = """
 SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id DESC) <=
   (SELECT ceil(CAST(0.25 AS DOUBLE) * count(*)) FROM documents) THEN 'test' ELSE 'train' END AS split
@@ -223,6 +225,9 @@ ORACLES["perplexity_by_run"] = f"""
 WITH {RUNS} SELECT run, round(exp(sum(loss * n_tokens) / sum(n_tokens)), 6) AS perplexity FROM runs GROUP BY run"""
 
 
+ORACLES["write_metrics"] = ORACLES["perplexity_by_run"]
+
+
 def _matches(tokens: Callable[[str], str], orders: str, table: str, key: str, p: str, r: str) -> str:
     """Per row, side and order: n-gram counts, from which the clipped matches follow."""
     return f"""
@@ -280,22 +285,30 @@ matched AS (SELECT id, list([j] ORDER BY i, j DESC) AS js FROM ps JOIN rs USING
 chains AS (SELECT id, len(list_reduce(js, lambda t, x:
     list_filter(t, lambda v: v < x[1]) || x || list_filter(t, lambda v: v > x[1])
       [2 - CAST(list_contains(t, x[1]) AS INT):])) AS lcs FROM matched)"""
-ORACLES["rouge_rows"] = f"""
+ROUGE_ROWS = f"""
 WITH {PAIRS},
 {_matches(_tokens_rouge, '[1, 2]', 'pairs', "conv_id || '/' || turn", 'instruction', 'output')},
 hits AS (SELECT id, sum(least(ps, rs)) FILTER (WHERE n = 1) AS m1, sum(least(ps, rs)) FILTER (WHERE n = 2) AS m2
   FROM counted GROUP BY id),
 {LCS}
-SELECT id, round({F1.format(m='m1', p='len(p)', r='len(r)')}, 6) AS rouge1,
-  round({F1.format(m='m2', p='(len(p) - 1)', r='(len(r) - 1)')}, 6) AS rouge2,
-  round({F1.format(m='lcs', p='len(p)', r='len(r)')}, 6) AS rougel
+SELECT id, {F1.format(m='m1', p='len(p)', r='len(r)')} AS rouge1,
+  {F1.format(m='m2', p='(len(p) - 1)', r='(len(r) - 1)')} AS rouge2,
+  {F1.format(m='lcs', p='len(p)', r='len(r)')} AS rougel
 FROM toks LEFT JOIN hits USING (id) LEFT JOIN chains USING (id)"""
+ORACLES["rouge_rows"] = f"""
+SELECT id, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rougel, 6) AS rougel FROM ({ROUGE_ROWS})"""
 ORACLES["rouge_l"] = f"""
 WITH {PAIRS}, toks AS (
   SELECT conv_id || '/' || turn AS id, {_tokens_rouge('instruction')} AS p, {_tokens_rouge('output')} AS r FROM pairs),
 {LCS}
 SELECT id, round({F1.format(m='lcs', p='len(p)', r='len(r)')}, 6) AS rouge_l
 FROM toks LEFT JOIN chains USING (id)"""
+ORACLES["evaluate_metrics"] = f"""
+WITH scored AS ({ROUGE_ROWS}), sizes AS (WITH {PAIRS} SELECT instruction, output FROM pairs)
+SELECT 'length_share' AS metric, round(sum(length(instruction)) / sum(length(output)), 6) AS value FROM sizes
+UNION ALL SELECT 'rouge1', round(avg(rouge1), 6) FROM scored
+UNION ALL SELECT 'rouge2', round(avg(rouge2), 6) FROM scored
+UNION ALL SELECT 'rougeL', round(avg(rougel), 6) FROM scored"""
 ORACLES["planned_steps"] = """
 SELECT source AS dataset, count(*) AS rows, count(*) // 8 * 3 AS steps FROM documents GROUP BY source"""
 
@@ -334,6 +347,9 @@ SELECT doc_id, length(text) || ':' || split_part(text, ' ', 1) AS response FROM
 ORACLES["token_truncate"] = f"""
 WITH toks AS (SELECT doc_id, {_words('text')} AS t FROM documents)
 SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t[1:2048], ' ') AS text FROM toks"""
+ORACLES["token_truncate_plugged"] = """
+WITH toks AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+') AS t FROM documents)
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t[1:512], ' ') AS text FROM toks"""
 BATCHES = f"""
 WITH banded AS (SELECT doc_id, n_chars AS length, least(n_chars // 256, 65536) AS band FROM documents),
 batched AS (SELECT *, (row_number() OVER (PARTITION BY band ORDER BY {_hash('doc_id', '42')}, doc_id) - 1) // 8 AS batch

@@ -132,8 +132,23 @@ def concat_datasets(spark, sf_dir):
     return whole.select("doc_id", "item_id", "text", "quality", "toxic", name.alias("origin"))
 
 
+@query
+def load_custom(spark, sf_dir):
+    def loader(session, options):
+        return session.read.parquet(options["path"]).select("doc_id", "lang", "n_chars")
+
+    return readers.load_custom(spark, loader, {"path": f"{sf_dir}/documents.parquet", "max_samples": 1})
+
+
 # Sinks
 
+@query
+def write_metrics(spark, sf_dir):
+    path = written(spark, "results")
+    sinks.write_metrics(perplexity_by_run(spark, sf_dir), path)
+    return readers.read_jsonl(spark, path, schema="run bigint, perplexity double")
+
+
 @query
 def metrics_append(spark, sf_dir):
     path = written(spark, "metrics")
@@ -411,6 +426,11 @@ def split_ordered(spark, sf_dir):
     return sampling.split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.25, shuffle=False)
 
 
+@query
+def split_none(spark, sf_dir):
+    return sampling.split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0)
+
+
 @query
 def eval_subset(spark, sf_dir):
     return metrics.perplexity(sampling.head(inputs.metric_rows(spark, sf_dir), 100, "step")).select(
@@ -477,6 +497,17 @@ def rouge_rows(spark, sf_dir):
     return scores.select("id", *[F.round(k, 6).alias(k.lower()) for k in ("rouge1", "rouge2", "rougeL")])
 
 
+@query
+def evaluate_metrics(spark, sf_dir):
+    rows = inputs.instruction_rows(spark, sf_dir).withColumnsRenamed(
+        {"instruction": "prediction", "output": "reference"}
+    )
+    share = F.sum(F.length("prediction")) / F.sum(F.length("reference"))
+    metrics.register_metric("length_share", lambda df: df.agg(share.alias("length_share")))
+    values = metrics.evaluate(rows, ["length_share", "rouge"])
+    return values.withColumn("value", F.round("value", 6))
+
+
 @query
 def planned_steps(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("dataset"))
@@ -536,6 +567,18 @@ def token_truncate(spark, sf_dir):
     return cut.select("doc_id", "n_tokens", F.array_join("tokens", " ").alias("text"))
 
 
+@query
+def token_truncate_plugged(spark, sf_dir):
+    def tokenizer():
+        import re
+        return re.compile("[a-z]+").findall
+
+    cut = batching.truncate_tokens(
+        inputs.documents(spark, sf_dir), max_tokens=512, tokenizer=tokenizer, keep=("doc_id",)
+    )
+    return cut.select("doc_id", "n_tokens", F.array_join("tokens", " ").alias("text"))
+
+
 @query
 def length_batches(spark, sf_dir):
     sized = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("length"))

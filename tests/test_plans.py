@@ -12,7 +12,8 @@ from mixloom.plans import inputs
 from mixloom.sources import catalogue, readers
 
 SF_DIR = "/root/testdata/sf0.001"
-PYTHON_QUERIES = {"bleu", "rouge1", "rouge2", "rouge_l", "rouge_rows", "batch_predict", "user_map"}
+PYTHON_QUERIES = {"bleu", "rouge1", "rouge2", "rouge_l", "rouge_rows", "batch_predict", "user_map",
+                  "evaluate_metrics", "token_truncate_plugged"}
 # Ranks of at most GROUP_ROWS rows take one task; larger tables are cut into groups.
 BOUNDED_WINDOW = {"shuffle_rank"}
 
