@@ -36,8 +36,9 @@ def prepare_datasets(
     """
     chosen = {n: e for n, e in entries.items() if names is None or n in names}
     records = load_mixture(spark, entries, names, root, hub_root, max_samples, row_ids=True)
+    # The names come from the catalogue itself, so no pass looks for unknown ones.
     resolved = mixture.resolve_mixture(
-        records, catalogue_table(spark, chosen), strict_columns=strict_columns
+        records, catalogue_table(spark, chosen), unknown="quarantine", strict_columns=strict_columns
     )
     texts = mixture.render_mixture(resolved, null_text, strict_columns, keep=("_id", "dataset"))
     return _split(texts, "_id", test_size, seed, shuffle)

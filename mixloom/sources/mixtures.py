@@ -40,6 +40,7 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
 
     JSON lines are parsed straight into variants, in one pass. The records of a
     JSON array get every field of the file, as a JSON null where one is missing.
+    Text files keep their empty lines.
     """
     kind = suffix(path)
     if kind == ".jsonl":
@@ -48,7 +49,9 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
         reader = spark.read.options(multiLine=True, mode="FAILFAST", recursiveFileLookup=True)
         fields = [T.StructField(name, T.VariantType()) for name in reader.json(path).columns]
         return _as_variant(reader.schema(T.StructType(fields)).json(path))
-    readers = {".csv": read_csv, ".txt": read_text, ".parquet": read_parquet}
+    if kind == ".txt":
+        return _as_variant(read_text(spark, path, drop_empty=False))
+    readers = {".csv": read_csv, ".parquet": read_parquet}
     if kind not in readers:
         raise ValueError(f"Unsupported file format: {kind!r}")
     return _as_variant(readers[kind](spark, path))
