@@ -137,11 +137,14 @@ def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 def shuffle_rank(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """The position (from 0) of every row in the seeded order, as ``rank``."""
-    return rank_in_band(df, F.lit(0), key, seed).drop("band")
+    hashed = df.withColumn("_h", hash_order(F.col(key), seed))
+    rows = df.count()
+    pieces = F.lit(math.ceil(rows / _group_rows(rows)))
+    return _ranked(hashed.withColumn("_g", _piece(pieces)), key, ["_g"], [])
 
 
 def rank_in_band(df: DataFrame, band: Column, key: str, seed: int = 42) -> DataFrame:
-    """The position of every row inside its band, in seeded order, as ``rank``.
+    """The position of every row inside its ``band``, in seeded order, as ``rank``.
 
     A band of any size is cut into groups of neighbouring hashes of about
     ``GROUP_ROWS`` rows; the exact sizes of all earlier groups of the band give
@@ -153,25 +156,33 @@ def rank_in_band(df: DataFrame, band: Column, key: str, seed: int = 42) -> DataF
     )
     sizes = materialize(hashed.groupBy("band").agg(F.count("*").alias("_n")), "band-sizes")
     rows = sizes.agg(F.sum("_n")).first()[0] or 0
-    group_rows = max(GROUP_ROWS, rows // MAX_GROUPS)
+    group_rows = _group_rows(rows)
     if rows <= group_rows:
-        inside = Window.partitionBy("band").orderBy("_h", key)
-        rank = (F.row_number().over(inside) - 1).cast("bigint")
-        return hashed.withColumn("rank", rank).drop("_h")
+        return _ranked(hashed.withColumn("_g", F.lit(0)), key, ["band"], ["band"])
     cuts = sizes.select("band", F.ceil(F.col("_n") / group_rows).alias("_cuts"))
-    share = F.col("_h") / F.lit(float(HASH_SPACE))
-    grouped = hashed.join(_small(cuts), "band").withColumn(
-        "_g", F.floor(share * F.col("_cuts")).cast("bigint")
-    ).drop("_cuts")
-    groups = materialize(grouped.groupBy("band", "_g").agg(F.count("*").alias("_n")), "group-sizes")
-    before = Window.partitionBy("band").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select("band", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("band", "_g").orderBy("_h", key)
-    return (
-        grouped.join(_small(offsets), ["band", "_g"])
-        .withColumn("rank", F.col("_before") + F.row_number().over(inside) - 1)
-        .drop("_h", "_g", "_before")
-    )
+    cut = hashed.join(_small(cuts), "band").withColumn("_g", _piece(F.col("_cuts"))).drop("_cuts")
+    return _ranked(cut, key, ["band", "_g"], ["band"])
+
+
+def _group_rows(rows: int) -> int:
+    return max(GROUP_ROWS, rows // MAX_GROUPS)
+
+
+def _piece(pieces: Column) -> Column:
+    """Which of so many equal ranges of the hash a row falls into."""
+    return F.floor(F.col("_h") / F.lit(float(HASH_SPACE)) * pieces).cast("bigint")
+
+
+def _ranked(df: DataFrame, key: str, group: list[str], band: list[str]) -> DataFrame:
+    """Rows numbered inside their group, after all rows of the band's earlier groups."""
+    inside = F.row_number().over(Window.partitionBy(*group).orderBy("_h", key)) - 1
+    if group == band:
+        return df.withColumn("rank", inside.cast("bigint")).drop("_h", "_g")
+    groups = materialize(df.groupBy(*group).agg(F.count("*").alias("_n")), "group-sizes")
+    before = Window.partitionBy(*band).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = groups.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = df.join(_small(offsets), group)
+    return placed.withColumn("rank", F.col("_before") + inside).drop("_h", "_g", "_before")
 
 
 def split(
@@ -219,6 +230,6 @@ def split_counts(df: DataFrame) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A materialised table, broadcast when within the bound, else left to the planner."""
+    """A written table, broadcast when within the bound, else left to the planner."""
     bound = HISTOGRAM_BUCKETS + MAX_GROUPS
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df

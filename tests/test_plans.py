@@ -14,8 +14,6 @@ from mixloom.sources import catalogue, readers
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON_QUERIES = {"bleu", "rouge1", "rouge2", "rouge_l", "rouge_rows", "batch_predict", "user_map",
                   "evaluate_metrics", "token_truncate_plugged"}
-# Ranks of at most GROUP_ROWS rows take one task; larger tables are cut into groups.
-BOUNDED_WINDOW = {"shuffle_rank"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
@@ -24,16 +22,19 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def assert_bounded_single_partitions(plan):
+    """Only partial aggregates and written tables of file pieces or groups meet in one task."""
+    for below in re.findall(r"Exchange SinglePartition.*\n(.*(?:\n.*){2})", plan):
+        written = r"FileScan parquet \[(_file|_g)#"
+        assert re.search(rf"Aggregate\(.*partial_|{written}", below), below
+
+
 @pytest.mark.parametrize("name", sorted(registered.queries()))
 def test_plan(spark, name):
     plan = plan_of(registered.queries()[name](spark, SF_DIR))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert bool(re.search("EvalPython|InPandas", plan)) == (name in PYTHON_QUERIES)
-    if name in BOUNDED_WINDOW:
-        return
-    for below in re.findall(r"Exchange SinglePartition.*\n(.*)", plan):
-        # Running sums over the table of file pieces are bounded by their number.
-        assert re.search(r"Aggregate\(.*partial_|FileScan parquet \[_file", below), below
+    assert_bounded_single_partitions(plan)
 
 
 def test_split_moves_no_rows(spark):
@@ -58,9 +59,11 @@ def test_large_rank_uses_many_groups(spark, monkeypatch):
     monkeypatch.setattr(sampling, "GROUP_ROWS", 20)
     docs = inputs.table(spark, SF_DIR, "documents").select("doc_id")
     plan = plan_of(sampling.shuffle_rank(docs, "doc_id"))
-    assert "hashpartitioning(band" in plan
-    for below in re.findall(r"Exchange SinglePartition.*\n(.*)", plan):
-        assert re.search(r"Aggregate\(.*partial_", below), below
+    assert "hashpartitioning(_g" in plan and "NestedLoop" not in plan
+    assert_bounded_single_partitions(plan)
+    sized = inputs.table(spark, SF_DIR, "documents").select("doc_id", "n_chars")
+    plan = plan_of(sampling.rank_in_band(sized, F.floor(F.col("n_chars") / 1000), "doc_id"))
+    assert "hashpartitioning(band" in plan and "NestedLoop" not in plan
 
 
 def test_mixture_joins_broadcast_the_catalogue_only_within_its_bound(spark, monkeypatch):
