@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from mixloom.session import materialize
 from mixloom.sources.readers import (
-    first_in_source, read_csv, read_parquet, read_text, suffix, with_positions,
+    DRIVER_ROWS, first_in_source, number_rows, read_csv, read_parquet, read_text, suffix, with_places,
 )
 
 # Room for the row positions of one entry inside a mixture's keys.
@@ -108,16 +109,31 @@ def load_mixture(
     unknown = [n for n in names if n not in entries]
     if unknown:
         raise ValueError(f"unknown dataset names: {', '.join(unknown)}")
-    tables = []
-    for index, name in enumerate(names):
-        df = _entry_records(spark, name, entries[name], root, hub_root)
-        limit = entries[name].get("num_samples") or max_samples
-        columns = [F.lit(name).alias("dataset"), "record"]
-        if row_ids:
-            df = with_positions(df)
-            df = df.filter(F.col("_id") < limit) if limit else df
-            columns.append((F.lit(index * POSITIONS_PER_ENTRY) + F.col("_id")).alias("_id"))
-        else:
-            df = first_in_source(df, limit)
-        tables.append(df.select(*columns))
-    return reduce(DataFrame.unionByName, tables)
+    limits = {n: entries[n].get("num_samples") or max_samples for n in names}
+    found = {n: _entry_records(spark, n, entries[n], root, hub_root) for n in names}
+    if row_ids:
+        return _numbered(found, limits)
+    return reduce(DataFrame.unionByName, [
+        first_in_source(df, limits[name]).select(F.lit(name).alias("dataset"), "record")
+        for name, df in found.items()
+    ])
+
+
+def _numbered(found: dict[str, DataFrame], limits: dict[str, int | None]) -> DataFrame:
+    """Entries united with row keys; all that needs writing first is written at once."""
+    stable, unstable = [], []
+    for index, (name, df) in enumerate(found.items()):
+        placed, is_stable = with_places(df)
+        limit = limits[name]
+        if limit and limit <= DRIVER_ROWS:
+            placed, is_stable = placed.orderBy("_file", "_block", "_row").limit(limit), False
+        (stable if is_stable else unstable).append(placed.select(
+            F.lit(name).alias("dataset"), "record", F.lit(index).cast("bigint").alias("_entry"),
+            F.lit(limit).cast("bigint").alias("_limit"), "_file", "_block", "_row",
+        ))
+    if unstable:
+        stable.append(materialize(reduce(DataFrame.unionByName, unstable), "placed"))
+    numbered = number_rows(reduce(DataFrame.unionByName, stable), "_position", by=("_entry",))
+    kept = numbered.filter(F.col("_limit").isNull() | (F.col("_position") < F.col("_limit")))
+    key = F.col("_entry") * POSITIONS_PER_ENTRY + F.col("_position")
+    return kept.select("dataset", "record", key.alias("_id"))

@@ -135,33 +135,50 @@ def load_custom(
     return loader(spark, options)
 
 
-def with_positions(df: DataFrame, name: str = "_id") -> DataFrame:
-    """Add every row's position in source order to a table just read from files.
+def with_places(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Add where every row of a table just read from files lies: file, piece and row.
 
-    Files come in path order. Parquet knows its row numbers. Rows of other
-    formats are numbered within file pieces while they are read, and written to
-    the shared folder with those numbers: pieces may be cut differently when
-    files are read again. The pieces' running sizes are then joined back.
+    Also tells whether reading again gives the same places. Parquet knows its
+    row numbers; rows of other formats are numbered as they are read, and file
+    pieces may be cut differently the next time.
     """
     file = F.col("_metadata.file_path")
     try:
-        placed = df.withColumns({"_file": file, "_block": F.lit(0), "_row": F.col("_metadata.row_index")})
+        return df.withColumns({"_file": file, "_block": F.lit(0).cast("bigint"), "_row": F.col("_metadata.row_index")}), True
     except AnalysisException:
         block = F.col("_metadata.file_block_start")
-        placed = materialize(
-            df.withColumns({"_file": file, "_block": block, "_row": F.monotonically_increasing_id()}), "placed"
-        )
+        return df.withColumns({"_file": file, "_block": block, "_row": F.monotonically_increasing_id()}), False
+
+
+def number_rows(placed: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Places replaced by the row's position in source order, counted within ``by``.
+
+    Files come in path order. The running sizes of the file pieces, a small
+    written table, are joined back. The places must be the same when read again.
+    """
+    piece = [*by, "_file", "_block"]
     size = F.max("_row") - F.min("_row") + 1
     pieces = materialize(
-        placed.groupBy("_file", "_block").agg(size.alias("_n"), F.min("_row").alias("_first")), "file-pieces"
+        placed.groupBy(*piece).agg(size.alias("_n"), F.min("_row").alias("_first")), "file-pieces"
     )
-    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")
-    shifts = pieces.select("_file", "_block", shift.alias("_shift"))
+    shifts = pieces.select(*piece, shift.alias("_shift"))
     if pieces.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES:
         shifts = F.broadcast(shifts)
-    position = (F.col("_shift") + F.col("_row")).alias(name)
-    return placed.join(shifts, ["_file", "_block"]).select(*df.columns, position)
+    numbered = placed.join(shifts, piece).withColumn(name, F.col("_shift") + F.col("_row"))
+    return numbered.drop("_file", "_block", "_row", "_shift")
+
+
+def with_positions(df: DataFrame, name: str = "_id") -> DataFrame:
+    """Add every row's position in source order to a table just read from files.
+
+    Formats without row numbers are written to the shared folder once, with
+    their places, and go on from there.
+    """
+    placed, stable = with_places(df)
+    numbered = number_rows(placed if stable else materialize(placed, "placed"), name)
+    return numbered.select(*df.columns, name)
 
 
 def first_in_source(df: DataFrame, n: int | None) -> DataFrame:
@@ -174,10 +191,7 @@ def first_in_source(df: DataFrame, n: int | None) -> DataFrame:
         return df
     if n > DRIVER_ROWS:
         return with_positions(df, "_position").filter(F.col("_position") < n).drop("_position")
-    order = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
-    placed = df.withColumns({f"_order{i}": c for i, c in enumerate(order)})
-    first = placed.orderBy(*[f"_order{i}" for i in range(len(order))]).limit(n)
-    return first.select(*df.columns)
+    return with_places(df)[0].orderBy("_file", "_block", "_row").limit(n).select(*df.columns)
 
 
 def concat_datasets(spark: SparkSession, paths: list[str], source: str = "source") -> DataFrame:

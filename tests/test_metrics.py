@@ -2,6 +2,8 @@
 
 import math
 import re
+import subprocess
+import sys
 import warnings
 from collections import Counter
 from datetime import datetime, timedelta
@@ -226,3 +228,18 @@ def test_metric_stream_continues_from_its_state(spark, tmp_path):
     assert got.keys() == want.keys()
     for run, values in want.items():
         assert got[run] == pytest.approx(values)
+
+
+@pytest.mark.parametrize("make, expected", [(lambda: metrics.matched_grams(2), "[[1,0]]"), (metrics.lcs_length, "[1]")])
+def test_functions_travel_without_the_package(spark, tmp_path, make, expected):
+    from pyspark import cloudpickle
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(make().func))
+    script = (
+        "import json, pickle, pyarrow as pa\n"
+        "f = pickle.load(open('f', 'rb'))\n"
+        "found = f(pa.array([['a', 'b']]), pa.array([['b', 'c']]))\n"
+        "print(json.dumps(found.to_pylist(), separators=(',', ':')))"
+    )
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert done.stdout.strip() == expected
