@@ -139,8 +139,9 @@ def shuffle_rank(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """The position (from 0) of every row in the seeded order, as ``rank``."""
     hashed = df.withColumn("_h", hash_order(F.col(key), seed))
     rows = df.count()
-    pieces = F.lit(math.ceil(rows / _group_rows(rows)))
-    return _ranked(hashed.withColumn("_g", _piece(pieces)), key, ["_g"], [])
+    pieces = math.ceil(rows / _group_rows(rows))
+    cut = hashed.withColumn("_g", _piece(F.lit(pieces)))
+    return _ranked(cut, key, ["_g"], [] if pieces > 1 else ["_g"])
 
 
 def rank_in_band(df: DataFrame, band: Column, key: str, seed: int = 42) -> DataFrame:
