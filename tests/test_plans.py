@@ -6,9 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as registered
 from mixloom.operators import metrics, mixture, render, sampling
 from mixloom.plans import inputs
+from mixloom.plans.queries import QUERIES
 from mixloom.sources import catalogue, readers
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -29,9 +29,9 @@ def assert_bounded_single_partitions(plan):
         assert re.search(rf"Aggregate\(.*partial_|{written}", below), below
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan(spark, name):
-    plan = plan_of(registered.queries()[name](spark, SF_DIR))
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert bool(re.search("EvalPython|InPandas", plan)) == (name in PYTHON_QUERIES)
     assert_bounded_single_partitions(plan)

@@ -7,13 +7,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from mixloom.plans.oracles import ORACLES
+from mixloom.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = registered.queries(), registered.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
