@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mixloom.llm import bpe, sharding
+from mixloom.llm import bpe, neardup, sharding
 from mixloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,8 @@ def op3_sharding(spark, sf_dir):
 @query
 def op7_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+@query
+def op10_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
