@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mixloom.llm import bpe, mixing, neardup, sharding
+from mixloom.llm import bpe, linededup, mixing, neardup, sharding
 from mixloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,9 @@ def op10_near_dedup(spark, sf_dir):
 @query
 def op1_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_line_dedup(spark, sf_dir):
+    cleaned = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "lines_deleted", "n_chars", F.sha2("text", 256).alias("text_sha256"))
