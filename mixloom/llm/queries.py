@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mixloom.llm import bpe, linededup, mixing, neardup, sharding
+from mixloom.llm import ann, bpe, linededup, mixing, neardup, sharding
 from mixloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,8 @@ def op1_mixing(spark, sf_dir):
 def op4_line_dedup(spark, sf_dir):
     cleaned = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "lines_deleted", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op9_ann(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
