@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mixloom.llm import ann, bpe, linededup, mixing, neardup, sharding
+from mixloom.llm import ann, bpe, linededup, mixing, neardup, sharding, toxicity
 from mixloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,11 @@ def op4_line_dedup(spark, sf_dir):
 @query
 def op9_ann(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, ~toxicity.held_out())
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
