@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mixloom.llm import ann, bpe, linededup, mixing, neardup, sharding, toxicity
+from mixloom.llm import ann, bpe, langid, linededup, mixing, neardup, sharding, toxicity
 from mixloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,11 @@ def op2_toxicity(spark, sf_dir):
     model = toxicity.train(docs, labels, ~toxicity.held_out())
     scored = toxicity.score_toxicity(docs, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    languages, chance = langid.train(docs, ~langid.held_out())
+    predicted = langid.predict_language(docs.select("doc_id", "text"), languages, chance)
+    return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
