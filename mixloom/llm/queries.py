@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mixloom.llm import ann, bpe, langid, linededup, mixing, neardup, sharding, toxicity
+from mixloom.llm import ann, bpe, fingerprints, langid, linededup, mixing, neardup, sharding, toxicity
 from mixloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,8 @@ def op5_language(spark, sf_dir):
     languages, chance = langid.train(docs, ~langid.held_out())
     predicted = langid.predict_language(docs.select("doc_id", "text"), languages, chance)
     return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_fingerprints(spark, sf_dir):
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
