@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mixloom.llm import ann, bpe, fingerprints, langid, linededup, mixing, neardup, sharding, toxicity
+from mixloom.llm import ann, bpe, fingerprints, langid, linededup, lm, mixing, neardup, sharding, toxicity
 from mixloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,9 @@ def op5_language(spark, sf_dir):
 @query
 def op8_fingerprints(spark, sf_dir):
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_lm_scoring(spark, sf_dir):
+    scored = lm.score_documents(table(spark, sf_dir, "documents"), ~lm.held_out())
+    return scored.withColumn("held_out", ~F.col("trained")).drop("trained")
