@@ -2,23 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mixloom.llm import bpe
+from mixloom.llm import bpe, langid, linededup, mixing, neardup
 from mixloom.llm.common import table
 from mixloom.session import materialize
 
+# A document goes when its language is unknown or no language has half of the posterior.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in a language that the labelled ones teach; others go."""
+    languages, chance = langid.train(docs, F.lit(True))
+    predicted = langid.predict_language(docs, languages, chance)
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return predicted.filter(known).select(*docs.columns)
+
+
+def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without later copies of repeated passages.
+
+    A document of which nothing is left was a copy as a whole, and goes.
+    """
+    cleaned = linededup.drop_repeated_lines(docs)
+    copied = (F.col("lines_deleted") > 0) & (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) == "")
+    return cleaned.filter(~F.coalesce(copied, F.lit(False))).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, five words to the shingle."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of its source takes it."""
+    return mixing.mixed_documents(docs)
+
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, checked by decoding them again."""
+    """Token ids of every document, with checksums of the ids and of the decoded text."""
     return bpe.encode_documents(docs)
 
 
 STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", delete_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
     ("bpe", encode_tokens),
 ]
 
-# Learned models and sketches have no SQL form; tests/llm holds the stages against brute force.
+# Learned probabilities and token ids have no SQL form; tests/llm holds every stage
+# against brute force instead.
 ORACLE_SQL = None
 
 
