@@ -11,7 +11,6 @@ from mixloom.functions.text import as_text, words
 from mixloom.operators.sampling import rank_in_band
 
 LENGTH_STEP = 32
-LONGEST_BAND = 65_536
 
 
 def batch_predict(
@@ -65,10 +64,10 @@ def length_batches(
     """Rows of similar length share a batch: adds ``band`` and ``batch``.
 
     Lengths within ``step`` of each other form a band; inside a band rows are
-    numbered in a seeded order and cut into batches. Lengths from
-    ``LONGEST_BAND`` steps on share the last band, which bounds their number.
+    numbered in a seeded order and cut into batches. Rows of unknown length are a
+    band of their own, NULL.
     """
-    band = F.least(F.floor(F.col(length) / step), F.lit(LONGEST_BAND))
+    band = F.floor(F.col(length) / step)
     ranked = rank_in_band(df, band, key, seed)
     return ranked.withColumn("batch", F.call_function("div", F.col("rank"), F.lit(batch))).drop("rank")
 

@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mixloom.functions.text import as_text, strip, tokens_13a, tokens_rouge
+from mixloom.operators.batching import batch_predict
+from mixloom.session import materialize
+from mixloom.sources.sinks import write_metrics
 
 MAX_ORDER = 4
 
@@ -36,8 +39,9 @@ def strip_prompt(
 
 
 def perplexity(df: DataFrame, loss: str = "loss", tokens: str = "n_tokens", by: tuple[str, ...] = ()) -> DataFrame:
-    """exp of the token-weighted mean loss; NULL without tokens."""
-    weighted = F.sum(F.col(loss) * F.col(tokens)) / F.nullif(F.sum(tokens), F.lit(0))
+    """exp of the token-weighted mean of the known losses; NULL without such tokens."""
+    known = F.when(F.col(loss).isNotNull(), F.col(tokens))
+    weighted = F.sum(F.col(loss) * F.col(tokens)) / F.nullif(F.sum(known), F.lit(0))
     grouped = df.groupBy(*by) if by else df
     return grouped.agg(F.exp(weighted).alias("perplexity"))
 
@@ -228,7 +232,7 @@ def evaluate(df: DataFrame | None, metrics: list[str]) -> DataFrame:
     tables = []
     for name in metrics:
         if name not in METRICS:
-            warnings.warn(f"Could not load metric {name}", stacklevel=2)
+            warnings.warn(f"metric {name!r} is not registered and is left out", stacklevel=2)
             continue
         row = METRICS[name](df)
         pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns]
@@ -236,3 +240,22 @@ def evaluate(df: DataFrame | None, metrics: list[str]) -> DataFrame:
     if not tables:
         return df.sparkSession.createDataFrame([], "metric string, value double")
     return reduce(DataFrame.unionByName, tables)
+
+
+def evaluate_generation(
+    df: DataFrame, make_predict_fn: Callable[[], Callable[[list], list]], metrics: list[str],
+    text: str = "text", batch_size: int = 64, keep: tuple[str, ...] = (), path: str | None = None,
+) -> DataFrame:
+    """Texts cut to prompts, answered by a model, cleared of the echo and scored: ``(metric, value)``.
+
+    The model's answers are written to the shared folder once and read by every
+    metric. With ``path`` the values are written there as JSON lines as well.
+    """
+    prompts = cut_prompt(df, text, keep=keep).withColumnRenamed("target", "reference")
+    answered = batch_predict(prompts, "prompt", make_predict_fn, batch_size)
+    scored = strip_prompt(answered, output="response", keep=(*keep, "reference"))
+    values = evaluate(materialize(scored, "predictions"), metrics)
+    if path is None:
+        return values
+    write_metrics(values, path)
+    return df.sparkSession.read.schema("metric string, value double").json(path)

@@ -13,7 +13,8 @@ from mixloom.operators.render import (
 )
 from mixloom.sources.catalogue import DEFAULT_TAGS, dimension, of_type, with_defaults, with_flags
 
-NAMES_IN_ERROR = 10
+# Names that an error spells out; ``unknown_names`` gives all of them as a table.
+NAMES_IN_ERROR = 1_000
 
 
 def unknown_names(df: DataFrame, catalogue: DataFrame, dataset: str = "dataset") -> DataFrame:
@@ -42,7 +43,7 @@ def resolve_mixture(
     missing = [r["name"] for r in unknown_names(df, catalogue, dataset).limit(NAMES_IN_ERROR + 1).collect()]
     if missing:
         listed = ", ".join(sorted(map(str, missing[:NAMES_IN_ERROR])))
-        more = ", …" if len(missing) > NAMES_IN_ERROR else ""
+        more = " and more, see unknown_names()" if len(missing) > NAMES_IN_ERROR else ""
         raise ValueError(f"datasets not found in catalogue: {listed}{more}")
     return df.join(dimension(entries), dataset)
 

@@ -80,7 +80,8 @@ def detect_format(lines: DataFrame, value: str = "value", keep: tuple[str, ...]
         F.try_parse_json(value).try_cast("map<string,variant>").alias("_fields"),
     )
     styled = parsed.select(
-        *keep, "_line", F.map_keys("_fields").alias("_keys"),
+        # A line with one key twice has no parsed form, but it has keys.
+        *keep, "_line", F.coalesce(F.map_keys("_fields"), F.array_distinct(F.json_object_keys("_line"))).alias("_keys"),
         *[_style(_first_message(F.col("_fields"), f)).alias(f"_{f}") for f in CHAT_FIELDS],
     )
     keys = F.col("_keys")
@@ -111,7 +112,7 @@ def detect_format(lines: DataFrame, value: str = "value", keep: tuple[str, ...]
 
 def require_valid(detected: DataFrame) -> DataFrame:
     """Raise when a line was neither a JSON object nor had any key."""
-    raised = F.raise_error(F.lit("Expected dataset records to be JSON objects / dict rows"))
+    raised = F.raise_error(F.lit("a line holds no JSON object with at least one key"))
     return detected.withColumn("format", F.when(F.col("format") == "invalid", raised).otherwise(F.col("format")))
 
 
@@ -133,7 +134,11 @@ def format_profile(lines: DataFrame, key: str, value: str = "value") -> DataFram
     whole = groups.agg(F.struct(F.sum("records").alias("n"), F.min("first_key").alias("k"))).scalar()
     firsts = F.broadcast(groups) if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else groups
     earliest = lines.select(F.col(key).alias("first_key"), F.col(value).alias("first_record"))
-    return earliest.join(firsts, "first_key").select(
+    # Rows may share a key: one record per group, whichever sorts first.
+    found = earliest.join(firsts, "first_key").groupBy("format", "columns", "tags", "records", "first_key").agg(
+        F.min("first_record").alias("first_record")
+    )
+    return found.select(
         "format", "columns", "tags", "records",
         (F.col("records") / whole["n"]).alias("share"),
         (F.col("first_key") == whole["k"]).alias("like_first"),

@@ -46,7 +46,8 @@ SPEAKERS = (("system_tag", "System: "), ("user_tag", "User: "), ("assistant_tag"
 COLUMN_ALIASES = {"instruction": "prompt", "input": "query", "output": "response"}
 
 TURN_SEPARATOR = "\n\n"
-PART_TURNS = 10_000
+# Turns of a conversation that are sorted together.
+CHUNK_TURNS = 10_000
 
 
 def fill_template(template: str, slots: dict[str, Column]) -> Column:
@@ -67,7 +68,7 @@ def fill_template(template: str, slots: dict[str, Column]) -> Column:
 def project_text(df: DataFrame, text_field: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The named field as ``text``; other columns are dropped unless kept."""
     if text_field not in df.columns:
-        raise ValueError(f"Text field '{text_field}' not found in dataset")
+        raise ValueError(f"no column {text_field!r} to take the text from")
     return df.select(*keep, F.col(text_field).alias("text"))
 
 
@@ -243,31 +244,29 @@ def variant_chat_text(messages: Column, tags: dict[str, Column], null_text: str
     )
 
 
-def _part(order: str, part_turns: int) -> Column:
-    return F.floor(F.col(order) / part_turns)
+def collect_ordered(df: DataFrame, key: str, order: str, value: Column, chunk: int = CHUNK_TURNS) -> DataFrame:
+    """``key`` and ``items``: its values in the order given, gathered in two steps.
+
+    ``order`` is a whole number. Values are sorted in chunks of neighbouring positions
+    first, so a key with very many rows is spread over tasks; then a key's few
+    sorted chunks are put one after another. The chunk size changes no result.
+    """
+    chunks = (
+        df.select(key, F.floor(F.col(order) / chunk).alias("_chunk"), F.col(order).alias("_at"), value.alias("_value"))
+        .groupBy(key, "_chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("_at", "_value"))).alias("_items"))
+        .select(key, "_chunk", F.col("_items._value").alias("_values"))
+    )
+    whole = chunks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_chunk", "_values"))).alias("_chunks"))
+    return whole.select(key, F.flatten(F.col("_chunks._values")).alias("items"))
 
 
 def assemble_turns(
-    df: DataFrame,
-    key: str,
-    order: str,
-    role: str = "role",
-    content: str = "text",
-    part_turns: int = PART_TURNS,
+    df: DataFrame, key: str, order: str, role: str = "role", content: str = "text", chunk_turns: int = CHUNK_TURNS
 ) -> DataFrame:
-    """Flat ``(key, order, role, content)`` rows as one message array per record.
-
-    ``order`` is the 0-based position of a turn in its conversation. A
-    conversation of more than ``part_turns`` turns becomes several rows,
-    numbered by ``part``, so that one conversation never has to fit one group;
-    shorter ones are a single row with ``part`` 0.
-    """
-    message = F.struct(F.col(order), F.col(role).alias("role"), F.col(content).alias("content"))
-    grouped = df.groupBy(key, _part(order, part_turns).alias("part")).agg(
-        F.sort_array(F.collect_list(message)).alias("messages")
-    )
-    bare = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return grouped.select(key, "part", bare.alias("messages"))
+    """Flat ``(key, order, role, content)`` rows as one message array per conversation."""
+    message = F.struct(F.col(role).alias("role"), F.col(content).alias("content"))
+    return collect_ordered(df, key, order, message, chunk_turns).withColumnRenamed("items", "messages")
 
 
 def render_turns(
@@ -277,18 +276,14 @@ def render_turns(
     role: str = "role",
     content: str = "text",
     tags: dict[str, str] | None = None,
-    part_turns: int = PART_TURNS,
+    chunk_turns: int = CHUNK_TURNS,
     null_text: str = "",
 ) -> DataFrame:
     """Flat turns straight to chat text: ``assemble_turns`` and ``render_chat`` in one.
 
-    Turns are labelled before the shuffle, so only the finished lines travel and
-    the grouped step is a sorted join of strings.
+    Turns are labelled before the shuffle, so only the finished lines travel.
     """
     tags = _literal_tags({**DEFAULT_TAGS, **(tags or {})})
     line = chat_line(F.col(role), as_text(F.col(content), null_text), tags)
-    lined = df.select(key, _part(order, part_turns).alias("part"), F.col(order).alias("_at"), line.alias("_line"))
-    turns = F.sort_array(F.collect_list(F.struct("_at", "_line")))
-    return lined.groupBy(key, "part").agg(turns.alias("_turns")).select(
-        key, "part", F.array_join(F.col("_turns._line"), TURN_SEPARATOR).alias("text")
-    )
+    lined = collect_ordered(df, key, order, line, chunk_turns)
+    return lined.select(key, F.array_join("items", TURN_SEPARATOR).alias("text"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -28,9 +29,11 @@ MAX_GROUPS = 50_000
 def hash_order(key: Column, seed: int | str) -> Column:
     """A reproducible pseudo-random 60-bit position of a key under a seed.
 
-    It depends on the key's text alone, never on partitions or cluster size.
+    It depends on the key's text alone, never on partitions or cluster size. A NULL
+    key has the position of an empty text.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), text).cast("binary"))
     return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 
@@ -95,19 +98,71 @@ def find_cut(df: DataFrame, value: Column, k: int | None = None, fraction: float
 
 
 def _first_k(df: DataFrame, value: Column, tie: Column, cut: Cut, k: int) -> Column:
-    """Condition met by exactly the first k rows of the order (value, tie)."""
+    """Condition met by exactly the first k rows of the order (value, tie), NULL ties first."""
     if cut.below + cut.equal == k:
         return value <= cut.value
     if cut.equal > DRIVER_ROWS:
         raise ValueError("too many rows share one position; the key must identify a row")
-    ties = sorted(
-        r["t"] for r in df.filter(value == cut.value).select(tie.alias("t")).collect()
-    )
+    found = [r["t"] for r in df.filter(value == cut.value).select(tie.alias("t")).collect()]
+    ties = [None] * found.count(None) + sorted(t for t in found if t is not None)
     wanted = k - cut.below
     last = ties[wanted - 1]
     if ties[wanted] == last:
         raise ValueError(f"key {last!r} is not unique")
-    return (value < cut.value) | ((value == cut.value) & (tie <= last))
+    among = tie.isNull() if last is None else tie.isNull() | (tie <= last)
+    return (value < cut.value) | ((value == cut.value) & among)
+
+
+# Bytes of a text that make one whole number, and the numbers tried before rows are
+# told apart by their hash.
+PREFIX_BYTES = 7
+PREFIXES = 64
+
+
+def _order_values(df: DataFrame, key: str) -> list[Column]:
+    """Whole numbers that order the rows by their key, one after another, none of them NULL.
+
+    First NULL or not, then the number itself or the text's bytes a few at a time. What
+    is still equal has one key as far as looked at; a hash of the row decides.
+    """
+    column, kind = F.col(key), df.schema[key].dataType
+    values = [column.isNotNull().cast("bigint")]
+    if isinstance(kind, T.IntegralType):
+        values.append(F.coalesce(column.cast("bigint"), F.lit(0)))
+    elif isinstance(kind, T.StringType):
+        raw = F.coalesce(column, F.lit("")).cast("binary")
+        for i in range(PREFIXES):
+            piece = F.rpad(F.hex(F.substring(raw, i * PREFIX_BYTES + 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
+            values.append(F.conv(piece, 16, 10).cast("bigint"))
+    else:
+        raise TypeError(f"rows cannot be cut by a key of type {kind.simpleString()}")
+    return values
+
+
+def _row_hash(df: DataFrame) -> Column:
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*plain)
+
+
+def _take(df: DataFrame, key: str, k: int, last: bool = False) -> DataFrame:
+    """Exactly k rows: the first of the key order, NULLs in front, or the last.
+
+    The order's numbers are cut one after another: rows below a cut are taken, those on
+    it are looked at more closely. Of rows with one key those with small hashes are
+    taken; any of rows that are the same in all columns.
+    """
+    turn = F.bitwise_not if last else (lambda v: v)
+    taken, rest, wanted = [], df, k
+    for value in [*map(turn, _order_values(df, key)), _row_hash(df)]:
+        cut, total = find_cut(rest, value, k=wanted)
+        if cut is None:
+            # No row, or fewer than wanted.
+            return reduce(DataFrame.unionByName, [*taken, rest if wanted > 0 else rest.limit(0)])
+        taken.append(rest.filter(value < cut.value))
+        rest, wanted = rest.filter(value == cut.value), wanted - cut.below
+        if wanted == cut.equal:
+            return reduce(DataFrame.unionByName, [*taken, rest])
+    return reduce(DataFrame.unionByName, [*taken, rest.limit(wanted)])
 
 
 def _is_whole(df: DataFrame, key: str) -> bool:
@@ -115,19 +170,16 @@ def _is_whole(df: DataFrame, key: str) -> bool:
 
 
 def head(df: DataFrame, n: int | None, key: str) -> DataFrame:
-    """The first n rows in key order; no limit when n is None or 0.
+    """The first n rows in key order, NULLs first; no limit when n is None or 0.
 
-    Small n is a top-n; a large n on a whole-number key becomes a filter, so
-    that no task has to hold n rows.
+    Rows that share the key at the cut are taken up to n, which ones does not matter. A
+    small n is a top-n; a large one becomes filters, so that no task holds n rows.
     """
     if not n:
         return df
-    if n <= DRIVER_ROWS or not _is_whole(df, key):
+    if n <= DRIVER_ROWS:
         return df.orderBy(key).limit(n)
-    cut, total = find_cut(df, F.col(key), k=n)
-    if cut is None:
-        return df
-    return df.filter(_first_k(df, F.col(key), F.col(key), cut, n))
+    return _take(df, key, n)
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -160,8 +212,9 @@ def rank_in_band(df: DataFrame, band: Column, key: str, seed: int = 42) -> DataF
     group_rows = _group_rows(rows)
     if rows <= group_rows:
         return _ranked(hashed.withColumn("_g", F.lit(0)), key, ["band"], ["band"])
-    cuts = sizes.select("band", F.ceil(F.col("_n") / group_rows).alias("_cuts"))
-    cut = hashed.join(_small(cuts), "band").withColumn("_g", _piece(F.col("_cuts"))).drop("_cuts")
+    cuts = sizes.select(F.col("band").alias("_b"), F.ceil(F.col("_n") / group_rows).alias("_cuts"))
+    joined = hashed.join(_small(cuts), F.col("band").eqNullSafe(F.col("_b")))
+    cut = joined.withColumn("_g", _piece(F.col("_cuts"))).drop("_cuts", "_b")
     return _ranked(cut, key, ["band", "_g"], ["band"])
 
 
@@ -181,9 +234,13 @@ def _ranked(df: DataFrame, key: str, group: list[str], band: list[str]) -> DataF
         return df.withColumn("rank", inside.cast("bigint")).drop("_h", "_g")
     groups = materialize(df.groupBy(*group).agg(F.count("*").alias("_n")), "group-sizes")
     before = Window.partitionBy(*band).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = df.join(_small(offsets), group)
-    return placed.withColumn("rank", F.col("_before") + inside).drop("_h", "_g", "_before")
+    of_group = {c: f"_of_{c}" for c in group}
+    offsets = groups.select(
+        *[F.col(c).alias(of_group[c]) for c in group], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(of_group[c])) for c in group])
+    placed = df.join(_small(offsets), same)
+    return placed.withColumn("rank", F.col("_before") + inside).drop("_h", "_g", "_before", *of_group.values())
 
 
 def split(
@@ -206,14 +263,10 @@ def split(
     is_fraction = isinstance(test_size, float)
     if is_fraction and test_size >= 1:
         raise ValueError(f"test_size={test_size} must be below 1 or a whole number of rows")
-    tie = F.col(key)
     if shuffle:
         value, bounds = hash_order(F.col(key), f"{seed}:split"), {"low": 0, "high": HASH_SPACE - 1}
-    elif _is_whole(df, key):
-        # ~key is -key - 1: the tail of the key order comes first.
-        value, bounds = F.bitwise_not(F.col(key).cast("bigint")), {}
     else:
-        raise TypeError("an unshuffled split needs a whole-number key")
+        value, bounds = _ordered_tail(df, key)
     size = {"fraction": test_size} if is_fraction else {"k": test_size}
     cut, total = find_cut(df, value, **size, **bounds)
     k = math.ceil(test_size * total) if is_fraction else test_size
@@ -221,10 +274,37 @@ def split(
         return df.withColumn("split", F.lit("train"))
     if k >= total:
         raise ValueError(f"test_size={test_size} leaves no train rows of {total}")
-    is_test = _first_k(df, value, tie, cut, k)
+    if not shuffle and not _is_whole(df, key):
+        is_test = _text_tail(df, key, k)
+    else:
+        is_test = _first_k(df, value, F.col(key), cut, k)
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
+def _ordered_tail(df: DataFrame, key: str) -> tuple[Column, dict]:
+    """A number that puts the tail of the key order first; NULL keys, first in order, come last."""
+    if not _is_whole(df, key):
+        if not isinstance(df.schema[key].dataType, T.StringType):
+            raise TypeError("an unshuffled split needs a whole-number or a text key")
+        return F.bitwise_not(_order_values(df, key)[0]), {}
+    # ~key is -key - 1. The smallest key has the largest number, which NULL shares.
+    lowest = F.lit(2**63 - 1).cast("bigint")
+    return F.coalesce(F.bitwise_not(F.col(key).cast("bigint")), lowest), {}
+
+
+def _text_tail(df: DataFrame, key: str, k: int) -> Column:
+    """Condition met by exactly the last k rows of a text key's order, NULLs in front."""
+    condition, at_cut, rest, wanted = F.lit(False), F.lit(True), df, k
+    for number in _order_values(df, key):
+        value = F.bitwise_not(number)
+        cut, _ = find_cut(rest, value, k=wanted)
+        condition = condition | (at_cut & (value < cut.value))
+        at_cut, rest, wanted = at_cut & (value == cut.value), rest.filter(value == cut.value), wanted - cut.below
+        if wanted == cut.equal:
+            return condition | at_cut
+    raise ValueError("the cut falls between rows with one key; the key must identify a row")
+
+
 def split_counts(df: DataFrame) -> DataFrame:
     """Rows per split."""
     return df.groupBy("split").agg(F.count("*").alias("rows"))

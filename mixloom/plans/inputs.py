@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mixloom.session import scratch_path
 from mixloom.sources.readers import spread
 
+# Keys and role names of the chat table.
 CHAT_TAGS = {
     "role_tag": "role", "content_tag": "content",
     "user_tag": "user", "assistant_tag": "assistant", "system_tag": "system",
@@ -24,8 +25,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def instruction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn with the assistant turn after it.
+def instruction_rows(spark: SparkSession, sf_dir: str, answered_only: bool = True) -> DataFrame:
+    """Every user turn with the assistant turn after it, or also those without an answer.
 
     The pairs come from an equi-join on (conversation, turn), which spreads the
     turns of one conversation over all partitions.
@@ -38,7 +39,7 @@ def instruction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = turns.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output")
     )
-    return asked.join(answered, ["conv_id", "turn"])
+    return asked.join(answered, ["conv_id", "turn"], "inner" if answered_only else "left")
 
 
 def without_fifth_words(text: Column) -> Column:

@@ -77,13 +77,13 @@ def _chat(role: str) -> str:
 
 def _chat_query(role: str = "role") -> str:
     return f"""
-SELECT conv_id, turn // 10000 AS part,
+SELECT conv_id,
        coalesce(string_agg({_chat(role)}, chr(10) || chr(10) ORDER BY turn), '') AS text
 FROM conversations GROUP BY ALL"""
 
 
 # Sources and sinks: what was written comes back.
-for name in ("scan_json_array", "scan_json_root", "scan_jsonl", "scan_parquet"):
+for name in ("scan_json_array", "scan_json_lines_in_json", "scan_json_root", "scan_jsonl", "scan_parquet"):
     ORACLES[name] = "SELECT page_id, url, html FROM pages"
 ORACLES["scan_csv"] = "SELECT CAST(page_id AS VARCHAR) AS page_id, url, html FROM pages"
 ORACLES["scan_text"] = """
@@ -139,7 +139,7 @@ ORACLES["chat_render"] = _chat_query()
 ORACLES["chat_render_tags"] = _chat_query()
 ORACLES["chat_render_stream"] = _chat_query()
 ORACLES["chat_unknown_roles"] = _chat_query("(CASE WHEN turn % 3 = 2 THEN 'function_call' ELSE role END)")
-ORACLES["chat_assemble"] = "SELECT conv_id, turn // 10000 AS part, role, text AS content FROM conversations"
+ORACLES["chat_assemble"] = "SELECT conv_id, role, text AS content FROM conversations"
 ORACLES["content_blocks"] = """
 SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN role || chr(10) || text WHEN 2 THEN text
   WHEN 3 THEN role || chr(10) || text WHEN 4 THEN '[{"image":' || conv_id || '}]'
@@ -157,10 +157,10 @@ ORACLES["feedback_rows"] = """
 SELECT d.doc_id, d.source AS prompt, d.text AS completion, l.quality = 1 AS label
 FROM documents d JOIN labels l USING (doc_id)"""
 ORACLES["check_media"] = """
-SELECT conv_id, turn // 10000 AS part, CAST(sum(turn % 10000 % 3) AS INTEGER) AS images_tokens,
+SELECT conv_id, CAST(sum(turn % 3) AS INTEGER) AS images_tokens,
   CAST(count(*) - max(conv_id) % 2 AS INTEGER) AS images_paths,
-  sum(turn % 10000 % 3) = count(*) - max(conv_id) % 2 AS media_ok
-FROM conversations GROUP BY conv_id, turn // 10000"""
+  sum(turn % 3) = count(*) - max(conv_id) % 2 AS media_ok
+FROM conversations GROUP BY conv_id"""
 ROLES = """
 WITH turns AS (
   SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 3 THEN 'tool' ELSE role END AS role FROM conversations),
@@ -173,32 +173,43 @@ checked AS (
   FROM placed GROUP BY conv_id)"""
 ORACLES["check_roles"] = f"{ROLES} SELECT conv_id, first_bad IS NULL AS roles_ok, first_bad FROM checked"
 ORACLES["check_roles_nested"] = (
-    f"{ROLES} SELECT conv_id, CAST(0 AS BIGINT) AS part, first_bad IS NULL AS roles_ok,"
+    f"{ROLES} SELECT conv_id, first_bad IS NULL AS roles_ok,"
     " CAST(first_bad AS INTEGER) AS first_bad FROM checked"
 )
 ORACLES["check_required"] = f"""
-WITH {PAIRS} SELECT conv_id, turn, concat_ws(',',
-  CASE WHEN trim(instruction, {SPACES}) = '' THEN 'missing instruction' END,
-  CASE WHEN trim(input, {SPACES}) = '' THEN 'missing input' END,
-  CASE WHEN turn % 4 >= 2 OR trim(output, {SPACES}) = '' THEN 'missing output' END) AS reasons
-FROM pairs"""
+SELECT u.conv_id, u.turn, concat_ws(',',
+  CASE WHEN trim(u.text, {SPACES}) = '' THEN 'missing instruction' END,
+  CASE WHEN u.turn % 2 = 0 THEN 'missing input' END,
+  CASE WHEN a.text IS NULL OR trim(a.text, {SPACES}) = '' THEN 'missing output' END) AS reasons
+FROM conversations u
+LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+WHERE u.role = 'user'"""
 ORACLES["loss_mask"] = """
-SELECT conv_id, turn // 10000 AS part, CAST(turn % 10000 AS INTEGER) AS pos, role, text AS content,
-  CASE WHEN turn % 10000 % 3 = 2 THEN 0.5 WHEN role = 'assistant' THEN 1.0 ELSE 0.0 END::DOUBLE AS loss_weight
+SELECT conv_id, CAST(turn AS INTEGER) AS pos, role, text AS content,
+  CASE WHEN turn % 3 = 2 THEN 0.5 WHEN role = 'assistant' THEN 1.0 ELSE 0.0 END::DOUBLE AS loss_weight
 FROM conversations"""
 ORACLES["history_messages"] = f"""
 WITH {PAIRS}, numbered AS (
-  SELECT *, turn // 10000 AS part, row_number() OVER (PARTITION BY conv_id, turn // 10000 ORDER BY turn) - 1 AS n,
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n,
     CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS lead
   FROM pairs)
-SELECT conv_id, part, CAST(lead + 2 * n AS INTEGER) AS pos, 'user' AS role, instruction AS content FROM numbered
-UNION ALL SELECT conv_id, part, CAST(lead + 2 * n + 1 AS INTEGER), 'assistant', output FROM numbered
-UNION ALL SELECT DISTINCT conv_id, part, 0, 'system', 'Be brief.' FROM numbered WHERE lead = 1"""
+SELECT conv_id, CAST(lead + 2 * n AS INTEGER) AS pos, 'user' AS role, instruction AS content FROM numbered
+UNION ALL SELECT conv_id, CAST(lead + 2 * n + 1 AS INTEGER), 'assistant', output FROM numbered
+UNION ALL SELECT DISTINCT conv_id, 0, 'system', 'Be brief.' FROM numbered WHERE lead = 1"""
 
 # Limits, shuffle, split
 ORACLES["max_samples"] = "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100"
 ORACLES["shuffle_rank"] = f"""
 SELECT doc_id, row_number() OVER (ORDER BY {_hash('doc_id', '42')}, doc_id) - 1 AS rank FROM documents"""
+ORACLES["rank_null_keys"] = f"""
+WITH keyed AS (SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS key FROM documents)
+SELECT key, row_number() OVER (ORDER BY {_hash("coalesce(CAST(key AS VARCHAR), '')", '42')}, key) - 1 AS rank FROM keyed"""
+ORACLES["head_ties"] = "SELECT source FROM documents ORDER BY source LIMIT 75"
+ORACLES["split_ordered_text"] = """
+WITH named AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS name FROM documents)
+SELECT name, CASE WHEN row_number() OVER (ORDER BY name DESC) <=
+  (SELECT ceil(CAST(0.25 AS DOUBLE) * count(*)) FROM named) THEN 'test' ELSE 'train' END AS split
+FROM named"""
 ORACLES["split_fraction"] = _split("doc_id, n_chars", "doc_id", TENTH.format("documents"))
 ORACLES["split_count"] = _split("doc_id", "doc_id", "50", seed=7)
 ORACLES["split_none"] = "SELECT doc_id, 'train' AS split FROM documents"
@@ -210,8 +221,8 @@ ORACLES["eval_subset"] = f"""
 WITH {RUNS}, firsts AS (SELECT * FROM runs ORDER BY step LIMIT 100)
 SELECT round(exp(sum(loss * n_tokens) / sum(n_tokens)), 6) AS perplexity FROM firsts"""
 ORACLES["split_counts"] = f"""
-WITH texts AS (SELECT DISTINCT conv_id || ':' || turn // 10000 AS id FROM conversations),
-tagged AS ({_split('id', 'id', TENTH.format('texts'), table='texts')})
+WITH texts AS (SELECT DISTINCT conv_id FROM conversations),
+tagged AS ({_split('conv_id', 'conv_id', TENTH.format('texts'), table='texts')})
 SELECT split, count(*) AS rows FROM tagged GROUP BY split"""
 
 ORACLES["prepare_datasets"] = f"""
@@ -225,6 +236,9 @@ ORACLES["perplexity_by_run"] = f"""
 WITH {RUNS} SELECT run, round(exp(sum(loss * n_tokens) / sum(n_tokens)), 6) AS perplexity FROM runs GROUP BY run"""
 
 
+ORACLES["perplexity_null"] = f"""
+WITH {RUNS} SELECT run, round(exp(sum(loss * n_tokens) / sum(n_tokens)), 6) AS perplexity
+FROM runs WHERE step % 3 <> 0 GROUP BY run"""
 ORACLES["write_metrics"] = ORACLES["perplexity_by_run"]
 
 
@@ -297,18 +311,30 @@ SELECT id, {F1.format(m='m1', p='len(p)', r='len(r)')} AS rouge1,
 FROM toks LEFT JOIN hits USING (id) LEFT JOIN chains USING (id)"""
 ORACLES["rouge_rows"] = f"""
 SELECT id, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rougel, 6) AS rougel FROM ({ROUGE_ROWS})"""
+# The prediction is the reference without some words, so it is itself the longest
+# common subsequence; tests hold the operator against a table of lengths as well.
 ORACLES["rouge_l"] = f"""
-WITH {PAIRS}, toks AS (
-  SELECT conv_id || '/' || turn AS id, {_tokens_rouge('instruction')} AS p, {_tokens_rouge('output')} AS r FROM pairs),
-{LCS}
-SELECT id, round({F1.format(m='lcs', p='len(p)', r='len(r)')}, 6) AS rouge_l
-FROM toks LEFT JOIN chains USING (id)"""
+WITH toks AS (SELECT doc_id, len({_tokens_rouge(FIFTH.format('text'))}) AS p, len({_tokens_rouge('text')}) AS r FROM documents)
+SELECT doc_id, round({F1.format(m='p', p='p', r='r')}, 6) AS rouge_l FROM toks"""
 ORACLES["evaluate_metrics"] = f"""
 WITH scored AS ({ROUGE_ROWS}), sizes AS (WITH {PAIRS} SELECT instruction, output FROM pairs)
 SELECT 'length_share' AS metric, round(sum(length(instruction)) / sum(length(output)), 6) AS value FROM sizes
 UNION ALL SELECT 'rouge1', round(avg(rouge1), 6) FROM scored
 UNION ALL SELECT 'rouge2', round(avg(rouge2), 6) FROM scored
 UNION ALL SELECT 'rougeL', round(avg(rougel), 6) FROM scored"""
+HALVES = ("documents", "doc_id", f"trim(lower(left(text, length(text) // 2)), {SPACES})",
+          f"trim(substring(text, length(text) // 2 + 1), {SPACES})")
+
+
+def _generated(n: int) -> str:
+    return f"""
+WITH {_matches(_tokens_rouge, f'[{n}]', *HALVES)},
+hits AS (SELECT id, sum(least(ps, rs)) AS m, sum(ps) AS np, sum(rs) AS nr FROM counted GROUP BY id),
+scores AS (SELECT d.doc_id, {F1.format(m='m', p='np', r='nr')} AS f FROM documents d LEFT JOIN hits ON hits.id = d.doc_id)
+SELECT 'rouge{n}' AS metric, round(avg(f), 6) AS value FROM scores"""
+
+
+ORACLES["evaluate_generation"] = f"SELECT * FROM ({_generated(1)}) UNION ALL SELECT * FROM ({_generated(2)})"
 ORACLES["planned_steps"] = """
 SELECT source AS dataset, count(*) AS rows, count(*) // 8 * 3 AS steps FROM documents GROUP BY source"""
 
@@ -351,10 +377,15 @@ ORACLES["token_truncate_plugged"] = """
 WITH toks AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+') AS t FROM documents)
 SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t[1:512], ' ') AS text FROM toks"""
 BATCHES = f"""
-WITH banded AS (SELECT doc_id, n_chars AS length, least(n_chars // 256, 65536) AS band FROM documents),
+WITH banded AS (SELECT doc_id, n_chars AS length, n_chars // 256 AS band FROM documents),
 batched AS (SELECT *, (row_number() OVER (PARTITION BY band ORDER BY {_hash('doc_id', '42')}, doc_id) - 1) // 8 AS batch
   FROM banded)"""
 ORACLES["length_batches"] = f"{BATCHES} SELECT doc_id, length, band, batch FROM batched"
+ORACLES["length_batches_null"] = f"""
+WITH sized AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN
+    CASE WHEN doc_id % 2 = 0 THEN n_chars ELSE n_chars * 1000000 END END AS length FROM documents),
+banded AS (SELECT *, length // 256 AS band FROM sized)
+SELECT *, (row_number() OVER (PARTITION BY band ORDER BY {_hash('doc_id', '42')}, doc_id) - 1) // 8 AS batch FROM banded"""
 ORACLES["padding_report"] = f"""{BATCHES}
 SELECT band, batch, count(*) AS rows, CAST(sum(length) AS BIGINT) AS tokens, max(length) AS longest,
   CAST(count(*) * max(length) - sum(length) AS BIGINT) AS padding FROM batched GROUP BY band, batch"""

@@ -34,6 +34,13 @@ def scan_json_array(spark, sf_dir):
     return readers.read_json(spark, f"{path}/*", schema=PAGES_SCHEMA)
 
 
+@query
+def scan_json_lines_in_json(spark, sf_dir):
+    path = written(spark, "lines")
+    table(spark, sf_dir, "pages").write.json(f"{path}/pages.json")
+    return readers.read_file(spark, f"{path}/pages.json").select("page_id", "url", "html")
+
+
 @query
 def scan_json_root(spark, sf_dir):
     path = written(spark, "root")
@@ -245,7 +252,7 @@ def chat_render(spark, sf_dir):
 @query
 def chat_assemble(spark, sf_dir):
     nested = render.assemble_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn")
-    return nested.select("conv_id", "part", F.inline("messages"))
+    return nested.select("conv_id", F.inline("messages"))
 
 
 @query
@@ -256,7 +263,7 @@ def chat_render_tags(spark, sf_dir):
     ))
     tags = {"role_tag": "speaker", "user_tag": "user", "assistant_tag": "assistant"}
     return render.render_chat(
-        nested.withColumn("messages", renamed), "messages", tags, keep=("conv_id", "part")
+        nested.withColumn("messages", renamed), "messages", tags, keep=("conv_id",)
     )
 
 
@@ -337,7 +344,7 @@ def check_media(spark, sf_dir):
         F.slice("messages", 1, (F.size("messages") - F.col("conv_id") % 2).cast("int")),
         lambda m: m["role"],
     )
-    media = nested.select("conv_id", "part", marked.alias("conversations"), paths.alias("images"))
+    media = nested.select("conv_id", marked.alias("conversations"), paths.alias("images"))
     return records.check_media(media).drop("conversations", "images")
 
 
@@ -357,14 +364,13 @@ def check_roles_nested(spark, sf_dir):
         m["content"].alias("content"),
     ))
     checked = records.check_roles(nested.withColumn("messages", broken), "messages", CHAT_TAGS)
-    return checked.select("conv_id", "part", "roles_ok", "first_bad")
+    return checked.select("conv_id", "roles_ok", "first_bad")
 
 
 @query
 def check_required(spark, sf_dir):
-    rows = inputs.instruction_rows(spark, sf_dir)
-    holes = rows.withColumn("output", F.when(F.col("turn") % 4 < 2, F.col("output")))
-    checked = records.check_required(holes, ("instruction", "input", "output"))
+    rows = inputs.instruction_rows(spark, sf_dir, answered_only=False)
+    checked = records.check_required(rows, ("instruction", "input", "output"))
     return checked.select("conv_id", "turn", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -374,28 +380,25 @@ def loss_mask(spark, sf_dir):
     weighted = F.transform("messages", lambda m, i: F.struct(
         m["role"].alias("role"), m["content"].alias("content"), F.when(i % 3 == 2, 0.5).alias("loss_weight")
     ))
-    return records.loss_mask(nested.withColumn("messages", weighted), keep=("conv_id", "part"))
+    return records.loss_mask(nested.withColumn("messages", weighted), keep=("conv_id",))
 
 
 @query
 def history_messages(spark, sf_dir):
-    part = F.floor(F.col("turn") / render.PART_TURNS).alias("part")
-    pair = F.struct("turn", "instruction", "output")
-    grouped = inputs.instruction_rows(spark, sf_dir).groupBy("conv_id", part).agg(
-        F.sort_array(F.collect_list(pair)).alias("pairs")
-    )
-    last = F.element_at("pairs", -1)
+    pair = F.struct("instruction", "output")
+    grouped = render.collect_ordered(inputs.instruction_rows(spark, sf_dir), "conv_id", "turn", pair)
+    last = F.element_at("items", -1)
     earlier = F.transform(
-        F.slice("pairs", 1, F.size("pairs") - 1), lambda p: F.array(p["instruction"], p["output"])
+        F.slice("items", 1, F.size("items") - 1), lambda p: F.array(p["instruction"], p["output"])
     )
     rows = grouped.select(
-        "conv_id", "part", last["instruction"].alias("instruction"), last["output"].alias("output"),
-        F.when(F.size("pairs") > 1, earlier).alias("history"),
+        "conv_id", last["instruction"].alias("instruction"), last["output"].alias("output"),
+        F.when(F.size("items") > 1, earlier).alias("history"),
         F.when(F.col("conv_id") % 2 == 0, "Be brief.").alias("system"),
     )
-    messages = records.expand_history(rows, system="system", keep=("conv_id", "part"))
-    return messages.select("conv_id", "part", F.posexplode("messages").alias("pos", "m")).select(
-        "conv_id", "part", "pos", "m.role", "m.content"
+    messages = records.expand_history(rows, system="system", keep=("conv_id",))
+    return messages.select("conv_id", F.posexplode("messages").alias("pos", "m")).select(
+        "conv_id", "pos", "m.role", "m.content"
     )
 
 
@@ -411,6 +414,30 @@ def shuffle_rank(spark, sf_dir):
     return sampling.shuffle_rank(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+def _keys_with_nulls(spark, sf_dir):
+    """Documents of which every seventh has no key, and its number."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")).alias("key"), "n_chars")
+
+
+@query
+def rank_null_keys(spark, sf_dir):
+    ranked = sampling.shuffle_rank(_keys_with_nulls(spark, sf_dir).select("key"), "key")
+    return ranked.select("key", "rank")
+
+
+@query
+def head_ties(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "n_chars")
+    return sampling.head(docs, 75, "source").select("source")
+
+
+@query
+def split_ordered_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("name"))
+    return sampling.split(docs, "name", 0.25, shuffle=False)
+
+
 @query
 def split_fraction(spark, sf_dir):
     return sampling.split(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", 0.1)
@@ -441,8 +468,7 @@ def eval_subset(spark, sf_dir):
 @query
 def split_counts(spark, sf_dir):
     texts = render.render_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", tags=CHAT_TAGS)
-    named = texts.withColumn("id", F.concat_ws(":", "conv_id", "part"))
-    return sampling.split_counts(sampling.split(named, "id"))
+    return sampling.split_counts(sampling.split(texts, "conv_id"))
 
 
 # Metrics
@@ -459,6 +485,13 @@ def perplexity_by_run(spark, sf_dir):
     return metrics.perplexity(rows, by=("run",)).select("run", F.round("perplexity", 6).alias("perplexity"))
 
 
+@query
+def perplexity_null(spark, sf_dir):
+    rows = inputs.metric_rows(spark, sf_dir)
+    some = rows.withColumn("loss", F.when(F.col("step") % 3 != 0, F.col("loss")))
+    return metrics.perplexity(some, by=("run",)).select("run", F.round("perplexity", 6).alias("perplexity"))
+
+
 @query
 def bleu(spark, sf_dir):
     scored = metrics.bleu(inputs.prediction_pairs(spark, sf_dir))
@@ -485,9 +518,9 @@ def rouge2(spark, sf_dir):
 
 @query
 def rouge_l(spark, sf_dir):
-    rows = inputs.instruction_rows(spark, sf_dir).withColumn("id", F.concat_ws("/", "conv_id", "turn"))
-    scores = metrics.rouge_scores(rows, "instruction", "output", ("rougeL",), keep=("id",))
-    return scores.select("id", F.round("rougeL", 6).alias("rouge_l"))
+    pairs = inputs.prediction_pairs(spark, sf_dir)
+    scores = metrics.rouge_scores(pairs, kinds=("rougeL",), keep=("doc_id",))
+    return scores.select("doc_id", F.round("rougeL", 6).alias("rouge_l"))
 
 
 @query
@@ -508,6 +541,19 @@ def evaluate_metrics(spark, sf_dir):
     return values.withColumn("value", F.round("value", 6))
 
 
+@query
+def evaluate_generation(spark, sf_dir):
+    def make_model():
+        return lambda prompts: [f"{p} {p.lower()}" for p in prompts]
+
+    kinds = ("rouge1", "rouge2")
+    metrics.register_metric("rouge_n", lambda df: metrics.rouge(df, kinds=kinds))
+    values = metrics.evaluate_generation(
+        inputs.documents(spark, sf_dir), make_model, ["rouge_n"], keep=("doc_id",), path=written(spark, "generation")
+    )
+    return values.select("metric", F.round("value", 6).alias("value"))
+
+
 @query
 def planned_steps(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("dataset"))
@@ -585,6 +631,14 @@ def length_batches(spark, sf_dir):
     return batching.length_batches(sized, "doc_id", "length", batch=8, step=256)
 
 
+@query
+def length_batches_null(spark, sf_dir):
+    long = F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")).otherwise(F.col("n_chars") * 1_000_000)
+    length = F.when(F.col("doc_id") % 5 != 0, long)
+    sized = table(spark, sf_dir, "documents").select("doc_id", length.alias("length"))
+    return batching.length_batches(sized, "doc_id", "length", batch=8, step=256)
+
+
 @query
 def padding_report(spark, sf_dir):
     sized = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("length"))
@@ -676,9 +730,9 @@ def chat_render_stream(spark, sf_dir):
     base = written(spark, "chat-stream")
     turns = table(spark, sf_dir, "conversations")
     render.assemble_turns(turns, "conv_id", "turn").write.json(f"{base}/in")
-    schema = "conv_id bigint, part bigint, messages array<struct<role string, content string>>"
+    schema = "conv_id bigint, messages array<struct<role string, content string>>"
     streams.render_chat_stream(
-        spark, f"{base}/in", schema, "messages", CHAT_TAGS, ("conv_id", "part"), f"{base}/out", f"{base}/state"
+        spark, f"{base}/in", schema, "messages", CHAT_TAGS, ("conv_id",), f"{base}/out", f"{base}/state"
     ).awaitTermination()
     return spark.read.parquet(f"{base}/out")
 

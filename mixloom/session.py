@@ -20,9 +20,6 @@ def build_session(app: str = "mixloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # Conversations are collected per key; the default of 128 keys would
-        # send nearly every task to the sorting fallback.
-        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",

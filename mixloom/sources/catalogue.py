@@ -59,7 +59,7 @@ def with_defaults(catalogue: DataFrame, strict_columns: bool = False) -> DataFra
     """
     maps = F.coalesce(F.col("columns"), F.create_map().cast("map<string,string>"))
     no_source = F.raise_error(
-        F.concat(F.lit("No valid source found for dataset '"), F.col("name"), F.lit("'"))
+        F.concat(F.lit("dataset '"), F.col("name"), F.lit("' names neither a hub nor a file"))
     )
     formatting = F.coalesce("formatting", F.lit("alpaca"))
     if not strict_columns:

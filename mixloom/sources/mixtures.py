@@ -9,30 +9,35 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from mixloom.session import materialize
 from mixloom.sources.readers import (
-    DRIVER_ROWS, first_in_source, number_rows, read_csv, read_parquet, read_text, suffix, with_places,
+    DRIVER_ROWS, first_in_source, holds_lines, number_rows, read_csv, read_parquet, read_text, suffix, with_places,
 )
 
-# Room for the row positions of one entry inside a mixture's keys.
-POSITIONS_PER_ENTRY = 2**48
+# Room for the row positions of one entry inside a mixture's keys: a million million
+# rows each, and more than eight million entries.
+POSITIONS_PER_ENTRY = 2**40
+
+# Fixed value: the split of an entry that names none.
+DEFAULT_SPLIT = "train"
 
 
 def read_partitioned(
-    spark: SparkSession, path: str, split: str | None = "train",
+    spark: SparkSession, path: str, split: str | None = None,
     subset: str | None = None, folder: str | None = None,
 ) -> DataFrame:
     """A Parquet dataset directory laid out as ``[folder/][subset=…/]split=…``.
 
     Split and subset are directory partitions, so other ones are never listed
-    into the scan.
+    into the scan. A split or subset that is asked for must be in the layout; with
+    none asked for, the train split is read where there are splits.
     """
     df = read_parquet(spark, f"{path.rstrip('/')}/{folder}" if folder else path)
     for column, wanted in (("subset", subset), ("split", split)):
-        if wanted is None:
-            continue
-        if column in df.columns:
+        if wanted is not None and column not in df.columns:
+            raise ValueError(f"the dataset at {path} has no {column} folders, so no {column} {wanted!r}")
+        if wanted is None and column == "split" and column in df.columns:
+            wanted = DEFAULT_SPLIT
+        if wanted is not None:
             df = df.filter(F.col(column) == wanted)
-        elif column == "subset":
-            raise ValueError(f"dataset at {path} has no subsets")
     return df
 
 
@@ -46,6 +51,8 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
     kind = suffix(path)
     if kind == ".jsonl":
         return spark.read.option("singleVariantColumn", "record").option("mode", "FAILFAST").json(path)
+    if kind == ".json" and holds_lines(spark, path):
+        return spark.read.options(singleVariantColumn="record", mode="FAILFAST", recursiveFileLookup=True).json(path)
     if kind == ".json":
         reader = spark.read.options(multiLine=True, mode="FAILFAST", recursiveFileLookup=True)
         fields = [T.StructField(name, T.VariantType()) for name in reader.json(path).columns]
@@ -54,7 +61,7 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
         return _as_variant(read_text(spark, path, drop_empty=False))
     readers = {".csv": read_csv, ".parquet": read_parquet}
     if kind not in readers:
-        raise ValueError(f"Unsupported file format: {kind!r}")
+        raise ValueError(f"no reader for files of type {kind!r}")
     return _as_variant(readers[kind](spark, path))
 
 
@@ -77,7 +84,7 @@ def _first_found(spark: SparkSession, places: list[str]) -> DataFrame:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-    raise FileNotFoundError(f"Local dataset file not found: {places[0]}")
+    raise FileNotFoundError(f"no dataset file at {' or '.join(places)}")
 
 
 def _entry_records(spark: SparkSession, name: str, entry: dict, root: str, hub_root: str | None) -> DataFrame:
@@ -86,11 +93,11 @@ def _entry_records(spark: SparkSession, name: str, entry: dict, root: str, hub_r
         if hub_root is None:
             raise ValueError(f"hub_root must name the folder that mirrors '{repo}'")
         return _as_variant(read_partitioned(
-            spark, f"{hub_root.rstrip('/')}/{repo}", entry.get("split", "train"),
+            spark, f"{hub_root.rstrip('/')}/{repo}", entry.get("split"),
             entry.get("subset"), entry.get("folder"),
         ))
     if not entry.get("file_name"):
-        raise ValueError(f"No valid source found for dataset '{name}'")
+        raise ValueError(f"dataset {name!r} names neither a hub nor a file")
     return _first_found(spark, _places(entry["file_name"], root))
 
 

@@ -16,15 +16,41 @@ CORRUPT = "_corrupt_record"
 BROADCAST_PIECES = 1_000_000
 
 
+def json_shapes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file`` and ``lines`` of every JSON file: whether it holds one value per line.
+
+    That is so when its first line that is not blank is a JSON object as it stands;
+    an array, or an object that goes on in the next line, is one value per file.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.trim("value").alias("line"),
+    )
+    is_object = F.col("line").startswith("{") & F.coalesce(F.json_object_keys("line").isNotNull(), F.lit(False))
+    return lines.filter("line != ''").groupBy("file").agg(
+        F.min_by(is_object, F.struct("block", "at")).alias("lines")
+    )
+
+
+def holds_lines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether all JSON files of a path hold one value per line; files of both kinds raise."""
+    shapes = json_shapes(spark, path).agg(F.bool_and("lines").alias("all"), F.bool_or("lines").alias("any")).first()
+    if shapes["all"] != shapes["any"]:
+        raise ValueError(f"{path} holds JSON lines and JSON arrays; read them apart")
+    return bool(shapes["all"])
+
+
 def read_json(
     spark: SparkSession, path: str | list[str], field: str | None = None,
     schema: str | T.StructType | None = None,
 ) -> DataFrame:
-    """A JSON array file as rows; with ``field``, the rows of that list of an object file.
+    """A JSON file as rows, an array or one object per line; with ``field``, that list's rows.
 
-    A file is one JSON value and so one task; a large dataset should come as
-    many files, or as JSON lines, which split.
+    The shape is that of the files' first lines. A file that is one JSON value is
+    one task; a large dataset should come as many files, or as JSON lines, which split.
     """
+    if field is None and holds_lines(spark, path):
+        return read_jsonl(spark, path, schema)
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
     df = (reader.schema(schema) if schema else reader).json(path)
     if field is None:
@@ -124,7 +150,7 @@ READERS: dict[str, Callable[..., DataFrame]] = {
 def read_file(spark: SparkSession, path: str) -> DataFrame:
     """A file or directory by the suffix of its name."""
     if suffix(path) not in READERS:
-        raise ValueError(f"Unsupported file format: {suffix(path)!r}")
+        raise ValueError(f"no reader for files of type {suffix(path)!r}")
     return READERS[suffix(path)](spark, path)
 
 
@@ -203,7 +229,7 @@ def concat_datasets(spark: SparkSession, paths: list[str], source: str = "source
     tables = []
     for kind in dict.fromkeys(suffix(p) for p in paths):
         if kind not in READERS:
-            raise ValueError(f"Unsupported file format: {kind!r}")
+            raise ValueError(f"no reader for files of type {kind!r}")
         chosen = [p for p in paths if suffix(p) == kind]
         if kind == ".csv":
             tables += [read_csv(spark, p).withColumn(source, F.lit(p)) for p in chosen]
@@ -212,9 +238,11 @@ def concat_datasets(spark: SparkSession, paths: list[str], source: str = "source
             df = spark.read.option("mergeSchema", True).parquet(*chosen)
         else:
             df = READERS[kind](spark, chosen)
-        place = F.col("_metadata.file_path")
-        longest_first = sorted(chosen, key=len, reverse=True)
-        origin = F.coalesce(*[F.when(place.contains(p), F.lit(p)) for p in longest_first], place)
+        # Paths come encoded; a plus is no space in them.
+        place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        longest_first = [p.rstrip("/") for p in sorted(chosen, key=len, reverse=True)]
+        under = lambda p: place.endswith(p) | place.contains(p + "/")
+        origin = F.coalesce(*[F.when(under(p), F.lit(p)) for p in longest_first], place)
         tables.append(df.withColumn(source, origin))
     whole = tables[0]
     for other in tables[1:]:

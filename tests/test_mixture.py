@@ -132,7 +132,7 @@ def test_detect_format(spark):
 
 def test_require_valid(spark):
     detected = profile.detect_format(lines(spark, ["[1]"]))
-    with pytest.raises(PySparkException, match="Expected dataset records"):
+    with pytest.raises(PySparkException, match="no JSON object"):
         profile.require_valid(detected).collect()
 
 

@@ -13,7 +13,7 @@ from mixloom.sources import catalogue, readers
 
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON_QUERIES = {"bleu", "rouge1", "rouge2", "rouge_l", "rouge_rows", "batch_predict", "user_map",
-                  "evaluate_metrics", "token_truncate_plugged"}
+                  "evaluate_metrics", "evaluate_generation", "token_truncate_plugged"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F, types as T
 
 from mixloom.functions.content import flatten_content
 from mixloom.functions.text import json_text, strip, tokens_13a, tokens_rouge, words
-from mixloom.operators import render
+from mixloom.operators import records, render
 
 HEAD = (
     "Below is an instruction that describes a task. "
@@ -180,20 +180,26 @@ def test_turns_render_like_assembled_messages(spark):
     flat = render.render_turns(turns, "conv", "turn", tags=TAGS).orderBy("conv").collect()
     nested = render.render_chat(
         render.assemble_turns(turns, "conv", "turn"), "messages",
-        {**TAGS, "role_tag": "role", "content_tag": "content"}, keep=("conv", "part"),
+        {**TAGS, "role_tag": "role", "content_tag": "content"}, keep=("conv",),
     ).orderBy("conv").collect()
     assert [tuple(r) for r in flat] == [tuple(r) for r in nested]
     assert [r["text"] for r in flat] == ["User: a\n\nAssistant: b\n\nUser: c", ""]
 
 
-def test_long_conversation_becomes_parts_that_concatenate(spark):
+@pytest.mark.parametrize("chunk", [3, 10])
+def test_chunks_change_no_conversation(spark, chunk):
     turns = spark.range(25).selectExpr(
-        "1 as conv", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "cast(id as string) as text"
+        "1 as conv", "id as turn", "if(id = 0, 'system', if(id % 2 = 1, 'user', 'assistant')) as role",
+        "cast(id as string) as text",
     ).repartition(5)
     whole = render.render_turns(turns, "conv", "turn", tags=TAGS).collect()
-    parts = render.render_turns(turns, "conv", "turn", tags=TAGS, part_turns=10).orderBy("part").collect()
-    assert [r["part"] for r in parts] == [0, 1, 2]
-    assert "\n\n".join(r["text"] for r in parts) == whole[0]["text"]
+    assert [tuple(r) for r in render.render_turns(turns, "conv", "turn", tags=TAGS, chunk_turns=chunk).collect()] == [
+        tuple(r) for r in whole
+    ]
+    nested = render.assemble_turns(turns, "conv", "turn", chunk_turns=chunk)
+    assert [m["content"] for m in nested.first()["messages"]] == [str(i) for i in range(25)]
+    tags = {**TAGS, "role_tag": "role", "content_tag": "content"}
+    assert records.check_roles(nested, "messages", tags).first()["roles_ok"]
 
 
 @pytest.mark.parametrize("raw", ["\t x \n", " x ", "x", "", " \x1f ", "a　b "])

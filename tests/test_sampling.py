@@ -117,3 +117,45 @@ def test_split_property(spark, ids, size, shuffle):
     assert sum(v == "test" for v in split.values()) == k
     if not shuffle:
         assert {i for i, v in split.items() if v == "test"} == set(sorted(ids)[-k:])
+
+
+def with_null_keys(spark, rows=60, nulls=3):
+    return spark.range(rows).select(F.when(F.col("id") >= nulls, F.col("id")).alias("id"), (F.col("id") % 4).alias("b"))
+
+
+@pytest.mark.parametrize("group_rows", [200_000, 5])
+def test_ranks_keep_null_keys_and_bands_at_any_size(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(sampling, "GROUP_ROWS", group_rows)
+    df = with_null_keys(spark)
+    ranked = sampling.shuffle_rank(df.select("id"), "id").collect()
+    assert sorted(r["rank"] for r in ranked) == list(range(60))
+    band = F.when(F.col("b") > 0, F.col("b"))
+    found = sampling.rank_in_band(df, band, "id").groupBy("band").agg(
+        F.count("*").alias("n"), F.max("rank").alias("last"), F.countDistinct("rank").alias("ranks")
+    ).collect()
+    assert {r["band"]: (r["n"], r["last"], r["ranks"]) for r in found} == {k: (15, 14, 15) for k in (None, 1, 2, 3)}
+
+
+@pytest.mark.parametrize("driver_rows", [10_000, 5])
+@pytest.mark.parametrize("n", [2, 3, 10, 45, 70])
+def test_head_takes_nulls_first_and_any_of_equal_rows(spark, monkeypatch, driver_rows, n):
+    monkeypatch.setattr(sampling, "DRIVER_ROWS", driver_rows)
+    keys = [None] * 3 + [1] * 40 + list(range(5, 22))
+    numbers = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(4)
+    assert [r["k"] for r in sorted(sampling.head(numbers, n, "k").collect(), key=lambda r: (r["k"] is not None, r["k"] or 0))] == keys[:n]
+    texts = numbers.select(F.lpad(F.col("k").cast("string"), 9, "0").alias("k"))
+    wanted = [None if k is None else f"{k:09d}" for k in keys][:n]
+    assert sorted((r["k"] or "" for r in sampling.head(texts, n, "k").collect())) == sorted(k or "" for k in wanted)
+
+
+def test_split_sizes_count_null_keys(spark):
+    df = spark.range(60).select(F.when(F.col("id") >= 1, F.col("id")).alias("id"))
+    for shuffle in (True, False):
+        counts = {r["split"]: r["rows"] for r in sampling.split_counts(sampling.split(df, "id", 0.1, shuffle=shuffle)).collect()}
+        assert counts == {"test": 6, "train": 54}
+
+
+def test_text_keys_are_split_in_order(spark):
+    df = spark.range(40).select(F.format_string("a-rather-long-name-%05d", "id").alias("k"))
+    test = sampling.split(df, "k", 0.2, shuffle=False).filter("split = 'test'").collect()
+    assert sorted(r["k"] for r in test) == [f"a-rather-long-name-{i:05d}" for i in range(32, 40)]
