@@ -28,20 +28,24 @@ from mixloom.session import materialize
 MIN_WORDS = 50
 
 
+def _key() -> Column:
+    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, version, line, words, h1, h2`` of every line that has a word.
+    """``key, doc_id, line, words, h1, h2`` of every line that has a word.
 
-    ``line`` counts all lines of a text from 0; ``version`` tells apart texts that
-    share a ``doc_id``. Two 64-bit hashes stand for the line without the white
-    space around it.
+    ``line`` counts all lines of a text from 0; ``key`` is a hash of the id and the
+    text, so rows alike in both are one document and NULL ids have a key too. Two
+    64-bit hashes stand for the line without the white space around it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select(
-        "doc_id", F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n")).alias("line", "_text")
+        _key().alias("key"), "doc_id", F.posexplode(F.split(text, "\n")).alias("line", "_text")
     )
     trimmed = lines.withColumn("_text", F.btrim("_text", F.lit(" \t\x0b\x0c\r")))
     return trimmed.filter("_text != ''").select(
-        "doc_id", "version", "line", word_count(F.col("_text")).cast("int").alias("words"),
+        "key", "doc_id", "line", word_count(F.col("_text")).cast("int").alias("words"),
         F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(1), "_text").alias("h2"),
     )
 
@@ -56,15 +60,14 @@ def _ranked_lines(lines: DataFrame) -> DataFrame:
 def _candidate_runs(ranked: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """Positions inside stretches that are long enough, and the runs to look up.
 
-    Positions (``doc_id, version, stretch, at, line, rank``) number the lines of a
-    stretch of neighbouring repeated lines. Runs are ``doc_id, version, stretch,
-    start, length``.
+    Positions (``key, stretch, at, doc_id, line, rank``) number the lines of a
+    stretch of neighbouring repeated lines. Runs are ``key, stretch, doc_id, start,
+    length``.
     """
-    doc = ["doc_id", "version"]
-    in_doc = Window.partitionBy(*doc).orderBy("line")
+    in_doc = Window.partitionBy("key").orderBy("line")
     gap = F.col("nth") - F.row_number().over(in_doc)
     stretched = ranked.withColumn("stretch", gap)
-    key = [*doc, "stretch"]
+    key = ["key", "stretch"]
     in_stretch = Window.partitionBy(*key).orderBy("line")
     counted = stretched.withColumns({
         "at": F.row_number().over(in_stretch) - 1,
@@ -79,17 +82,19 @@ def _candidate_runs(ranked: DataFrame, min_words: int) -> tuple[DataFrame, DataF
             "ahead": F.count("*").over(ahead), "ahead_words": F.sum("words").over(ahead),
             "behind": F.count("*").over(behind), "behind_words": F.sum("words").over(behind),
         }).select(
-            *key, "at", "line", "rank",
+            *key, "at", "doc_id", "line", "rank",
             F.when(F.col("ahead_words") >= min_words, F.col("ahead")).alias("ahead"),
             F.when(F.col("behind_words") >= min_words, F.col("behind")).alias("behind"),
         ),
         "line-stretches",
     )
-    forward = spans.filter("ahead is not null").select(*key, F.col("at").alias("start"), F.col("ahead").alias("length"))
+    forward = spans.filter("ahead is not null").select(
+        *key, "doc_id", F.col("at").alias("start"), F.col("ahead").alias("length")
+    )
     backward = spans.filter("behind is not null").select(
-        *key, (F.col("at") - F.col("behind") + 1).alias("start"), F.col("behind").alias("length")
+        *key, "doc_id", (F.col("at") - F.col("behind") + 1).alias("start"), F.col("behind").alias("length")
     )
-    return spans.select(*key, "at", "line", "rank"), forward.unionByName(backward).distinct()
+    return spans.select(*key, "at", "doc_id", "line", "rank"), forward.unionByName(backward).distinct()
 
 
 def _doubled(ranks: DataFrame, key: list[str], step: int) -> DataFrame:
@@ -104,7 +109,7 @@ def _doubled(ranks: DataFrame, key: list[str], step: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, version, line``: the lines of every later copy of a repeated run.
+    """``key, doc_id, line``: the lines of every later copy of a repeated run.
 
     A run is a sequence of neighbouring lines of one document, lines without a word
     left out. It counts when it has at least ``min_words`` words and the same sequence
@@ -115,16 +120,16 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         raise ValueError(f"min_words={min_words} must be at least 1")
     # Rows alike in id and text are one document, so that they get the same lines.
     lines = materialize(document_lines(docs).distinct(), "lines")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "version").orderBy("line"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("line"))
     positions, runs = _candidate_runs(_ranked_lines(lines.withColumn("nth", nth)), min_words)
-    key = ["doc_id", "version", "stretch"]
+    key = ["key", "stretch"]
     runs = materialize(
         runs.withColumn("power", F.floor(F.log2(F.col("length").cast("double"))).cast("int")), "runs"
     )
     deepest = runs.agg(F.max("power")).first()[0]
-    same = key + ["start", "length"]
+    same = [*key, "doc_id", "start", "length"]
     if deepest is None:
-        return lines.select("doc_id", "version", "line").limit(0)
+        return lines.select("key", "doc_id", "line").limit(0)
     keyed, ranks = None, positions.select(*key, "at", "rank")
     for power in range(deepest + 1):
         if power:
@@ -135,13 +140,14 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         found = tail_at.join(ranks.withColumnRenamed("rank", "tail"), [*key, "at"]).select(*same, "head", "tail")
         keyed = found if keyed is None else keyed.unionByName(found)
     keyed = materialize(keyed, "run-intervals")
-    place = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "version", "stretch", "start")
+    # A struct is compared field by field, NULL first.
+    place = F.struct("doc_id", "key", "stretch", "start")
     interval = ["length", "head", "tail"]
     first = keyed.groupBy(*interval).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    later = keyed.join(first.drop("_n"), interval).filter(place != F.col("_first"))
+    later = keyed.join(first.drop("_n"), interval).filter(~place.eqNullSafe(F.col("_first")))
     covered = later.select(*key, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at"))
     return materialize(
-        covered.distinct().join(positions.select(*key, "at", "line"), [*key, "at"]).select("doc_id", "version", "line"),
+        covered.distinct().join(positions.select(*key, "at", "doc_id", "line"), [*key, "at"]).select("key", "doc_id", "line"),
         "later-copies",
     )
 
@@ -155,11 +161,10 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     change alike; a NULL ``doc_id`` comes first in the order. Line ends are line
     feeds. An ``n_chars`` column is counted anew. An empty table gives an empty result.
     """
-    gone = repeated_lines(docs, min_words).groupBy("doc_id", "version").agg(
+    gone = repeated_lines(docs, min_words).groupBy(F.col("key").alias("_key")).agg(
         F.collect_set("line").alias("_gone")
-    ).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "_gone")
-    version = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_d")) & (version == F.col("_v")), "left")
+    )
+    joined = docs.withColumn("_key", _key()).join(gone, "_key", "left")
 
     def without_gone(lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
@@ -171,4 +176,4 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
         own["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(
             docs.schema["n_chars"].dataType
         )
-    return joined.withColumns(own).drop("_gone", "_d", "_v")
+    return joined.withColumns(own).drop("_gone", "_key")
