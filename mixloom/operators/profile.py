@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mixloom.functions.text import json_text, strip
 from mixloom.operators.sampling import head
@@ -146,6 +146,29 @@ def format_profile(lines: DataFrame, key: str, value: str = "value") -> DataFram
     )
 
 
+def detect_table(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``detect_format`` for the rows of any table: CSV, Parquet, array elements.
+
+    A row is looked at as a JSON line with its columns in order, NULL ones included;
+    the columns kept are not part of it.
+    """
+    fields = [c for c in df.columns if c not in keep]
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields]), {"ignoreNullFields": "false"})
+    return detect_format(df.select(*keep, line.alias("_row")), "_row", keep)
+
+
+def format_samples(lines: DataFrame, key: str, value: str = "value", samples: int = 5) -> DataFrame:
+    """The first records, in key order, of every detected format and column map.
+
+    Each partition passes on at most so many records of a group, so a group of any
+    size stays small. Rows that share a key come in the order of their text.
+    """
+    detected = detect_format(lines.withColumn("_record", F.col(value)), value, keep=(key, "_record"))
+    place = Window.partitionBy("format", "columns", "tags").orderBy(key, "_record")
+    ranked = detected.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= samples)
+    return ranked.select("format", "columns", "tags", "place", key, F.col("_record").alias("record"))
+
+
 def preview(df: DataFrame, key: str, n: int = 5, width: int = 500) -> DataFrame:
     """The first n records in key order as JSON text cut at a width."""
     record = json_text(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema)

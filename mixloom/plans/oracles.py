@@ -455,6 +455,12 @@ detected AS (SELECT doc_id, text, source, CASE WHEN doc_id % 9 IN (0, 1) THEN 's
   CASE WHEN doc_id % 9 = 0 THEN '{"role_tag":"role","content_tag":"content","user_tag":"user","assistant_tag":"assistant","system_tag":"system"}'
     END AS tags, CAST(to_json(text) AS VARCHAR) AS t, '"' || source || '"' AS s FROM documents)"""
 ORACLES["detect_format"] = f"WITH {DETECTED} SELECT doc_id, format, columns, tags FROM detected"
+ORACLES["format_samples"] = f"""
+WITH {DETECTED}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY format, columns, tags ORDER BY doc_id) AS place FROM detected)
+SELECT format, columns, tags, place, doc_id FROM placed WHERE place <= 5"""
+ORACLES["detect_format_table"] = """
+SELECT doc_id, 'text' AS format, '{"prompt":"body"}' AS columns, NULL AS tags FROM documents"""
 ORACLES["format_profile"] = f"""
 WITH {DETECTED}, lines AS (SELECT *, CASE doc_id % 9
     WHEN 0 THEN '{{"messages":[{{"role":"user","content":' || t || '}}],"tools":' || s || '}}'

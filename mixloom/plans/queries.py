@@ -723,6 +723,19 @@ def format_profile(spark, sf_dir):
     return groups.withColumn("share", F.round("share", 6))
 
 
+@query
+def format_samples(spark, sf_dir):
+    found = profile.format_samples(inputs.mixed_lines(spark, sf_dir), "doc_id")
+    return found.select("format", "columns", "tags", "place", "doc_id")
+
+
+@query
+def detect_format_table(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).withColumnsRenamed({"text": "body"})
+    return profile.detect_table(rows, keep=("doc_id",))
+
+
 # Streams
 
 @query

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -64,19 +66,20 @@ def read_json(
 
 
 def read_json_root(spark: SparkSession, path: str) -> DataFrame:
-    """An object file as the rows of its first list, in source order; else as one row.
+    """Object files as the rows of each one's first list, in source order; else as one row.
 
-    The JSON reader sorts keys by name, so the order is taken from the text of
-    the (single) file.
+    The JSON reader sorts keys by name, so the order is taken from the text. Files
+    whose first lists have one name are read together.
     """
     text = spark.read.text(path, wholetext=True)
-    parsed = F.parse_json("value").try_cast("map<string,variant>")
-    lists = F.filter(
-        F.json_object_keys("value"),
-        lambda k: F.try_element_at(parsed, k).try_cast("array<variant>").isNotNull(),
-    )
-    first = text.select(F.get(lists, 0).alias("field")).first()
-    return read_json(spark, path, field=first["field"] if first else None)
+    value_of = lambda k: F.call_function("get_json_object", "value", F.concat(F.lit("$['"), k, F.lit("']")))
+    lists = F.filter(F.json_object_keys("value"), lambda k: F.ltrim(value_of(k)).startswith("["))
+    found = text.select(F.col("_metadata.file_path").alias("file"), F.get(lists, 0).alias("field")).collect()
+    files: dict[str | None, list[str]] = {}
+    for row in sorted(found, key=lambda r: r["file"]):
+        files.setdefault(row["field"], []).append(unquote(row["file"]))
+    tables = [read_json(spark, chosen, field=field) for field, chosen in files.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def read_jsonl(

@@ -243,3 +243,8 @@ def test_functions_travel_without_the_package(spark, tmp_path, make, expected):
     )
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert done.stdout.strip() == expected
+
+
+def test_perplexity_leaves_out_tokens_of_unknown_losses(spark):
+    df = spark.createDataFrame([(1.0, 10), (None, 90)], "loss double, n_tokens long")
+    assert metrics.perplexity(df).first()["perplexity"] == pytest.approx(math.e)

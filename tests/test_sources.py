@@ -275,3 +275,38 @@ def test_write_splits_prunes(spark, tmp_path):
     test = spark.read.parquet(path).filter("split = 'test'")
     assert test.count() == 3
     assert "PartitionFilters: [isnotnull(split" in test._jdf.queryExecution().toString()
+
+
+def test_first_list_is_that_of_each_file(spark, file):
+    file("d/a.json", '{"v": 1, "rows": [{"k": 1}], "more": [{"k": 9}]}')
+    file("d/b.json", '{"more": [{"k": 2}, {"k": 3}], "rows": [{"k": 8}]}')
+    path = file("d/c d.json", '{"n": {"k": [1]}, "rows": [{"k": 4}]}').rsplit("/", 1)[0]
+    assert sorted(r["k"] for r in readers.read_json_root(spark, f"{path}/*").collect()) == [1, 2, 3, 4]
+
+
+def test_json_lines_in_a_json_file(spark, file):
+    path = file("l.json", '\n{"k": 1}\n{"k": 2, "m": "x"}\n')
+    assert sorted(r["k"] for r in readers.read_file(spark, path).collect()) == [1, 2]
+    loaded = mixtures.load_mixture(spark, {"l": {"file_name": path}})
+    assert loaded.count() == 2
+    pretty = file("o.json", '{\n "k": 1\n}\n')
+    assert readers.read_json(spark, pretty).collect()[0]["k"] == 1
+    file("both/a.json", '[{"k": 1}]')
+    both = file("both/b.json", '{"k": 2}\n').rsplit("/", 1)[0]
+    with pytest.raises(ValueError, match="apart"):
+        readers.read_json(spark, both)
+
+
+def test_absent_split_raises(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    spark.range(3).write.parquet(path)
+    assert mixtures.read_partitioned(spark, path).count() == 3
+    with pytest.raises(ValueError, match="no split"):
+        mixtures.read_partitioned(spark, path, split="validation")
+
+
+def test_origin_of_encoded_paths(spark, tmp_path):
+    path = str(tmp_path / "s p+q")
+    spark.range(2).write.parquet(path + "/x.parquet")
+    found = readers.concat_datasets(spark, [path + "/x.parquet"], source="origin").select("origin").distinct().collect()
+    assert [r["origin"] for r in found] == [path + "/x.parquet"]
