@@ -183,43 +183,40 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     result. Only ``doc_id`` and ``text`` are read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", text.alias("text")).withColumn("_h", F.xxhash64("text"))
-    # The only exchange of whole texts; both joins below stand on it.
-    whole = own.dropDuplicates(["doc_id", "_h"])
-    sizes = own.select("doc_id", "_h", F.length("text").alias("n")).distinct()
+    own = docs.select("doc_id", text.alias("text")).withColumn("_key", F.xxhash64("doc_id", "text"))
+    # The only exchange of whole texts: both joins below are on the same key.
+    whole = own.select("_key", "text").dropDuplicates(["_key"])
+    sizes = own.select("doc_id", "_key", F.length("text").alias("n")).distinct()
     ordered = materialize(
-        number_rows(sizes, F.col("doc_id").desc_nulls_last(), F.col("_h"), name="document-order"), "documents-numbered"
+        number_rows(sizes, F.col("doc_id").desc_nulls_last(), F.col("_key"), name="document-order"), "documents-numbered"
     )
     count = ordered.count()
     following = ordered.select(
-        ((F.col("_number") + count - 1) % max(count, 1)).alias("_number"),
-        F.col("doc_id").alias("next_id"), F.col("_h").alias("next_h"),
+        ((F.col("_number") + count - 1) % max(count, 1)).alias("_number"), F.col("_key").alias("next_key")
     )
-    pairs = materialize(
-        ordered.join(following, "_number").withColumn("part", F.floor(F.col("n") / 3).cast("int")).drop("_number"),
+    wanted = materialize(
+        ordered.join(following, "_number").select(
+            F.col("_key").alias("for_key"), "doc_id", "n", F.floor(F.col("n") / 3).cast("int").alias("part"), "next_key"
+        ),
         "next-documents",
     )
-    wanted = pairs.select(F.col("doc_id").alias("for_id"), F.col("_h").alias("for_h"), "n", "part", "next_id", "next_h")
-    brought = whole.join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("_h") == F.col("next_h"))
-    ).select("for_id", "for_h", "n", "part", "next_id", "next_h", F.substring(F.col("text"), F.lit(1), F.col("part")).alias("tail"))
+    brought = whole.join(wanted, F.col("_key") == F.col("next_key")).select(
+        "for_key", "doc_id", "n", "part", "next_key",
+        F.substring(F.col("text"), F.lit(1), F.col("part")).alias("tail"),
+    )
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.col("part")), F.col("tail"))
     digested = materialize(
-        whole.join(brought, F.col("doc_id").eqNullSafe(F.col("for_id")) & (F.col("_h") == F.col("for_h")))
+        whole.join(brought, F.col("_key") == F.col("for_key"))
         .withColumn("_edited", edited)
         .select(
-            "doc_id", "_h", "next_id", "next_h", F.col("n").cast("bigint").alias("n_chars"),
+            "doc_id", "_key", "next_key", F.col("n").cast("bigint").alias("n_chars"),
             F.sha2("_edited", 256).alias("edited_sha256"),
             paragraph_digests(F.col("text")).alias("a"), paragraph_digests(F.col("_edited")).alias("e"),
         ),
         "paragraph-digests",
     )
-    next_digests = digested.select(
-        F.col("doc_id").alias("_id"), F.col("_h").alias("_nh"), F.col("a").alias("b")
-    )
-    return digested.join(
-        next_digests, F.col("next_id").eqNullSafe(F.col("_id")) & (F.col("next_h") == F.col("_nh"))
-    ).select(
+    next_digests = digested.select(F.col("_key").alias("next_key"), F.col("a").alias("b"))
+    return digested.join(next_digests, "next_key").select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"),
         fingerprint(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("b")).alias("near_next"),
