@@ -157,6 +157,15 @@ def _packs(batches: Iterator[pa.RecordBatch]):
         yield group
 
 
+def _by_bucket(buckets: int, keys: np.ndarray, *columns: np.ndarray):
+    """Bucket of a text's key, and the keys and columns of its texts, for every bucket."""
+    bucket = (_spread(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    for number, start, end in _slices(bucket[order]):
+        some = order[start:end]
+        yield number, keys[some], *[c[some] for c in columns]
+
+
 def _slices(part: np.ndarray):
     """Start and end of each part in a sorted array of parts."""
     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, int)
@@ -195,8 +204,13 @@ def _deal_pairs(keyed: DataFrame, common: list[bytes], parts: int) -> DataFrame:
     return keyed.mapInArrow(deal, "part int, payload binary")
 
 
-def _score_pairs(dealt: DataFrame, common: dict[bytes, int], n_texts: int, parts: int, prior: float) -> DataFrame:
-    """Per part: sums of its texts, and the unseen words packed by their own part."""
+def _score_pairs(
+    dealt: DataFrame, common: dict[bytes, int], n_texts: int, parts: int, buckets: int, prior: float
+) -> DataFrame:
+    """Per part: sums of its texts, packed by bucket, and the unseen words, packed by their own part.
+
+    ``kind`` 0: ``to`` is a bucket; 1: ``to`` is a part.
+    """
     hashes = dict(zip(_hashes(list(common)).tolist(), common.values()))
     totals = hashes | {int(_BEGIN_HASH): n_texts}
     known = np.array(sorted(hashes), np.uint64)
@@ -236,20 +250,21 @@ def _score_pairs(dealt: DataFrame, common: dict[bytes, int], n_texts: int, parts
         word, owner = word[~is_known], owner[~is_known]
         to = (_spread(word) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(to, kind="stable")
-        rows = [(-1, b"", keys, sums, n_unseen)]
+        rows = [
+            (number, 0, _pack(*arrays)) for number, *arrays in _by_bucket(buckets, keys, sums, n_unseen)
+        ]
         for number, start, end in _slices(to[order]):
             some = order[start:end]
-            rows.append((number, _pack(keys[owner[some]], word[some]), [], [], []))
-        return pd.DataFrame(rows, columns=["part", "payload", "keys", "sums", "unseen"])
+            rows.append((number, 1, _pack(keys[owner[some]], word[some])))
+        return pd.DataFrame(rows, columns=["to", "kind", "payload"])
 
-    schema = "part int, payload binary, keys array<bigint>, sums array<double>, unseen array<bigint>"
-    return dealt.groupBy("part").applyInPandas(score, schema)
+    return dealt.groupBy("part").applyInPandas(score, "to int, kind int, payload binary")
 
 
 def _deal_words(keyed: DataFrame, common: dict[bytes, int], parts: int) -> DataFrame:
     """The other words of all texts, packed by their part, and what each text has of common ones.
 
-    Parts below 0 hold the texts themselves.
+    Parts below 0 hold the texts themselves, to be handed on.
     """
     hashes = dict(zip(_hashes(list(common)).tolist(), common.values()))
     known = np.array(sorted(hashes), np.uint64)
@@ -287,21 +302,20 @@ def _deal_words(keyed: DataFrame, common: dict[bytes, int], parts: int) -> DataF
     return keyed.mapInArrow(deal, "part int, kind int, payload binary")
 
 
-def _score_words(dealt: DataFrame) -> DataFrame:
-    """Per part: its distinct training words, and sums of log10(count + 1) per text."""
+def _score_words(dealt: DataFrame, buckets: int) -> DataFrame:
+    """Per part: its distinct training words, and sums of log10(count + 1) per text.
+
+    The sums are packed by bucket: ``kind`` 0 with the number of known tokens, 1 for
+    words that pairs handed on, 2 for the texts themselves.
+    """
 
     def score(frame: pd.DataFrame) -> pd.DataFrame:
-        empty = {"words": 0, "keys": [], "base": [], "known": [], "back": [], "ids": [], "trains": [], "sizes": []}
+        rows: list[tuple] = []
         if frame["part"].iloc[0] < 0:
-            rows = []
             for raw in frame["payload"]:
-                keys, ids, no_id, trains, sizes, log10, known = _unpack(raw)
-                ids = [None if gone else int(i) for i, gone in zip(ids, no_id)]
-                rows.append(empty | {
-                    "keys": keys, "base": log10, "known": known, "back": np.zeros(len(keys)),
-                    "ids": ids, "trains": trains.astype(bool), "sizes": sizes,
-                })
-            return pd.DataFrame(rows)
+                keys, *columns = _unpack(raw)
+                rows += [(number, 2, _pack(*a), 0) for number, *a in _by_bucket(buckets, keys, *columns)]
+            return pd.DataFrame(rows, columns=["to", "kind", "payload", "words"])
         names, times, docs, keys, trains, before = [], [], [], [], [], 0
         for raw in frame.loc[frame["kind"] == 0, "payload"]:
             k, train, n, t, place = _unpack(raw)
@@ -314,25 +328,56 @@ def _score_words(dealt: DataFrame) -> DataFrame:
         distinct, which = np.unique(word, return_inverse=True)
         counts = np.bincount(which, trains[doc], len(distinct)).astype(np.int64)
         log10 = np.log10(counts + 1.0)
-        rows = [empty | {
-            "words": int((counts > 0).sum()), "keys": keys, "base": np.bincount(doc, log10[which], len(keys)),
-            "known": np.bincount(doc, counts[which] > 0, len(keys)).astype(np.int64), "back": np.zeros(len(keys)),
-        }]
+        sums = np.bincount(doc, log10[which], len(keys))
+        known = np.bincount(doc, counts[which] > 0, len(keys)).astype(np.int64)
+        rows += [(number, 0, _pack(*a), 0) for number, *a in _by_bucket(buckets, keys, sums, known)]
         for raw in frame.loc[frame["kind"] == 1, "payload"]:
             k, w = _unpack(raw)
-            value = log10[np.searchsorted(distinct, w)]
             owner, place = np.unique(k, return_inverse=True)
-            rows.append(empty | {
-                "keys": owner, "base": np.zeros(len(owner)), "known": np.zeros(len(owner), np.int64),
-                "back": np.bincount(place, value, len(owner)),
-            })
-        return pd.DataFrame(rows)
+            value = np.bincount(place, log10[np.searchsorted(distinct, w)])
+            rows += [(number, 1, _pack(*a), 0) for number, *a in _by_bucket(buckets, owner, value)]
+        rows.append((-1, -1, b"", int((counts > 0).sum())))
+        return pd.DataFrame(rows, columns=["to", "kind", "payload", "words"])
+
+    return dealt.groupBy("part").applyInPandas(score, "to int, kind int, payload binary, words bigint")
+
+
+def _totals(pairs: DataFrame, words: DataFrame, n_train: int, shift: float) -> DataFrame:
+    """One row per document row from the packed sums of its bucket."""
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        def added(source: str, kind: int, n: int) -> tuple[np.ndarray, ...]:
+            """Sums of the columns for every text, in the order of ``keys``."""
+            found = [_unpack(raw) for raw in frame.loc[(frame["source"] == source) & (frame["kind"] == kind), "payload"]]
+            if not found:
+                return tuple(np.zeros(len(keys)) for _ in range(n))
+            at = np.searchsorted(keys, np.concatenate([f[0] for f in found]))
+            return tuple(np.bincount(at, np.concatenate([f[i] for f in found]), len(keys)) for i in range(1, n + 1))
+
+        texts = [_unpack(raw) for raw in frame.loc[frame["kind"] == 2, "payload"]]
+        k, ids, no_id, trains, sizes, common, n_common = (np.concatenate(c) for c in zip(*texts))
+        # Rows alike in id and text share a key, and its sums hold all of them.
+        keys, row, times = np.unique(k, return_inverse=True, return_counts=True)
+        scores, unseen = added("pairs", 0, 2)
+        base, known = added("words", 0, 2)
+        (back,) = added("words", 1, 1)
+        each = lambda sums: (sums / times)[row]
+        return pd.DataFrame({
+            "doc_id": pd.array([None if gone else int(i) for i, gone in zip(ids, no_id)], "Int64"),
+            "trained": trains.astype(bool), "n_tokens": sizes,
+            "n_known": np.rint(each(known)).astype(np.int64) + n_common, "train_tokens": n_train,
+            "base_score": each(base) + common - sizes * shift,
+            "score": each(scores) + each(back) - each(unseen) * shift,
+        })
 
     schema = (
-        "words bigint, keys array<bigint>, base array<double>, known array<bigint>, back array<double>, "
-        "ids array<bigint>, trains array<boolean>, sizes array<bigint>"
+        "doc_id bigint, trained boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+        "base_score double, score double"
+    )
+    packed = pairs.filter("kind = 0").select("to", "kind", "payload", F.lit("pairs").alias("source")).unionByName(
+        words.filter("kind >= 0").select("to", "kind", "payload", F.lit("words").alias("source"))
     )
-    return dealt.groupBy("part").applyInPandas(score, schema)
+    return packed.groupBy("to").applyInPandas(total, schema)
 
 
 def score_documents(docs: DataFrame, train: Column, prior: float = PRIOR) -> DataFrame:
@@ -351,44 +396,15 @@ def score_documents(docs: DataFrame, train: Column, prior: float = PRIOR) -> Dat
     common_words = _common_words(keyed)
     every, n_train, common = _training_counts(keyed, common_words)
     parts = max(LEAST_PARTS, math.ceil(every / PART_TOKENS))
-    pairs = materialize(
-        _score_pairs(_deal_pairs(keyed, common_words, parts), common, common[_END], parts, prior), "pair-scores"
-    )
-    forwarded = pairs.filter("part >= 0").select("part", F.lit(1).alias("kind"), "payload")
-    words = materialize(_score_words(_deal_words(keyed, common, parts).unionByName(forwarded)), "word-scores")
+    # Texts are added up in buckets of about as many tokens as were packed together.
+    buckets = max(1, math.ceil(every / PACK_TOKENS))
+    dealt_pairs = _deal_pairs(keyed, common_words, parts)
+    pairs = materialize(_score_pairs(dealt_pairs, common, common[_END], parts, buckets, prior), "pair-scores")
+    forwarded = pairs.filter("kind = 1").select(F.col("to").alias("part"), "kind", "payload")
+    dealt_words = _deal_words(keyed, common, parts).unionByName(forwarded)
+    words = materialize(_score_words(dealt_words, buckets), "word-scores")
     distinct = (words.agg(F.sum("words")).first()[0] or 0) + sum(n > 0 for n in common.values())
-    shift = math.log10(n_train + distinct + 1)
-
-    of_pairs = pairs.filter("part < 0").select(
-        F.explode(F.arrays_zip("keys", "sums", "unseen")).alias("x")
-    ).select(F.col("x.keys").alias("k"), F.col("x.sums").alias("sums"), F.col("x.unseen").alias("unseen"))
-    of_words = words.select(F.explode(F.arrays_zip("keys", "base", "known", "back")).alias("x")).select(
-        F.col("x.keys").alias("k"), F.col("x.base").alias("base"), F.col("x.known").alias("known"),
-        F.col("x.back").alias("back"),
-    )
-    rows = words.filter(F.size("ids") > 0).select(F.explode(F.arrays_zip("keys", "ids", "trains", "sizes")).alias("x")).select(
-        F.col("x.keys").alias("k"), F.col("x.ids").alias("doc_id"), F.col("x.trains").alias("trained"),
-        F.col("x.sizes").alias("n_tokens"), F.lit(1).alias("row"),
-    )
-    nothing = lambda kind: F.lit(None).cast(kind)
-    together = (
-        of_pairs.select("k", "sums", "unseen", nothing("double").alias("base"), nothing("bigint").alias("known"), nothing("double").alias("back"))
-        .unionByName(of_words.select("k", nothing("double").alias("sums"), nothing("bigint").alias("unseen"), "base", "known", "back"))
-    )
-    sums = together.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("sums", "unseen", "base", "known", "back")])
-    # A key that several rows share has the sums of all of them.
-    alike = rows.groupBy("k", "doc_id", "trained", "n_tokens").agg(F.sum("row").alias("rows"))
-    return (
-        alike.join(sums, "k")
-        .withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-        .select(
-            "doc_id", "trained", "n_tokens",
-            F.call_function("div", F.col("known"), F.col("rows")).alias("n_known"),
-            F.lit(n_train).cast("bigint").alias("train_tokens"),
-            (F.col("base") / F.col("rows") - F.col("n_tokens") * F.lit(shift)).alias("base_score"),
-            ((F.col("sums") + F.col("back") - F.col("unseen") * F.lit(shift)) / F.col("rows")).alias("score"),
-        )
-    )
+    return _totals(pairs, words, n_train, math.log10(n_train + distinct + 1))
 
 
 def held_out(modulus: int = 7, remainder: int = 2) -> Column:
