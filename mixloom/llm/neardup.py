@@ -1,17 +1,19 @@
 """Operator 10: near-duplicate documents by bottom-k sketches of one hash function.
 
 A document is the set of its word shingles, each a 64-bit hash. Its sketch is the k
-smallest hashes. Two sets of similarity 0.8 share at least half of their sketches
-(fewer than 33 of 64 has a chance below one in ten million), so if every document
-indexes its sketch from the rarest retained value on, but leaves out the last half,
-such a pair still meets in an inverted list. A document that shares less than half
-of its values with anything has no partner and leaves at once.
+smallest hashes. How many values the sketches of two sets of similarity 0.8 share at
+least is known up to five standard deviations (and exactly for sets no larger than the
+sketch). So if every document indexes its sketch from the rarest retained value on, and
+leaves out as many as must be shared less one, such a pair still meets in an inverted
+list. A document with too few shared values has no partner and leaves at once.
 
 No list is turned into all of its pairs. First every member meets the smallest
 member; confirmed links give components. Then only members outside a list's
 largest component meet the members of other components, which loses no link
-between components. Sizes, then the estimate from the union of two sketches, decide
-which pairs are confirmed on the full sets. Equal sets count once throughout.
+between components: pair by pair in short lists, and in long ones by blocks of
+sketches compared inside a task, which hands on only pairs that may be similar. The
+estimate from the union of two sketches filters again, and the full sets decide.
+Equal sets count once throughout.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -30,10 +33,18 @@ from mixloom.session import materialize
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
-SKETCH = 64
-# A pair of similarity 0.8 has fewer common values of its sketches only with a
-# chance below 1e-7; the same share of the union's sketch is asked of the estimate.
-LEAST_SHARE = 0.5
+SKETCH = 128
+# Of these values, the smallest are indexed.
+INDEXED = 64
+# Bounds on shared values lie this many standard deviations below the mean at 0.8.
+DEVIATIONS = 5.0
+# Longer lists are compared in blocks of so many sketches.
+SHORT_LIST = 64
+BLOCK = 512
+# Partners of a row in a block that are tried before all others.
+NEAREST = 2
+# So many ids are sent to every task; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -60,6 +71,16 @@ def shingle_set(text: bytes | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(mixed.view(np.int64))
 
 
+def _as_binary(column: str, name: str):
+    """A sorted array of longs as the bytes that numpy reads in place."""
+
+    @F.pandas_udf("binary")
+    def pack(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: np.asarray(a, dtype=np.int64).tobytes())
+
+    return pack(column).alias(name)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
     np.cumsum([len(a) for a in arrays], out=offsets[1:])
@@ -87,17 +108,26 @@ def sketches(docs: DataFrame, width: int = SHINGLE_WORDS, k: int = SKETCH) -> Da
     )
 
 
-def _inverted(distinct: DataFrame) -> DataFrame:
+def least_common(kept: int) -> int:
+    """Values that the union's ``kept`` smallest share at least at a similarity of 0.8."""
+    share = SIMILAR_PERCENT / 100
+    return math.floor(share * kept - DEVIATIONS * math.sqrt(kept * share * (1 - share)))
+
+
+def _inverted(distinct: DataFrame, k: int) -> DataFrame:
     """``value``, ``id``, ``n``: the retained values by which similar sets must meet."""
-    values = distinct.select("id", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
+    kept = min(k, INDEXED)
+    values = distinct.select("id", "n", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     shared = values.join(common, "value")
     # Rarest first; those of one document alone come before all of these.
-    ordered = shared.groupBy("id", "n", "kept").agg(
-        F.array_sort(F.collect_list(F.struct("df", "value"))).alias("list")
-    )
-    needed = F.ceil(F.col("kept") * LEAST_SHARE).cast("int") + 1
-    entries = F.size("list") - F.least(needed, F.col("kept")) + 1
+    ordered = shared.groupBy("id", "n").agg(F.array_sort(F.collect_set(F.struct("df", "value"))).alias("list"))
+    # A set no larger than its sketch shares 80 % of its values, less those that a
+    # larger partner may have beyond its own sketch.
+    beyond = F.greatest(F.lit(0), F.floor(F.col("n") * 100 / SIMILAR_PERCENT) - kept)
+    exact = F.greatest(F.lit(1), F.ceil(F.col("n") * SIMILAR_PERCENT / 100) - beyond)
+    needed = F.when(F.col("n") <= kept, exact).otherwise(F.lit(max(1, least_common(kept)))).cast("int")
+    entries = F.size("list") - needed + 1
     return (
         ordered.filter(entries >= 1)
         .select("id", "n", F.explode(F.slice("list", F.lit(1), entries)).alias("e"))
@@ -109,41 +139,57 @@ def _similar_size(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * SIMILAR_PERCENT) & (F.col(b) * 100 >= F.col(a) * SIMILAR_PERCENT)
 
 
-def _pair_check(kind: str):
-    """An Arrow function that keeps the pairs whose two arrays are alike enough."""
+def _alike_sketches(x: np.ndarray, y: np.ndarray, k: int) -> bool:
+    """Whether the similarity estimated from the union of two sketches may be 0.8."""
+    both = np.intersect1d(x, y, assume_unique=True)
+    if len(x) < k and len(y) < k:
+        return 100 * len(both) >= SIMILAR_PERCENT * (len(x) + len(y) - len(both))
+    last = np.union1d(x, y)[k - 1]
+    return np.searchsorted(both, last, side="right") >= least_common(k)
+
+
+def _alike_sets(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= SIMILAR_PERCENT * (len(x) + len(y) - both)
+
+
+def _keep_pairs(alike):
+    """An Arrow function that keeps the pairs whose two sorted arrays are alike."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda cell: np.frombuffer(cell.as_py(), np.int64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                if kind == "sketch":
-                    x, y = x.values.to_numpy(), y.values.to_numpy()
-                    union = np.union1d(x, y)[: max(len(x), len(y))]
-                    both = np.intersect1d(x, y, assume_unique=True)
-                    shared = np.searchsorted(both, union[-1], side="right")
-                    keep.append(bool(shared >= math.floor(LEAST_SHARE * len(union))))
-                else:
-                    x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= SIMILAR_PERCENT * (len(x) + len(y) - both))
+            keep = [bool(alike(read(x), read(y))) for x, y in zip(batch.column(2), batch.column(3))]
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
     return check
 
 
+def _only(df: DataFrame, ids: DataFrame, on: list[str] | str = "id") -> DataFrame:
+    """The rows whose ``id`` is among the written ``ids``, whose number is checked before they are sent."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
+
+
+def _ids_of(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select("a").union(pairs.select("b")).toDF("id").distinct(), "pair-ids")
+
+
 def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     second = of.select(F.col("id").alias("b"), F.col(column).alias("_y"))
     first = of.select(F.col("id").alias("a"), F.col(column).alias("_x"))
     return pairs.join(second, "b").join(first, "a").select("a", "b", "_x", "_y")
 
 
-def _confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, width: int, k: int) -> DataFrame:
     """The pairs whose full sets are similar, after the estimate has filtered them."""
-    key = distinct.schema["id"].dataType.simpleString()
+    key = sketched.schema["id"].dataType.simpleString()
     schema = f"a {key}, b {key}"
+    own = _only(sketched, _ids_of(pairs)).dropDuplicates(["id", "same"]).select("id", _as_binary("sketch", "sketch"))
     likely = materialize(
-        _with_both(pairs, distinct, "sketch").mapInArrow(_pair_check("sketch"), schema), "likely-pairs"
+        _with_both(pairs, own, "sketch").mapInArrow(_keep_pairs(lambda x, y: _alike_sketches(x, y, k)), schema),
+        "likely-pairs",
     )
     if likely.isEmpty():
         return likely
@@ -153,10 +199,126 @@ def _confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: in
             sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(whole, f"id {key}, set binary"), "full-sets")
-    return materialize(_with_both(likely, sets, "set").mapInArrow(_pair_check("set"), schema), "confirmed-pairs")
+    sets = materialize(_only(texts, _ids_of(likely)).mapInArrow(whole, f"id {key}, set binary"), "full-sets")
+    return materialize(_with_both(likely, sets, "set").mapInArrow(_keep_pairs(_alike_sets), schema), "confirmed-pairs")
+
+
+def _rest_of_short(lists: DataFrame) -> DataFrame:
+    """Pairs of members of different components, one of them outside the largest."""
+    outside = lists.filter(F.col("label") != F.col("major")).select("value", "id", "n", "label")
+    member = lists.select(
+        "value", F.col("id").alias("b"), F.col("n").alias("_n"), F.col("label").alias("_label"), "major"
+    )
+    return (
+        outside.join(member, "value")
+        .filter(F.col("label") != F.col("_label"))
+        .filter((F.col("_label") == F.col("major")) | (F.col("id") < F.col("b")))
+        .filter(_similar_size("n", "_n"))
+        .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+        .distinct()
+    )
+
+
+def _compare_blocks(x: pd.DataFrame, y: pd.DataFrame, k: int, nearest: int | None) -> list[tuple]:
+    """Pairs of two blocks in different components whose sketches share enough values.
+
+    With ``nearest``, only so many pairs of each row of the first block, the most alike.
+    """
+    values_x, values_y = np.concatenate(x["sketch"].to_list()), np.concatenate(y["sketch"].to_list())
+    both = np.intersect1d(values_x, values_y)
+
+    def incidence(frame: pd.DataFrame, values: np.ndarray) -> np.ndarray:
+        rows = np.repeat(np.arange(len(frame)), frame["sketch"].map(len))
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        found = both[at] == values if len(both) else np.zeros(len(values), bool)
+        table = np.zeros((len(frame), len(both)), np.float32)
+        table[rows[found], at[found]] = 1.0
+        return table
+
+    common = incidence(x, values_x) @ incidence(y, values_y).T
+    n_x, n_y = x["n"].to_numpy(float)[:, None], y["n"].to_numpy(float)[None, :]
+    least, most = np.minimum(n_x, n_y), np.maximum(n_x, n_y)
+    share = SIMILAR_PERCENT / 100
+    # At this similarity the larger set has at least this part of its values in the other.
+    part = np.minimum(1.0, share / (1 + share) * (least + most) / most)
+    # Drawn without putting back: the more of a set its sketch holds, the less it strays.
+    strays = np.sqrt(k * part * (1 - part) * np.maximum(0.0, 1 - k / most))
+    enough = common >= np.floor(k * part - DEVIATIONS * strays)
+    whole = (n_x < k) & (n_y < k)
+    enough = np.where(whole, 100 * common >= SIMILAR_PERCENT * (n_x + n_y - common), enough)
+    enough &= least * 100 >= most * SIMILAR_PERCENT
+    label_x, label_y = x["label"].to_numpy()[:, None], y["label"].to_numpy()[None, :]
+    id_x, id_y = x["id"].to_numpy()[:, None], y["id"].to_numpy()[None, :]
+    enough &= (label_x != label_y) & ((label_y == y["major"].to_numpy()[None, :]) | (id_x < id_y))
+    if nearest is not None and nearest < len(y):
+        ranked = np.argpartition(np.where(enough, -common, np.inf), nearest - 1, axis=1)[:, :nearest]
+        chosen = np.zeros_like(enough)
+        np.put_along_axis(chosen, ranked, True, axis=1)
+        enough &= chosen
+    return [(min(id_x[i, 0], id_y[0, j]), max(id_x[i, 0], id_y[0, j])) for i, j in np.argwhere(enough)]
+
+
+def _rest_of_long(lists: DataFrame, sketched: DataFrame, k: int, nearest: int | None = None) -> DataFrame:
+    """The same pairs of long lists, from blocks; lists that share members are one group.
+
+    With ``nearest``, an outside member has only its most alike partners of every block.
+    """
+    key = lists.schema["id"].dataType.simpleString()
+    hubs = lists.groupBy("value").agg(F.min("id").alias("b"))
+    groups = connected_components(lists.join(hubs, "value").select(F.col("id").alias("a"), "b").distinct())
+    members = materialize(
+        lists.select("id", "n", "label").distinct()
+        .join(groups.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"),
+        "long-list-members",
+    )
+    major = (
+        members.groupBy("cluster", "label").agg(F.count("*").alias("rows"))
+        .groupBy("cluster")
+        .agg(F.max(F.struct("rows", "label")).alias("top"), F.sum("rows").alias("members"))
+        .select(
+            "cluster", F.col("top.label").alias("major"),
+            F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"),
+            F.ceil((F.col("members") - F.col("top.rows")) / BLOCK).cast("int").alias("outside_blocks"),
+        )
+        .filter("outside_blocks > 0")
+    )
+    own_sketch = _only(sketched, members.select("id").distinct()).dropDuplicates(["id", "same"]).select("id", "sketch")
+    placed = members.join(major, "cluster").join(own_sketch, "id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    columns = ["id", "n", "label", "major", "sketch"]
+    first = placed.filter("label != major").select(
+        "cluster", own("outside_blocks").alias("i"), every("blocks").alias("j"), F.lit(True).alias("outside"), *columns
+    )
+    second = placed.select(
+        "cluster", every("outside_blocks").alias("i"), own("blocks").alias("j"), F.lit(False).alias("outside"), *columns
+    )
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        outside = frame["outside"].to_numpy(bool)
+        pairs = _compare_blocks(frame[outside], frame[~outside], k, nearest) if outside.any() and not outside.all() else []
+        return pd.DataFrame(pairs, columns=["a", "b"])
+
+    return first.unionByName(second).groupBy("cluster", "i", "j").applyInPandas(compare, f"a {key}, b {key}").distinct()
+
+
+def _apart(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists whose members are in several components, with each one's largest component."""
+    linked = connected_components(links).withColumnRenamed("node", "id")
+    label = F.coalesce("component", "id").alias("label")
+    labelled = materialize(lists.join(linked, "id", "left").select("value", "id", "n", label), "labelled-lists")
+    largest = (
+        labelled.groupBy("value", "label").agg(F.count("*").alias("rows"))
+        .groupBy("value")
+        .agg(
+            F.max(F.struct("rows", "label")).alias("top"), F.count("*").alias("labels"),
+            F.sum("rows").alias("members"),
+        )
+        .filter("labels > 1")
+        .select("value", F.col("top.label").alias("major"), "members")
+    )
+    return materialize(labelled.join(largest, "value"), "split-lists")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, k: int = SKETCH) -> DataFrame:
@@ -172,14 +334,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, k: int = SKETCH
     own = docs.select("doc_id", "text")
     made = materialize(sketches(own, width, k), "sketches")
     named = made.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    # One row for each set: any of its rows will do, they hold the same sketch.
+    # One id for each set.
     distinct = materialize(
-        named.groupBy("same").agg(
-            F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
-        ),
-        "distinct-sets",
+        named.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")), "distinct-sets"
     )
-    lists = materialize(_inverted(distinct), "inverted-lists")
+    sketched = named.select(F.col("doc_id").alias("id"), "n", "same", "sketch")
+    lists = materialize(_inverted(_only(sketched, distinct.select("id", "same"), ["id", "same"]), k), "inverted-lists")
     hubs = lists.groupBy("value").agg(F.min(F.struct("id", "n")).alias("hub")).select(
         "value", F.col("hub.id").alias("a"), F.col("hub.n").alias("_n")
     )
@@ -190,37 +350,23 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, k: int = SKETCH
         .distinct()
     )
     first_pairs = materialize(with_hub, "hub-pairs")
-    first_links = _confirmed(first_pairs, distinct, own, width)
-    linked = connected_components(first_links)
-
-    label = F.coalesce("component", "id")
-    labelled = materialize(
-        lists.join(linked.withColumnRenamed("node", "id"), "id", "left").select("value", "id", "n", label.alias("label")),
-        "labelled-lists",
-    )
-    largest = (
-        labelled.groupBy("value", "label").agg(F.count("*").alias("rows"))
-        .groupBy("value")
-        .agg(F.max(F.struct("rows", "label")).alias("top"), F.count("*").alias("labels"))
-        .filter("labels > 1")
-        .select("value", F.col("top.label").alias("major"))
-    )
-    split_lists = labelled.join(largest, "value")
-    outside = split_lists.filter(F.col("label") != F.col("major")).drop("major")
-    member = split_lists.select(
-        "value", F.col("id").alias("b"), F.col("n").alias("_n"), F.col("label").alias("_label"), "major"
-    )
-    rest = (
-        outside.join(member, "value")
-        .filter(F.col("label") != F.col("_label"))
-        .filter((F.col("_label") == F.col("major")) | (F.col("id") < F.col("b")))
-        .filter(_similar_size("n", "_n"))
-        .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-        .distinct()
-        .join(first_pairs, ["a", "b"], "left_anti")
-    )
-    more_links = _confirmed(materialize(rest, "rest-pairs"), distinct, own, width)
-    components = connected_components(first_links.unionByName(more_links))
+    first_links = _confirmed(first_pairs, sketched, own, width, k)
+    links = first_links
+    apart = _apart(lists, links)
+    long_lists = apart.filter(F.col("members") > SHORT_LIST)
+    if not long_lists.isEmpty():
+        # Most outsiders of a large group have a partner among those most alike; once
+        # they are linked, few pairs are left to be refused one by one.
+        likely = materialize(_rest_of_long(long_lists, sketched, k, NEAREST), "nearest-pairs")
+        links = links.unionByName(_confirmed(likely, sketched, own, width, k))
+        apart = _apart(lists, links)
+        long_lists = apart.filter(F.col("members") > SHORT_LIST)
+    rest = _rest_of_short(apart.filter(F.col("members") <= SHORT_LIST))
+    if not long_lists.isEmpty():
+        rest = rest.unionByName(_rest_of_long(long_lists, sketched, k)).distinct()
+    rest = materialize(rest.join(first_pairs, ["a", "b"], "left_anti"), "rest-pairs")
+    more_links = _confirmed(rest, sketched, own, width, k)
+    components = connected_components(links.unionByName(more_links))
 
     of_set = distinct.join(components.withColumnRenamed("node", "id"), "id", "left").select(
         "same", F.coalesce("component", "id").alias("_of_set")
