@@ -4,6 +4,8 @@ Every language has a probability for each piece of a fixed public vocabulary of
 strings. A word's probability is the sum over all ways to cut it into pieces, which
 the forward algorithm gives in one pass; the pieces' probabilities are fitted by
 expectation maximisation over the same sums, on a sample of stated size per language.
+Every piece of the vocabulary counts, and a word of any length is one word: it is read
+in stretches, and the sums as far back as the longest piece go on into the next one.
 A text is scored whole, word by word; each batch computes a word type once, for all
 languages and many words together.
 """
@@ -28,11 +30,15 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 TRAINING_DOCS = 500
 ROUNDS = 4
 SMOOTHING = 0.1
-# Longest piece used, and the longest stretch of bytes cut as one word.
-PIECE_BYTES = 12
-WORD_BYTES = 48
+# Bytes of the vocabulary's longest piece, and of a stretch looked up at once. Neither
+# changes a result.
+PIECE_BYTES = 33
+STRETCH_BYTES = 48
 UNKNOWN = "und"
+# Words at once, and bytes of words whose sums are all kept during the fit.
 _CHUNK = 4096
+_CELLS = 1 << 18
+_FILTER_BITS = 16
 _TEXTS_AT_ONCE = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 REMEMBERED = 400_000
@@ -41,10 +47,9 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def read_pieces(path: str) -> list[bytes]:
-    """The vocabulary's byte strings up to the longest length used, in rank order."""
+    """All byte strings of the vocabulary, in rank order, and the single bytes it lacks."""
     with open(path, "rb") as file:
-        pieces = (base64.b64decode(line.split()[0]) for line in file if line.strip())
-        known = [p for p in pieces if len(p) <= PIECE_BYTES]
+        known = [base64.b64decode(line.split()[0]) for line in file if line.strip()]
     single = {bytes([b]) for b in range(256)}
     return known + sorted(single - set(known))
 
@@ -53,10 +58,9 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def _as_bytes(word: str) -> list[bytes]:
-    """A word with the space before it, in stretches of bounded length."""
-    raw = (" " + word).encode("utf-8", "replace")
-    return [raw[i : i + WORD_BYTES] for i in range(0, len(raw), WORD_BYTES)]
+def _as_bytes(word: str) -> bytes:
+    """A word with the space before it."""
+    return (" " + word).encode("utf-8", "replace")
 
 
 class Segmenter:
@@ -65,6 +69,9 @@ class Segmenter:
     def __init__(self, pieces: list[bytes]):
         self.size = len(pieces)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # By length, whether a piece's hash may begin with these bits.
+        self.likely: dict[int, np.ndarray] = {}
+        self.shift = np.uint64(64 - _FILTER_BITS)
         by_length: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             by_length.setdefault(len(piece), []).append(i)
@@ -73,6 +80,9 @@ class Segmenter:
             keys = self._prefixes(table)[:, -1]
             order = np.argsort(keys)
             self.tables[length] = (keys[order], np.array(ids, dtype=np.int64)[order])
+            self.likely[length] = np.zeros(1 << _FILTER_BITS, dtype=bool)
+            self.likely[length][keys >> self.shift] = True
+        self.longest = max(self.tables)
         self.power = {n: np.uint64(pow(int(_BASE), n, 2**64)) for n in self.tables}
 
     @staticmethod
@@ -84,78 +94,133 @@ class Segmenter:
                 out[:, t + 1] = out[:, t] * _BASE + (table[:, t].astype(np.uint64) + np.uint64(1))
         return out
 
-    def lattice(self, words: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-        """Word lengths, and by piece length the piece (-1: none) that starts at each place."""
+    def matches(self, words: list[bytes], start: int, stop: int) -> list[tuple[np.ndarray, ...]]:
+        """The pieces that end after byte ``start`` and up to ``stop``, by their end.
+
+        One entry for each end: words, in order, the places where the pieces begin, and
+        the pieces. A piece may begin before the stretch.
+        """
         lengths = np.array([len(w) for w in words])
-        width = int(lengths.max())
-        table = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
-        prefixes, found = self._prefixes(table), {}
+        stop = min(stop, int(lengths.max()))
+        base = max(0, start + 1 - self.longest)
+        rows = b"".join(w[base:stop].ljust(stop - base, b"\0") for w in words)
+        prefixes = self._prefixes(np.frombuffer(rows, np.uint8).reshape(len(words), stop - base)).T.copy()
+        found = []
         for n, (keys, ids) in sorted(self.tables.items()):
-            if n > width:
+            first, last = max(base, start + 1 - n) - base, stop - n - base
+            if last < first:
                 continue
             with np.errstate(over="ignore"):
-                hashes = prefixes[:, n:] - prefixes[:, :-n] * self.power[n]
+                hashes = prefixes[first + n : last + n + 1] - prefixes[first : last + 1] * self.power[n]
+            begin, word = np.nonzero(self.likely[n][hashes >> self.shift])
+            hashes = hashes[begin, word]
             at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            inside = np.arange(n, width + 1)[None, :] <= lengths[:, None]
-            found[n] = np.where((keys[at] == hashes) & inside, ids[at], -1)
-        return lengths, found
+            begin += first + base
+            good = (keys[at] == hashes) & (begin + n <= lengths[word])
+            found.append((begin[good] + n, word[good], begin[good], ids[at[good]]))
+        end, word, begin, piece = (np.concatenate(part) for part in zip(*found))
+        order = np.argsort(end * len(words) + word, kind="stable")
+        bounds = np.searchsorted(end[order], np.arange(start + 1, stop + 2))
+        columns = word[order], begin[order], piece[order]
+        return [tuple(c[i:j] for c in columns) for i, j in zip(bounds[:-1], bounds[1:])]
 
-    def forward(self, lattice, chance: np.ndarray) -> np.ndarray:
-        """Sums over the segmentations of every prefix; ``chance`` is pieces by languages.
+    @staticmethod
+    def forward(found, sums: np.ndarray, start: int, base: int, logs: np.ndarray) -> None:
+        """Log sums over the segmentations of the prefixes that end in one stretch.
 
-        A last row of zeros in ``chance`` stands for no piece.
+        ``sums`` has rows by prefix length from ``base`` on, words in order of their
+        length, and languages; ``logs`` has pieces by languages.
         """
-        lengths, found = lattice
-        width = int(lengths.max())
-        sums = np.zeros((width + 1, len(lengths), chance.shape[1]))
-        sums[0] = 1.0
-        for t in range(1, width + 1):
-            for n, ids in found.items():
-                if n <= t:
-                    sums[t] += sums[t - n] * chance[ids[:, t - n]]
-        return sums
+        for end, (word, begin, piece) in enumerate(found, start + 1):
+            # Every single byte is a piece, so the words that reach this end are the last ones.
+            value = sums[begin - base, word] + logs[piece]
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            most = np.maximum.reduceat(value, first)
+            total = np.add.reduceat(np.exp(value - most[word - word[0]]), first)
+            sums[end - base, word[0] :] = most + np.log(total)
 
     def log_chance(self, words: list[bytes], chance: np.ndarray) -> np.ndarray:
         """Log probability of every word in every language."""
-        out = np.empty((len(words), chance.shape[1]))
+        out = np.zeros((len(words), chance.shape[1]))
+        logs = _log(chance)
         order = np.argsort([len(w) for w in words], kind="stable")
-        for start in range(0, len(words), _CHUNK):
-            some = order[start : start + _CHUNK]
-            lattice = self.lattice([words[i] for i in some])
-            sums = self.forward(lattice, chance)
-            out[some] = np.log(sums[lattice[0], np.arange(len(some))])
+        for chunk in range(0, len(words), _CHUNK):
+            some = order[chunk : chunk + _CHUNK]
+            lengths = np.array([len(words[i]) for i in some])
+            some, lengths = some[lengths > 0], lengths[lengths > 0]
+            sums, base, start = np.zeros((1, len(some), chance.shape[1])), 0, 0
+            while len(some):
+                stop = min(start + STRETCH_BYTES, int(lengths[-1]))
+                # The rows as far back as a piece reaches, and those of this stretch.
+                back = max(base, start + 1 - self.longest)
+                sums = np.concatenate([sums[back - base :], np.zeros((stop - start, *sums.shape[1:]))])
+                base = back
+                self.forward(self.matches([words[i] for i in some], start, stop), sums, start, base, logs)
+                done = int(np.searchsorted(lengths, stop, side="right"))
+                out[some[:done]] = sums[lengths[:done] - base, np.arange(done)]
+                some, lengths, sums, start = some[done:], lengths[done:], sums[:, done:], stop
         return out
 
+    def _fit_chunks(self, words: list[bytes]) -> Iterator[np.ndarray]:
+        """Places of words in order of length, few enough that all their sums are kept."""
+        order = [i for i in sorted(range(len(words)), key=lambda i: len(words[i])) if words[i]]
+        chunk: list[int] = []
+        for i in order:
+            if chunk and (len(chunk) == _CHUNK or (len(chunk) + 1) * len(words[i]) > _CELLS):
+                yield np.array(chunk)
+                chunk = []
+            chunk.append(i)
+        if chunk:
+            yield np.array(chunk)
+
     def expected_counts(self, words: list[bytes], weights: np.ndarray, chance: np.ndarray) -> np.ndarray:
         """Expected uses of every piece over all segmentations, for one language."""
         counts = np.zeros(self.size)
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for start in range(0, len(words), _CHUNK):
-            some = order[start : start + _CHUNK]
-            lattice = self.lattice([words[i] for i in some])
-            lengths, found = lattice
-            ahead = self.forward(lattice, chance[:, None])[:, :, 0]
-            behind = np.zeros_like(ahead)
-            behind[lengths, np.arange(len(some))] = 1.0
-            share = weights[some] / ahead[lengths, np.arange(len(some))]
-            for t in range(int(lengths.max()), 0, -1):
-                for n, ids in found.items():
-                    if n <= t:
-                        piece = ids[:, t - n]
-                        use = chance[piece] * behind[t]
-                        behind[t - n] += use
-                        counts += np.bincount(piece + 1, use * ahead[t - n] * share, self.size + 1)[1:]
+        logs = _log(chance)
+        for some in self._fit_chunks(words):
+            chunk, weight = [words[i] for i in some], weights[some]
+            lengths, places = np.array([len(w) for w in chunk]), np.arange(len(chunk))
+            width = int(lengths[-1])
+            ahead = np.zeros((width + 1, len(chunk), 1))
+            starts = range(0, width, STRETCH_BYTES)
+            for start in starts:
+                # A stretch is looked up for the words that reach it.
+                from_word = int(np.searchsorted(lengths, start, side="right"))
+                found = self.matches(chunk[from_word:], start, start + STRETCH_BYTES)
+                self.forward(found, ahead[:, from_word:], start, 0, logs[:, None])
+            ahead = ahead[:, :, 0]
+            behind = np.full_like(ahead, -np.inf)
+            behind[lengths, places] = 0.0
+            whole = ahead[lengths, places]
+            for start in reversed(starts):
+                if start != starts[-1]:
+                    from_word = int(np.searchsorted(lengths, start, side="right"))
+                    found = self.matches(chunk[from_word:], start, start + STRETCH_BYTES)
+                for end in range(start + len(found), start, -1):
+                    word, begin, piece = found[end - start - 1]
+                    word = word + from_word
+                    value = behind[end, word] + logs[piece]
+                    behind[begin, word] = np.logaddexp(behind[begin, word], value)
+                word, begin, piece = (np.concatenate(part) for part in zip(*found))
+                word = word + from_word
+                end = np.repeat(np.arange(start + 1, start + len(found) + 1), [len(f[0]) for f in found])
+                use = np.exp(ahead[begin, word] + logs[piece] + behind[end, word] - whole[word])
+                counts += np.bincount(piece, use * weight[word], self.size)
         return counts
 
 
+def _log(chance: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(chance)
+
+
 def _fit_language(segmenter: Segmenter, words: Iterable[str], counts: Iterable[float]) -> np.ndarray:
     """Piece probabilities of one language by expectation maximisation."""
-    stretches: Counter = Counter()
+    uses_of: Counter = Counter()
     for word, n in zip(words, counts):
-        for part in _as_bytes(word):
-            stretches[part] += n
-    parts = sorted(stretches)
-    weights = np.array([stretches[p] for p in parts], dtype=np.float64)
+        uses_of[_as_bytes(word)] += n
+    parts = sorted(uses_of)
+    weights = np.array([uses_of[p] for p in parts], dtype=np.float64)
     chance = np.append(np.full(segmenter.size, 1.0 / segmenter.size), 0.0)
     for _ in range(ROUNDS if parts else 0):
         uses = segmenter.expected_counts(parts, weights, chance) + SMOOTHING
@@ -219,14 +284,9 @@ class Scorer:
         self.table = np.zeros((REMEMBERED, len(languages)), dtype=np.float32)
 
     def _learn(self, words: list[str]) -> None:
-        stretches, owner = [], []
-        for i, word in enumerate(words):
-            parts = _as_bytes(word)
-            stretches += parts
-            owner += [i] * len(parts)
-        logs = self.segmenter.log_chance(stretches, self.chance)
-        total = np.zeros((len(words), len(self.languages)))
-        np.add.at(total, np.array(owner), logs)
+        logs = self.segmenter.log_chance([_as_bytes(word) for word in words], self.chance)
+        # Only differences count; they are small where a long word's own logs are not.
+        total = logs - logs.max(axis=1, keepdims=True)
         start = len(self.row)
         need = start + len(words)
         if need > len(self.table):

@@ -1,5 +1,6 @@
 """The forward algorithm against all segmentations, and predictions."""
 
+import base64
 import itertools
 
 import numpy as np
@@ -85,3 +86,36 @@ def test_held_out_accuracy(spark, sf):
     languages, chance = langid.train(docs, ~langid.held_out())
     tested = langid.predict_language(docs, languages, chance).filter(langid.held_out())
     assert tested.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
+
+
+def test_every_piece_of_the_vocabulary_is_used():
+    path = tokenizer_path(langid.VOCABULARY)
+    with open(path, "rb") as file:
+        whole = {base64.b64decode(line.split()[0]) for line in file if line.strip()}
+    assert whole <= set(langid.read_pieces(path)) and max(map(len, whole)) == langid.PIECE_BYTES
+
+
+def test_long_words_are_summed_whole():
+    """Words of several stretches, and pieces across their bounds, against the plain recurrence."""
+    pieces = PIECES + [b"ab" * 8, b"ba" * 16 + b"b"]
+    rnd = np.random.default_rng(2)
+    chance = rnd.random((len(pieces), 2))
+    chance /= chance.sum(axis=0)
+    words = [b"ab" * 60, b"xab" * 11, b" the" * 500, b"ba" * 300, b"a", bytes(range(256)), b"the" * 16]
+    segmenter = langid.Segmenter(pieces)
+    logs = segmenter.log_chance(words, np.vstack([chance, np.zeros(2)]))
+    want = np.array([[plain_log_sum(word, pieces, chance[:, lang]) for lang in (0, 1)] for word in words])
+    assert np.allclose(logs, want, rtol=1e-10)
+    # Each byte of a word lies in one piece of any segmentation.
+    weights = np.arange(1.0, len(words) + 1)
+    counts = segmenter.expected_counts(words, weights, np.append(chance[:, 0], 0.0))
+    assert np.isclose(counts @ [len(p) for p in pieces], weights @ [len(w) for w in words])
+    assert langid._as_bytes("\u0e01" * 100) == (" " + "\u0e01" * 100).encode()
+
+
+def plain_log_sum(word, pieces, chance):
+    known, sums = dict(zip(pieces, np.log(chance))), [0.0]
+    for t in range(1, len(word) + 1):
+        cuts = [n for n in range(1, t + 1) if word[t - n : t] in known]
+        sums.append(np.logaddexp.reduce([sums[t - n] + known[word[t - n : t]] for n in cuts]))
+    return sums[-1]
