@@ -1,18 +1,20 @@
 """Operator 4: repeated runs of lines, found by prefix doubling over line numbers.
 
-Every line becomes a number: its rank among the lines that occur more than once. Lines
-that occur once break a run and leave at the start, which is nearly all of them.
-The suffixes of a document's line sequence are then ranked by their first line, two
-lines, four lines and so on; a round ranks pairs of ranks, as in the construction of
+A line with several sentences is as many units, so that a passage may begin and end
+inside a line; every other line is one unit. Every unit becomes a number: its rank among
+the units that occur more than once. Units that occur once break a run and leave at the
+start, which is nearly all of them.
+The suffixes of a document's unit sequence are then ranked by their first unit, two
+units, four units and so on; a round ranks pairs of ranks, as in the construction of
 a suffix array, with ranks taken by distributed sorting. Suffixes of one rank
 after k rounds are an interval of the suffix array whose longest common prefix is
-at least 2**k lines. A run of any length between two powers is the pair of the
+at least 2**k units. A run of any length between two powers is the pair of the
 ranks at its start and at its end less the power, so its interval needs no further
 sorting: suffixes with equal pairs share the run.
 
-A run matters when it has ``min_words`` words. For every line the shortest such
+A run matters when it has ``min_words`` words. For every unit the shortest such
 run that starts there and the shortest that ends there are looked up; together they
-cover exactly the lines of all maximal repeated runs of that many words. The first
+cover exactly the units of all maximal repeated runs of that many words. The first
 copy in corpus order stays, later ones are deleted.
 
 All of it is DataFrame expressions.
@@ -26,55 +28,83 @@ from mixloom.llm.common import let, number_rows, word_count
 from mixloom.session import materialize
 
 MIN_WORDS = 50
+# Where a sentence begins inside a line: after an end mark, a closing quote or bracket if
+# any, and blanks, or right after a full-width mark.
+SENTENCE_START = r"(?:(?<=[.!?\u2026][\"'\u201d\u2019)\]]?[ \t]{1,2})|(?<=[\u3002\uff01\uff1f]))(?=\S)"
 
 
 def _key() -> Column:
     return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
 
 
-def document_lines(docs: DataFrame) -> DataFrame:
-    """``key, doc_id, line, words, h1, h2`` of every line that has a word.
+def _units(text: Column) -> Column:
+    """Lines cut at sentence starts, ``line, text`` each; a line's units make it up unchanged.
 
-    ``line`` counts all lines of a text from 0; ``key`` is a hash of the id and the
-    text, so rows alike in both are one document and NULL ids have a key too. Two
-    64-bit hashes stand for the line without the white space around it.
+    A cut is followed by a character that is no white space, so of a line with a word
+    every unit has one.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select(
-        _key().alias("key"), "doc_id", F.posexplode(F.split(text, "\n")).alias("line", "_text")
+    def of_line(line: Column, i: Column) -> Column:
+        return F.transform(
+            F.split(line, SENTENCE_START), lambda unit: F.struct(i.alias("line"), unit.alias("text"))
+        )
+
+    return F.flatten(F.transform(F.split(text, "\n"), of_line))
+
+
+def document_units(docs: DataFrame) -> DataFrame:
+    """``key, doc_id, nth, unit, line, words, h1, h2`` of every unit that has a word.
+
+    ``line`` and ``unit`` count all lines and units of a text from 0, ``nth`` those that
+    have a word; ``key`` is a hash of the id and the text, so rows alike in both are one
+    document and NULL ids have a key too. Two 64-bit hashes stand for the unit without
+    the white space around it.
+    """
+    trimmed = F.transform(
+        _units(F.coalesce(F.col("text"), F.lit(""))),
+        lambda u, i: F.struct(
+            u["line"].alias("line"), i.alias("unit"), F.btrim(u["text"], F.lit(" \t\x0b\x0c\r")).alias("_text")
+        ),
     )
-    trimmed = lines.withColumn("_text", F.btrim("_text", F.lit(" \t\x0b\x0c\r")))
-    return trimmed.filter("_text != ''").select(
-        "key", "doc_id", "line", word_count(F.col("_text")).cast("int").alias("words"),
+    units = docs.select(
+        _key().alias("key"), "doc_id", F.posexplode(F.filter(trimmed, lambda u: u["_text"] != "")).alias("nth", "_unit")
+    ).select("key", "doc_id", "nth", "_unit.*")
+    return units.select(
+        "key", "doc_id", "nth", "unit", "line", word_count(F.col("_text")).cast("int").alias("words"),
         F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(1), "_text").alias("h2"),
     )
 
 
-def _ranked_lines(lines: DataFrame) -> DataFrame:
-    """The lines that occur more than once, with their rank among these."""
-    repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    ranks = number_rows(repeated, "h1", "h2", name="line-ranks")
-    return lines.join(ranks, ["h1", "h2"]).drop("h1", "h2").withColumnRenamed("_number", "rank")
+def _ranked_units(docs: DataFrame) -> DataFrame:
+    """The units that occur more than once, with their rank among these."""
+    units = materialize(document_units(docs), "units")
+    often = units.groupBy("h1").agg(F.count("*").alias("_n")).filter("_n > 1").select("h1")
+    # Rows alike in id and text are one document, so that they get the same units. They
+    # are told apart from repeated units once those that occur in one row are gone.
+    known = materialize(materialize(units.join(often, "h1", "left_semi"), "recurring").distinct(), "recurring-once")
+    repeated = known.groupBy("h1", "h2").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    ranks = number_rows(repeated, "h1", "h2", name="unit-ranks")
+    return known.join(ranks, ["h1", "h2"]).drop("h1", "h2").withColumnRenamed("_number", "rank")
 
 
 def _candidate_runs(ranked: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """Positions inside stretches that are long enough, and the runs to look up.
 
-    Positions (``key, stretch, at, doc_id, line, rank``) number the lines of a
-    stretch of neighbouring repeated lines. Runs are ``key, stretch, doc_id, start,
+    Positions (``key, stretch, at, doc_id, unit, line, rank``) number the units of a
+    stretch of neighbouring repeated units. Runs are ``key, stretch, doc_id, start,
     length``.
     """
-    in_doc = Window.partitionBy("key").orderBy("line")
+    in_doc = Window.partitionBy("key").orderBy("nth")
     gap = F.col("nth") - F.row_number().over(in_doc)
     stretched = ranked.withColumn("stretch", gap)
     key = ["key", "stretch"]
-    in_stretch = Window.partitionBy(*key).orderBy("line")
+    in_stretch = Window.partitionBy(*key).orderBy("nth")
     counted = stretched.withColumns({
         "at": F.row_number().over(in_stretch) - 1,
         "after": F.sum("words").over(in_stretch.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"),
-    }).withColumn("before", F.col("after") - F.col("words"))
-    # Lines that start within the words wanted, or that end within them: every line has
-    # a word, so a frame holds at most min_words lines.
+        "whole": F.sum("words").over(Window.partitionBy(*key)),
+    }).withColumn("before", F.col("after") - F.col("words")).filter(F.col("whole") >= min_words)
+    # Units that start within the words wanted, or that end within them: every unit has
+    # a word, so a frame holds at most min_words units.
     ahead = Window.partitionBy(*key).orderBy("before").rangeBetween(0, min_words - 1)
     behind = Window.partitionBy(*key).orderBy("after").rangeBetween(-(min_words - 1), 0)
     spans = materialize(
@@ -82,7 +112,7 @@ def _candidate_runs(ranked: DataFrame, min_words: int) -> tuple[DataFrame, DataF
             "ahead": F.count("*").over(ahead), "ahead_words": F.sum("words").over(ahead),
             "behind": F.count("*").over(behind), "behind_words": F.sum("words").over(behind),
         }).select(
-            *key, "at", "doc_id", "line", "rank",
+            *key, "at", "doc_id", "unit", "line", "rank",
             F.when(F.col("ahead_words") >= min_words, F.col("ahead")).alias("ahead"),
             F.when(F.col("behind_words") >= min_words, F.col("behind")).alias("behind"),
         ),
@@ -94,11 +124,11 @@ def _candidate_runs(ranked: DataFrame, min_words: int) -> tuple[DataFrame, DataF
     backward = spans.filter("behind is not null").select(
         *key, "doc_id", (F.col("at") - F.col("behind") + 1).alias("start"), F.col("behind").alias("length")
     )
-    return spans.select(*key, "at", "doc_id", "line", "rank"), forward.unionByName(backward).distinct()
+    return spans.select(*key, "at", "doc_id", "unit", "line", "rank"), forward.unionByName(backward).distinct()
 
 
 def _doubled(ranks: DataFrame, key: list[str], step: int) -> DataFrame:
-    """Ranks by twice as many lines; suffixes alone in their rank leave."""
+    """Ranks by twice as many units; suffixes alone in their rank leave."""
     following = Window.partitionBy(*key).orderBy("at").rangeBetween(step, step)
     pairs = ranks.withColumn("second", F.first("rank").over(following)).filter("second is not null")
     repeated = pairs.groupBy("rank", "second").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
@@ -108,20 +138,17 @@ def _doubled(ranks: DataFrame, key: list[str], step: int) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``key, doc_id, line``: the lines of every later copy of a repeated run.
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``key, doc_id, unit, line``: the units of every later copy of a repeated run.
 
-    A run is a sequence of neighbouring lines of one document, lines without a word
+    A run is a sequence of neighbouring units of one document, units without a word
     left out. It counts when it has at least ``min_words`` words and the same sequence
     occurs earlier: in a document with a smaller ``doc_id`` (NULL first), or in the
     same one further up, where the two may overlap.
     """
     if min_words < 1:
         raise ValueError(f"min_words={min_words} must be at least 1")
-    # Rows alike in id and text are one document, so that they get the same lines.
-    lines = materialize(document_lines(docs).distinct(), "lines")
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("line"))
-    positions, runs = _candidate_runs(_ranked_lines(lines.withColumn("nth", nth)), min_words)
+    positions, runs = _candidate_runs(_ranked_units(docs), min_words)
     key = ["key", "stretch"]
     runs = materialize(
         runs.withColumn("power", F.floor(F.log2(F.col("length").cast("double"))).cast("int")), "runs"
@@ -129,7 +156,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     deepest = runs.agg(F.max("power")).first()[0]
     same = [*key, "doc_id", "start", "length"]
     if deepest is None:
-        return lines.select("key", "doc_id", "line").limit(0)
+        return positions.select("key", "doc_id", "unit", "line").limit(0)
     keyed, ranks = None, positions.select(*key, "at", "rank")
     for power in range(deepest + 1):
         if power:
@@ -145,35 +172,49 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     interval = ["length", "head", "tail"]
     first = keyed.groupBy(*interval).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     later = keyed.join(first.drop("_n"), interval).filter(~place.eqNullSafe(F.col("_first")))
-    covered = later.select(*key, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at"))
-    return materialize(
-        covered.distinct().join(positions.select(*key, "at", "doc_id", "line"), [*key, "at"]).select("key", "doc_id", "line"),
-        "later-copies",
-    )
+    # A unit is covered when a run that starts at it or before it reaches beyond it.
+    reach = later.groupBy(*key, F.col("start").alias("at")).agg(F.max(F.col("start") + F.col("length")).alias("reach"))
+    so_far = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    places = positions.select(*key, "at", "doc_id", "unit", "line").join(reach, [*key, "at"], "left")
+    covered = places.withColumn("reach", F.max("reach").over(so_far)).filter("reach > at")
+    return materialize(covered.select("key", "doc_id", "unit", "line"), "later-copies")
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``key, doc_id, line``: the lines that lie, as a whole or in part, in a later copy."""
+    return repeated_units(docs, min_words).select("key", "doc_id", "line").distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the later copies of repeated runs, all columns kept.
 
-    Adds ``lines_deleted``. Other lines stay as they are, blank ones too; a text that
-    loses nothing is unchanged, NULL stays NULL, and a text that was a copy as a
-    whole becomes empty. Rows alike in ``doc_id`` and ``text`` are one document and
-    change alike; a NULL ``doc_id`` comes first in the order. Line ends are line
-    feeds. An ``n_chars`` column is counted anew. An empty table gives an empty result.
+    Adds ``lines_deleted``, the lines that went or lost sentences. What is left stays as it
+    is, blank lines too; a text that loses nothing is unchanged, NULL stays NULL, and a
+    text that was a copy as a whole becomes empty. Rows alike in ``doc_id`` and ``text``
+    are one document and change alike; a NULL ``doc_id`` comes first in the order. Line
+    ends are line feeds. An ``n_chars`` column is counted anew. An empty table gives an
+    empty result.
     """
-    gone = repeated_lines(docs, min_words).groupBy(F.col("key").alias("_key")).agg(
-        F.collect_set("line").alias("_gone")
+    gone = repeated_units(docs, min_words).groupBy(F.col("key").alias("_key")).agg(
+        F.collect_set("unit").alias("_gone"), F.size(F.collect_set("line")).alias("_lines")
     )
     joined = docs.withColumn("_key", _key()).join(gone, "_key", "left")
 
-    def without_gone(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    def kept(units: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), F.col("_gone"))
+        return F.transform(places, lambda i: F.get(units, i))
+
+    def in_lines(units: Column) -> Column:
+        new_line = lambda u, j: (j > 0) & (F.get(units, j - 1)["line"] != u["line"])
+        return F.array_join(
+            F.transform(units, lambda u, j: F.concat(F.when(new_line(u, j), "\n").otherwise(""), u["text"])), ""
+        )
 
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), without_gone))
-    own = {"text": text, "lines_deleted": F.coalesce(F.size("_gone"), F.lit(0))}
+    left = let(let(_units(F.col("text")), kept), in_lines)
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
+    own = {"text": text, "lines_deleted": F.coalesce(F.col("_lines"), F.lit(0))}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(
             docs.schema["n_chars"].dataType
         )
-    return joined.withColumns(own).drop("_gone", "_key")
+    return joined.withColumns(own).drop("_gone", "_lines", "_key")

@@ -64,3 +64,40 @@ def test_repeated_rows_null_keys_and_empty_tables(spark):
     assert linededup.drop_repeated_lines(docs.limit(0)).collect() == []
     with pytest.raises(ValueError):
         linededup.repeated_lines(docs, 0)
+
+
+@pytest.mark.parametrize("min_words, seed", [(4, 3), (8, 5)])
+def test_passages_inside_lines(spark, min_words, seed):
+    """Lines of several sentences against the comparison of all positions, a sentence a line."""
+    rnd = random.Random(seed)
+    sentences = ["a b. ", "c d e! ", "f?  ", 'g "h i." ', "j k", "\u4e00\u4e8c\u3002"]
+    texts = []
+    for i in range(20):
+        lines = [[rnd.choice(sentences) for _ in range(rnd.randint(2, 14))] for _ in range(rnd.randint(1, 5))]
+        texts.append((i, [line[: [*map(str.strip, line), "j k"].index("j k") + 1] for line in lines]))
+    docs = spark.createDataFrame(
+        [(i, "\n".join("".join(line) for line in lines)) for i, lines in texts], "doc_id long, text string"
+    )
+    flat = [(i, "\n".join(unit for line in lines for unit in line)) for i, lines in texts]
+    gone = plain(flat, min_words)
+    assert any(gone.values())
+    cut_inside = False
+    got = {r["doc_id"]: r for r in linededup.drop_repeated_lines(docs, min_words).collect()}
+    for i, lines in texts:
+        left, hit, at = [], 0, 0
+        for line in lines:
+            kept = [u for n, u in enumerate(line) if at + n not in gone[i]]
+            at += len(line)
+            hit += len(kept) < len(line)
+            cut_inside |= 0 < len(kept) < len(line)
+            left += ["".join(kept)] if kept else []
+        assert (got[i]["text"], got[i]["lines_deleted"]) == ("\n".join(left), hit)
+    assert cut_inside
+
+
+def test_benchmark_passage_in_the_middle_of_a_line(spark):
+    passage = " ".join(f"Sentence {i} has words in it." for i in range(12))
+    rows = [(1, f"First here. {passage} Then more."), (2, f"Other start! {passage} Other end.\nlast line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r["doc_id"]: (r["text"], r["lines_deleted"]) for r in linededup.drop_repeated_lines(docs).collect()}
+    assert texts == {1: (rows[0][1], 0), 2: ("Other start! Other end.\nlast line", 1)}
