@@ -9,6 +9,8 @@ bounded group plus the position inside the group.
 from __future__ import annotations
 
 import math
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -113,30 +115,48 @@ def _first_k(df: DataFrame, value: Column, tie: Column, cut: Cut, k: int) -> Col
     return (value < cut.value) | ((value == cut.value) & among)
 
 
-# Bytes of a text that make one whole number, and the numbers tried before rows are
-# told apart by their hash.
+# Bytes of a text that make one whole number.
 PREFIX_BYTES = 7
-PREFIXES = 64
 
 
-def _order_values(df: DataFrame, key: str) -> list[Column]:
-    """Whole numbers that order the rows by their key, one after another, none of them NULL.
+def _text_value(rest: DataFrame, key: str) -> Column | None:
+    """A whole number in the order of the rows' text keys that tells some apart; None if all are alike.
 
-    First NULL or not, then the number itself or the text's bytes a few at a time. What
-    is still equal has one key as far as looked at; a hash of the row decides.
+    All keys begin with what the least and the greatest share; the bytes after that count.
     """
-    column, kind = F.col(key), df.schema[key].dataType
-    values = [column.isNotNull().cast("bigint")]
-    if isinstance(kind, T.IntegralType):
-        values.append(F.coalesce(column.cast("bigint"), F.lit(0)))
-    elif isinstance(kind, T.StringType):
-        raw = F.coalesce(column, F.lit("")).cast("binary")
-        for i in range(PREFIXES):
-            piece = F.rpad(F.hex(F.substring(raw, i * PREFIX_BYTES + 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
-            values.append(F.conv(piece, 16, 10).cast("bigint"))
-    else:
-        raise TypeError(f"rows cannot be cut by a key of type {kind.simpleString()}")
-    return values
+    raw = F.coalesce(F.col(key), F.lit("")).cast("binary")
+    ends = rest.agg(F.min(raw).alias("low"), F.max(raw).alias("high")).first()
+    if ends["low"] == ends["high"]:
+        return None
+    shared = len(os.path.commonprefix([bytes(ends["low"]), bytes(ends["high"])]))
+    if shared == len(ends["low"]):
+        return (F.octet_length(raw) > shared).cast("bigint")
+    piece = F.rpad(F.hex(F.substring(raw, shared + 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
+    return F.conv(piece, 16, 10).cast("bigint")
+
+
+def _cuts(df: DataFrame, key: str, k: int, last: bool = False) -> Iterator[tuple[Column, Cut | None]]:
+    """Whole numbers, none of them NULL, and where the first or last k rows end in each.
+
+    First NULL or not, then the number itself or bytes of the text, as often as rows on the
+    cut still differ in their key. Each number is for the rows on all earlier cuts.
+    """
+    def values() -> Iterator[Column]:
+        yield F.col(key).isNotNull().cast("bigint")
+        if _is_whole(df, key):
+            yield F.coalesce(F.col(key).cast("bigint"), F.lit(0))
+        else:
+            while (value := _text_value(rest, key)) is not None:
+                yield value
+
+    rest, wanted = df, k
+    for value in values():
+        turned = F.bitwise_not(value) if last else value
+        cut, _ = find_cut(rest, turned, k=wanted)
+        yield turned, cut
+        if cut is None or wanted - cut.below == cut.equal:
+            return
+        rest, wanted = rest.filter(turned == cut.value), wanted - cut.below
 
 
 def _row_hash(df: DataFrame) -> Column:
@@ -148,13 +168,16 @@ def _take(df: DataFrame, key: str, k: int, last: bool = False) -> DataFrame:
     """Exactly k rows: the first of the key order, NULLs in front, or the last.
 
     The order's numbers are cut one after another: rows below a cut are taken, those on
-    it are looked at more closely. Of rows with one key those with small hashes are
-    taken; any of rows that are the same in all columns.
+    it are looked at more closely, up to the whole key. Of rows with one key those with
+    small hashes are taken; any of rows that are the same in all columns.
     """
-    turn = F.bitwise_not if last else (lambda v: v)
     taken, rest, wanted = [], df, k
-    for value in [*map(turn, _order_values(df, key)), _row_hash(df)]:
-        cut, total = find_cut(rest, value, k=wanted)
+
+    def with_rows() -> Iterator[tuple[Column, Cut | None]]:
+        yield from _cuts(df, key, k, last)
+        yield _row_hash(df), find_cut(rest, _row_hash(df), k=wanted)[0]
+
+    for value, cut in with_rows():
         if cut is None:
             # No row, or fewer than wanted.
             return reduce(DataFrame.unionByName, [*taken, rest if wanted > 0 else rest.limit(0)])
@@ -165,6 +188,31 @@ def _take(df: DataFrame, key: str, k: int, last: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, [*taken, rest.limit(wanted)])
 
 
+def _take_ranged(df: DataFrame, key: str, k: int) -> DataFrame:
+    """Exactly the first k rows in the order of a key of any type, NULLs in front.
+
+    Rows are range partitioned by the whole key, and written with their place; rows with
+    one key are spread by their hash. One number per partition comes to the driver.
+    """
+    order = [F.col(key), F.col("_row")]
+    placed = df.withColumn("_row", _row_hash(df)).repartitionByRange(*order).sortWithinPartitions(*order)
+    low_bits = F.lit((1 << 33) - 1)
+    written = materialize(
+        placed.withColumns({
+            "_piece": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(low_bits),
+        }).drop("_row"),
+        "ordered-rows",
+    )
+    sizes = sorted((r["_piece"], r["count"]) for r in written.groupBy("_piece").count().collect())
+    within, wanted = F.lit(True), k
+    for piece, size in sizes:
+        if wanted < size:
+            within = (F.col("_piece") < piece) | ((F.col("_piece") == piece) & (F.col("_at") < wanted))
+            break
+        wanted -= size
+    return written.filter(within).drop("_piece", "_at")
+
+
 def _is_whole(df: DataFrame, key: str) -> bool:
     return isinstance(df.schema[key].dataType, T.IntegralType)
 
@@ -173,13 +221,15 @@ def head(df: DataFrame, n: int | None, key: str) -> DataFrame:
     """The first n rows in key order, NULLs first; no limit when n is None or 0.
 
     Rows that share the key at the cut are taken up to n, which ones does not matter. A
-    small n is a top-n; a large one becomes filters, so that no task holds n rows.
+    small n is a top-n; a large one becomes filters, so that no task holds n rows, for
+    whole-number and text keys; by keys of other types the rows are range partitioned.
     """
     if not n:
         return df
     if n <= DRIVER_ROWS:
         return df.orderBy(key).limit(n)
-    return _take(df, key, n)
+    cut_by_numbers = _is_whole(df, key) or isinstance(df.schema[key].dataType, T.StringType)
+    return _take(df, key, n) if cut_by_numbers else _take_ranged(df, key, n)
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -286,7 +336,7 @@ def _ordered_tail(df: DataFrame, key: str) -> tuple[Column, dict]:
     if not _is_whole(df, key):
         if not isinstance(df.schema[key].dataType, T.StringType):
             raise TypeError("an unshuffled split needs a whole-number or a text key")
-        return F.bitwise_not(_order_values(df, key)[0]), {}
+        return F.bitwise_not(F.col(key).isNotNull().cast("bigint")), {}
     # ~key is -key - 1. The smallest key has the largest number, which NULL shares.
     lowest = F.lit(2**63 - 1).cast("bigint")
     return F.coalesce(F.bitwise_not(F.col(key).cast("bigint")), lowest), {}
@@ -294,12 +344,10 @@ def _ordered_tail(df: DataFrame, key: str) -> tuple[Column, dict]:
 
 def _text_tail(df: DataFrame, key: str, k: int) -> Column:
     """Condition met by exactly the last k rows of a text key's order, NULLs in front."""
-    condition, at_cut, rest, wanted = F.lit(False), F.lit(True), df, k
-    for number in _order_values(df, key):
-        value = F.bitwise_not(number)
-        cut, _ = find_cut(rest, value, k=wanted)
+    condition, at_cut, wanted = F.lit(False), F.lit(True), k
+    for value, cut in _cuts(df, key, k, last=True):
         condition = condition | (at_cut & (value < cut.value))
-        at_cut, rest, wanted = at_cut & (value == cut.value), rest.filter(value == cut.value), wanted - cut.below
+        at_cut, wanted = at_cut & (value == cut.value), wanted - cut.below
         if wanted == cut.equal:
             return condition | at_cut
     raise ValueError("the cut falls between rows with one key; the key must identify a row")

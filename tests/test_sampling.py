@@ -159,3 +159,28 @@ def test_text_keys_are_split_in_order(spark):
     df = spark.range(40).select(F.format_string("a-rather-long-name-%05d", "id").alias("k"))
     test = sampling.split(df, "k", 0.2, shuffle=False).filter("split = 'test'").collect()
     assert sorted(r["k"] for r in test) == [f"a-rather-long-name-{i:05d}" for i in range(32, 40)]
+
+
+@pytest.mark.parametrize("n", [7, 23, 41])
+def test_head_and_split_compare_whole_text_keys(spark, monkeypatch, n):
+    monkeypatch.setattr(sampling, "DRIVER_ROWS", 5)
+    shared = "http://example.org/" + "path/" * 120
+    keys = [shared + "x" * (i // 9) + f"{i:03d}" for i in range(40)] + [shared, shared + "\0", shared + "\0\0"]
+    df = spark.createDataFrame([(k, hash(k) % 97) for k in keys], "k string, v int").repartition(3)
+    ordered = sorted(keys, key=str.encode)
+    assert sorted((r["k"] for r in sampling.head(df, n, "k").collect()), key=str.encode) == ordered[:n]
+    test = sampling.split(df, "k", n, shuffle=False).filter("split = 'test'").collect()
+    assert sorted((r["k"] for r in test), key=str.encode) == ordered[-n:]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "date", "double", "decimal(30,4)"])
+def test_large_head_by_keys_of_other_types(spark, monkeypatch, kind):
+    number = F.when(F.col("id") >= 3, F.col("id") * 7 % 100)
+    key = {"timestamp": F.timestamp_seconds(number), "date": F.date_from_unix_date(number.cast("int"))}.get(kind, number.cast(kind))
+    df = spark.range(100).select(key.alias("k"), "id").repartition(4)
+    small = [r["k"] for r in sampling.head(df, 37, "k").collect()]
+    monkeypatch.setattr(sampling, "DRIVER_ROWS", 5)
+    large = sampling.head(df, 37, "k")
+    assert large.columns == df.columns
+    assert sorted(map(str, small)) == sorted(str(r["k"]) for r in large.collect())
+    assert sampling.head(df, 1000, "k").count() == 100 and sampling.head(df.limit(0), 10, "k").count() == 0
