@@ -8,16 +8,12 @@ from mixloom.llm import bpe, langid, linededup, mixing, neardup
 from mixloom.llm.common import table
 from mixloom.session import materialize
 
-# A document goes when its language is unknown or no language has half of the posterior.
-LEAST_LANGUAGE_SCORE = 0.5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in a language that the labelled ones teach; others go."""
+    """The documents in a language that the labelled ones teach, however close; ``und`` goes."""
     languages, chance = langid.train(docs, F.lit(True))
     predicted = langid.predict_language(docs, languages, chance)
-    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return predicted.filter(known).select(*docs.columns)
+    return predicted.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

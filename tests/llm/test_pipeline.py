@@ -58,3 +58,12 @@ def test_stages(results):
     rows = results["bpe"].collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(ids(results["mixing"]))
     assert all(encoder.decode(r["ids"]) == texts[r["doc_id"]] for r in rows)
+
+
+def test_short_texts_of_close_languages_stay(spark):
+    rows = [(i, f"radio taxi hotel {word}", lang) for i, (lang, word) in
+            enumerate([("de", "und"), ("en", "and"), ("fr", "et")] * 3)]
+    rows += [(20, "radio", None), (21, "hotel taxi", None), (22, "12 %%", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, SF_DIR)
+    assert sorted(ids(kept)) == [*range(9), 20, 21]
