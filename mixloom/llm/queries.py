@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mixloom.llm import ann, bpe, fingerprints, langid, linededup, lm, mixing, neardup, sharding, toxicity
+from mixloom.llm import ann, bpe, decontaminate, fingerprints, langid, linededup, lm, mixing, neardup, sharding, toxicity
 from mixloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,33 @@ def op8_fingerprints(spark, sf_dir):
 def op6_lm_scoring(spark, sf_dir):
     scored = lm.score_documents(table(spark, sf_dir, "documents"), ~lm.held_out())
     return scored.withColumn("held_out", ~F.col("trained")).drop("trained")
+
+
+@query
+def op12_decontamination(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '{decontaminate.ITEM_WORD}')"
+
+ORACLES["op12_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_ITEM_WORDS} AS w FROM benchmark),
+windows AS (
+    SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+    FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+),
+places AS (
+    SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+    FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+),
+found AS (SELECT rid, i, n, item FROM places JOIN windows USING (n, phrase)),
+hits AS (SELECT rid, count(DISTINCT at) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS at FROM found) GROUP BY rid),
+held AS (
+    SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (rid) LEFT JOIN held USING (rid)
+"""
