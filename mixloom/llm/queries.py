@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mixloom.llm import ann, bpe, decontaminate, fingerprints, langid, linededup, lm, mixing, neardup, sharding, toxicity
+from mixloom.llm import ann, bpe, decontaminate, fingerprints, langid, linededup, lm, mixing, neardup, sharding, toxicity, turns
 from mixloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,12 @@ def op12_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op13_conversations(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return turns.conversation_reports(turns.repair_turns(turns.damage(conversations)), conversations)
+
+
 _FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '{decontaminate.ITEM_WORD}')"
 
@@ -104,7 +110,7 @@ places AS (
     FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
 ),
 found AS (SELECT rid, i, n, item FROM places JOIN windows USING (n, phrase)),
-hits AS (SELECT rid, count(DISTINCT at) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS at FROM found) GROUP BY rid),
+hits AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS pos FROM found) GROUP BY rid),
 held AS (
     SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY rid
 )
