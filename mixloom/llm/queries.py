@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mixloom.llm import ann, bpe, decontaminate, fingerprints, langid, linededup, lm, mixing, neardup, sharding, toxicity, turns
+from mixloom.llm import ann, bpe, decontaminate, fingerprints, langid, linededup, lm, mixing, neardup, sharding, spelling, toxicity, turns
 from mixloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,11 @@ def op13_conversations(spark, sf_dir):
     return turns.conversation_reports(turns.repair_turns(turns.damage(conversations)), conversations)
 
 
+@query
+def op11_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 _FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '{decontaminate.ITEM_WORD}')"
 
