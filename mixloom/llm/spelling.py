@@ -23,7 +23,7 @@ RATIO = 10
 # GROUP_WORDS is divided by STEP more code points, as often as it takes.
 PREFIX = 3
 STEP = 2
-GROUP_WORDS = 20_000
+GROUP_WORDS = 5_000
 # Word counts kept by a task before it hands them on.
 HELD_WORDS = 300_000
 
