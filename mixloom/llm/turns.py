@@ -320,10 +320,10 @@ def repair_turns(
     borders = edges.groupBy("name").applyInPandas(
         _linked, "name string, _piece int, right_vector int, state int, letter_before int, is_last boolean"
     )
-    traced = symbols.groupBy("_piece").cogroup(borders.groupBy("_piece")).applyInPandas(
+    traced = materialize(symbols.groupBy("_piece").cogroup(borders.groupBy("_piece")).applyInPandas(
         _traced(block), "_piece int, _at bigint, made string, inserted array<string>, given string, "
         "closing array<string>, illegal boolean",
-    )
+    ), "turn-edits")
     rows = ordered.select("conv_id", "turn", "role", "text", "name", "_piece", "_at").join(
         light.select("_piece", "_at", "fault"), ["_piece", "_at"]
     ).join(traced, ["_piece", "_at"])
