@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mixloom.llm.components import connected_components
 from mixloom.session import materialize
@@ -88,24 +88,32 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
 
 
+def _with_text_key(docs: DataFrame) -> DataFrame:
+    """Two hashes of the text, ``t1`` and ``t2``, which with the ``doc_id`` tell a row from all but its repetitions."""
+    return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return (a["t1"] == b["t1"]) & (a["t2"] == b["t2"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+
+
 def sketches(docs: DataFrame, width: int = SHINGLE_WORDS, k: int = SKETCH) -> DataFrame:
-    """``doc_id``, set size ``n``, digest of the set ``same`` and ``sketch`` of every document."""
+    """``doc_id``, the text's key, set size ``n``, digest of the set ``same`` and ``sketch`` of every document."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, smallest = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(3):
                 hashes = shingle_set(text.as_py(), width)
                 sizes.append(len(hashes))
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
                 smallest.append(hashes[:k])
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(smallest)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "same", "sketch"])
+            made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(smallest)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc_id", "t1", "t2", "n", "same", "sketch"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        make, f"doc_id {key}, n bigint, same binary, sketch array<bigint>"
-    )
+    texts = _with_text_key(docs).select("doc_id", "t1", "t2", F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(make, f"doc_id {key}, t1 bigint, t2 bigint, n bigint, same binary, sketch array<bigint>")
 
 
 def least_common(kept: int) -> int:
@@ -117,7 +125,7 @@ def least_common(kept: int) -> int:
 def _inverted(distinct: DataFrame, k: int) -> DataFrame:
     """``value``, ``id``, ``n``: the retained values by which similar sets must meet."""
     kept = min(k, INDEXED)
-    values = distinct.select("id", "n", F.explode("sketch").alias("value"))
+    values = distinct.select("id", "n", F.explode(F.slice("sketch", 1, kept)).alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     shared = values.join(common, "value")
     # Rarest first; those of one document alone come before all of these.
@@ -182,11 +190,10 @@ def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return pairs.join(second, "b").join(first, "a").select("a", "b", "_x", "_y")
 
 
-def _confirmed(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, width: int, k: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, k: int) -> DataFrame:
     """The pairs whose full sets are similar, after the estimate has filtered them."""
-    key = sketched.schema["id"].dataType.simpleString()
-    schema = f"a {key}, b {key}"
-    own = _only(sketched, _ids_of(pairs)).dropDuplicates(["id", "same"]).select("id", _as_binary("sketch", "sketch"))
+    schema = "a bigint, b bigint"
+    own = _only(sets, _ids_of(pairs)).select("id", _as_binary("sketch", "sketch"))
     likely = materialize(
         _with_both(pairs, own, "sketch").mapInArrow(_keep_pairs(lambda x, y: _alike_sketches(x, y, k)), schema),
         "likely-pairs",
@@ -196,12 +203,18 @@ def _confirmed(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, width: in
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
-
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    sets = materialize(_only(texts, _ids_of(likely)).mapInArrow(whole, f"id {key}, set binary"), "full-sets")
-    return materialize(_with_both(likely, sets, "set").mapInArrow(_keep_pairs(_alike_sets), schema), "confirmed-pairs")
+            found = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "set"])
+
+    ids = _ids_of(likely)
+    wanted = materialize(_only(sets, ids).select("id", "doc_id", "t1", "t2"), "wanted-texts")
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = _with_text_key(docs)
+    texts = texts.join(F.broadcast(wanted) if few else wanted, _same_row(texts, wanted)).select(
+        wanted["id"], texts["text"].cast("binary").alias("text")
+    )
+    full = materialize(texts.mapInArrow(whole, "id bigint, set binary").dropDuplicates(["id"]), "full-sets")
+    return materialize(_with_both(likely, full, "set").mapInArrow(_keep_pairs(_alike_sets), schema), "confirmed-pairs")
 
 
 def _rest_of_short(lists: DataFrame) -> DataFrame:
@@ -264,7 +277,6 @@ def _rest_of_long(lists: DataFrame, sketched: DataFrame, k: int, nearest: int |
 
     With ``nearest``, an outside member has only its most alike partners of every block.
     """
-    key = lists.schema["id"].dataType.simpleString()
     hubs = lists.groupBy("value").agg(F.min("id").alias("b"))
     groups = connected_components(lists.join(hubs, "value").select(F.col("id").alias("a"), "b").distinct())
     members = materialize(
@@ -283,7 +295,7 @@ def _rest_of_long(lists: DataFrame, sketched: DataFrame, k: int, nearest: int |
         )
         .filter("outside_blocks > 0")
     )
-    own_sketch = _only(sketched, members.select("id").distinct()).dropDuplicates(["id", "same"]).select("id", "sketch")
+    own_sketch = _only(sketched, members.select("id").distinct()).select("id", "sketch")
     placed = members.join(major, "cluster").join(own_sketch, "id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -300,7 +312,7 @@ def _rest_of_long(lists: DataFrame, sketched: DataFrame, k: int, nearest: int |
         pairs = _compare_blocks(frame[outside], frame[~outside], k, nearest) if outside.any() and not outside.all() else []
         return pd.DataFrame(pairs, columns=["a", "b"])
 
-    return first.unionByName(second).groupBy("cluster", "i", "j").applyInPandas(compare, f"a {key}, b {key}").distinct()
+    return first.unionByName(second).groupBy("cluster", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def _apart(lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -321,25 +333,18 @@ def _apart(lists: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labelled.join(largest, "value"), "split-lists")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, k: int = SKETCH) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every document.
-
-    Documents are linked when their shingle sets have a Jaccard similarity of 0.8 or
-    more; a component is named by its smallest ``doc_id``, and that document is kept.
-    A text without words (NULL, empty, white space) is linked with nothing and
-    kept. Rows with one ``doc_id`` count as one document that has the links of
-    all of them. A NULL ``doc_id`` takes no part: it is kept, without a component.
-    An empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
+def _components(docs: DataFrame, width: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Sketched rows, and the component of every set of shingles (``same``, ``component``).
+
+    Rows of one set are one node, named by the number of one of them.
     """
-    own = docs.select("doc_id", "text")
-    made = materialize(sketches(own, width, k), "sketches")
-    named = made.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    # One id for each set.
-    distinct = materialize(
-        named.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")), "distinct-sets"
-    )
-    sketched = named.select(F.col("doc_id").alias("id"), "n", "same", "sketch")
-    lists = materialize(_inverted(_only(sketched, distinct.select("id", "same"), ["id", "same"]), k), "inverted-lists")
+    numbered = sketches(docs, width, k).withColumn("row", F.monotonically_increasing_id())
+    made = materialize(numbered, "sketches")
+    nodes = made.filter("n > 0").groupBy("same").agg(F.min("row").alias("id"))
+    nodes = materialize(nodes, "distinct-sets")
+    sketched = made.withColumnRenamed("row", "id")
+    sets = _only(sketched, nodes.select("id"))
+    lists = materialize(_inverted(sets, k), "inverted-lists")
     hubs = lists.groupBy("value").agg(F.min(F.struct("id", "n")).alias("hub")).select(
         "value", F.col("hub.id").alias("a"), F.col("hub.n").alias("_n")
     )
@@ -350,7 +355,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, k: int = SKETCH
         .distinct()
     )
     first_pairs = materialize(with_hub, "hub-pairs")
-    first_links = _confirmed(first_pairs, sketched, own, width, k)
+    first_links = _confirmed(first_pairs, sketched, docs, width, k)
     links = first_links
     apart = _apart(lists, links)
     long_lists = apart.filter(F.col("members") > SHORT_LIST)
@@ -358,27 +363,57 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, k: int = SKETCH
         # Most outsiders of a large group have a partner among those most alike; once
         # they are linked, few pairs are left to be refused one by one.
         likely = materialize(_rest_of_long(long_lists, sketched, k, NEAREST), "nearest-pairs")
-        links = links.unionByName(_confirmed(likely, sketched, own, width, k))
+        links = links.unionByName(_confirmed(likely, sketched, docs, width, k))
         apart = _apart(lists, links)
         long_lists = apart.filter(F.col("members") > SHORT_LIST)
     rest = _rest_of_short(apart.filter(F.col("members") <= SHORT_LIST))
     if not long_lists.isEmpty():
         rest = rest.unionByName(_rest_of_long(long_lists, sketched, k)).distinct()
     rest = materialize(rest.join(first_pairs, ["a", "b"], "left_anti"), "rest-pairs")
-    more_links = _confirmed(rest, sketched, own, width, k)
-    components = connected_components(links.unionByName(more_links))
+    more_links = _confirmed(rest, sketched, docs, width, k)
+    linked = connected_components(links.unionByName(more_links)).withColumnRenamed("node", "id")
+    of_set = nodes.join(linked, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
+    return made, materialize(of_set, "set-components")
 
-    of_set = distinct.join(components.withColumnRenamed("node", "id"), "id", "left").select(
-        "same", F.coalesce("component", "id").alias("_of_set")
-    )
-    return made.join(of_set, "same", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("_of_set", "doc_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, k: int = SKETCH) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of the documents.
+
+    Rows are linked when their shingle sets have a Jaccard similarity of 0.8 or
+    more; a component is named by its smallest ``doc_id``, and rows of that id in it are
+    kept. A text without words (NULL, empty, white space) is linked with nothing and
+    kept. Rows of one ``doc_id`` with different texts are documents of their own. A row
+    with a NULL ``doc_id`` is linked like any other, and kept if no row of its
+    component has an id. An empty table gives an empty result. Only ``doc_id`` and
+    ``text`` are read.
+    """
+    made, of_set = _components(docs.select("doc_id", "text"), width, k)
+    placed = made.select("doc_id", "n", "same").join(of_set, "same", "left")
+    names = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("name"))
+    return placed.join(names, "component", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"),
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """The documents without those that repeat a kept one."""
-    gone = near_duplicates(docs, width).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The documents with one row of every component, all columns as they are.
+
+    It is the row of the smallest ``doc_id`` (NULL last); of several by a hash of
+    the text; of repeated rows, which may differ in other columns, any one. Rows
+    without words all stay.
+    """
+    made, of_set = _components(docs.select("doc_id", "text"), width, SKETCH)
+    key = ["doc_id", "t1", "t2"]
+    rows = made.filter("n > 0").groupBy("same", *key).agg(F.count("*").alias("rows")).join(of_set, "same")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), *key)
+    first = rows.groupBy("component").agg(F.min(order).alias("first"))
+    marked = rows.join(first, "component").select(*key, (order != F.col("first")).alias("gone"), (F.col("rows") > 1).alias("twice"))
+    marks = materialize(marked.filter("gone OR twice"), "near-duplicate-marks")
+    keyed = _with_text_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"))
+    placed = keyed.join(marks, _same_row(keyed, marks), "left").select("row", keyed["doc_id"], keyed["t1"], keyed["t2"], "gone", "twice")
+    kept = placed.filter("gone IS NULL")
+    twice = marks.filter("twice AND NOT gone")
+    if not twice.isEmpty():
+        kept = kept.unionByName(placed.filter("twice AND NOT gone").dropDuplicates(key))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
