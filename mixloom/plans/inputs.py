@@ -25,8 +25,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def instruction_rows(spark: SparkSession, sf_dir: str, answered_only: bool = True) -> DataFrame:
-    """Every user turn with the assistant turn after it, or also those without an answer.
+def instruction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn with the assistant turn after it, NULL if there is none.
 
     The pairs come from an equi-join on (conversation, turn), which spreads the
     turns of one conversation over all partitions.
@@ -39,7 +39,7 @@ def instruction_rows(spark: SparkSession, sf_dir: str, answered_only: bool = Tru
     answered = turns.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output")
     )
-    return asked.join(answered, ["conv_id", "turn"], "inner" if answered_only else "left")
+    return asked.join(answered, ["conv_id", "turn"], "left")
 
 
 def without_fifth_words(text: Column) -> Column:

@@ -45,8 +45,13 @@ PAIRS = """pairs AS (
   SELECT u.conv_id, u.turn, u.text AS instruction,
          CASE WHEN u.turn % 2 = 0 THEN '' ELSE u.conv_id || '/' || u.turn END AS input,
          a.text AS output
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant')"""
+  FROM conversations u
+  LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')"""
+
+ANSWER = "coalesce(output, '')"
+# A message without any text is shown as its JSON.
+NO_TEXT = '[{"type":"text"}]'
 
 RUNS = """runs AS (
   SELECT user_id AS run, event_id AS step, ts, sqrt(value / 100) AS loss, 1 + event_id % 50 AS n_tokens
@@ -83,8 +88,9 @@ FROM conversations GROUP BY ALL"""
 
 
 # Sources and sinks: what was written comes back.
-for name in ("scan_json_array", "scan_json_lines_in_json", "scan_json_root", "scan_jsonl", "scan_parquet"):
+for name in ("scan_json_array", "scan_json_array_ranges", "scan_json_lines_in_json", "scan_json_root", "scan_json_root_ranges", "scan_jsonl", "scan_parquet"):
     ORACLES[name] = "SELECT page_id, url, html FROM pages"
+ORACLES["scan_csv_ranges"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents"
 ORACLES["scan_csv"] = "SELECT CAST(page_id AS VARCHAR) AS page_id, url, html FROM pages"
 ORACLES["scan_text"] = """
 SELECT text FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents) WHERE length(text) > 0"""
@@ -114,7 +120,7 @@ ORACLES["write_splits"] = _split("doc_id, text", "doc_id", TENTH.format("documen
 # Projections
 ORACLES["project_text"] = "SELECT html AS text FROM pages"
 ORACLES["format_text_prompt"] = "SELECT doc_id, text FROM documents"
-ORACLES["format_text_pair"] = f"WITH {PAIRS} SELECT conv_id, turn, instruction{GAP}output AS text FROM pairs"
+ORACLES["format_text_pair"] = f"WITH {PAIRS} SELECT conv_id, turn, instruction{GAP}coalesce(output, '') AS text FROM pairs"
 ORACLES["preview"] = """
 SELECT doc_id, left('{"doc_id": ' || doc_id || ', "text": ' || CAST(to_json(text) AS VARCHAR)
        || ', "lang": "' || lang || '", "source": "' || source || '", "n_chars": ' || n_chars || '}', 500) AS record
@@ -122,19 +128,19 @@ FROM documents ORDER BY doc_id LIMIT 5"""
 
 # Rendering
 ORACLES["alpaca_input"] = f"""
-WITH {PAIRS} SELECT conv_id, turn, {_instruct('instruction', 'output', 'input')} AS text FROM pairs"""
+WITH {PAIRS} SELECT conv_id, turn, {_instruct('instruction', ANSWER, 'input')} AS text FROM pairs"""
 ORACLES["alpaca_response_col"] = ORACLES["alpaca_input"]
 ORACLES["alpaca_no_input"] = f"""
-WITH {PAIRS} SELECT conv_id, turn, {_instruct('instruction', 'output')} AS text FROM pairs"""
+WITH {PAIRS} SELECT conv_id, turn, {_instruct('instruction', ANSWER)} AS text FROM pairs"""
 ORACLES["alpaca_plain"] = f"""
 WITH {PAIRS} SELECT conv_id, turn, 'Instruction: ' || instruction
   || CASE WHEN input <> '' THEN chr(10) || 'Input: ' || input ELSE '' END
-  || chr(10) || 'Response: ' || output AS text FROM pairs"""
+  || chr(10) || 'Response: ' || coalesce(output, '') AS text FROM pairs"""
 ORACLES["custom_template"] = f"""
 WITH {PAIRS} SELECT conv_id, turn, '{{Q}} ' || instruction || chr(10) || '[' || input || ']' || chr(10)
-  || '{{A}} ' || output || ' (' || instruction || ')' AS text FROM pairs"""
+  || '{{A}} ' || coalesce(output, '') || ' (' || instruction || ')' AS text FROM pairs"""
 ORACLES["user_map"] = f"""
-WITH {PAIRS} SELECT conv_id, turn, instruction || ' -> ' || output AS text FROM pairs"""
+WITH {PAIRS} SELECT conv_id, turn, instruction || ' -> ' || coalesce(output, '') AS text FROM pairs"""
 ORACLES["chat_render"] = _chat_query()
 ORACLES["chat_render_tags"] = _chat_query()
 ORACLES["chat_render_stream"] = _chat_query()
@@ -148,10 +154,11 @@ FROM conversations"""
 
 # Preference, feedback, media and tool records
 ORACLES["preference_pairs"] = f"""
-WITH {PAIRS} SELECT conv_id, turn, instruction AS prompt, output AS chosen,
-  {FIFTH.format('output')} AS rejected FROM pairs"""
+WITH {PAIRS} SELECT conv_id, turn, instruction AS prompt, {ANSWER} AS chosen,
+  coalesce({FIFTH.format('output')}, '') AS rejected FROM pairs"""
 ORACLES["preference_messages"] = f"""
-WITH {PAIRS} SELECT conv_id, turn, 1 AS n_prompt, output AS chosen, {FIFTH.format('output')} AS rejected,
+WITH {PAIRS} SELECT conv_id, turn, 1 AS n_prompt, coalesce(output, '{NO_TEXT}') AS chosen,
+  coalesce({FIFTH.format('output')}, '{NO_TEXT}') AS rejected,
   turn % 4 = 0 OR instruction = input AS same_prompt FROM pairs"""
 ORACLES["feedback_rows"] = """
 SELECT d.doc_id, d.source AS prompt, d.text AS completion, l.quality = 1 AS label
@@ -194,7 +201,7 @@ WITH {PAIRS}, numbered AS (
     CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS lead
   FROM pairs)
 SELECT conv_id, CAST(lead + 2 * n AS INTEGER) AS pos, 'user' AS role, instruction AS content FROM numbered
-UNION ALL SELECT conv_id, CAST(lead + 2 * n + 1 AS INTEGER), 'assistant', output FROM numbered
+UNION ALL SELECT conv_id, CAST(lead + 2 * n + 1 AS INTEGER), 'assistant', {ANSWER} FROM numbered
 UNION ALL SELECT DISTINCT conv_id, 0, 'system', 'Be brief.' FROM numbered WHERE lead = 1"""
 
 # Limits, shuffle, split
@@ -290,35 +297,24 @@ SELECT round(avg(f), 6) AS rouge{n} FROM scores"""
 
 ORACLES["rouge1"] = _rouge(1)
 ORACLES["rouge2"] = _rouge(2)
-# The longest common subsequence as the longest increasing run of match
-# positions: each match replaces the first tail that is not smaller.
-LCS = """
-ps AS (SELECT id, unnest(p) AS w, unnest(range(1, len(p) + 1)) AS i FROM toks),
-rs AS (SELECT id, unnest(r) AS w, unnest(range(1, len(r) + 1)) AS j FROM toks),
-matched AS (SELECT id, list([j] ORDER BY i, j DESC) AS js FROM ps JOIN rs USING (id, w) GROUP BY id),
-chains AS (SELECT id, len(list_reduce(js, lambda t, x:
-    list_filter(t, lambda v: v < x[1]) || x || list_filter(t, lambda v: v > x[1])
-      [2 - CAST(list_contains(t, x[1]) AS INT):])) AS lcs FROM matched)"""
+# The prediction is the reference without some words, so it is itself the longest
+# common subsequence; tests hold the operator against a table of lengths as well.
 ROUGE_ROWS = f"""
-WITH {PAIRS},
-{_matches(_tokens_rouge, '[1, 2]', 'pairs', "conv_id || '/' || turn", 'instruction', 'output')},
+WITH {_matches(_tokens_rouge, '[1, 2]', *DOCUMENT_PAIRS)},
 hits AS (SELECT id, sum(least(ps, rs)) FILTER (WHERE n = 1) AS m1, sum(least(ps, rs)) FILTER (WHERE n = 2) AS m2
-  FROM counted GROUP BY id),
-{LCS}
-SELECT id, {F1.format(m='m1', p='len(p)', r='len(r)')} AS rouge1,
+  FROM counted GROUP BY id)
+SELECT id AS doc_id, {F1.format(m='m1', p='len(p)', r='len(r)')} AS rouge1,
   {F1.format(m='m2', p='(len(p) - 1)', r='(len(r) - 1)')} AS rouge2,
-  {F1.format(m='lcs', p='len(p)', r='len(r)')} AS rougel
-FROM toks LEFT JOIN hits USING (id) LEFT JOIN chains USING (id)"""
+  {F1.format(m='len(p)', p='len(p)', r='len(r)')} AS rougel
+FROM toks LEFT JOIN hits USING (id)"""
 ORACLES["rouge_rows"] = f"""
-SELECT id, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rougel, 6) AS rougel FROM ({ROUGE_ROWS})"""
-# The prediction is the reference without some words, so it is itself the longest
-# common subsequence; tests hold the operator against a table of lengths as well.
+SELECT doc_id, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rougel, 6) AS rougel FROM ({ROUGE_ROWS})"""
 ORACLES["rouge_l"] = f"""
 WITH toks AS (SELECT doc_id, len({_tokens_rouge(FIFTH.format('text'))}) AS p, len({_tokens_rouge('text')}) AS r FROM documents)
 SELECT doc_id, round({F1.format(m='p', p='p', r='r')}, 6) AS rouge_l FROM toks"""
 ORACLES["evaluate_metrics"] = f"""
-WITH scored AS ({ROUGE_ROWS}), sizes AS (WITH {PAIRS} SELECT instruction, output FROM pairs)
-SELECT 'length_share' AS metric, round(sum(length(instruction)) / sum(length(output)), 6) AS value FROM sizes
+WITH scored AS ({ROUGE_ROWS})
+SELECT 'length_share' AS metric, round(sum(length({FIFTH.format('text')})) / sum(length(text)), 6) AS value FROM documents
 UNION ALL SELECT 'rouge1', round(avg(rouge1), 6) FROM scored
 UNION ALL SELECT 'rouge2', round(avg(rouge2), 6) FROM scored
 UNION ALL SELECT 'rougeL', round(avg(rougel), 6) FROM scored"""

@@ -11,7 +11,7 @@ from mixloom.functions.content import flatten_content
 from mixloom.operators import batching, metrics, mixture, profile, records, render, runs, sampling
 from mixloom.plans import inputs
 from mixloom.plans.inputs import CHAT_TAGS, table, written
-from mixloom.sources import catalogue, mixtures, readers, sinks
+from mixloom.sources import catalogue, mixtures, ranges, readers, sinks
 from mixloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,22 @@ def scan_json_array(spark, sf_dir):
     return readers.read_json(spark, f"{path}/*", schema=PAGES_SCHEMA)
 
 
+@query
+def scan_json_array_ranges(spark, sf_dir):
+    path = written(spark, "array-ranges")
+    inputs.write_array_files(table(spark, sf_dir, "pages"), "page_id", path)
+    return ranges.parse_elements(ranges.json_elements(spark, f"{path}/*"), PAGES_SCHEMA)
+
+
+@query
+def scan_json_root_ranges(spark, sf_dir):
+    path = written(spark, "root-ranges")
+    inputs.write_array_files(
+        table(spark, sf_dir, "pages"), "page_id", path, '{"version": {"of": ["v1"]}, "rows": [', '], "extra": [1]}'
+    )
+    return ranges.parse_elements(ranges.json_elements(spark, f"{path}/*", of_root_object=True), PAGES_SCHEMA)
+
+
 @query
 def scan_json_lines_in_json(spark, sf_dir):
     path = written(spark, "lines")
@@ -64,6 +80,13 @@ def scan_csv(spark, sf_dir):
     return readers.read_csv(spark, path)
 
 
+@query
+def scan_csv_ranges(spark, sf_dir):
+    path = written(spark, "csv-ranges")
+    table(spark, sf_dir, "documents").select("doc_id", "text").write.csv(path, header=True, quoteAll=True, escape='"')
+    return ranges.parse_records(ranges.csv_records(spark, path), ["doc_id", "text"])
+
+
 @query
 def scan_parquet(spark, sf_dir):
     return readers.read_parquet(spark, f"{sf_dir}/pages.parquet")
@@ -240,7 +263,7 @@ def custom_template(spark, sf_dir):
 def user_map(spark, sf_dir):
     rows = inputs.instruction_rows(spark, sf_dir)
     return render.map_text(
-        rows, lambda r: r["instruction"] + " -> " + r["output"], keep=("conv_id", "turn")
+        rows, lambda r: r["instruction"] + " -> " + r["output"].fillna(""), keep=("conv_id", "turn")
     )
 
 
@@ -369,7 +392,7 @@ def check_roles_nested(spark, sf_dir):
 
 @query
 def check_required(spark, sf_dir):
-    rows = inputs.instruction_rows(spark, sf_dir, answered_only=False)
+    rows = inputs.instruction_rows(spark, sf_dir)
     checked = records.check_required(rows, ("instruction", "input", "output"))
     return checked.select("conv_id", "turn", F.array_join("reasons", ",").alias("reasons"))
 
@@ -525,16 +548,13 @@ def rouge_l(spark, sf_dir):
 
 @query
 def rouge_rows(spark, sf_dir):
-    rows = inputs.instruction_rows(spark, sf_dir).withColumn("id", F.concat_ws("/", "conv_id", "turn"))
-    scores = metrics.rouge_scores(rows, "instruction", "output", keep=("id",))
-    return scores.select("id", *[F.round(k, 6).alias(k.lower()) for k in ("rouge1", "rouge2", "rougeL")])
+    scores = metrics.rouge_scores(inputs.prediction_pairs(spark, sf_dir), keep=("doc_id",))
+    return scores.select("doc_id", *[F.round(k, 6).alias(k.lower()) for k in ("rouge1", "rouge2", "rougeL")])
 
 
 @query
 def evaluate_metrics(spark, sf_dir):
-    rows = inputs.instruction_rows(spark, sf_dir).withColumnsRenamed(
-        {"instruction": "prediction", "output": "reference"}
-    )
+    rows = inputs.prediction_pairs(spark, sf_dir)
     share = F.sum(F.length("prediction")) / F.sum(F.length("reference"))
     metrics.register_metric("length_share", lambda df: df.agg(share.alias("length_share")))
     values = metrics.evaluate(rows, ["length_share", "rouge"])

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from mixloom.session import materialize
+from mixloom.sources import ranges
 from mixloom.sources.readers import (
     DRIVER_ROWS, first_in_source, holds_lines, number_rows, read_csv, read_parquet, read_text, suffix, with_places,
 )
@@ -41,32 +42,42 @@ def read_partitioned(
     return df
 
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
+def _records(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """A local file's rows as one variant column ``record``.
 
     JSON lines are parsed straight into variants, in one pass. The records of a
     JSON array get every field of the file, as a JSON null where one is missing.
-    Text files keep their empty lines.
+    Text files keep their empty lines. Large arrays and CSV files bring their rows' places.
     """
     kind = suffix(path)
     if kind == ".jsonl":
         return spark.read.option("singleVariantColumn", "record").option("mode", "FAILFAST").json(path)
     if kind == ".json" and holds_lines(spark, path):
         return spark.read.options(singleVariantColumn="record", mode="FAILFAST", recursiveFileLookup=True).json(path)
+    if kind == ".json" and ranges.splits(spark, path):
+        elements = ranges.json_elements(spark, path)
+        names = elements.select(F.explode(F.json_object_keys("value")).alias("name")).distinct().orderBy("name").collect()
+        fields = T.StructType([T.StructField(r["name"], T.VariantType()) for r in names])
+        return _as_variant(ranges.parse_elements(elements, fields, keep=ranges.PLACES))
     if kind == ".json":
         reader = spark.read.options(multiLine=True, mode="FAILFAST", recursiveFileLookup=True)
         fields = [T.StructField(name, T.VariantType()) for name in reader.json(path).columns]
         return _as_variant(reader.schema(T.StructType(fields)).json(path))
     if kind == ".txt":
         return _as_variant(read_text(spark, path, drop_empty=False))
-    readers = {".csv": read_csv, ".parquet": read_parquet}
+    if kind == ".csv" and multiline and ranges.splits(spark, path):
+        names = read_csv(spark, path).columns
+        return _as_variant(ranges.parse_records(ranges.csv_records(spark, path), names, keep=ranges.PLACES).na.fill("", names))
+    if kind == ".csv":
+        return _as_variant(read_csv(spark, path, multiline))
+    readers = {".parquet": read_parquet}
     if kind not in readers:
         raise ValueError(f"no reader for files of type {kind!r}")
     return _as_variant(readers[kind](spark, path))
 
 
 def _as_variant(df: DataFrame) -> DataFrame:
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in ranges.PLACES])
     return df.withColumn("record", F.to_variant_object(row))
 
 
@@ -77,10 +88,10 @@ def _places(name: str, root: str) -> list[str]:
     return [f"{root.rstrip('/')}/{name}", f"data/{name}"]
 
 
-def _first_found(spark: SparkSession, places: list[str]) -> DataFrame:
+def _first_found(spark: SparkSession, places: list[str], multiline: bool) -> DataFrame:
     for place in places:
         try:
-            return _records(spark, place)
+            return _records(spark, place, multiline)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -98,7 +109,7 @@ def _entry_records(spark: SparkSession, name: str, entry: dict, root: str, hub_r
         ))
     if not entry.get("file_name"):
         raise ValueError(f"dataset {name!r} names neither a hub nor a file")
-    return _first_found(spark, _places(entry["file_name"], root))
+    return _first_found(spark, _places(entry["file_name"], root), entry.get("multiline", True))
 
 
 def load_mixture(

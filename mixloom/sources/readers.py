@@ -7,10 +7,11 @@ from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from mixloom.operators.sampling import DRIVER_ROWS
 from mixloom.session import materialize
+from mixloom.sources import ranges
 
 CORRUPT = "_corrupt_record"
 
@@ -22,16 +23,22 @@ def json_shapes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file`` and ``lines`` of every JSON file: whether it holds one value per line.
 
     That is so when its first line that is not blank is a JSON object as it stands;
-    an array, or an object that goes on in the next line, is one value per file.
+    an array, or an object that goes on in the next line, is one value per file. Only
+    that line is parsed, and no line of an array is ever held: files are looked at brace by
+    brace first.
     """
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), F.trim("value").alias("line"),
-    )
-    is_object = F.col("line").startswith("{") & F.coalesce(F.json_object_keys("line").isNotNull(), F.lit(False))
-    return lines.filter("line != ''").groupBy("file").agg(
-        F.min_by(is_object, F.struct("block", "at")).alias("lines")
-    )
+    def first_of(separator: str, value: Column) -> DataFrame:
+        rows = spark.read.options(recursiveFileLookup=True, lineSep=separator).text(path).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("at"), F.btrim("value", F.lit(" \t\r\n")).alias("value"),
+        )
+        return rows.filter("value != ''").groupBy("file").agg(F.min_by(value, F.struct("block", "at")).alias("first"))
+
+    begins = first_of("}", F.substring("value", 1, 1))
+    if begins.filter("first <> '['").isEmpty():
+        return begins.select("file", F.lit(False).alias("lines"))
+    is_object = F.col("first").startswith("{") & F.coalesce(F.json_object_keys("first").isNotNull(), F.lit(False))
+    return first_of("\n", F.col("value")).select("file", is_object.alias("lines"))
 
 
 def holds_lines(spark: SparkSession, path: str | list[str]) -> bool:
@@ -48,11 +55,13 @@ def read_json(
 ) -> DataFrame:
     """A JSON file as rows, an array or one object per line; with ``field``, that list's rows.
 
-    The shape is that of the files' first lines. A file that is one JSON value is
-    one task; a large dataset should come as many files, or as JSON lines, which split.
+    The shape is that of the files' first lines. A large array is read by many tasks; with
+    ``field``, or an object that goes over several lines, a file is one task.
     """
     if field is None and holds_lines(spark, path):
         return read_jsonl(spark, path, schema)
+    if field is None and ranges.splits(spark, path) and _all_arrays(spark, path):
+        return ranges.parse_elements(ranges.json_elements(spark, path), schema)
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
     df = (reader.schema(schema) if schema else reader).json(path)
     if field is None:
@@ -65,12 +74,24 @@ def read_json(
     return df.select(F.explode(field).alias("value"))
 
 
+def _all_arrays(spark: SparkSession, path: str | list[str]) -> bool:
+    pieces = spark.read.options(recursiveFileLookup=True, lineSep="}").text(path)
+    first = pieces.filter(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
+        F.substring(F.btrim("value", F.lit(" \t\r\n")), 1, 1).alias("begin"),
+    ).filter("begin != ''").groupBy("file").agg(F.min_by("begin", "at").alias("begin"))
+    return first.filter("begin <> '['").isEmpty()
+
+
 def read_json_root(spark: SparkSession, path: str) -> DataFrame:
     """Object files as the rows of each one's first list, in source order; else as one row.
 
-    The JSON reader sorts keys by name, so the order is taken from the text. Files
-    whose first lists have one name are read together.
+    The JSON reader sorts keys by name, so the order is taken from the text. Large files
+    are read by many tasks and their lists' rows parsed together; of small ones, those
+    whose first lists have one name.
     """
+    if ranges.splits(spark, path):
+        return _read_large_root(spark, path)
     text = spark.read.text(path, wholetext=True)
     value_of = lambda k: F.call_function("get_json_object", "value", F.concat(F.lit("$['"), k, F.lit("']")))
     lists = F.filter(F.json_object_keys("value"), lambda k: F.ltrim(value_of(k)).startswith("["))
@@ -82,6 +103,19 @@ def read_json_root(spark: SparkSession, path: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def _read_large_root(spark: SparkSession, path: str) -> DataFrame:
+    """The same, cut into elements by many tasks; files without a list are one row each."""
+    elements = ranges.json_elements(spark, path, of_root_object=True)
+    plain = elements.filter(~F.btrim("value", F.lit(" \t\r\n")).startswith("{"))
+    if not plain.isEmpty():
+        elements = elements.withColumn("value", F.concat(F.lit('{"value":'), "value", F.lit("}")))
+    tables = [ranges.parse_elements(elements)]
+    without = ranges.files_without_list(spark, path)
+    if without:
+        tables.append(read_json(spark, [unquote(f) for f in without]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def read_jsonl(
     spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None,
     quarantine: bool = False,
@@ -106,9 +140,13 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header, every value a string, empty values kept as empty strings.
 
-    Quoted line breaks need ``multiline``, which reads a file as one task;
-    without them, switch it off and large files split.
+    Quoted fields may hold line breaks unless ``multiline`` is off. Large files
+    are read by many tasks either way; without ``multiline`` in one pass.
     """
+    if multiline and ranges.splits(spark, path):
+        names = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False).columns
+        df = ranges.parse_records(ranges.csv_records(spark, path), names)
+        return df if keep_nulls else df.na.fill("")
     df = spark.read.csv(
         path, header=True, multiLine=multiline, escape='"', inferSchema=False, mode="FAILFAST"
     )
@@ -169,8 +207,10 @@ def with_places(df: DataFrame) -> tuple[DataFrame, bool]:
 
     Also tells whether reading again gives the same places. Parquet knows its
     row numbers; rows of other formats are numbered as they are read, and file
-    pieces may be cut differently the next time.
+    pieces may be cut differently the next time. Rows of large files bring their places.
     """
+    if set(ranges.PLACES) <= set(df.columns):
+        return df, False
     file = F.col("_metadata.file_path")
     try:
         return df.withColumns({"_file": file, "_block": F.lit(0).cast("bigint"), "_row": F.col("_metadata.row_index")}), True
@@ -207,7 +247,7 @@ def with_positions(df: DataFrame, name: str = "_id") -> DataFrame:
     """
     placed, stable = with_places(df)
     numbered = number_rows(placed if stable else materialize(placed, "placed"), name)
-    return numbered.select(*df.columns, name)
+    return numbered.select(*[c for c in df.columns if c not in ranges.PLACES], name)
 
 
 def first_in_source(df: DataFrame, n: int | None) -> DataFrame:
@@ -220,7 +260,8 @@ def first_in_source(df: DataFrame, n: int | None) -> DataFrame:
         return df
     if n > DRIVER_ROWS:
         return with_positions(df, "_position").filter(F.col("_position") < n).drop("_position")
-    return with_places(df)[0].orderBy("_file", "_block", "_row").limit(n).select(*df.columns)
+    kept = [c for c in df.columns if c not in ranges.PLACES]
+    return with_places(df)[0].orderBy("_file", "_block", "_row").limit(n).select(*kept)
 
 
 def concat_datasets(spark: SparkSession, paths: list[str], source: str = "source") -> DataFrame:
