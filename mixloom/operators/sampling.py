@@ -99,22 +99,6 @@ def find_cut(df: DataFrame, value: Column, k: int | None = None, fraction: float
             return Cut(cut, below + sum(v < cut for v in found), found.count(cut)), total
 
 
-def _first_k(df: DataFrame, value: Column, tie: Column, cut: Cut, k: int) -> Column:
-    """Condition met by exactly the first k rows of the order (value, tie), NULL ties first."""
-    if cut.below + cut.equal == k:
-        return value <= cut.value
-    if cut.equal > DRIVER_ROWS:
-        raise ValueError("too many rows share one position; the key must identify a row")
-    found = [r["t"] for r in df.filter(value == cut.value).select(tie.alias("t")).collect()]
-    ties = [None] * found.count(None) + sorted(t for t in found if t is not None)
-    wanted = k - cut.below
-    last = ties[wanted - 1]
-    if ties[wanted] == last:
-        raise ValueError(f"key {last!r} is not unique")
-    among = tie.isNull() if last is None else tie.isNull() | (tie <= last)
-    return (value < cut.value) | ((value == cut.value) & among)
-
-
 # Bytes of a text that make one whole number.
 PREFIX_BYTES = 7
 
@@ -306,51 +290,52 @@ def split(
     Shuffled, the test rows are those first in a seeded order; unshuffled they
     are the last rows in key order. A size of 0 or less tags everything train.
     The tag is a comparison with one value found by counting over the key
-    column alone, so rows are neither moved nor sorted.
+    column alone, so rows are neither moved nor sorted. Of rows that share the key at the
+    cut those with small row hashes come first; rows that are the same in all columns,
+    should the cut fall between them, are numbered as they are written.
     """
     if test_size <= 0:
         return df.withColumn("split", F.lit("train"))
     is_fraction = isinstance(test_size, float)
     if is_fraction and test_size >= 1:
         raise ValueError(f"test_size={test_size} must be below 1 or a whole number of rows")
+    ordered = _is_whole(df, key) or isinstance(df.schema[key].dataType, T.StringType)
+    if not shuffle and not ordered:
+        raise TypeError("an unshuffled split needs a whole-number or a text key")
     if shuffle:
         value, bounds = hash_order(F.col(key), f"{seed}:split"), {"low": 0, "high": HASH_SPACE - 1}
+        size = {"fraction": test_size} if is_fraction else {"k": test_size}
+        cut, total = find_cut(df, value, **size, **bounds)
     else:
-        value, bounds = _ordered_tail(df, key)
-    size = {"fraction": test_size} if is_fraction else {"k": test_size}
-    cut, total = find_cut(df, value, **size, **bounds)
+        total = df.count()
     k = math.ceil(test_size * total) if is_fraction else test_size
     if total == 0:
         return df.withColumn("split", F.lit("train"))
     if k >= total:
         raise ValueError(f"test_size={test_size} leaves no train rows of {total}")
-    if not shuffle and not _is_whole(df, key):
-        is_test = _text_tail(df, key, k)
-    else:
-        is_test = _first_k(df, value, F.col(key), cut, k)
-    return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
-
-
-def _ordered_tail(df: DataFrame, key: str) -> tuple[Column, dict]:
-    """A number that puts the tail of the key order first; NULL keys, first in order, come last."""
-    if not _is_whole(df, key):
-        if not isinstance(df.schema[key].dataType, T.StringType):
-            raise TypeError("an unshuffled split needs a whole-number or a text key")
-        return F.bitwise_not(F.col(key).isNotNull().cast("bigint")), {}
-    # ~key is -key - 1. The smallest key has the largest number, which NULL shares.
-    lowest = F.lit(2**63 - 1).cast("bigint")
-    return F.coalesce(F.bitwise_not(F.col(key).cast("bigint")), lowest), {}
-
-
-def _text_tail(df: DataFrame, key: str, k: int) -> Column:
-    """Condition met by exactly the last k rows of a text key's order, NULLs in front."""
-    condition, at_cut, wanted = F.lit(False), F.lit(True), k
-    for value, cut in _cuts(df, key, k, last=True):
-        condition = condition | (at_cut & (value < cut.value))
-        at_cut, wanted = at_cut & (value == cut.value), wanted - cut.below
-        if wanted == cut.equal:
-            return condition | at_cut
-    raise ValueError("the cut falls between rows with one key; the key must identify a row")
+
+    def cuts() -> Iterator[tuple[Column, Cut | None]]:
+        rest, wanted = df, k
+        if shuffle:
+            yield value, cut
+            rest, wanted = df.filter(value == cut.value), k - cut.below
+        for number, at in _cuts(rest, key, wanted, last=not shuffle) if ordered else ():
+            yield number, at
+            rest, wanted = rest.filter(number == at.value), wanted - at.below
+        yield _row_hash(df), find_cut(rest, _row_hash(df), k=wanted)[0]
+
+    is_test, at_cut, wanted = F.lit(False), F.lit(True), k
+    for number, at in cuts():
+        is_test, at_cut = is_test | (at_cut & (number < at.value)), at_cut & (number == at.value)
+        wanted -= at.below
+        if wanted == at.equal:
+            return df.withColumn("split", F.when(is_test | at_cut, "test").otherwise("train"))
+    tag = lambda test: F.when(test, "test").otherwise("train").alias("split")
+    alike = materialize(df.filter(at_cut).withColumn("_n", F.monotonically_increasing_id()), "alike-rows")
+    last, _ = find_cut(alike, F.col("_n"), k=wanted)
+    return df.filter(~at_cut).select("*", tag(is_test)).unionByName(
+        alike.select(*df.columns, tag(F.col("_n") <= last.value))
+    )
 
 
 def split_counts(df: DataFrame) -> DataFrame:

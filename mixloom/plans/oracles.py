@@ -219,6 +219,9 @@ SELECT name, CASE WHEN row_number() OVER (ORDER BY name DESC) <=
 FROM named"""
 ORACLES["split_fraction"] = _split("doc_id, n_chars", "doc_id", TENTH.format("documents"))
 ORACLES["split_count"] = _split("doc_id", "doc_id", "50", seed=7)
+ORACLES["split_repeated_keys"] = """
+SELECT CASE WHEN place <= ceil(0.3 * n) THEN 'test' ELSE 'train' END AS split, count(*) AS rows
+FROM (SELECT row_number() OVER (ORDER BY conv_id DESC) AS place, count(*) OVER () AS n FROM conversations) GROUP BY 1"""
 ORACLES["split_none"] = "SELECT doc_id, 'train' AS split FROM documents"
 ORACLES["split_ordered"] = """
 SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id DESC) <=

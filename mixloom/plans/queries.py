@@ -476,6 +476,13 @@ def split_ordered(spark, sf_dir):
     return sampling.split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.25, shuffle=False)
 
 
+@query
+def split_repeated_keys(spark, sf_dir):
+    """A key that many rows share: whole rows, each conversation's turns under one key."""
+    tagged = sampling.split(table(spark, sf_dir, "conversations"), "conv_id", 0.3, shuffle=False)
+    return sampling.split_counts(tagged)
+
+
 @query
 def split_none(spark, sf_dir):
     return sampling.split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0)

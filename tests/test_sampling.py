@@ -62,10 +62,9 @@ def test_split_refines_large_ranges(spark, monkeypatch):
     assert split == tags(sampling.split(spark.range(400), "id", 0.25))
 
 
-def test_duplicate_keys_across_the_cut_raise(spark):
+def test_duplicate_keys_across_the_cut_are_cut_exactly(spark):
     same = spark.range(10).select(F.lit(1).alias("id"))
-    with pytest.raises(ValueError):
-        sampling.split(same, "id", 0.5)
+    assert sampling.split(same, "id", 3).filter("split = 'test'").count() == 3
 
 
 def test_split_empty_table(spark):
@@ -184,3 +183,27 @@ def test_large_head_by_keys_of_other_types(spark, monkeypatch, kind):
     assert large.columns == df.columns
     assert sorted(map(str, small)) == sorted(str(r["k"]) for r in large.collect())
     assert sampling.head(df, 1000, "k").count() == 100 and sampling.head(df.limit(0), 10, "k").count() == 0
+
+
+@pytest.mark.parametrize("shuffle", [True, False])
+@pytest.mark.parametrize("size", [1, 7, 0.25, 31, 59])
+def test_split_of_repeated_keys_is_exact(spark, monkeypatch, shuffle, size):
+    monkeypatch.setattr(sampling, "DRIVER_ROWS", 3)
+    rows = [(13 if i < 30 else i % 4, f"row {i % 20}", {"m": i % 2}) for i in range(60)]
+    for key in ("key", "name"):
+        df = spark.createDataFrame(rows, "key long, name string, more map<string,int>")
+        tagged = sampling.split(df, key, size, shuffle=shuffle)
+        counts = {r["split"]: r["rows"] for r in sampling.split_counts(tagged).collect()}
+        wanted = -(-60 * size // 1) if isinstance(size, float) else size
+        assert counts == {"test": wanted, "train": 60 - wanted}
+        assert sorted(map(str, tagged.drop("split").collect())) == sorted(map(str, df.collect()))
+        if not shuffle:
+            ends = {s: [r[key] for r in tagged.filter(F.col("split") == s).collect()] for s in ("test", "train")}
+            assert max(ends["train"]) <= min(ends["test"])
+
+
+def test_split_of_rows_all_alike(spark):
+    df = spark.createDataFrame([(1, "same")] * 50, "key long, name string").repartition(5)
+    for shuffle in (True, False):
+        counts = {r["split"]: r["rows"] for r in sampling.split_counts(sampling.split(df, "key", 0.3, shuffle=shuffle)).collect()}
+        assert counts == {"test": 15, "train": 35}
