@@ -150,28 +150,102 @@ def _f1(matches: Column, predicted: Column, referred: Column) -> Column:
     return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
 
 
-def lcs_length():
+def lcs_length(row_words: int = 25_000, step_cells: int = 4_000_000, mask_words: int = 4_000_000):
     """A function over Arrow batches for the longest common subsequence of two token arrays.
 
-    Bit-parallel (Crochemore et al. 2001, Hyyrö 2004): one wide-integer step per
-    prediction token. It is a closure so that executors need no copy of this
+    Bit-parallel (Crochemore et al. 2001, Hyyrö 2004) over many rows at once: a row's state is
+    an array of 64-bit words, one bit for each reference token, and one step adds the
+    places of the next prediction token in all rows. A carry goes to the next word that
+    is not full, found by a running maximum. Rows of about one size are taken
+    together; long references in blocks of words that hand their carries on. The bounds
+    are on words of state, on steps times rows and on words of token places held at
+    once; they change no result. It is a closure so that executors need no copy of this
     package.
     """
+    import numpy as np
+
+    full_word = np.uint64(2**64 - 1)
+
+    def spread(values: np.ndarray, start: np.ndarray, size: np.ndarray):
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return row, place, values[start[row] + place]
+
+    def step(state: np.ndarray, hit: np.ndarray, carry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State plus places plus carry, the bits of other tokens kept; and the carry out of the last word."""
+        total = state + hit
+        over, full = total < hit, total == full_word
+        words = state.shape[1]
+        if words == 1:
+            out = over | (full & carry[:, None])
+        else:
+            stop = np.maximum.accumulate(np.where(full, -1, np.arange(words)), axis=1)
+            out = np.where(stop >= 0, np.take_along_axis(over, np.maximum(stop, 0), axis=1), carry[:, None])
+            total[:, 1:] += out[:, :-1]
+        total[:, 0] += carry
+        return total | (state & ~hit), out[:, -1]
+
+    def common(left, right, left_size, right_size, kinds: int) -> np.ndarray:
+        """Lengths for rows in falling order of ``left_size``; tokens come as (row, place, number)."""
+        rows, steps = len(left_size), int(left_size[0])
+        alive = np.searchsorted(-left_size, -np.arange(steps), side="left")
+        left_row, left_place, left_token = left
+        right_row, right_place, right_token = right
+        left_key, right_key = left_row * kinds + left_token, right_row * kinds + right_token
+        carry = np.zeros((steps, rows), dtype=bool)
+        length = np.zeros(rows, dtype=np.int64)
+        words = -(-int(right_size.max()) // 64)
+        block = min(max(mask_words // (rows * min(kinds, 4096)), 64), 1024)
+        for first in range(0, words, block):
+            held = min(block, words - first)
+            here = (right_place >= first * 64) & (right_place < (first + held) * 64)
+            keys, index = np.unique(right_key[here], return_inverse=True)
+            place = right_place[here] - first * 64
+            masks = np.zeros((len(keys) + 1, held), dtype=np.uint64)
+            np.bitwise_or.at(masks, (index, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+            at = np.minimum(np.searchsorted(keys, left_key), len(keys) - 1)
+            # Tokens that are not here have the last mask, without places.
+            mask_of = np.full((steps, rows), len(keys), dtype=np.int64)
+            mask_of[left_place, left_row] = np.where(keys[at] == left_key, at, len(keys))
+            state = np.full((rows, held), full_word, dtype=np.uint64)
+            for t in range(steps):
+                n = int(alive[t])
+                before = state[:n]
+                state[:n], carry[t, :n] = step(before, before & masks[mask_of[t, :n]], carry[t, :n])
+            bits = np.clip(right_size[:, None] - (first + np.arange(held)) * 64, 0, 64).astype(np.uint64)
+            within = np.where(bits == 64, full_word, (np.uint64(1) << (bits & np.uint64(63))) - np.uint64(1))
+            length += np.bitwise_count(~state & within).sum(axis=1, dtype=np.int64)
+        return length
+
     def lengths(predictions: pa.Array, references: pa.Array) -> pa.Array:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        def one(left, right) -> int:
-            places: dict[str, int] = {}
-            for i, token in enumerate(right):
-                places[token] = places.get(token, 0) | (1 << i)
-            mask = (1 << len(right)) - 1
-            row = mask
-            for token in left:
-                hit = row & places.get(token, 0)
-                row = ((row + hit) | (row - hit)) & mask
-            return len(right) - row.bit_count()
-
-        return pa.array([one(p.as_py(), r.as_py()) for p, r in zip(predictions, references)], pa.int64())
+        sizes = [
+            pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lists in (predictions, references)
+        ]
+        flat = [lists.flatten() for lists in (predictions, references)]
+        numbers = pa.concat_arrays(flat).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        tokens = [numbers[: len(flat[0])], numbers[len(flat[0]):]]
+        starts = [np.cumsum(size) - size for size in sizes]
+        kinds = int(numbers.max()) + 1 if len(numbers) else 1
+        words = -(-sizes[1] // 64)
+        found = np.zeros(len(predictions), dtype=np.int64)
+        left = np.lexsort((-sizes[0], words))
+        left = left[(sizes[0][left] > 0) & (sizes[1][left] > 0)]
+        while len(left):
+            # Rows of up to a quarter more words than the first, as many as the bounds allow.
+            most = words[left[0]] + words[left[0]] // 4
+            number = np.arange(1, len(left) + 1)
+            fits = (words[left] <= most) & (number * min(most, 1024) <= row_words)
+            fits &= number * np.maximum.accumulate(sizes[0][left]) <= step_cells
+            count = max(1, int(np.argmin(fits)) if not fits.all() else len(left))
+            rows, left = left[:count], left[count:]
+            rows = rows[np.argsort(-sizes[0][rows], kind="stable")]
+            parts = [spread(tokens[i], starts[i][rows], sizes[i][rows]) for i in (0, 1)]
+            found[rows] = common(*parts, sizes[0][rows], sizes[1][rows], kinds)
+        return pa.array(found, pa.int64())
 
     return F.arrow_udf(lengths, "bigint")
 

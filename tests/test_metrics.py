@@ -1,5 +1,6 @@
 """Corpus metrics against plain computations, run tables, batches and streams."""
 
+import random
 import math
 import re
 import subprocess
@@ -248,3 +249,34 @@ def test_functions_travel_without_the_package(spark, tmp_path, make, expected):
 def test_perplexity_leaves_out_tokens_of_unknown_losses(spark):
     df = spark.createDataFrame([(1.0, 10), (None, 90)], "loss double, n_tokens long")
     assert metrics.perplexity(df).first()["perplexity"] == pytest.approx(math.e)
+
+
+def plain_lcs(left, right):
+    row = [0] * (len(right) + 1)
+    for a in left:
+        above = row
+        row = [0]
+        for j, b in enumerate(right):
+            row.append(above[j] + 1 if a == b else max(above[j + 1], row[j]))
+    return row[-1]
+
+
+@pytest.mark.parametrize("bounds", [(), (3, 50, 200)])
+def test_batched_subsequences_equal_a_table_of_lengths(spark, bounds):
+    draw = random.Random(4)
+    words = lambda n, kinds: [f"w{draw.randrange(kinds)}" for _ in range(n)]
+    rows = []
+    for _ in range(80):
+        left = words(draw.choice([0, 1, 5, 63, 64, 65, 130, 260]), draw.choice([1, 2, 9, 500]))
+        right = [w for w in left if draw.random() < 0.8] if draw.random() < 0.5 else words(draw.choice([0, 1, 64, 200]), 5)
+        rows.append((len(rows), left, right))
+    df = spark.createDataFrame(rows, "id long, p array<string>, r array<string>")
+    found = df.select("id", metrics.lcs_length(*bounds)("p", "r").alias("n"), metrics.lcs_length(*bounds)("r", "p").alias("m"))
+    assert {r["id"]: (r["n"], r["m"]) for r in found.collect()} == {i: (plain_lcs(p, r),) * 2 for i, p, r in rows}
+
+
+def test_subsequence_of_long_texts(spark):
+    words = [f"w{i * i % 997}" for i in range(20_000)]
+    kept = [w for i, w in enumerate(words) if i % 7]
+    df = spark.createDataFrame([(words, kept), (kept, words), ([], words), (["w1"], words)], "p array<string>, r array<string>")
+    assert [r[0] for r in df.select(metrics.lcs_length()("p", "r")).collect()] == [len(kept), len(kept), 0, 1]
