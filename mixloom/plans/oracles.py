@@ -346,6 +346,7 @@ WITH {RUNS} SELECT {keys}, max(step) AS last_step, max_by(loss, step) AS last_lo
 
 
 ORACLES["run_metrics"] = _run_metrics("run")
+ORACLES["metrics_append_stream"] = ORACLES["metrics_append"]
 ORACLES["run_metrics_stream"] = _run_metrics("run")
 ORACLES["run_metrics_by_epoch"] = _run_metrics("run, step // 1000 AS epoch")
 ORACLES["latest_checkpoint"] = f"""

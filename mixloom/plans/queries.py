@@ -777,6 +777,16 @@ def chat_render_stream(spark, sf_dir):
     return spark.read.parquet(f"{base}/out")
 
 
+@query
+def metrics_append_stream(spark, sf_dir):
+    base = written(spark, "metric-log-stream")
+    inputs.metric_rows(spark, sf_dir).write.parquet(f"{base}/in")
+    arriving = spark.readStream.schema("run bigint, step bigint, ts timestamp, loss double, n_tokens bigint").parquet(f"{base}/in")
+    streams.append_metrics_stream(arriving, f"{base}/log", f"{base}/state", "step", "ts").awaitTermination()
+    schema = "step bigint, timestamp string, run bigint, loss double, n_tokens bigint"
+    return readers.read_jsonl(spark, f"{base}/log", schema=schema).drop("batch")
+
+
 @query
 def run_metrics_stream(spark, sf_dir):
     base = written(spark, "metric-stream")

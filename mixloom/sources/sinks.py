@@ -12,16 +12,19 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def metric_lines(df: DataFrame, step: str = "step", timestamp: str | None = None) -> DataFrame:
+    """Metric rows as lines ``{step, timestamp, …}``; without a timestamp column, the time of the write."""
+    when = F.col(timestamp) if timestamp else F.current_timestamp()
+    rest = [c for c in df.columns if c not in (step, timestamp)]
+    return df.select(F.col(step).alias("step"), F.date_format(when, TIMESTAMP_FORMAT).alias("timestamp"), *rest)
+
+
 def append_metrics(df: DataFrame, path: str, step: str = "step", timestamp: str | None = None) -> None:
     """Metric rows added to a JSON-lines log as ``{step, timestamp, …}``.
 
     Rows without a timestamp column are stamped with the time of the write.
     """
-    when = F.col(timestamp) if timestamp else F.current_timestamp()
-    rest = [c for c in df.columns if c not in (step, timestamp)]
-    df.select(
-        F.col(step).alias("step"), F.date_format(when, TIMESTAMP_FORMAT).alias("timestamp"), *rest
-    ).write.mode("append").json(path)
+    metric_lines(df, step, timestamp).write.mode("append").json(path)
 
 
 def write_splits(df: DataFrame, path: str) -> None:
