@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from mixloom.operators import mixture, profile
+from mixloom.sources import mixtures
 from mixloom.sources.catalogue import catalogue_table, of_type
 
 ENTRIES = {
@@ -149,3 +150,28 @@ def test_preview(spark):
     rows = profile.preview(df, "id").orderBy("id").collect()
     assert [r["id"] for r in rows] == [0, 1, 2, 3, 4]
     assert rows[0]["record"] == json.dumps({"id": 0, "t": "é" * 600}, ensure_ascii=False)[:500]
+
+
+def test_scans_do_not_grow_with_entries(spark, tmp_path):
+    entries = {}
+    for i in range(1_000):
+        kind = ("jsonl", "txt")[i % 2]
+        text = f"line {i} a\nline {i} b\n" if kind == "txt" else "".join('{"text": "%s"}\n' % f"json {i} {c}" for c in "abc")
+        (tmp_path / f"e {i}.{kind}").write_text(text)
+        entries[f"n{i}"] = {"file_name": f"e {i}.{kind}"} | ({"num_samples": 1 + i % 3} if i % 5 == 0 else {})
+    entries["again"] = {"file_name": "e 1.txt"}
+    rows = mixtures.load_mixture(spark, entries, root=str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 4
+    found = {}
+    for r in rows.select("dataset", F.variant_get("record", "$.text", "string").alias("text")).collect():
+        found.setdefault(r["dataset"], []).append(r["text"])
+    want = {"again": ["line 1 a", "line 1 b"]}
+    for i in range(1_000):
+        all_rows = [f"line {i} {c}" for c in "ab"] if i % 2 else [f"json {i} {c}" for c in "abc"]
+        want[f"n{i}"] = all_rows[: 1 + i % 3] if i % 5 == 0 else all_rows
+    assert {k: sorted(v) for k, v in found.items()} == want
+    keyed = mixtures.load_mixture(spark, entries, root=str(tmp_path), row_ids=True)
+    ordered = [(r["dataset"], r["text"]) for r in keyed.select(
+        "dataset", "_id", F.variant_get("record", "$.text", "string").alias("text")).orderBy("_id").collect()]
+    assert ordered == [(name, text) for name in entries for text in want[name]]
