@@ -13,13 +13,13 @@ languages and many words together.
 from __future__ import annotations
 
 import base64
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mixloom.llm.common import fold, tokenizer_path
@@ -43,7 +43,7 @@ _TEXTS_AT_ONCE = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 REMEMBERED = 400_000
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def read_pieces(path: str) -> list[bytes]:

@@ -51,7 +51,7 @@ def test_languages(spark):
     texts = {"en": "the house of the king and the other one", "de": "das haus der könig und ein anderer schön",
              "fr": "la maison du roi et les autres étés là"}
     rows = [(i, t + f" {i}", lang if i % 5 else None, "s") for i, (lang, t) in enumerate(itertools.chain(*[texts.items()] * 12))]
-    rows += [(900, None, "en", "s"), (901, "", None, "s"), (902, "12 %% ..", "de", "s"), (None, "the king", "en", "s"),
+    rows += [(900, None, "en", "s"), (901, "", None, "s"), (902, "12 %% ..", "de", "s"), (905, "½ ² ³ Ⅷ ٣", "de", "s"), (None, "the king", "en", "s"),
              (903, "wort" * 5000, "de", "s"), (904, "the other house " * 3000, None, "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     languages, chance = langid.train(docs, F.lit(True))
@@ -60,7 +60,7 @@ def test_languages(spark):
     assert predicted.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
     for r in predicted.collect():
         assert 0 <= r["score"] <= 1
-        if r["doc_id"] in (900, 901, 902):
+        if r["doc_id"] in (900, 901, 902, 905):
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
         elif r["lang"] and r["doc_id"] != 903:
             assert r["lang_pred"] == r["lang"]

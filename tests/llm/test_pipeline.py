@@ -75,3 +75,12 @@ def test_short_texts_of_close_languages_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = corpus_pipeline.identify_language(spark, docs, SF_DIR)
     assert sorted(ids(kept)) == [*range(9), 20, 21]
+
+
+def test_columns_named_like_results_stay(spark):
+    rows = [(i, f"the house of the king number {i}\nand more words", "en", 0.5, "mine", 7) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, lines_deleted int")
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.delete_repeated_lines):
+        kept = stage(spark, docs, SF_DIR)
+        assert kept.schema.simpleString() == docs.schema.simpleString()
+        assert {(r["score"], r["lang_pred"], r["lines_deleted"]) for r in kept.collect()} == {(0.5, "mine", 7)}
