@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mixloom.llm import bpe, langid, linededup, mixing, neardup
@@ -9,11 +11,21 @@ from mixloom.llm.common import table
 from mixloom.session import materialize
 
 
+def _beside(docs: DataFrame, names: list[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stage's rows with the columns of its documents, also those named like its own results."""
+    own = {c: f"_own_{c}" for c in names if c in docs.columns}
+    back = [F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns]
+    return stage(docs.withColumnsRenamed(own)).select(*back)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in a language that the labelled ones teach, however close; ``und`` goes."""
     languages, chance = langid.train(docs, F.lit(True))
-    predicted = langid.predict_language(docs, languages, chance)
-    return predicted.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+    def known(rows: DataFrame) -> DataFrame:
+        return langid.predict_language(rows, languages, chance).filter(F.col("lang_pred") != langid.UNKNOWN)
+
+    return _beside(docs, ["lang_pred", "score"], known)
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +33,9 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     A document of which nothing is left was a copy as a whole, and goes.
     """
-    cleaned = linededup.drop_repeated_lines(docs)
     copied = (F.col("lines_deleted") > 0) & (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) == "")
-    return cleaned.filter(~F.coalesce(copied, F.lit(False))).select(*docs.columns)
+    whole = ~F.coalesce(copied, F.lit(False))
+    return _beside(docs, ["lines_deleted"], lambda rows: linededup.drop_repeated_lines(rows).filter(whole))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
