@@ -1,14 +1,20 @@
 """Operator 8: document fingerprints as invertible Bloom lookup sketches of paragraphs.
 
 A paragraph is a line, long lines in pieces of a fixed number of characters. A document is
-the set of its paragraph digests; its fingerprint is a small table of cells, each
-with a count and the XORs of the digests and of their checks that fall into it, three
-cells per digest. Subtracting two fingerprints leaves only what differs, and peeling
-cells that hold one digest recovers it. A table too small for the difference fails
-visibly, and is made anew at twice the size.
+the set of its paragraph digests. Its fingerprint is a series of tables of cells, each
+level twice as large as the one before; a cell has a count and the XORs of the digests
+and of their checks that fall into it, three cells per digest. The last level is the
+first from which the document's own digests can all be peeled, so a fingerprint
+always gives back its whole set.
 
-Large documents are compared bucket by bucket (digests dealt by their value), so the
-work grows with the paragraphs and not with their square.
+Subtracting two fingerprints level by level leaves only what differs, and peeling
+cells that hold one digest recovers it: from the smallest level that can hold it. A
+level too small for the difference fails visibly and the next one is tried. Beyond
+the levels that both fingerprints have, larger ones are made of the digests
+that both give back.
+
+Large documents are dealt into buckets by the value of a digest, a power of two of them,
+so the work grows with the paragraphs and not with their square.
 
 All of it is DataFrame expressions over the arrays of one row; text crosses the
 network once, to meet the part of another document that an edit brings in.
@@ -23,15 +29,17 @@ from mixloom.session import materialize
 
 PARAGRAPH_CHARS = 256
 TABLES = 3
-# Cells per hash function of a fingerprint.
-FINGERPRINT_CELLS = 8
-# Cells for each digest of a first attempt, and the least per hash function.
-ROOM = 1.5
+# Cells per hash function of the smallest level.
 LEAST_CELLS = 8
-# Digests of both sides together that are compared in one table, at most on average.
+# Digests of one document in a bucket, at most on average.
 BUCKET_DIGESTS = 256
-ATTEMPTS = 10
+# The largest level has LEAST_CELLS * 2**(LEVELS - 1) cells per hash function: enough for
+# about 40,000 digests where a bucket has some hundred.
+LEVELS = 12
 ROUNDS = 24
+CELL = "struct<i:int,n:int,k:bigint,c:bigint>"
+# Hexadecimal digits of a cell: place, count, digests, checks.
+DIGITS = [4, 4, 16, 16]
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -55,11 +63,11 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit("check"))
 
 
-def _cells_of(key: Column, count: Column, attempt: Column, per_table: Column) -> Column:
+def _cells_of(key: Column, count: Column, level: Column, per_table: Column) -> Column:
     """The digest's cell in every table: place ``i``, count ``n``, digest ``k``, check ``c``."""
     return F.array(*[
         F.struct(
-            (F.pmod(F.xxhash64(key, F.lit(t), attempt), per_table.cast("bigint")) + F.lit(t) * per_table)
+            (F.pmod(F.xxhash64(key, F.lit(t), level), per_table.cast("bigint")) + F.lit(t) * per_table)
             .cast("int").alias("i"),
             count.cast("int").alias("n"), key.alias("k"), _check(key).alias("c"),
         )
@@ -69,8 +77,7 @@ def _cells_of(key: Column, count: Column, attempt: Column, per_table: Column) ->
 
 def _added(cells: Column) -> Column:
     """Cells in order of their place, those of one place added up, empty ones left out."""
-    cell = "struct<i:int,n:int,k:bigint,c:bigint>"
-    start = F.struct(F.array().cast(f"array<{cell}>").alias("done"), F.lit(None).cast(cell).alias("last"))
+    start = F.struct(F.array().cast(f"array<{CELL}>").alias("done"), F.lit(None).cast(CELL).alias("last"))
 
     def closed(state: Column) -> Column:
         last = state["last"]
@@ -90,17 +97,25 @@ def _added(cells: Column) -> Column:
     return F.aggregate(F.sort_array(cells), start, add, closed)
 
 
-def sketch(keys: Column, attempt: Column, per_table: Column, sign: int = 1) -> Column:
+def _per_table(level: Column) -> Column:
+    return (F.lit(LEAST_CELLS) * F.pow(F.lit(2), level)).cast("int")
+
+
+def sketch(keys: Column, level: Column, sign: int = 1) -> Column:
     """The cells of a set of digests, unsorted and not yet added up."""
-    return F.flatten(F.transform(keys, lambda k: _cells_of(k, F.lit(sign), attempt, per_table)))
+    return let(
+        _per_table(level),
+        lambda cells: F.flatten(F.transform(keys, lambda k: _cells_of(k, F.lit(sign), level, cells))),
+    )
 
 
-def _peel(cells: Column, attempt: Column, per_table: Column) -> Column:
-    """How many digests peeling recovers, and whether it emptied every cell.
+def _peel(cells: Column, level: Column) -> Column:
+    """The digests that peeling recovers, and whether it emptied every cell.
 
     A round takes out all digests that are alone in a cell.
     """
-    state = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("more"))
+    none = F.array().cast("array<bigint>")
+    state = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("more"))
 
     def round_of(s: Column, _: Column) -> Column:
         alone = F.array_distinct(F.transform(
@@ -109,65 +124,166 @@ def _peel(cells: Column, attempt: Column, per_table: Column) -> Column:
         ))
 
         def without(pure: Column) -> Column:
-            taken = F.flatten(F.transform(pure, lambda x: _cells_of(x["k"], -x["n"], attempt, per_table)))
+            size = _per_table(level)
+            taken = F.flatten(F.transform(pure, lambda x: _cells_of(x["k"], -x["n"], level, size)))
             return F.struct(
                 _added(F.concat(s["cells"], taken)).alias("cells"),
-                (s["found"] + F.size(pure)).alias("found"), (F.size(pure) > 0).alias("more"),
+                F.concat(s["found"], F.transform(pure, lambda x: x["k"])).alias("found"),
+                (F.size(pure) > 0).alias("more"),
             )
 
-        return F.when(s["more"] & (F.size(s["cells"]) > 0), let(alone, without)).otherwise(s)
+        def stopped(pure: Column) -> Column:
+            halt = F.struct(s["cells"].alias("cells"), s["found"].alias("found"), F.lit(False).alias("more"))
+            return F.when(F.size(pure) == 0, halt).otherwise(without(pure))
+
+        return F.when(s["more"] & (F.size(s["cells"]) > 0), let(alone, stopped)).otherwise(s)
 
     peeled = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, round_of)
     return let(peeled, lambda s: F.struct(s["found"].alias("found"), (F.size(s["cells"]) == 0).alias("ok")))
 
 
-def differing_digests(a: Column, b: Column) -> Column:
-    """How many digests are in one of two sets only, recovered by subtracting and peeling."""
+def buckets_of(digests: Column) -> Column:
+    """The digests dealt into buckets by value: one, or a power of two of them."""
+    count = F.pow(F.lit(2), F.greatest(
+        F.lit(0), F.ceil(F.log2(F.size(digests) / F.lit(float(BUCKET_DIGESTS))))
+    )).cast("int")
+    return let(F.when(F.size(digests) <= BUCKET_DIGESTS, F.lit(1)).otherwise(count), lambda m: _dealt(digests, m))
 
-    def attempts(mine: Column) -> Column:
-        start = F.struct(F.lit(0).alias("found"), F.lit(False).alias("ok"))
-        first = F.greatest(F.lit(LEAST_CELLS), F.ceil((F.size(mine["a"]) + F.size(mine["b"])) * ROOM / TABLES))
 
-        def attempt(state: Column, i: Column) -> Column:
-            def tried(cells: Column) -> Column:
-                difference = F.concat(sketch(mine["a"], i, cells, 1), sketch(mine["b"], i, cells, -1))
-                return _peel(_added(difference), i, cells)
+def _dealt(digests: Column, m: Column) -> Column:
+    dealt = F.transform(
+        F.sequence(F.lit(0), m - 1), lambda i: F.filter(digests, lambda k: F.pmod(k, m.cast("bigint")) == i)
+    )
+    return F.when(m == 1, F.array(digests)).otherwise(dealt)
 
-            return F.when(state["ok"], state).otherwise(let((first * F.pow(F.lit(2), i)).cast("int"), tried))
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), start, attempt)["found"]
+def last_level(buckets: Column) -> Column:
+    """The first level from which every bucket's digests can be peeled."""
+    largest = F.array_max(F.transform(buckets, F.size))
 
-    def all_buckets(both: Column) -> Column:
-        total = F.size(both["a"]) + F.size(both["b"])
-        buckets = F.ceil(total / BUCKET_DIGESTS).cast("int")
+    def tried(state: Column, level: Column) -> Column:
+        whole = F.forall(buckets, lambda keys: _peel(_added(sketch(keys, level)), level)["ok"])
+        # More digests than cells cannot be told apart.
+        full = largest > _per_table(level) * TABLES
+        return F.when((state >= 0) | full, state).when(whole, level).otherwise(state)
 
-        def split(n: Column) -> Column:
-            def in_bucket(bucket: Column) -> Column:
-                own = lambda keys: F.filter(keys, lambda k: F.pmod(k, n.cast("bigint")) == bucket)
-                return let(F.struct(own(both["a"]).alias("a"), own(both["b"]).alias("b")), attempts)
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), F.lit(-1), tried)
+    return let(found, lambda x: F.when(x >= 0, x).otherwise(_no_level().cast("int")))
 
-            return F.aggregate(
-                F.sequence(F.lit(0), n - 1), F.lit(0), lambda found, bucket: found + in_bucket(bucket)
-            )
 
-        return F.when(total <= BUCKET_DIGESTS, attempts(both)).otherwise(let(buckets, split))
+def _no_level() -> Column:
+    return F.raise_error(F.lit(f"no table of {LEVELS} levels can be peeled; raise LEVELS"))
+
+
+def tables(buckets: Column, last: Column) -> Column:
+    """A fingerprint: for every bucket its levels from the smallest to ``last``, cells each."""
+    return F.transform(buckets, lambda keys: F.transform(
+        F.sequence(F.lit(0), last), lambda level: _added(sketch(keys, level))
+    ))
+
+
+def peeled_buckets(cells: Column) -> Column:
+    """The digests that a fingerprint gives back, bucket by bucket."""
+    return F.transform(cells, lambda levels: let(
+        F.size(levels) - 1,
+        lambda last: let(_peel(F.get(levels, last), last), lambda x: F.when(x["ok"], x["found"]).otherwise(
+            F.raise_error(F.lit("no whole fingerprint")).cast("array<bigint>")
+        )),
+    ))
+
+
+def differing_digests(a: Column, b: Column) -> Column:
+    """How many digests are in one of two documents only, by subtracting and peeling.
+
+    Both are structs of a fingerprint's ``cells`` and the ``keys`` it gives back, each by bucket. Levels
+    that both have are subtracted as they are; larger ones, and all if the
+    documents are dealt into different numbers of buckets, are made of the keys.
+    """
+    def in_bucket(i: Column, keys_a: Column, keys_b: Column, alike: Column) -> Column:
+        start = F.struct(F.lit(0).alias("found"), F.lit(False).alias("ok"))
+        apart = F.abs(F.size(keys_a) - F.size(keys_b))
+
+        def attempt(state: Column, level: Column) -> Column:
+            stored = lambda side: F.get(F.get(side["cells"], i), level)
+            negative = F.transform(stored(b), lambda x: F.struct(
+                x["i"].alias("i"), (-x["n"]).alias("n"), x["k"].alias("k"), x["c"].alias("c")
+            ))
+            kept = F.concat(stored(a), negative)
+            both = F.when(alike & kept.isNotNull(), kept).otherwise(
+                F.concat(sketch(keys_a, level), sketch(keys_b, level, -1))
+            )
+            peeled = let(_peel(_added(both), level), lambda x: F.struct(
+                F.size(x["found"]).alias("found"), x["ok"].alias("ok")
+            ))
+            return F.when(state["ok"] | (apart > _per_table(level) * TABLES), state).otherwise(peeled)
+
+        ended = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, attempt)
+        return let(ended, lambda x: F.when(x["ok"], x["found"]).otherwise(_no_level().cast("int")))
+
+    def dealt_alike(m: Column) -> Column:
+        alike = F.size(a["keys"]) == F.size(b["keys"])
+        again = lambda side: F.when(alike, side["keys"]).otherwise(_dealt(F.flatten(side["keys"]), m))
+        keys = F.struct(again(a).alias("a"), again(b).alias("b"))
+        return let(keys, lambda both: F.aggregate(
+            F.sequence(F.lit(0), m - 1), F.lit(0),
+            lambda found, i: found + in_bucket(i, F.get(both["a"], i), F.get(both["b"], i), alike),
+        ))
 
-    return let(F.struct(a.alias("a"), b.alias("b")), all_buckets)
+    return let(F.greatest(F.size(a["keys"]), F.size(b["keys"])), dealt_alike)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Twice the common digests over all digests of two sets; two empty sets are alike."""
-    total = F.size(a) + F.size(b)
+    """Twice the common digests over all digests of two documents; two empty ones are alike."""
+    count = lambda side: F.aggregate(side["keys"], F.lit(0), lambda n, x: n + F.size(x))
+    total = count(a) + count(b)
     return F.when(total == 0, F.lit(1.0)).otherwise((total - differing_digests(a, b)) / total)
 
 
-def fingerprint(digests: Column) -> Column:
-    """The filled cells of a fingerprint in hexadecimal: place, count, digests, checks."""
-    hexadecimal = lambda x, digits: F.lpad(F.hex(x), digits, "0")
-    cells = _added(sketch(digests, F.lit(0), F.lit(FINGERPRINT_CELLS)))
-    return F.lower(F.array_join(F.transform(cells, lambda x: F.concat(
-        hexadecimal(x["i"], 2), hexadecimal(x["n"], 4), hexadecimal(x["k"], 16), hexadecimal(x["c"], 16)
-    )), ""))
+def written(cells: Column) -> Column:
+    """A fingerprint as text: cells in hexadecimal, ``/`` between levels, ``;`` between buckets."""
+    def one(x: Column) -> Column:
+        return F.concat(*[F.lpad(F.hex(x[f]), digits, "0") for f, digits in zip("inkc", DIGITS)])
+
+    level = lambda x: F.array_join(F.transform(x, one), "")
+    bucket = lambda levels: F.array_join(F.transform(levels, level), "/")
+    return F.lower(F.array_join(F.transform(cells, bucket), ";"))
+
+
+def read_fingerprint(text: Column) -> Column:
+    """The struct that ``likeness`` compares, from a written fingerprint alone."""
+    width = sum(DIGITS)
+    starts = [sum(DIGITS[:i]) + 1 for i in range(len(DIGITS))]
+
+    def cell(x: Column) -> Column:
+        number = [F.conv(F.substring(x, at, n), 16, -10) for at, n in zip(starts, DIGITS)]
+        kinds = ["int", "int", "bigint", "bigint"]
+        return F.struct(*[value.cast(kind).alias(f) for value, kind, f in zip(number, kinds, "inkc")])
+
+    def level(x: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.length(x)), lambda i: i * width < F.length(x))
+        return F.transform(places, lambda i: cell(F.substring(x, i * width + 1, F.lit(width))))
+
+    cells = F.transform(F.split(text, ";"), lambda bucket: F.transform(F.split(bucket, "/"), level))
+    return let(cells, lambda x: F.struct(x.alias("cells"), peeled_buckets(x).alias("keys")))
+
+
+def fingerprint_likeness(a: Column, b: Column) -> Column:
+    """The likeness of two written fingerprints (NULL if one is); no text is needed."""
+    either = a.isNull() | b.isNull()
+    return F.when(~either, let(
+        F.struct(read_fingerprint(a).alias("a"), read_fingerprint(b).alias("b")), lambda x: likeness(x["a"], x["b"])
+    ))
+
+
+def _fingerprinted(buckets: Column, last: Column) -> Column:
+    """Cells and keys of a document. ``last_level`` has peeled the cells, so the keys are theirs."""
+    return F.struct(tables(buckets, last).alias("cells"), buckets.alias("keys"))
+
+
+def _row_key() -> Column:
+    """128 bits of the id, a NULL one unlike any other, and the text."""
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    return F.unhex(F.md5(F.concat(key, F.lit("\n"), F.col("text"))))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -178,15 +294,18 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     single document is its own next. Gives ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``. A NULL text is empty; blank texts
     have an empty fingerprint and are like each other. Rows alike in ``doc_id`` and
-    text are one document with one result; texts that share a ``doc_id`` follow each
-    other by a hash, a NULL ``doc_id`` comes last. An empty table gives an empty
+    text are one document in the order, whose result is returned for each of them; texts that share
+    a ``doc_id`` follow each other by a hash, a NULL ``doc_id`` comes last. The likenesses are those
+    of the returned fingerprints: ``fingerprint_likeness`` gives the same. An empty table gives an empty
     result. Only ``doc_id`` and ``text`` are read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", text.alias("text")).withColumn("_key", F.xxhash64("doc_id", "text"))
+    own = docs.select("doc_id", text.alias("text")).withColumn("_key", _row_key())
     # The only exchange of whole texts: both joins below are on the same key.
     whole = own.select("_key", "text").dropDuplicates(["_key"])
-    sizes = own.select("doc_id", "_key", F.length("text").alias("n")).distinct()
+    sizes = own.select("doc_id", "_key", F.length("text").alias("n")).groupBy("doc_id", "_key", "n").agg(
+        F.count("*").alias("rows")
+    )
     ordered = materialize(
         number_rows(sizes, F.col("doc_id").desc_nulls_last(), F.col("_key"), name="document-order"), "documents-numbered"
     )
@@ -196,12 +315,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
     wanted = materialize(
         ordered.join(following, "_number").select(
-            F.col("_key").alias("for_key"), "doc_id", "n", F.floor(F.col("n") / 3).cast("int").alias("part"), "next_key"
+            F.col("_key").alias("for_key"), "doc_id", "n", "rows", F.floor(F.col("n") / 3).cast("int").alias("part"), "next_key"
         ),
         "next-documents",
     )
     brought = whole.join(wanted, F.col("_key") == F.col("next_key")).select(
-        "for_key", "doc_id", "n", "part", "next_key",
+        "for_key", "doc_id", "n", "rows", "part", "next_key",
         F.substring(F.col("text"), F.lit(1), F.col("part")).alias("tail"),
     )
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.col("part")), F.col("tail"))
@@ -209,15 +328,28 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         whole.join(brought, F.col("_key") == F.col("for_key"))
         .withColumn("_edited", edited)
         .select(
-            "doc_id", "_key", "next_key", F.col("n").cast("bigint").alias("n_chars"),
+            "doc_id", "_key", "next_key", "rows", F.col("n").cast("bigint").alias("n_chars"),
             F.sha2("_edited", 256).alias("edited_sha256"),
-            paragraph_digests(F.col("text")).alias("a"), paragraph_digests(F.col("_edited")).alias("e"),
-        ),
+            let(paragraph_digests(F.col("text")), buckets_of).alias("a"),
+            let(paragraph_digests(F.col("_edited")), buckets_of).alias("e"),
+        )
+        .withColumns({"a_last": last_level(F.col("a")), "e_last": last_level(F.col("e"))}),
         "paragraph-digests",
     )
-    next_digests = digested.select(F.col("_key").alias("next_key"), F.col("a").alias("b"))
-    return digested.join(next_digests, "next_key").select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"),
-        fingerprint(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("b")).alias("near_next"),
+    next_digests = digested.select(
+        F.col("_key").alias("next_key"), F.col("a").alias("b"), F.col("a_last").alias("b_last")
+    )
+    sides = F.struct(*[_fingerprinted(F.col(x), F.col(f"{x}_last")).alias(x) for x in "aeb"])
+
+    def results(x: Column) -> Column:
+        return F.struct(
+            written(x["a"]["cells"]).alias("fingerprint"), written(x["e"]["cells"]).alias("edited_fingerprint"),
+            likeness(x["a"], x["e"]).alias("near_edited"), likeness(x["a"], x["b"]).alias("near_next"),
+        )
+
+    compared = digested.join(next_digests, "next_key").withColumn("_of", F.explode(F.transform(F.array(sides), results)))
+    each_row = F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))
+    return (
+        compared.select("doc_id", "n_chars", "edited_sha256", "_of.*", "rows")
+        .select("*", each_row.alias("_row")).drop("rows", "_row")
     )

@@ -26,12 +26,41 @@ def test_peeling_recovers_every_difference(spark, monkeypatch, bucket, cells):
     rnd = random.Random(0)
     rows = []
     for size in (0, 1, 2, 5, 30, 300):
-        for other in (0, 1, 7, 60):
+        for other in (0, 1, 7, 60, 700):
             common = [rnd.getrandbits(62) for _ in range(size)]
             rows.append((common + [rnd.getrandbits(62) for _ in range(other)], common + [rnd.getrandbits(62) for _ in range(other // 2)]))
-    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
-    found = df.select("a", "b", fingerprints.differing_digests(F.col("a"), F.col("b")).alias("n")).collect()
-    assert all(r["n"] == len(set(r["a"]) ^ set(r["b"])) for r in found)
+    check_sets(spark, rows)
+
+
+def check_sets(spark, rows):
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").repartition(8)
+    for side in "ab":
+        dealt = df.withColumn("_m", fingerprints.buckets_of(F.col(side)))
+        df = dealt.withColumn(f"f{side}", fingerprints._fingerprinted(F.col("_m"), fingerprints.last_level(F.col("_m"))))
+    texts = [fingerprints.written(F.col(f"f{side}")["cells"]).alias(f"t{side}") for side in "ab"]
+    found = df.select(
+        "a", "b", fingerprints.differing_digests(F.col("fa"), F.col("fb")).alias("n"),
+        fingerprints.fingerprint_likeness(*texts).alias("near"),
+        fingerprints.read_fingerprint(texts[0])["keys"].alias("back"),
+    ).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        a, b = set(r["a"]), set(r["b"])
+        assert r["n"] == len(a ^ b) and r["near"] == pytest.approx(like(a, b))
+        assert {k for bucket in r["back"] for k in bucket} == a
+
+
+def test_thousands_of_paragraphs(spark):
+    rnd = random.Random(2)
+    keys = [rnd.getrandbits(63) - (1 << 62) for _ in range(5000)]
+    check_sets(spark, [(keys, keys), (keys, keys[:4990]), (keys, keys[:3]), (keys[:2600], keys[2400:])])
+
+
+def test_a_difference_that_no_level_holds_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "LEVELS", 1)
+    df = spark.createDataFrame([(list(range(100)),)], "a array<bigint>")
+    with pytest.raises(Exception, match="LEVELS"):
+        df.select(fingerprints.last_level(fingerprints.buckets_of(F.col("a")))).collect()
 
 
 def test_documents_equal_plain_sets(spark):
@@ -40,7 +69,13 @@ def test_documents_equal_plain_sets(spark):
     rows = [(i * 3, "\n".join(line() for _ in range(rnd.randint(0, 12)))) for i in range(40)]
     rows += [(500, None), (501, ""), (502, " \n\t"), (503, rows[4][1]), (504, rows[4][1])]
     docs = spark.createDataFrame([(*r, "x") for r in rows + rows[:2]], "doc_id long, text string, fingerprint string")
-    found = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    got = fingerprints.edited_fingerprints(docs)
+    again = fingerprints.fingerprint_likeness(F.col("fingerprint"), F.col("edited_fingerprint"))
+    returned = got.withColumn("again", again).collect()
+    found = {r["doc_id"]: r for r in returned}
+    # Every row has its result, also those alike in id and text.
+    assert sorted(r["doc_id"] for r in returned) == sorted([r[0] for r in rows + rows[:2]])
+    assert all(r["again"] == r["near_edited"] for r in returned)
     order = sorted(rows, reverse=True, key=lambda r: r[0])
     assert len(found) == len(rows)
     for i, (key, text) in enumerate(order):
@@ -57,6 +92,6 @@ def test_documents_equal_plain_sets(spark):
 def test_one_document_null_keys_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "abcdef"), (None, "abcdef")], "doc_id long, text string")
     only = fingerprints.edited_fingerprints(docs).collect()
-    assert len(only) == 1 and only[0]["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
+    assert len(only) == 2 and only[0] == only[1] and only[0]["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
     assert only[0]["near_next"] == 1.0
     assert fingerprints.edited_fingerprints(docs.limit(0)).collect() == []
