@@ -135,7 +135,9 @@ def differing_digests(a: Column, b: Column) -> Column:
 
             return F.when(state["ok"], state).otherwise(let((first * F.pow(F.lit(2), i)).cast("int"), tried))
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), start, attempt)["found"]
+        ended = F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), start, attempt)
+        failed = F.raise_error(F.lit(f"not peeled in {ATTEMPTS} attempts")).cast("int")
+        return let(ended, lambda x: F.when(x["ok"], x["found"]).otherwise(failed))
 
     def all_buckets(both: Column) -> Column:
         total = F.size(both["a"]) + F.size(both["b"])
@@ -170,6 +172,12 @@ def fingerprint(digests: Column) -> Column:
     )), ""))
 
 
+def _row_key() -> Column:
+    """128 bits of the id, a NULL one unlike any other, and the text."""
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    return F.unhex(F.md5(F.concat(key, F.lit("\n"), F.col("text"))))
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
@@ -178,15 +186,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     single document is its own next. Gives ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``. A NULL text is empty; blank texts
     have an empty fingerprint and are like each other. Rows alike in ``doc_id`` and
-    text are one document with one result; texts that share a ``doc_id`` follow each
-    other by a hash, a NULL ``doc_id`` comes last. An empty table gives an empty
+    text are one document in the order, and each of them has its result; texts that
+    share a ``doc_id`` follow each other by a hash, a NULL ``doc_id`` comes last. An empty table gives an empty
     result. Only ``doc_id`` and ``text`` are read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", text.alias("text")).withColumn("_key", F.xxhash64("doc_id", "text"))
+    own = docs.select("doc_id", text.alias("text")).withColumn("_key", _row_key())
     # The only exchange of whole texts: both joins below are on the same key.
     whole = own.select("_key", "text").dropDuplicates(["_key"])
-    sizes = own.select("doc_id", "_key", F.length("text").alias("n")).distinct()
+    sizes = own.select("doc_id", "_key", F.length("text").alias("n")).groupBy("doc_id", "_key", "n").agg(
+        F.count("*").alias("rows")
+    )
     ordered = materialize(
         number_rows(sizes, F.col("doc_id").desc_nulls_last(), F.col("_key"), name="document-order"), "documents-numbered"
     )
@@ -196,12 +206,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
     wanted = materialize(
         ordered.join(following, "_number").select(
-            F.col("_key").alias("for_key"), "doc_id", "n", F.floor(F.col("n") / 3).cast("int").alias("part"), "next_key"
+            F.col("_key").alias("for_key"), "doc_id", "n", "rows", F.floor(F.col("n") / 3).cast("int").alias("part"),
+            "next_key",
         ),
         "next-documents",
     )
     brought = whole.join(wanted, F.col("_key") == F.col("next_key")).select(
-        "for_key", "doc_id", "n", "part", "next_key",
+        "for_key", "doc_id", "n", "rows", "part", "next_key",
         F.substring(F.col("text"), F.lit(1), F.col("part")).alias("tail"),
     )
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.col("part")), F.col("tail"))
@@ -209,15 +220,19 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         whole.join(brought, F.col("_key") == F.col("for_key"))
         .withColumn("_edited", edited)
         .select(
-            "doc_id", "_key", "next_key", F.col("n").cast("bigint").alias("n_chars"),
+            "doc_id", "_key", "next_key", "rows", F.col("n").cast("bigint").alias("n_chars"),
             F.sha2("_edited", 256).alias("edited_sha256"),
             paragraph_digests(F.col("text")).alias("a"), paragraph_digests(F.col("_edited")).alias("e"),
         ),
         "paragraph-digests",
     )
     next_digests = digested.select(F.col("_key").alias("next_key"), F.col("a").alias("b"))
-    return digested.join(next_digests, "next_key").select(
+    compared = digested.join(next_digests, "next_key").select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"),
         fingerprint(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("b")).alias("near_next"),
+        "rows",
     )
+    # One row for each input row; nothing above is computed twice for them.
+    copies = F.sequence(F.lit(1).cast("bigint"), F.col("rows"))
+    return compared.withColumn("_copy", F.explode(copies)).drop("rows", "_copy")
