@@ -24,17 +24,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mixloom.llm.common import let, number_rows, word_count
+from mixloom.llm.common import WORD, let, number_rows
 from mixloom.session import materialize
 
 MIN_WORDS = 50
 # Where a sentence begins inside a line: after an end mark, a closing quote or bracket if
-# any, and blanks, or right after a full-width mark. The first test, of one character, spares
-# the others at most places.
+# any, and blanks, or right after a full-width mark.
 SENTENCE_START = (
     r"(?<=[ \t\u3002\uff01\uff1f])(?=\S)"
     r"(?:(?<=[.!?\u2026][\"'\u201d\u2019)\]]?[ \t]{1,2})|(?<=[\u3002\uff01\uff1f]))"
 )
+# The same from the end mark on, which is faster to look for.
+SENTENCE_END = r"[.!?\u2026\u3002\uff01\uff1f](?:(?<=[\u3002\uff01\uff1f])|[\"'\u201d\u2019)\]]?[ \t]{1,2})(?=\S)"
+# Put after every such end; a text that holds it already is cut at sentence starts.
+MARK = "\x1e"
 
 
 def _key() -> Column:
@@ -47,12 +50,23 @@ def _units(text: Column) -> Column:
     A cut is followed by a character that is no white space, so of a line with a word
     every unit has one.
     """
-    def of_line(line: Column, i: Column) -> Column:
-        return F.transform(
-            F.split(line, SENTENCE_START), lambda unit: F.struct(i.alias("line"), unit.alias("text"))
-        )
+    def by(cut: str, texts: Column) -> Column:
+        return F.flatten(F.transform(F.split(texts, "\n"), lambda line, i: F.transform(
+            F.split(line, cut), lambda unit: F.struct(i.alias("line"), unit.alias("text"))
+        )))
+
+    # One pass marks the ends in the whole text, and a single character is a cheap cut.
+    marked = F.regexp_replace(text, SENTENCE_END, f"$0{MARK}")
+    return F.when(F.contains(text, F.lit(MARK)), by(SENTENCE_START, text)).otherwise(by(MARK, marked))
+
 
-    return F.flatten(F.transform(F.split(text, "\n"), of_line))
+def _word_count(trimmed: Column) -> Column:
+    """Words of a unit with a word at either end; cheap where single blanks part them."""
+    blanks = F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit("")))
+    other = F.contains(trimmed, F.lit("  "))
+    for space in "\t\x0b\x0c\r":
+        other |= F.contains(trimmed, F.lit(space))
+    return F.when(other, F.regexp_count(trimmed, F.lit(WORD))).otherwise(blanks + 1).cast("int")
 
 
 def document_units(docs: DataFrame) -> DataFrame:
@@ -69,11 +83,11 @@ def document_units(docs: DataFrame) -> DataFrame:
             u["line"].alias("line"), i.alias("unit"), F.btrim(u["text"], F.lit(" \t\x0b\x0c\r")).alias("_text")
         ),
     )
-    units = docs.select(
-        _key().alias("key"), "doc_id", F.posexplode(F.filter(trimmed, lambda u: u["_text"] != "")).alias("nth", "_unit")
-    ).select("key", "doc_id", "nth", "_unit.*")
+    # The key is computed with the units, once for a text and not once for every unit of it.
+    cut = docs.select(_key().alias("key"), "doc_id", F.filter(trimmed, lambda u: u["_text"] != "").alias("_units"))
+    units = cut.select("key", "doc_id", F.posexplode("_units").alias("nth", "_unit")).select("key", "doc_id", "nth", "_unit.*")
     return units.select(
-        "key", "doc_id", "nth", "unit", "line", word_count(F.col("_text")).cast("int").alias("words"),
+        "key", "doc_id", "nth", "unit", "line", _word_count(F.col("_text")).alias("words"),
         F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(1), "_text").alias("h2"),
     )
 
