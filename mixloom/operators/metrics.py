@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
+from math import exp, factorial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,6 +17,12 @@ from mixloom.session import materialize
 from mixloom.sources.sinks import write_metrics
 
 MAX_ORDER = 4
+ROUGE_KINDS = ("rouge1", "rouge2", "rougeL")
+
+# Shares of a Poisson distribution of mean 1 up to each count, in four hexadecimal digits.
+POISSON_STEPS = tuple(
+    f"{round(65536 * sum(exp(-1) / factorial(i) for i in range(times + 1))):04x}" for times in range(8)
+)
 
 # Tokens counted together; rows are never split.
 CHUNK_TOKENS = 2_000_000
@@ -38,12 +46,15 @@ def strip_prompt(
     return df.select(*keep, strip(rest).alias("prediction"))
 
 
+def _perplexity(loss: str, tokens: str) -> Column:
+    known = F.when(F.col(loss).isNotNull(), F.col(tokens))
+    return F.exp(F.sum(F.col(loss) * F.col(tokens)) / F.nullif(F.sum(known), F.lit(0)))
+
+
 def perplexity(df: DataFrame, loss: str = "loss", tokens: str = "n_tokens", by: tuple[str, ...] = ()) -> DataFrame:
     """exp of the token-weighted mean of the known losses; NULL without such tokens."""
-    known = F.when(F.col(loss).isNotNull(), F.col(tokens))
-    weighted = F.sum(F.col(loss) * F.col(tokens)) / F.nullif(F.sum(known), F.lit(0))
     grouped = df.groupBy(*by) if by else df
-    return grouped.agg(F.exp(weighted).alias("perplexity"))
+    return grouped.agg(_perplexity(loss, tokens).alias("perplexity"))
 
 
 def matched_grams(max_order: int, orders: Sequence[int] | None = None):
@@ -110,38 +121,68 @@ def matched_grams(max_order: int, orders: Sequence[int] | None = None):
     return F.arrow_udf(matches, "array<bigint>")
 
 
-def bleu(
-    df: DataFrame, prediction: str = "prediction", reference: str = "reference", max_order: int = MAX_ORDER
-) -> DataFrame:
-    """Corpus BLEU: clipped n-gram precisions, brevity penalty, no smoothing.
+@dataclass(frozen=True)
+class MetricParts:
+    """A metric as parts that share one pass over the rows with other metrics.
 
-    One scan with counts per row and one partial aggregate. No reference tokens
-    give NULL; no matches of some order give 0.
+    ``rows`` are steps of columns worked out for every row, each from the table and the
+    steps before it; ``sums`` are aggregates over these, which combine before the shuffle;
+    ``values`` are the results, from the sums. Begin names of columns and sums that are
+    not results with the metric's own name.
     """
+
+    sums: tuple[Column, ...]
+    values: tuple[Column, ...]
+    rows: tuple[dict[str, Column], ...] = ()
+
+
+def in_one_pass(df: DataFrame, parts: Sequence[MetricParts]) -> DataFrame:
+    """One row of the results of all parts, from one scan and one aggregate."""
+    for step in range(max(len(part.rows) for part in parts)):
+        df = df.withColumns({c: e for part in parts if step < len(part.rows) for c, e in part.rows[step].items()})
+    return df.agg(*[x for part in parts for x in part.sums]).select(*[x for part in parts for x in part.values])
+
+
+def bleu_parts(prediction: str = "prediction", reference: str = "reference", max_order: int = MAX_ORDER) -> MetricParts:
+    """Corpus BLEU, its precisions, penalty and lengths."""
     orders = range(1, max_order + 1)
-    tokens = df.select(
-        tokens_13a(as_text(F.col(prediction))).alias("_p"), tokens_13a(as_text(F.col(reference))).alias("_r")
-    )
-    rows = tokens.select(
-        F.size("_p").alias("_np"), F.size("_r").alias("_nr"), matched_grams(max_order)("_p", "_r").alias("_m")
+    tokens = {"_bleu_p": tokens_13a(as_text(F.col(prediction))), "_bleu_r": tokens_13a(as_text(F.col(reference)))}
+    counts = {
+        "_bleu_np": F.size("_bleu_p"), "_bleu_nr": F.size("_bleu_r"),
+        "_bleu_m": matched_grams(max_order)("_bleu_p", "_bleu_r"),
+    }
+    sums = (
+        F.sum("_bleu_np").alias("translation_length"),
+        F.sum("_bleu_nr").alias("reference_length"),
+        *[F.sum(F.col("_bleu_m")[n - 1]).alias(f"_bleu_m{n}") for n in orders],
+        *[F.sum(F.greatest(F.col("_bleu_np") - (n - 1), F.lit(0))).alias(f"_bleu_t{n}") for n in orders],
     )
-    sums = rows.agg(
-        F.sum("_np").alias("translation_length"),
-        F.sum("_nr").alias("reference_length"),
-        *[F.sum(F.col("_m")[n - 1]).alias(f"_m{n}") for n in orders],
-        *[F.sum(F.greatest(F.col("_np") - (n - 1), F.lit(0))).alias(f"_t{n}") for n in orders],
-    )
-    precision = lambda n: F.when(F.col(f"_t{n}") > 0, F.col(f"_m{n}") / F.col(f"_t{n}")).otherwise(0.0)
+
+    def precision(n: int) -> Column:
+        return F.when(F.col(f"_bleu_t{n}") > 0, F.col(f"_bleu_m{n}") / F.col(f"_bleu_t{n}")).otherwise(0.0)
+
     ratio = F.col("translation_length") / F.nullif(F.col("reference_length"), F.lit(0))
     penalty = F.when(ratio > 1, 1.0).when(ratio > 0, F.exp(1 - 1 / ratio)).when(ratio == 0, 0.0)
     log_sum = reduce(lambda a, b: a + b, [F.ln(F.nullif(precision(n), F.lit(0.0))) for n in orders])
     mean = F.coalesce(F.exp(log_sum / max_order), F.lit(0.0))
-    return sums.select(
+    values = (
         (mean * penalty).alias("bleu"),
         *[precision(n).alias(f"precision_{n}") for n in orders],
         penalty.alias("brevity_penalty"),
-        "translation_length", "reference_length",
+        F.col("translation_length"), F.col("reference_length"),
     )
+    return MetricParts(sums, values, (tokens, counts))
+
+
+def bleu(
+    df: DataFrame, prediction: str = "prediction", reference: str = "reference", max_order: int = MAX_ORDER
+) -> DataFrame:
+    """Corpus BLEU: clipped n-gram precisions, brevity penalty, no smoothing.
+
+    One scan with counts per row and one partial aggregate. No reference tokens
+    give NULL; no matches of some order give 0.
+    """
+    return in_one_pass(df, [bleu_parts(prediction, reference, max_order)])
 
 
 def _f1(matches: Column, predicted: Column, referred: Column) -> Column:
@@ -250,65 +291,153 @@ def lcs_length(row_words: int = 25_000, step_cells: int = 4_000_000, mask_words:
     return F.arrow_udf(lengths, "bigint")
 
 
-def rouge_scores(
-    df: DataFrame, prediction: str = "prediction", reference: str = "reference",
-    kinds: tuple[str, ...] = ("rouge1", "rouge2", "rougeL"), keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """F1 of every row for the chosen ROUGE kinds."""
+def _rouge_steps(prediction: str, reference: str, kinds: tuple[str, ...]) -> tuple[dict[str, Column], ...]:
+    """Columns of every row, step by step, the last one the scores ``_rouge_<kind>``."""
     orders = {kind: int(kind.removeprefix("rouge")) for kind in kinds if kind != "rougeL"}
-    tokens = df.select(
-        *keep,
-        tokens_rouge(as_text(F.col(prediction))).alias("_p"),
-        tokens_rouge(as_text(F.col(reference))).alias("_r"),
-    )
-    counted = [F.size("_p").alias("_np"), F.size("_r").alias("_nr")]
+    tokens = {"_rouge_p": tokens_rouge(as_text(F.col(prediction))), "_rouge_r": tokens_rouge(as_text(F.col(reference)))}
+    sizes = ("_rouge_np", "_rouge_nr")
+    counts = {"_rouge_np": F.size("_rouge_p"), "_rouge_nr": F.size("_rouge_r")}
     if orders:
-        highest = max(orders.values())
-        counted.append(matched_grams(highest, list(orders.values()))("_p", "_r").alias("_m"))
+        counts["_rouge_m"] = matched_grams(max(orders.values()), list(orders.values()))("_rouge_p", "_rouge_r")
     if "rougeL" in kinds:
-        counted.append(lcs_length()("_p", "_r").alias("_lcs"))
+        counts["_rouge_lcs"] = lcs_length()("_rouge_p", "_rouge_r")
 
     def score(kind: str) -> Column:
         if kind == "rougeL":
-            return _f1(F.col("_lcs"), F.col("_np"), F.col("_nr"))
+            return _f1(F.col("_rouge_lcs"), *map(F.col, sizes))
         n = orders[kind]
-        return _f1(F.col("_m")[n - 1], *[F.greatest(F.col(c) - (n - 1), F.lit(0)) for c in ("_np", "_nr")])
+        return _f1(F.col("_rouge_m")[n - 1], *[F.greatest(F.col(c) - (n - 1), F.lit(0)) for c in sizes])
+
+    return tokens, counts, {f"_rouge_{kind}": score(kind) for kind in kinds}
+
 
-    return tokens.select(*keep, *counted).select(*keep, *[score(kind).alias(kind) for kind in kinds])
+def rouge_scores(
+    df: DataFrame, prediction: str = "prediction", reference: str = "reference",
+    kinds: tuple[str, ...] = ROUGE_KINDS, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """F1 of every row for the chosen ROUGE kinds."""
+    for step in _rouge_steps(prediction, reference, kinds):
+        df = df.withColumns(step)
+    return df.select(*keep, *[F.col(f"_rouge_{kind}").alias(kind) for kind in kinds])
+
+
+def rouge_parts(
+    prediction: str = "prediction", reference: str = "reference", kinds: tuple[str, ...] = ROUGE_KINDS
+) -> MetricParts:
+    """Mean ROUGE F1 over rows."""
+    means = tuple(F.avg(f"_rouge_{kind}").alias(kind) for kind in kinds)
+    return MetricParts(means, tuple(map(F.col, kinds)), _rouge_steps(prediction, reference, kinds))
 
 
 def rouge(
     df: DataFrame, prediction: str = "prediction", reference: str = "reference",
-    kinds: tuple[str, ...] = ("rouge1", "rouge2", "rougeL"),
+    kinds: tuple[str, ...] = ROUGE_KINDS,
 ) -> DataFrame:
     """Mean ROUGE F1 over rows."""
-    return rouge_scores(df, prediction, reference, kinds).agg(*[F.avg(kind).alias(kind) for kind in kinds])
+    return in_one_pass(df, [rouge_parts(prediction, reference, kinds)])
 
 
-Metric = Callable[[DataFrame], DataFrame]
+def poisson_weight(digest: Column, place: int) -> Column:
+    """How often a row is drawn, by four hexadecimal digits of its digest: Poisson of mean 1."""
+    digits = F.substring(digest, 4 * place + 1, 4)
+    weight = F.lit(len(POISSON_STEPS))
+    for times, step in reversed(list(enumerate(POISSON_STEPS))):
+        weight = F.when(digits < step, times).otherwise(weight)
+    return weight
 
-METRICS: dict[str, Metric] = {
-    "bleu": lambda df: bleu(df).select("bleu"),
-    "rouge": rouge,
-    "perplexity": perplexity,
+
+def rouge_bootstrap(
+    df: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference",
+    kinds: tuple[str, ...] = ROUGE_KINDS, replicates: int = 1000, level: float = 0.95, seed: int = 0,
+) -> DataFrame:
+    """``metric, low, mid, high``: quantiles of the mean F1 over rows drawn again and again.
+
+    A row is drawn a Poisson number of times in each replicate, by the MD5 digest of
+    ``seed:key:block``, whose 32 digits serve a block of eight replicates. Scores count in
+    whole billionths, so that the sums, and with them the results, are the same however
+    the rows lie. One pass: a task hands on one row for each block. Rows of one key are
+    drawn together, a NULL key counts as an empty text, and a replicate that draws no row has no
+    mean; without rows all three are NULL.
+    """
+    if replicates < 1 or not 0 < level < 1:
+        raise ValueError("replicates must be at least 1 and level between 0 and 1")
+    scored = rouge_scores(df, prediction, reference, kinds, keep=(key,))
+    blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // 8))
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    units = [F.round(F.col(kind) * 1e9).cast("bigint").alias(kind) for kind in kinds]
+    drawn = scored.select(name.alias("_key"), *units, F.explode(blocks).alias("_block")).withColumn(
+        "_digest", F.md5(F.concat_ws(":", F.lit(seed), "_key", "_block"))
+    )
+    weighted = drawn.select("_block", *kinds, *[poisson_weight(F.col("_digest"), i).alias(f"_w{i}") for i in range(8)])
+    summed = weighted.groupBy("_block").agg(
+        *[F.sum(f"_w{i}").alias(f"_w{i}") for i in range(8)],
+        *[F.sum(F.col(f"_w{i}") * F.col(kind)).alias(f"_{kind}{i}") for kind in kinds for i in range(8)],
+    )
+    means = summed.select(F.inline(F.array(*[
+        F.struct(
+            (F.col("_block") * 8 + i).alias("replicate"),
+            *[(F.col(f"_{kind}{i}") / F.nullif(F.col(f"_w{i}"), F.lit(0)) / 1e9).alias(kind) for kind in kinds],
+        )
+        for i in range(8)
+    ]))).filter(F.col("replicate") < replicates)
+    points = F.array(F.lit((1 - level) / 2), F.lit(0.5), F.lit((1 + level) / 2))
+    found = means.agg(*[F.percentile(kind, points).alias(kind) for kind in kinds])
+    return found.select(F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("metric"), *[F.get(kind, i).alias(c) for i, c in enumerate(("low", "mid", "high"))])
+        for kind in kinds
+    ])))
+
+
+def _bleu_alone() -> MetricParts:
+    whole = bleu_parts()
+    return replace(whole, values=whole.values[:1])
+
+
+def _perplexity_alone() -> MetricParts:
+    return MetricParts((_perplexity("loss", "n_tokens").alias("perplexity"),), (F.col("perplexity"),))
+
+
+# Metrics that read the table on their own, and those of parts, made when they are asked for.
+METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+IN_ONE_PASS: dict[str, Callable[[], MetricParts]] = {
+    "bleu": _bleu_alone, "rouge": rouge_parts, "perplexity": _perplexity_alone
 }
 
 
-def register_metric(name: str, metric: Metric) -> None:
-    """Add a metric: a table of predictions and references to a one-row table of values."""
+def register_metric(name: str, metric: Callable[[DataFrame], DataFrame]) -> None:
+    """Add a metric: a table of predictions and references to a one-row table of values.
+
+    It reads the table on its own; ``register_parts`` adds one that does not.
+    """
+    IN_ONE_PASS.pop(name, None)
     METRICS[name] = metric
 
 
+def register_parts(name: str, parts: Callable[[], MetricParts]) -> None:
+    """Add a metric made of parts, which is worked out in one pass with others of its kind."""
+    METRICS.pop(name, None)
+    IN_ONE_PASS[name] = parts
+
+
 def evaluate(df: DataFrame | None, metrics: list[str]) -> DataFrame:
-    """The chosen metrics as ``(metric, value)``; unknown names are skipped with a warning."""
+    """The chosen metrics as ``(metric, value)``; unknown names are skipped with a warning.
+
+    All metrics made of parts share one scan of the table.
+    """
     if df is None:
         raise ValueError("there is no evaluation split to evaluate")
-    tables = []
-    for name in metrics:
-        if name not in METRICS:
+    rows, parts = [], []
+    for name in dict.fromkeys(metrics):
+        if name in IN_ONE_PASS:
+            parts.append(IN_ONE_PASS[name]())
+        elif name in METRICS:
+            rows.append(METRICS[name](df))
+        else:
             warnings.warn(f"metric {name!r} is not registered and is left out", stacklevel=2)
-            continue
-        row = METRICS[name](df)
+    if parts:
+        rows.insert(0, in_one_pass(df, parts))
+    tables = []
+    for row in rows:
         pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns]
         tables.append(row.select(F.inline(F.array(*pairs))))
     if not tables:

@@ -39,6 +39,25 @@ def _first_message(fields: Column, field: str) -> Column:
     return F.get(F.filter(objects, lambda m: m.isNotNull()), 0)
 
 
+def _whole_record(line: Column) -> Column:
+    """Keys and values, as JSON text, of a line in their order; repeated keys and NaN are taken.
+
+    The line is read as the only element of an array, so that nothing may follow its object.
+    """
+    strict = {"allowSingleQuotes": "false"}
+    read = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<map<string,string>>", strict)
+    return F.when(F.size(read) == 1, F.map_entries(F.get(read, 0)))
+
+
+def _first_message_of(entries: Column, field: str) -> Column:
+    """The first object in the last list of that name, as a map of JSON texts."""
+    values = F.filter(entries, lambda e: e["key"] == field)
+    value = F.get(values, F.size(values) - 1)["value"]
+    items = F.when(F.startswith(F.ltrim(value), F.lit("[")), F.from_json(value, "array<string>"))
+    objects = F.transform(items, lambda x: F.from_json(x, "map<string,string>"))
+    return F.get(F.filter(objects, lambda m: m.isNotNull() & (F.size(m) > 0)), 0)
+
+
 def _style(message: Column) -> Column:
     """The role key of a recognised message, NULL otherwise."""
     known = [
@@ -73,22 +92,30 @@ def detect_format(lines: DataFrame, value: str = "value", keep: tuple[str, ...]
     A chat field wins over instruction aliases, these over a text field, else
     the first key is the text. Lines that are no JSON object, or an empty one,
     are ``invalid``. Blank lines are dropped. The parsed form sorts its keys, so
-    a line is scanned again for its first key only when that decides.
+    a line is scanned again for its first key only when that decides. Lines it refuses (a
+    key twice, of which the last counts, NaN and Infinity, over 128 MiB) are read as a
+    map of texts instead.
     """
     parsed = lines.filter(strip(F.col(value)) != "").select(
         *keep, F.col(value).alias("_line"),
         F.try_parse_json(value).try_cast("map<string,variant>").alias("_fields"),
     )
-    styled = parsed.select(
-        # A line with one key twice has no parsed form, but it has keys.
-        *keep, "_line", F.coalesce(F.map_keys("_fields"), F.array_distinct(F.json_object_keys("_line"))).alias("_keys"),
-        *[_style(_first_message(F.col("_fields"), f)).alias(f"_{f}") for f in CHAT_FIELDS],
+    known = parsed.withColumn("_entries", F.when(F.col("_fields").isNull(), _whole_record(F.col("_line"))))
+    names = F.array_distinct(F.transform("_entries", lambda e: e["key"]))
+    styled = known.select(
+        *keep, "_line", F.coalesce(F.map_keys("_fields"), names).alias("_keys"),
+        F.get(names, 0).alias("_first_name"),
+        *[
+            F.when(F.col("_entries").isNull(), _style(_first_message(F.col("_fields"), f)))
+            .otherwise(_style(_first_message_of(F.col("_entries"), f))).alias(f"_{f}")
+            for f in CHAT_FIELDS
+        ],
     )
     keys = F.col("_keys")
     chat_field = F.coalesce(*[F.when(F.col(f"_{f}").isNotNull(), f) for f in CHAT_FIELDS])
     style = F.coalesce(*[F.col(f"_{f}") for f in CHAT_FIELDS])
     named = styled.select(
-        *keep, "_line", "_keys", chat_field.alias("_chat"), style.alias("_style"),
+        *keep, "_line", "_keys", "_first_name", chat_field.alias("_chat"), style.alias("_style"),
         *[_first_in(keys, names).alias(f"_{part}") for part, names in INSTRUCTION_ALIASES.items()],
     )
     valid = F.coalesce(F.size("_keys") > 0, F.lit(False))
@@ -98,7 +125,8 @@ def detect_format(lines: DataFrame, value: str = "value", keep: tuple[str, ...]
         [("messages", F.col("_chat"))] + [(x, F.when(F.array_contains(keys, x), x)) for x in CHAT_EXTRAS]
     )
     instruction_columns = _pairs([(p, F.col(f"_{p}")) for p in INSTRUCTION_ALIASES])
-    first_key = F.when(F.size(keys) == 1, F.get(keys, 0)).otherwise(F.get(F.json_object_keys("_line"), 0))
+    scanned = F.when(F.size(keys) == 1, F.get(keys, 0)).otherwise(F.get(F.json_object_keys("_line"), 0))
+    first_key = F.coalesce("_first_name", scanned)
     text_columns = _pairs([("prompt", F.coalesce(_first_in(keys, TEXT_FIELDS), first_key))])
     return named.select(
         *keep,

@@ -139,6 +139,23 @@ def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", value.alias("value"))
 
 
+def refused_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a line with a repeated key or NaN, or as one that is no JSON."""
+    docs = documents(spark, sf_dir)
+    # The JSON of an array of one text, without the brackets.
+    listed = F.to_json(F.array("text"))
+    text = F.substring(listed, F.lit(2), F.length(listed) - 2)
+    line = lambda before, after: F.concat(F.lit(before), text, F.lit(after))
+    lines = [
+        line('{"tools":NaN,"conversations":4,"conversations":[1,{"from":"human","value":', "}]}"),
+        line('{"lang":NaN,"text":', "}"),
+        line('{"zeta":-Infinity,"alpha":1,"zeta":', "}"),
+        line('{"question":1,"answer":[{"text":NaN}],"question":', "}"),
+        line('{"text":NaN,"text":', '} {"a":1}'),
+    ]
+    return docs.select("doc_id", F.get(F.array(*lines), F.col("doc_id") % 5).alias("value"))
+
+
 def write_array_files(df: DataFrame, key: str, path: str, before: str = "[", after: str = "]") -> None:
     """Rows as JSON array files of a bounded number of rows each."""
     row = F.to_json(F.struct(*df.columns))

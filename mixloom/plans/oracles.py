@@ -321,6 +321,19 @@ SELECT 'length_share' AS metric, round(sum(length({FIFTH.format('text')})) / sum
 UNION ALL SELECT 'rouge1', round(avg(rouge1), 6) FROM scored
 UNION ALL SELECT 'rouge2', round(avg(rouge2), 6) FROM scored
 UNION ALL SELECT 'rougeL', round(avg(rougel), 6) FROM scored"""
+STEPS = "['5e2d', 'bc5b', 'eb71', 'fb24', 'ff10', 'ffd9', 'fffb', 'ffff']"
+ORACLES["rouge_bootstrap"] = f"""
+WITH scored AS ({ROUGE_ROWS}),
+long AS (
+  SELECT doc_id, metric, CAST(round(value * 1e9) AS BIGINT) AS units
+  FROM (UNPIVOT scored ON rouge1, rouge2, rougel INTO NAME metric VALUE value)),
+drawn AS (
+  SELECT metric, units, r, substring(md5('5:' || doc_id || ':' || (r // 8)), CAST(4 * (r % 8) + 1 AS BIGINT), 4) AS digits
+  FROM long, range(200) AS t(r)),
+weighted AS (SELECT metric, units, r, len(list_filter({STEPS}, lambda x: digits >= x)) AS w FROM drawn),
+means AS (SELECT metric, r, sum(units * w) / nullif(sum(w), 0) / 1e9 AS f FROM weighted GROUP BY metric, r)
+SELECT CASE metric WHEN 'rougel' THEN 'rougeL' ELSE metric END AS metric, round(quantile_cont(f, 0.025), 6) AS low,
+  round(quantile_cont(f, 0.5), 6) AS mid, round(quantile_cont(f, 0.975), 6) AS high FROM means GROUP BY metric"""
 HALVES = ("documents", "doc_id", f"trim(lower(left(text, length(text) // 2)), {SPACES})",
           f"trim(substring(text, length(text) // 2 + 1), {SPACES})")
 
@@ -459,6 +472,10 @@ ORACLES["format_samples"] = f"""
 WITH {DETECTED}, placed AS (
   SELECT *, row_number() OVER (PARTITION BY format, columns, tags ORDER BY doc_id) AS place FROM detected)
 SELECT format, columns, tags, place, doc_id FROM placed WHERE place <= 5"""
+ORACLES["detect_refused_lines"] = """
+SELECT doc_id, ['sharegpt', 'text', 'text', 'alpaca', 'invalid'][doc_id % 5 + 1] AS format,
+  ['{"messages":"conversations","tools":"tools"}', '{"prompt":"text"}', '{"prompt":"zeta"}',
+   '{"instruction":"question","output":"answer"}', NULL][doc_id % 5 + 1] AS columns FROM documents"""
 ORACLES["detect_format_table"] = """
 SELECT doc_id, 'text' AS format, '{"prompt":"body"}' AS columns, NULL AS tags FROM documents"""
 ORACLES["format_profile"] = f"""

@@ -559,11 +559,18 @@ def rouge_rows(spark, sf_dir):
     return scores.select("doc_id", *[F.round(k, 6).alias(k.lower()) for k in ("rouge1", "rouge2", "rougeL")])
 
 
+@query
+def rouge_bootstrap(spark, sf_dir):
+    found = metrics.rouge_bootstrap(inputs.prediction_pairs(spark, sf_dir), "doc_id", replicates=200, seed=5)
+    return found.select("metric", *[F.round(c, 6).alias(c) for c in ("low", "mid", "high")])
+
+
 @query
 def evaluate_metrics(spark, sf_dir):
     rows = inputs.prediction_pairs(spark, sf_dir)
     share = F.sum(F.length("prediction")) / F.sum(F.length("reference"))
-    metrics.register_metric("length_share", lambda df: df.agg(share.alias("length_share")))
+    parts = metrics.MetricParts((share.alias("length_share"),), (F.col("length_share"),))
+    metrics.register_parts("length_share", lambda: parts)
     values = metrics.evaluate(rows, ["length_share", "rouge"])
     return values.withColumn("value", F.round("value", 6))
 
@@ -744,6 +751,11 @@ def detect_format(spark, sf_dir):
     return profile.detect_format(inputs.mixed_lines(spark, sf_dir), keep=("doc_id",))
 
 
+@query
+def detect_refused_lines(spark, sf_dir):
+    return profile.detect_format(inputs.refused_lines(spark, sf_dir), keep=("doc_id",)).drop("tags")
+
+
 @query
 def format_profile(spark, sf_dir):
     groups = profile.format_profile(inputs.mixed_lines(spark, sf_dir), "doc_id")

@@ -1,7 +1,8 @@
 """Corpus metrics against plain computations, run tables, batches and streams."""
 
-import random
+import hashlib
 import math
+import random
 import re
 import subprocess
 import sys
@@ -9,6 +10,7 @@ import warnings
 from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -132,6 +134,46 @@ def test_evaluate_and_user_metric(spark, monkeypatch):
         metrics.evaluate(None, ["rouge"])
 
 
+def test_metrics_of_parts_equal_each_alone(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "METRICS", dict(metrics.METRICS))
+    monkeypatch.setattr(metrics, "IN_ONE_PASS", dict(metrics.IN_ONE_PASS))
+    df = pair_table(spark, [("the cat sat on the mat", "a cat sat on the mat"), ("b c d e f", "b c d e g"), (None, "x"), ("", "")])
+    df = df.withColumns({"loss": F.lit(0.5), "n_tokens": F.lit(3)})
+    metrics.register_parts("longest", lambda: metrics.MetricParts(
+        (F.max("_longest_n").alias("_longest_all"),), (F.col("_longest_all").alias("longest"),), ({"_longest_n": F.length("prediction")},)
+    ))
+    values = {r["metric"]: r["value"] for r in metrics.evaluate(df, ["bleu", "longest", "rouge", "perplexity", "bleu"]).collect()}
+    want = {"longest": 22.0, **metrics.rouge(df).first().asDict(), **metrics.perplexity(df).first().asDict()}
+    assert values == {**want, "bleu": metrics.bleu(df).first()["bleu"]}
+    metrics.register_metric("rouge", lambda df: df.agg(F.count("*").alias("rows")))
+    assert [tuple(r) for r in metrics.evaluate(df, ["rouge"]).collect()] == [("rows", 4.0)]
+
+
+def test_rouge_bootstrap(spark):
+    def drawn(key, replicate, seed):
+        digits = hashlib.md5(f"{seed}:{key}:{replicate // 8}".encode()).hexdigest()[4 * (replicate % 8):][:4]
+        return sum(digits >= step for step in metrics.POISSON_STEPS)
+
+    rows = [(i if i < 38 else None, "a b c d", " ".join("abcdxyz"[: i % 7 + 1])) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, prediction string, reference string")
+    scores = metrics.rouge_scores(df, kinds=("rouge1",), keep=("id",)).collect()
+    found = metrics.rouge_bootstrap(df, "id", kinds=("rouge1", "rougeL"), replicates=50, level=0.9, seed=3)
+    assert found.columns == ["metric", "low", "mid", "high"]
+    by_metric = {r["metric"]: tuple(r)[1:] for r in found.collect()}
+    means = []
+    for replicate in range(50):
+        weights = [drawn("" if r["id"] is None else r["id"], replicate, 3) for r in scores]
+        means.append(sum(w * r["rouge1"] for w, r in zip(weights, scores)) / sum(weights))
+    assert by_metric["rouge1"] == pytest.approx(tuple(np.percentile(means, [5, 50, 95])), abs=1e-9)
+    # The same to the last digit however the rows lie.
+    again = metrics.rouge_bootstrap(df.repartition(7, "reference"), "id", kinds=("rouge1", "rougeL"), replicates=50, level=0.9, seed=3)
+    assert {r["metric"]: tuple(r)[1:] for r in again.collect()} == by_metric
+    empty = metrics.rouge_bootstrap(df.limit(0), "id", kinds=("rouge2",), replicates=9)
+    assert [tuple(r) for r in empty.collect()] == [("rouge2", None, None, None)]
+    with pytest.raises(ValueError):
+        metrics.rouge_bootstrap(df, "id", replicates=0)
+
+
 @pytest.mark.parametrize("text", ["abcdé", "", "\t x   y\n", "x"])
 def test_cut_and_strip_prompt(spark, text):
     df = spark.createDataFrame([(text,)], "text string")

@@ -131,6 +131,22 @@ def test_detect_format(spark):
     assert [(r["format"], r["columns"], r["tags"]) for r in found] == [s[1:] for s in SHAPES]
 
 
+@pytest.mark.parametrize("line, found, columns", [
+    ('{"messages":[{"role":"user","content":"x"}],"a":1,"a":2}', "sharegpt", '{"messages":"messages"}'),
+    ('{"messages":3,"messages":["s",{"from":"h","value":NaN}]}', "sharegpt", '{"messages":"messages"}'),
+    ('{"messages":[{"role":"u","content":"x"}],"messages":4}', "text", '{"prompt":"messages"}'),
+    ('{"z":Infinity,"b":[1,{"c":-Infinity}]}', "text", '{"prompt":"z"}'),
+    ('{"instruction":NaN,"output":"x","output":"y"}', "alpaca", '{"instruction":"instruction","output":"output"}'),
+    ('{"text":NaN}', "text", '{"prompt":"text"}'),
+    *[(line, "invalid", None) for line in (
+        '{"a":1,"a":2} x', '{"a":1,"a":2}{"b":1}', '{"a":NaN},{"b":1}', "{'a':1}", '{"a":NaN', '[{"a":NaN}]', "NaN", '{"a":nan}'
+    )],
+])
+def test_lines_the_parsed_form_refuses(spark, line, found, columns):
+    row = profile.detect_format(lines(spark, [line])).first()
+    assert (row["format"], row["columns"]) == (found, columns)
+
+
 def test_require_valid(spark):
     detected = profile.detect_format(lines(spark, ["[1]"]))
     with pytest.raises(PySparkException, match="no JSON object"):

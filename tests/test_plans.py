@@ -12,7 +12,7 @@ from mixloom.plans.queries import QUERIES
 from mixloom.sources import catalogue, readers
 
 SF_DIR = "/root/testdata/sf0.001"
-PYTHON_QUERIES = {"bleu", "rouge1", "rouge2", "rouge_l", "rouge_rows", "batch_predict", "user_map",
+PYTHON_QUERIES = {"bleu", "rouge1", "rouge2", "rouge_l", "rouge_rows", "rouge_bootstrap", "batch_predict", "user_map",
                   "evaluate_metrics", "token_truncate_plugged"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -37,6 +37,18 @@ def test_plan(spark, name):
     assert_bounded_single_partitions(plan)
 
 
+def test_metrics_of_parts_share_one_scan(spark):
+    plan = plan_of(metrics.evaluate(inputs.prediction_pairs(spark, SF_DIR), ["rouge", "bleu"]))
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    assert plan.count("Exchange SinglePartition") == 1
+
+
+def test_bootstrap_moves_one_row_a_block(spark):
+    plan = plan_of(metrics.rouge_bootstrap(inputs.prediction_pairs(spark, SF_DIR), "doc_id"))
+    assert plan.count("FileScan") == 1
+    assert re.search(r"Exchange hashpartitioning\(_block.*\n.*HashAggregate\(.*partial_sum", plan)
+
+
 def test_split_moves_no_rows(spark):
     docs = inputs.table(spark, SF_DIR, "documents")
     plan = plan_of(sampling.split(docs, "doc_id"))
@@ -88,5 +100,5 @@ def test_spread_leaves_large_tables_alone(spark):
 def test_text_metrics_shuffle_only_their_sums(spark, metric):
     pairs = spark.range(100).selectExpr("string(id) as prediction", "string(id + 1) as reference")
     plan = plan_of(metric(pairs))
-    assert plan.count("Exchange") == 1 and plan.count("ArrowEvalPython") == 1
+    assert plan.count("Exchange SinglePartition") == 1 and plan.count("ArrowEvalPython") == 1
     assert plan.index("Exchange SinglePartition") < plan.index("ArrowEvalPython")
