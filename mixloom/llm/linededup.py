@@ -35,7 +35,10 @@ SENTENCE_START = (
     r"(?:(?<=[.!?\u2026][\"'\u201d\u2019)\]]?[ \t]{1,2})|(?<=[\u3002\uff01\uff1f]))"
 )
 # The same from the end mark on, which is faster to look for.
-SENTENCE_END = r"[.!?\u2026\u3002\uff01\uff1f](?:(?<=[\u3002\uff01\uff1f])|[\"'\u201d\u2019)\]]?[ \t]{1,2})(?=\S)"
+SENTENCE_END = (
+    r"[.!?\u2026\u3002\uff01\uff1f]"
+    r"(?:(?<=[\u3002\uff01\uff1f])|(?<=[.!?\u2026])[\"'\u201d\u2019)\]]?[ \t]{1,2})(?=\S)"
+)
 # Put after every such end; a text that holds it already is cut at sentence starts.
 MARK = "\x1e"
 

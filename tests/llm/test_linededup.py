@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from mixloom.llm import linededup
 
@@ -101,3 +102,20 @@ def test_benchmark_passage_in_the_middle_of_a_line(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     texts = {r["doc_id"]: (r["text"], r["lines_deleted"]) for r in linededup.drop_repeated_lines(docs).collect()}
     assert texts == {1: (rows[0][1], 0), 2: ("Other start! Other end.\nlast line", 1)}
+
+
+def test_both_ways_of_cutting_sentences_agree(spark):
+    texts = ['A b. C d! "E?" f。g！\nh. \t i.  j.   k', "。！x？ y.) z.] \n. a .b … c…d… e.", " a  b\tc \r\n\x0b.", "", "3.5 e. g.\n\n\nx. y"]
+    marked = [f"{t}\n{linededup.MARK}" for t in texts]
+    df = spark.createDataFrame(list(zip(texts, marked)), "a string, b string")
+    for r in df.select("a", linededup._units(F.col("a")).alias("u"), linededup._units(F.col("b")).alias("v")).collect():
+        assert [tuple(x) for x in r["u"]] == [tuple(x) for x in r["v"]][:-1]
+        lines = {}
+        for x in r["u"]:
+            lines.setdefault(x["line"], []).append(x["text"])
+        assert "\n".join("".join(lines[i]) for i in sorted(lines)) == r["a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in linededup.document_units(docs).collect():
+        assert r["words"] > 0
+    counted = {r["doc_id"]: r["n"] for r in linededup.document_units(docs).groupBy("doc_id").agg(F.sum("words").alias("n")).collect()}
+    assert counted[2] == words(texts[2]) and counted[4] == words(texts[4])
