@@ -4,18 +4,20 @@ A line with several sentences is as many units, so that a passage may begin and
 inside a line; every other line is one unit. Every unit becomes a number: its rank among
 the units that occur more than once. Units that occur once break a run and leave at the
 start, which is nearly all of them.
-The suffixes of a document's unit sequence are then ranked by their first unit, two
-units, four units and so on; a round ranks pairs of ranks, as in the construction of
-a suffix array, with ranks taken by distributed sorting. Suffixes of one rank
-after k rounds are an interval of the suffix array whose longest common prefix is
-at least 2**k units. A run of any length between two powers is the pair of the
-ranks at its start and at its end less the power, so its interval needs no further
-sorting: suffixes with equal pairs share the run.
-
-A run matters when it has ``min_words`` words. For every unit the shortest such
-run that starts there and the shortest that ends there are looked up; together they
-cover exactly the units of all maximal repeated runs of that many words. The first
-copy in corpus order stays, later ones are deleted.
+The suffixes of a document's unit sequence are then ranked by their first unit, eight
+units, 64 units and so on: doubling by a factor of ``STEP`` (a-tupling, Dementiev et al.
+2008), which takes a third of the rounds. A round ranks tuples of ranks, as in the
+construction of a suffix array, with ranks taken by distributed sorting. Suffixes of one
+rank after k rounds are an interval of the suffix array whose longest common prefix is
+at least STEP**k units. A run of any length between two powers is up to STEP ranks of the
+lower one, the last ending with it, so its interval needs no further sorting: suffixes
+with equal ranks there share the run.
+
+A document's ranks are arrays in one row: tuples are formed and runs looked up inside it,
+and only tuples move. A run matters when it has ``min_words`` words. For every unit the
+shortest such run that starts there and the shortest that ends there are looked up;
+together they cover exactly the units of all maximal repeated runs of that many words. The
+first copy in corpus order stays, later ones are deleted.
 
 All of it is DataFrame expressions.
 """
@@ -28,6 +30,8 @@ from mixloom.llm.common import WORD, let, number_rows
 from mixloom.session import materialize
 
 MIN_WORDS = 50
+# A round ranks suffixes by so many times the units of the round before.
+STEP = 8
 # Where a sentence begins inside a line: after an end mark, a closing quote or bracket if
 # any, and blanks, or right after a full-width mark.
 SENTENCE_START = (
@@ -72,55 +76,64 @@ def _word_count(trimmed: Column) -> Column:
     return F.when(other, F.regexp_count(trimmed, F.lit(WORD))).otherwise(blanks + 1).cast("int")
 
 
+def _unit_texts(text: Column) -> Column:
+    """The texts of :func:`_units` alone, cut in one go: a sentence end becomes a line end too."""
+    return F.split(F.regexp_replace(text, SENTENCE_END, "$0\n"), "\n")
+
+
+def _trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\x0b\x0c\r"))
+
+
 def document_units(docs: DataFrame) -> DataFrame:
-    """``key, doc_id, nth, unit, line, words, h1, h2`` of every unit that has a word.
+    """``key, doc_id, row, nth, words, h1, h2`` of every unit that has a word.
 
-    ``line`` and ``unit`` count all lines and units of a text from 0, ``nth`` those that
-    have a word; ``key`` is a hash of the id and the text, so rows alike in both are one
-    document and NULL ids have a key too. Two 64-bit hashes stand for the unit without
+    ``nth`` counts the units of a text that have a word, from 0; ``key`` is a hash of the id
+    and the text, so rows alike in both are one document and NULL ids have a key too;
+    ``row`` tells such rows apart. Two 64-bit hashes stand for the unit without
     the white space around it.
     """
-    trimmed = F.transform(
-        _units(F.coalesce(F.col("text"), F.lit(""))),
-        lambda u, i: F.struct(
-            u["line"].alias("line"), i.alias("unit"), F.btrim(u["text"], F.lit(" \t\x0b\x0c\r")).alias("_text")
-        ),
-    )
+    texts = F.transform(_unit_texts(F.coalesce(F.col("text"), F.lit(""))), _trimmed)
     # The key is computed with the units, once for a text and not once for every unit of it.
-    cut = docs.select(_key().alias("key"), "doc_id", F.filter(trimmed, lambda u: u["_text"] != "").alias("_units"))
-    units = cut.select("key", "doc_id", F.posexplode("_units").alias("nth", "_unit")).select("key", "doc_id", "nth", "_unit.*")
+    cut = docs.select(
+        _key().alias("key"), "doc_id", F.monotonically_increasing_id().alias("row"),
+        F.filter(texts, lambda t: t != "").alias("_units"),
+    )
+    units = cut.select("key", "doc_id", "row", F.posexplode("_units").alias("nth", "_text"))
     return units.select(
-        "key", "doc_id", "nth", "unit", "line", _word_count(F.col("_text")).alias("words"),
+        "key", "doc_id", "row", "nth", _word_count(F.col("_text")).alias("words"),
         F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(1), "_text").alias("h2"),
     )
 
 
-def _ranked_units(docs: DataFrame) -> DataFrame:
-    """The units that occur more than once, with their rank among these."""
+def _ranked_units(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The units that occur more than once, with their rank among these; and each key's id."""
     units = materialize(document_units(docs), "units")
-    often = units.groupBy("h1").agg(F.count("*").alias("_n")).filter("_n > 1").select("h1")
-    # Rows alike in id and text are one document, so that they get the same units. They
-    # are told apart from repeated units once those that occur in one row are gone.
-    known = materialize(materialize(units.join(often, "h1", "left_semi"), "recurring").distinct(), "recurring-once")
-    repeated = known.groupBy("h1", "h2").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    # Rows alike in id and text are one document: the first of them stands for all.
+    rows = units.filter("nth = 0").groupBy("key").agg(F.min("row").alias("_first"), F.count("*").alias("_n"))
+    again = materialize(rows.filter("_n > 1").select("key", "_first"), "repeated-rows")
+    if not again.isEmpty():
+        units = units.join(again, "key", "left").filter("_first IS NULL OR row = _first").drop("_first")
+    repeated = units.groupBy("h1", "h2").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     ranks = number_rows(repeated, "h1", "h2", name="unit-ranks")
-    return known.join(ranks, ["h1", "h2"]).drop("h1", "h2").withColumnRenamed("_number", "rank")
+    slim = units.select("h1", "h2", "key", "nth", "words")
+    ranked = slim.join(ranks, ["h1", "h2"]).select("key", "nth", "words", F.col("_number").alias("rank"))
+    return ranked, units.filter("nth = 0").select("key", "doc_id")
 
 
-def _candidate_runs(ranked: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """Positions inside stretches that are long enough, and the runs to look up.
+def _stretches(ranked: DataFrame, ids: DataFrame, min_words: int) -> DataFrame:
+    """One row a document of its units in stretches that are long enough.
 
-    Positions (``key, stretch, at, doc_id, unit, line, rank``) number the units of a
-    stretch of neighbouring repeated units. Runs are ``key, stretch, doc_id, start,
-    length``.
+    Gives ``key``, ``doc_id`` and arrays of one length, in the order of the text: ``nth``,
+    ``rank0``, and the units of the shortest run of ``min_words`` words that starts there
+    (``ahead``) and that ends there (``behind``), NULL without one. A stretch is a sequence of
+    neighbouring repeated units.
     """
     in_doc = Window.partitionBy("key").orderBy("nth")
-    gap = F.col("nth") - F.row_number().over(in_doc)
-    stretched = ranked.withColumn("stretch", gap)
+    stretched = ranked.withColumn("stretch", F.col("nth") - F.row_number().over(in_doc))
     key = ["key", "stretch"]
     in_stretch = Window.partitionBy(*key).orderBy("nth")
     counted = stretched.withColumns({
-        "at": F.row_number().over(in_stretch) - 1,
         "after": F.sum("words").over(in_stretch.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"),
         "whole": F.sum("words").over(Window.partitionBy(*key)),
     }).withColumn("before", F.col("after") - F.col("words")).filter(F.col("whole") >= min_words)
@@ -128,39 +141,80 @@ def _candidate_runs(ranked: DataFrame, min_words: int) -> tuple[DataFrame, DataF
     # a word, so a frame holds at most min_words units.
     ahead = Window.partitionBy(*key).orderBy("before").rangeBetween(0, min_words - 1)
     behind = Window.partitionBy(*key).orderBy("after").rangeBetween(-(min_words - 1), 0)
-    spans = materialize(
-        counted.withColumns({
-            "ahead": F.count("*").over(ahead), "ahead_words": F.sum("words").over(ahead),
-            "behind": F.count("*").over(behind), "behind_words": F.sum("words").over(behind),
-        }).select(
-            *key, "at", "doc_id", "unit", "line", "rank",
-            F.when(F.col("ahead_words") >= min_words, F.col("ahead")).alias("ahead"),
-            F.when(F.col("behind_words") >= min_words, F.col("behind")).alias("behind"),
-        ),
-        "line-stretches",
+    spans = counted.withColumns({
+        "ahead": F.count("*").over(ahead).cast("int"), "ahead_words": F.sum("words").over(ahead),
+        "behind": F.count("*").over(behind).cast("int"), "behind_words": F.sum("words").over(behind),
+    }).select(
+        "key", "nth", F.col("rank").alias("rank0"),
+        F.when(F.col("ahead_words") >= min_words, F.col("ahead")).alias("ahead"),
+        F.when(F.col("behind_words") >= min_words, F.col("behind")).alias("behind"),
     )
-    forward = spans.filter("ahead is not null").select(
-        *key, "doc_id", F.col("at").alias("start"), F.col("ahead").alias("length")
+    columns = ["nth", "rank0", "ahead", "behind"]
+    rows = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_units"))
+    return materialize(
+        rows.join(ids, "key").select("key", "doc_id", *[F.col(f"_units.{c}").alias(c) for c in columns]), "line-stretches"
     )
-    backward = spans.filter("behind is not null").select(
-        *key, "doc_id", (F.col("at") - F.col("behind") + 1).alias("start"), F.col("behind").alias("length")
+
+
+def _times(stretches: DataFrame, level: int) -> DataFrame:
+    """``key`` and the ranks by ``STEP`` times as many units; a suffix alone in its rank has NULL."""
+    size = STEP**level
+    parts = [f"_r{j}" for j in range(STEP)]
+
+    def suffix(i: Column) -> Column:
+        # Places are numbered without gaps inside a stretch, and with one between two.
+        last = F.get("nth", i + STEP * size - 1) == F.get("nth", i) + (STEP * size - 1)
+        ranks = [F.when(last, F.get(f"rank{level}", i + j * size)).alias(part) for j, part in enumerate(parts)]
+        return F.struct(i.alias("at"), *ranks)
+
+    suffixes = stretches.select("key", F.inline(F.transform(F.sequence(F.lit(0), F.size("nth") - 1), suffix)))
+    known = " AND ".join(f"{part} IS NOT NULL" for part in parts)
+    tuples = suffixes.filter(known)
+    repeated = tuples.groupBy(*parts).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    numbered = number_rows(repeated, *parts, name="run-ranks")
+    ranked = tuples.join(numbered, parts, "left").select("key", "at", "_number")
+    rest = suffixes.filter(f"NOT ({known})").select("key", "at", F.lit(None).cast("bigint").alias("_number"))
+    sent = ranked.unionByName(rest).groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("at", "_number"))).alias("_ranks")
     )
-    return spans.select(*key, "at", "doc_id", "unit", "line", "rank"), forward.unionByName(backward).distinct()
+    return materialize(sent.select("key", F.col("_ranks._number").alias(f"rank{level + 1}")), "suffix-ranks")
 
 
-def _doubled(ranks: DataFrame, key: list[str], step: int) -> DataFrame:
-    """Ranks by twice as many units; suffixes alone in their rank leave."""
-    following = Window.partitionBy(*key).orderBy("at").rangeBetween(step, step)
-    pairs = ranks.withColumn("second", F.first("rank").over(following)).filter("second is not null")
-    repeated = pairs.groupBy("rank", "second").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    numbered = number_rows(repeated, "rank", "second", name="run-ranks")
-    return materialize(
-        pairs.join(numbered, ["rank", "second"]).select(*key, "at", F.col("_number").alias("rank")), "suffix-ranks"
+def _runs(stretches: DataFrame, levels: int) -> DataFrame:
+    """``key, doc_id, start, length, h1, h2`` of the runs to look up, alike where the units are.
+
+    A run is the ranks of the highest level that fit into it, side by side, the last one
+    ending with it. Runs that hold a rank met once are met once and left out.
+    """
+    def ranks(start: Column, length: Column, level: int) -> Column:
+        size = STEP**level
+        last = F.ceil(length / size).cast("int") - 1
+        at = lambda j: start + F.least(j * size, length - size)
+        own = F.transform(F.sequence(F.lit(0), last), lambda j: F.get(f"rank{level}", at(j)))
+        return own if level == 0 else F.when(length >= size, own).otherwise(ranks(start, length, level - 1))
+
+    def run(start: Column, length: Column) -> Column:
+        return F.struct(
+            F.get("nth", start).alias("start"), length.alias("length"), ranks(start, length, levels).alias("ranks")
+        )
+
+    def both(i: Column) -> Column:
+        ahead, behind = F.get("ahead", i), F.get("behind", i)
+        first = i - behind + 1
+        # The shortest run from a unit on may also be the shortest up to its last one.
+        other = ~F.get("ahead", first).eqNullSafe(behind)
+        return F.array(F.when(ahead.isNotNull(), run(i, ahead)), F.when(behind.isNotNull() & other, run(first, behind)))
+
+    places = F.sequence(F.lit(0), F.size("nth") - 1)
+    found = stretches.select("key", "doc_id", F.explode(F.flatten(F.transform(places, both))).alias("_run"))
+    runs = found.filter("_run IS NOT NULL").select("key", "doc_id", "_run.*")
+    return runs.filter(~F.exists("ranks", lambda r: r.isNull())).select(
+        "key", "doc_id", "start", "length", F.xxhash64("ranks").alias("h1"), F.xxhash64(F.lit(1), "ranks").alias("h2")
     )
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``key, doc_id, unit, line``: the units of every later copy of a repeated run.
+    """``key, nth``: the units of every later copy of a repeated run.
 
     A run is a sequence of neighbouring units of one document, units without a word
     left out. It counts when it has at least ``min_words`` words and the same sequence
@@ -169,41 +223,40 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     if min_words < 1:
         raise ValueError(f"min_words={min_words} must be at least 1")
-    positions, runs = _candidate_runs(_ranked_units(docs), min_words)
-    key = ["key", "stretch"]
-    runs = materialize(
-        runs.withColumn("power", F.floor(F.log2(F.col("length").cast("double"))).cast("int")), "runs"
-    )
-    deepest = runs.agg(F.max("power")).first()[0]
-    same = [*key, "doc_id", "start", "length"]
-    if deepest is None:
-        return positions.select("key", "doc_id", "unit", "line").limit(0)
-    keyed, ranks = None, positions.select(*key, "at", "rank")
-    for power in range(deepest + 1):
-        if power:
-            ranks = _doubled(ranks, key, 1 << (power - 1))
-        level = runs.filter(F.col("power") == power)
-        head = level.join(ranks.withColumnRenamed("at", "start").withColumnRenamed("rank", "head"), [*key, "start"])
-        tail_at = head.withColumn("at", F.col("start") + F.col("length") - (1 << power))
-        found = tail_at.join(ranks.withColumnRenamed("rank", "tail"), [*key, "at"]).select(*same, "head", "tail")
-        keyed = found if keyed is None else keyed.unionByName(found)
-    keyed = materialize(keyed, "run-intervals")
+    stretches = _stretches(*_ranked_units(docs), min_words)
+    longest = stretches.agg(F.max(F.greatest(F.array_max("ahead"), F.array_max("behind")))).first()[0]
+    if longest is None:
+        return stretches.select("key", F.explode("nth").alias("nth")).limit(0)
+    levels = 0
+    while STEP ** (levels + 1) <= longest:
+        stretches = stretches.join(_times(stretches, levels), "key")
+        levels += 1
+    runs = materialize(_runs(stretches, levels), "runs")
     # A struct is compared field by field, NULL first.
-    place = F.struct("doc_id", "key", "stretch", "start")
-    interval = ["length", "head", "tail"]
-    first = keyed.groupBy(*interval).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    later = keyed.join(first.drop("_n"), interval).filter(~place.eqNullSafe(F.col("_first")))
-    # A unit is covered when a run that starts at it or before it reaches beyond it.
-    reach = later.groupBy(*key, F.col("start").alias("at")).agg(F.max(F.col("start") + F.col("length")).alias("reach"))
-    so_far = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    places = positions.select(*key, "at", "doc_id", "unit", "line").join(reach, [*key, "at"], "left")
-    covered = places.withColumn("reach", F.max("reach").over(so_far)).filter("reach > at")
-    return materialize(covered.select("key", "doc_id", "unit", "line"), "later-copies")
+    place = F.struct("doc_id", "key", "start")
+    interval = ["length", "h1", "h2"]
+    first = runs.groupBy(*interval).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    later = runs.join(first.drop("_n"), interval).filter(~place.eqNullSafe(F.col("_first")))
+    # What a run covers beyond those that start before it.
+    ends = later.groupBy("key", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
+    before = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    own = ends.withColumn("from", F.greatest("start", F.max("end").over(before))).filter(F.col("from") < F.col("end"))
+    return own.select("key", F.explode(F.sequence("from", F.col("end") - 1)).alias("nth"))
+
+
+def _worded(units: Column) -> Column:
+    """Places of the units that have a word."""
+    places = F.sequence(F.lit(0), F.size(units) - 1)
+    return F.filter(places, lambda i: _trimmed(F.get(units, i)["text"]) != "")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``key, doc_id, line``: the lines that lie, as a whole or in part, in a later copy."""
-    return repeated_units(docs, min_words).select("key", "doc_id", "line").distinct()
+    gone = repeated_units(docs, min_words)
+    units = _units(F.coalesce(F.col("text"), F.lit("")))
+    lines = let(units, lambda u: F.transform(_worded(u), lambda i: F.get(u, i)["line"]))
+    rows = docs.select(_key().alias("key"), "doc_id", F.posexplode(lines).alias("nth", "line"))
+    return rows.join(gone, ["key", "nth"]).select("key", "doc_id", "line").distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -216,26 +269,29 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     ends are line feeds. An ``n_chars`` column is counted anew. An empty table gives an
     empty result.
     """
-    gone = repeated_units(docs, min_words).groupBy(F.col("key").alias("_key")).agg(
-        F.collect_set("unit").alias("_gone"), F.size(F.collect_set("line")).alias("_lines")
-    )
+    gone = repeated_units(docs, min_words).groupBy(F.col("key").alias("_key")).agg(F.collect_list("nth").alias("_nth"))
     joined = docs.withColumn("_key", _key()).join(gone, "_key", "left")
+    gone_places = lambda units: let(_worded(units), lambda w: F.transform("_nth", lambda n: F.get(w, n)))
 
     def kept(units: Column) -> Column:
-        places = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), F.col("_gone"))
+        places = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), gone_places(units))
         return F.transform(places, lambda i: F.get(units, i))
 
+    def lines_gone(units: Column) -> Column:
+        return F.size(F.array_distinct(F.transform(gone_places(units), lambda i: F.get(units, i)["line"])))
+
     def in_lines(units: Column) -> Column:
         new_line = lambda u, j: (j > 0) & (F.get(units, j - 1)["line"] != u["line"])
         return F.array_join(
             F.transform(units, lambda u, j: F.concat(F.when(new_line(u, j), "\n").otherwise(""), u["text"])), ""
         )
 
-    left = let(let(_units(F.col("text")), kept), in_lines)
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
-    own = {"text": text, "lines_deleted": F.coalesce(F.col("_lines"), F.lit(0))}
+    units = _units(F.col("text"))
+    text = F.when(F.col("_nth").isNull(), F.col("text")).otherwise(let(let(units, kept), in_lines))
+    lines = F.when(F.col("_nth").isNull(), 0).otherwise(let(units, lines_gone))
+    own = {"text": text, "lines_deleted": lines}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(
+        own["n_chars"] = F.when(F.col("_nth").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(
             docs.schema["n_chars"].dataType
         )
-    return joined.withColumns(own).drop("_gone", "_lines", "_key")
+    return joined.withColumns(own).drop("_nth", "_key")

@@ -119,3 +119,27 @@ def test_both_ways_of_cutting_sentences_agree(spark):
         assert r["words"] > 0
     counted = {r["doc_id"]: r["n"] for r in linededup.document_units(docs).groupBy("doc_id").agg(F.sum("words").alias("n")).collect()}
     assert counted[2] == words(texts[2]) and counted[4] == words(texts[4])
+
+
+def test_runs_of_many_units_take_one_round_and_any_step_gives_the_same(spark, monkeypatch):
+    rnd = random.Random(5)
+    lines = [rnd.choice("abcdefgh") for _ in range(60)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["z", *lines[5:58], "y"])), (3, "\n".join(lines[:20])), (4, "\n".join("ab" * 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    written, found = [], []
+    write = linededup.materialize
+    monkeypatch.setattr(linededup, "materialize", lambda df, name: written.append(name) or write(df, name))
+    for step in (8, 3):
+        monkeypatch.setattr(linededup, "STEP", step)
+        found.append({r["doc_id"]: r["lines_deleted"] for r in linededup.drop_repeated_lines(docs).collect()})
+        if step == 8:
+            assert written.count("suffix-ranks") == 1
+    want = plain(rows, linededup.MIN_WORDS)
+    assert found == [{k: len(gone) for k, gone in want.items()}] * 2 and found[0][2] == 53
+
+
+def test_units_cut_in_one_go_are_those_of_the_lines(spark):
+    texts = ["a b. c d\n\n e! f? g", "x。y z\n\t\n.  q。 r", "", "\n", 'say "so." Then\x1e. on\ntwo.  three']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(linededup._unit_texts(F.col("t")).alias("u"), linededup._units(F.col("t")).alias("v")).collect():
+        assert r["u"] == [v["text"] for v in r["v"]]
