@@ -32,6 +32,8 @@ PIECES = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 VOCABULARY = "byte_bpe_50k.json"
+# ASCII marks that may end a word: together they are one piece, none begins one of its own.
+WORD_ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # Entries that each memory of a worker holds; beyond, it forgets all and starts anew.
 REMEMBERED = 300_000
 
@@ -105,6 +107,7 @@ class Encoder:
         self.matches.make_automaton()
         self.adjacent = Memory(self._may_follow)
         self.word_ids = Memory(self._encode_word)
+        self.piece_ids = Memory(self.encode_piece)
         # White space other than the space and the line feed; some letters more do no harm.
         self.odd_space = re.compile("[\\x09\\x0b-\\x0d\\x1c-\\x1f\\x85\\xa0\u1680\u2000-\u3000]").search
 
@@ -130,7 +133,9 @@ class Encoder:
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece: the last token of every prefix, then the way back."""
-        letters = "".join(map(self.to_letters.__getitem__, piece.encode()))
+        return self._encode_letters("".join(map(self.to_letters.__getitem__, piece.encode())))
+
+    def _encode_letters(self, letters: str) -> tuple[int, ...]:
         # One place more, so that -1 stands for the empty prefix.
         last = [-1] * (len(letters) + 1)
         size_of, adjacent = self.size_of, self.adjacent
@@ -148,9 +153,14 @@ class Encoder:
         return tuple(ids)
 
     def _encode_pieces(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.encode_piece, self.pieces(text))))
+        return tuple(chain.from_iterable(map(self.piece_ids.__getitem__, self.pieces(text))))
 
     def _encode_word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word and the space before it; ASCII letters are a piece without a look at the pattern."""
+        if word.isascii() and (body := word.rstrip(WORD_ENDS)).isalpha():
+            if len(body) == len(word):
+                return self._encode_letters(self.to_letters[32] + word)
+            return self.word_ids[body] + self.piece_ids[word[len(body):]]
         return self._encode_pieces(" " + word)
 
     def _encode_plain(self, text: str) -> list[int]:

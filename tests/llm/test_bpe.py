@@ -60,3 +60,15 @@ def test_documents(spark, library):
     decoded = {r["doc_id"] or 0: r["text"] for r in bpe.decode_documents(encoded).collect()}
     assert decoded == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.encode_documents(docs.limit(0)).collect() == []
+
+
+def test_words_of_ascii_letters_need_no_pattern():
+    encoder = bpe.Encoder(bpe.read_vocabulary(bpe.tokenizer_path(bpe.VOCABULARY)))
+    texts = ["So Edingea, theandsh! inwh's x_y- un... do-it $5 (onha) _a_ b'", "a élan, naïf. Ünder\nThe end.\nIt z's", "one 't two 'll. three,''"]
+    want = [[i for piece in encoder.pieces(t) for i in encoder.encode_piece(piece)] for t in texts]
+    cut, asked = encoder.pieces, []
+    encoder.pieces = lambda text: asked.append(text) or cut(text)
+    assert [encoder.encode(t) for t in texts] == want
+    asked.clear()
+    encoder.encode("First theandshe, unthonre onha thonre!? Zinwhed, zinwhed.")
+    assert asked == ["First"]
