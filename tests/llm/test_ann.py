@@ -52,3 +52,19 @@ def test_neighbours(spark, block, queries):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(df).collect() == []
+
+
+def test_few_vectors_of_a_block_are_sorted(monkeypatch):
+    rnd, k = np.random.default_rng(2), 20
+    vectors = rnd.standard_normal((4_000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    ids, sizes = np.arange(len(vectors)), []
+    sort = np.lexsort
+    monkeypatch.setattr(ann.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or sort(keys))
+    q, v, s = ann.search_block(ids[:50], vectors[:50], ids, vectors, ann.encode(vectors), k)
+    assert max(sizes) < 10 * k
+    exact = vectors[:50] @ vectors.T
+    exact[ids[:50], ids[:50]] = -np.inf
+    assert v.reshape(50, k).tolist() == np.argsort(-exact, axis=1)[:, :k].tolist()
+    assert q.tolist() == np.repeat(ids[:50], k).tolist()
+    assert s == pytest.approx(np.sort(exact, axis=1)[:, ::-1][:, :k].ravel(), abs=1e-12)
