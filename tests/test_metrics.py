@@ -322,3 +322,28 @@ def test_subsequence_of_long_texts(spark):
     kept = [w for i, w in enumerate(words) if i % 7]
     df = spark.createDataFrame([(words, kept), (kept, words), ([], words), (["w1"], words)], "p array<string>, r array<string>")
     assert [r[0] for r in df.select(metrics.lcs_length()("p", "r")).collect()] == [len(kept), len(kept), 0, 1]
+
+
+def test_longest_common_subsequence_in_bounded_chunks(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    make = lambda n, kinds: [str(rnd.randrange(kinds)) for _ in range(n)]
+
+    pairs = [(make(rnd.randrange(0, n), 6), make(rnd.randrange(0, n), 6)) for n in [1, 3, 70, 130, 300] for _ in range(6)]
+    pairs += [(None, ["a"]), (["a"], None), ([], ["a"]), (make(900, 40), make(700, 40))]
+    lists = [pa.array([p[i] for p in pairs], pa.list_(pa.string())) for i in (0, 1)]
+    want = [plain_lcs(a or [], b or []) for a, b in pairs]
+    long = [pa.array([make(300, 50) for _ in range(500)], pa.list_(pa.string())) for _ in (0, 1)]
+    peaks, results = [], []
+    for tokens in (2_000_000, 20_000):
+        monkeypatch.setattr(metrics, "CHUNK_TOKENS", tokens)
+        length = metrics.lcs_length().func
+        assert length(*lists).to_pylist() == want
+        tracemalloc.start()
+        results.append(length(*long).to_pylist())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert results[0] == results[1] and peaks[1] < peaks[0] / 3
