@@ -36,6 +36,8 @@ VOCABULARY = "byte_bpe_50k.json"
 WORD_ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # Entries that each memory of a worker holds; beyond, it forgets all and starts anew.
 REMEMBERED = 300_000
+# Rows that a worker encodes and hands on at once.
+ROWS_AT_ONCE = 500
 
 
 def byte_letters() -> list[str]:
@@ -202,6 +204,28 @@ def worker_encoder(name: str, vocabulary: dict) -> Encoder:
     return _ENCODERS[name]
 
 
+def encoded_batches(
+    encoder: Encoder, batches: Iterator[pa.RecordBatch], key: str, keep_ids: bool
+) -> Iterator[pa.RecordBatch]:
+    """The results for batches of a key and a text, few rows at once: ids take more room than their text."""
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
+    for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
+        counts, id_sums, text_sums, all_ids = [], [], [], []
+        for text_value in batch.column(1):
+            ids = encoder.encode(text_value.as_py() or "")
+            counts.append(len(ids))
+            joined = ",".join(map(encoder.digits.__getitem__, ids))
+            id_sums.append(hashlib.sha256(joined.encode()).hexdigest())
+            text_sums.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+            if keep_ids:
+                all_ids.append(np.array(ids, dtype=np.int32))
+        columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()),
+                   pa.array(text_sums, pa.string())]
+        if keep_ids:
+            columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
 def encode_documents(
     docs: DataFrame, vocabulary_path: str | None = None, key: str = "doc_id", text: str = "text",
     keep_ids: bool = True,
@@ -225,23 +249,7 @@ def encode_documents(
         schema += ", ids array<int>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(name, shared.value)
-        for batch in batches:
-            counts, id_sums, text_sums, all_ids = [], [], [], []
-            for text_value in batch.column(1):
-                ids = encoder.encode(text_value.as_py() or "")
-                counts.append(len(ids))
-                joined = ",".join(map(encoder.digits.__getitem__, ids))
-                id_sums.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_sums.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
-                if keep_ids:
-                    all_ids.append(np.array(ids, dtype=np.int32))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()),
-                       pa.array(text_sums, pa.string())]
-            if keep_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        return encoded_batches(worker_encoder(name, shared.value), batches, key, keep_ids)
 
     return docs.select(key, text).mapInArrow(encode, schema)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -72,3 +73,14 @@ def test_words_of_ascii_letters_need_no_pattern():
     asked.clear()
     encoder.encode("First theandshe, unthonre onha thonre!? Zinwhed, zinwhed.")
     assert asked == ["First"]
+
+
+def test_a_worker_hands_on_few_rows_at_once(encoder):
+    texts = [None if i % 7 == 0 else f"text {i} of many" for i in range(1_203)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(part))), pa.array(part, pa.string())], ["k", "t"])
+               for part in (texts[:1_200], texts[1_200:], [])]
+    made = list(bpe.encoded_batches(encoder, iter(batches), "k", True))
+    assert max(b.num_rows for b in made) <= bpe.ROWS_AT_ONCE
+    assert [i for b in made for i in b.column(0).to_pylist()] == [*range(1_200), *range(3)]
+    assert [x for b in made for x in b.column(4).to_pylist()] == [encoder.encode(t or "") for t in texts]
+    assert [b.schema.names for b in bpe.encoded_batches(encoder, iter(batches[1:]), "k", False)] == [made[0].schema.names[:4]]
