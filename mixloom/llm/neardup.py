@@ -11,9 +11,10 @@ No list is turned into all of its pairs. First every member meets the smallest
 member; confirmed links give components. Then only members outside a list's
 largest component meet the members of other components, which loses no link
 between components: pair by pair in short lists, and in long ones by blocks of
-sketches compared inside a task, which hands on only pairs that may be similar. The
-estimate from the union of two sketches filters again, and the full sets decide.
-Equal sets count once throughout.
+full sets inside a task. Pairs of short lists are filtered again by the estimate from
+the union of two sketches, and the full sets decide. A task of blocks does both itself,
+and hands on only similar pairs that join what it has not joined yet, fewer than its
+rows. Equal sets count once throughout.
 """
 
 from __future__ import annotations
@@ -38,11 +39,12 @@ SKETCH = 128
 INDEXED = 64
 # Bounds on shared values lie this many standard deviations below the mean at 0.8.
 DEVIATIONS = 5.0
-# Longer lists are compared in blocks of so many sketches.
+# Longer lists are compared in blocks of about so many bytes of sets, and so many rows.
 SHORT_LIST = 64
+BLOCK_BYTES = 8 << 20
+BLOCK_ROWS = 8192
+# So many rows of a block at once.
 BLOCK = 512
-# Partners of a row in a block that are tried before all others.
-NEAREST = 2
 # So many ids are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -190,30 +192,35 @@ def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return pairs.join(second, "b").join(first, "a").select("a", "b", "_x", "_y")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, k: int) -> DataFrame:
-    """The pairs whose full sets are similar, after the estimate has filtered them."""
-    schema = "a bigint, b bigint"
-    own = _only(sets, _ids_of(pairs)).select("id", _as_binary("sketch", "sketch"))
-    likely = materialize(
-        _with_both(pairs, own, "sketch").mapInArrow(_keep_pairs(lambda x, y: _alike_sketches(x, y, k)), schema),
-        "likely-pairs",
-    )
-    if likely.isEmpty():
-        return likely
+def _full_sets(ids: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``id`` and ``set``, its sorted hashes as bytes, made again from the texts of the written ``ids``."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "set"])
 
-    ids = _ids_of(likely)
     wanted = materialize(_only(sets, ids).select("id", "doc_id", "t1", "t2"), "wanted-texts")
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = _with_text_key(docs)
     texts = texts.join(F.broadcast(wanted) if few else wanted, _same_row(texts, wanted)).select(
         wanted["id"], texts["text"].cast("binary").alias("text")
     )
-    full = materialize(texts.mapInArrow(whole, "id bigint, set binary").dropDuplicates(["id"]), "full-sets")
+    return materialize(texts.mapInArrow(whole, "id bigint, set binary").dropDuplicates(["id"]), "full-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, k: int) -> DataFrame:
+    """The pairs whose full sets are similar, after the estimate has filtered them."""
+    schema = "a bigint, b bigint"
+    own = _only(sets, _ids_of(pairs)).select("id", _as_binary("sketch", "sketch"))
+    likely = materialize(
+        _with_both(pairs, own, "sketch").mapInArrow(_keep_pairs(lambda x, y: _alike_sketches(x, y, k)), schema),
+        "likely-pairs",
+    )
+    if likely.isEmpty():
+        return likely
+
+    full = _full_sets(_ids_of(likely), sets, docs, width)
     return materialize(_with_both(likely, full, "set").mapInArrow(_keep_pairs(_alike_sets), schema), "confirmed-pairs")
 
 
@@ -233,23 +240,21 @@ def _rest_of_short(lists: DataFrame) -> DataFrame:
     )
 
 
-def _compare_blocks(x: pd.DataFrame, y: pd.DataFrame, k: int, nearest: int | None) -> list[tuple]:
-    """Pairs of two blocks in different components whose sketches share enough values.
-
-    With ``nearest``, only so many pairs of each row of the first block, the most alike.
-    """
-    values_x, values_y = np.concatenate(x["sketch"].to_list()), np.concatenate(y["sketch"].to_list())
+def _may_be_similar(x: pd.DataFrame, y: pd.DataFrame, k: int) -> np.ndarray:
+    """Which pairs of two tables of sorted sets share enough of their ``k`` smallest values."""
+    sketch_x, sketch_y = [h[:k] for h in x["set"]], [h[:k] for h in y["set"]]
+    values_x, values_y = np.concatenate(sketch_x), np.concatenate(sketch_y)
     both = np.intersect1d(values_x, values_y)
 
-    def incidence(frame: pd.DataFrame, values: np.ndarray) -> np.ndarray:
-        rows = np.repeat(np.arange(len(frame)), frame["sketch"].map(len))
+    def incidence(sketched: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+        rows = np.repeat(np.arange(len(sketched)), [len(h) for h in sketched])
         at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
         found = both[at] == values if len(both) else np.zeros(len(values), bool)
-        table = np.zeros((len(frame), len(both)), np.float32)
+        table = np.zeros((len(sketched), len(both)), np.float32)
         table[rows[found], at[found]] = 1.0
         return table
 
-    common = incidence(x, values_x) @ incidence(y, values_y).T
+    common = incidence(sketch_x, values_x) @ incidence(sketch_y, values_y).T
     n_x, n_y = x["n"].to_numpy(float)[:, None], y["n"].to_numpy(float)[None, :]
     least, most = np.minimum(n_x, n_y), np.maximum(n_x, n_y)
     share = SIMILAR_PERCENT / 100
@@ -260,22 +265,47 @@ def _compare_blocks(x: pd.DataFrame, y: pd.DataFrame, k: int, nearest: int | Non
     enough = common >= np.floor(k * part - DEVIATIONS * strays)
     whole = (n_x < k) & (n_y < k)
     enough = np.where(whole, 100 * common >= SIMILAR_PERCENT * (n_x + n_y - common), enough)
-    enough &= least * 100 >= most * SIMILAR_PERCENT
-    label_x, label_y = x["label"].to_numpy()[:, None], y["label"].to_numpy()[None, :]
-    id_x, id_y = x["id"].to_numpy()[:, None], y["id"].to_numpy()[None, :]
-    enough &= (label_x != label_y) & ((label_y == y["major"].to_numpy()[None, :]) | (id_x < id_y))
-    if nearest is not None and nearest < len(y):
-        ranked = np.argpartition(np.where(enough, -common, np.inf), nearest - 1, axis=1)[:, :nearest]
-        chosen = np.zeros_like(enough)
-        np.put_along_axis(chosen, ranked, True, axis=1)
-        enough &= chosen
-    return [(min(id_x[i, 0], id_y[0, j]), max(id_x[i, 0], id_y[0, j])) for i, j in np.argwhere(enough)]
-
-
-def _rest_of_long(lists: DataFrame, sketched: DataFrame, k: int, nearest: int | None = None) -> DataFrame:
-    """The same pairs of long lists, from blocks; lists that share members are one group.
-
-    With ``nearest``, an outside member has only its most alike partners of every block.
+    return enough & (least * 100 >= most * SIMILAR_PERCENT)
+
+
+def _links_of_blocks(x: pd.DataFrame, y: pd.DataFrame, k: int) -> list[tuple[int, int]]:
+    """Pairs of similar sets of two blocks, as many as join all components that have one.
+
+    A pair of sets that earlier ones have joined is not looked at.
+    """
+    above: dict[int, int] = {}
+
+    def root(label: int) -> int:
+        while (up := above.get(label, label)) != label:
+            above[label] = above.get(up, up)
+            label = up
+        return label
+
+    links = []
+    for i in range(0, len(x), BLOCK):
+        rows = x.iloc[i : i + BLOCK]
+        for j in range(0, len(y), BLOCK):
+            others = y.iloc[j : j + BLOCK]
+            roots_x = np.array([root(v) for v in rows["label"]])
+            roots_y = np.array([root(v) for v in others["label"]])
+            apart = roots_x[:, None] != roots_y[None, :]
+            if not apart.any():
+                continue
+            likely = apart & _may_be_similar(rows, others, k)
+            sets_x, sets_y = rows["set"].to_list(), others["set"].to_list()
+            ids_x, ids_y = rows["id"].to_list(), others["id"].to_list()
+            for p, q in np.argwhere(likely).tolist():
+                one, two = root(int(roots_x[p])), root(int(roots_y[q]))
+                if one != two and _alike_sets(sets_x[p], sets_y[q]):
+                    above[one] = two
+                    links.append((min(ids_x[p], ids_y[q]), max(ids_x[p], ids_y[q])))
+    return links
+
+
+def _links_of_long(lists: DataFrame, sets: DataFrame, docs: DataFrame, width: int, k: int) -> DataFrame:
+    """Links between the components of long lists, from blocks; lists that share members are one group.
+
+    They join whatever the similar pairs of outsiders and members of other components join.
     """
     hubs = lists.groupBy("value").agg(F.min("id").alias("b"))
     groups = connected_components(lists.join(hubs, "value").select(F.col("id").alias("a"), "b").distinct())
@@ -284,22 +314,32 @@ def _rest_of_long(lists: DataFrame, sketched: DataFrame, k: int, nearest: int |
         .join(groups.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"),
         "long-list-members",
     )
+    blocks_of = lambda rows, values: F.ceil(F.greatest(
+        F.col(rows) / BLOCK_ROWS, F.col(values) * 8 / BLOCK_BYTES
+    )).cast("int")
     major = (
-        members.groupBy("cluster", "label").agg(F.count("*").alias("rows"))
+        members.groupBy("cluster", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("values"))
         .groupBy("cluster")
-        .agg(F.max(F.struct("rows", "label")).alias("top"), F.sum("rows").alias("members"))
+        .agg(
+            F.max(F.struct("rows", "label", "values")).alias("top"), F.sum("rows").alias("members"),
+            F.sum("values").alias("values"),
+        )
+        .select(
+            "cluster", F.col("top.label").alias("major"), "members", "values",
+            (F.col("members") - F.col("top.rows")).alias("outside"),
+            (F.col("values") - F.col("top.values")).alias("outside_values"),
+        )
+        .filter("outside > 0")
         .select(
-            "cluster", F.col("top.label").alias("major"),
-            F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"),
-            F.ceil((F.col("members") - F.col("top.rows")) / BLOCK).cast("int").alias("outside_blocks"),
+            "cluster", "major", blocks_of("members", "values").alias("blocks"),
+            blocks_of("outside", "outside_values").alias("outside_blocks"),
         )
-        .filter("outside_blocks > 0")
     )
-    own_sketch = _only(sketched, members.select("id").distinct()).select("id", "sketch")
-    placed = members.join(major, "cluster").join(own_sketch, "id")
+    ids = materialize(members.join(major, "cluster", "left_semi").select("id").distinct(), "block-ids")
+    placed = members.join(major, "cluster").join(_full_sets(ids, sets, docs, width), "id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    columns = ["id", "n", "label", "major", "sketch"]
+    columns = ["id", "n", "label", "set"]
     first = placed.filter("label != major").select(
         "cluster", own("outside_blocks").alias("i"), every("blocks").alias("j"), F.lit(True).alias("outside"), *columns
     )
@@ -308,9 +348,10 @@ def _rest_of_long(lists: DataFrame, sketched: DataFrame, k: int, nearest: int |
     )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.assign(set=[np.frombuffer(h, np.int64) for h in frame["set"]])
         outside = frame["outside"].to_numpy(bool)
-        pairs = _compare_blocks(frame[outside], frame[~outside], k, nearest) if outside.any() and not outside.all() else []
-        return pd.DataFrame(pairs, columns=["a", "b"])
+        links = _links_of_blocks(frame[outside], frame[~outside], k) if outside.any() and not outside.all() else []
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return first.unionByName(second).groupBy("cluster", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
@@ -359,16 +400,11 @@ def _components(docs: DataFrame, width: int, k: int) -> tuple[DataFrame, DataFra
     links = first_links
     apart = _apart(lists, links)
     long_lists = apart.filter(F.col("members") > SHORT_LIST)
+    short_lists = apart.filter(F.col("members") <= SHORT_LIST)
     if not long_lists.isEmpty():
-        # Most outsiders of a large group have a partner among those most alike; once
-        # they are linked, few pairs are left to be refused one by one.
-        likely = materialize(_rest_of_long(long_lists, sketched, k, NEAREST), "nearest-pairs")
-        links = links.unionByName(_confirmed(likely, sketched, docs, width, k))
-        apart = _apart(lists, links)
-        long_lists = apart.filter(F.col("members") > SHORT_LIST)
-    rest = _rest_of_short(apart.filter(F.col("members") <= SHORT_LIST))
-    if not long_lists.isEmpty():
-        rest = rest.unionByName(_rest_of_long(long_lists, sketched, k)).distinct()
+        links = links.unionByName(materialize(_links_of_long(long_lists, sketched, docs, width, k), "block-links"))
+        short_lists = _apart(short_lists.select("value", "id", "n"), links)
+    rest = _rest_of_short(short_lists)
     rest = materialize(rest.join(first_pairs, ["a", "b"], "left_anti"), "rest-pairs")
     more_links = _confirmed(rest, sketched, docs, width, k)
     linked = connected_components(links.unionByName(more_links)).withColumnRenamed("node", "id")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from mixloom.llm import components, neardup
@@ -97,3 +98,49 @@ def test_bounds_on_shared_values_hold_for_random_sets():
         missed += len(np.intersect1d(a[:k], b[:k])) < neardup.least_common(k)
         assert neardup._alike_sketches(a[: neardup.SKETCH], b[: neardup.SKETCH], neardup.SKETCH)
     assert missed == 0
+
+
+def test_blocks_hand_on_fewer_links_than_rows_and_compare_full_sets(monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rnd = np.random.default_rng(1)
+    base = rnd.integers(0, 2**62, 300)
+    sets = [np.unique(np.concatenate([base[:cut], rnd.integers(0, 2**62, 300 - cut)])) for cut in [297] * 20 + [255] * 20]
+    rows = pd.DataFrame({"id": range(40), "n": [len(h) for h in sets], "label": range(40), "set": sets})
+    links = neardup._links_of_blocks(rows, rows, 128)
+    assert len(links) < 40 and all(neardup._alike_sets(sets[a], sets[b]) for a, b in links)
+    wanted = {(a, b) for a in range(40) for b in range(a) if neardup._alike_sets(sets[a], sets[b])}
+    assert len(wanted) > 150
+
+    def groups(pairs):
+        of = list(range(40))
+        for a, b in pairs:
+            of = [of[b] if g == of[a] else g for g in of]
+        return {frozenset(i for i in range(40) if of[i] == g) for g in of}
+
+    assert groups(links) == groups(wanted)
+    joined = rows.assign(label=[0] * 20 + list(range(20, 40)))
+    assert all(not (a < 20 and b < 20) for a, b in neardup._links_of_blocks(joined, joined, 128))
+
+
+def test_a_group_of_near_copies_is_not_handed_on_pair_by_pair(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHORT_LIST", 4)
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rnd.choice([5, 9, 14])):
+            copy[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    made, write = {}, neardup.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, 2).collect()}
+    assert found == plain(rows, 2)
+    assert made["block-links"] < len(rows), made
