@@ -273,25 +273,26 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     joined = docs.withColumn("_key", _key()).join(gone, "_key", "left")
     gone_places = lambda units: let(_worded(units), lambda w: F.transform("_nth", lambda n: F.get(w, n)))
 
-    def kept(units: Column) -> Column:
-        places = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), gone_places(units))
-        return F.transform(places, lambda i: F.get(units, i))
-
-    def lines_gone(units: Column) -> Column:
-        return F.size(F.array_distinct(F.transform(gone_places(units), lambda i: F.get(units, i)["line"])))
-
     def in_lines(units: Column) -> Column:
         new_line = lambda u, j: (j > 0) & (F.get(units, j - 1)["line"] != u["line"])
         return F.array_join(
             F.transform(units, lambda u, j: F.concat(F.when(new_line(u, j), "\n").otherwise(""), u["text"])), ""
         )
 
-    units = _units(F.col("text"))
-    text = F.when(F.col("_nth").isNull(), F.col("text")).otherwise(let(let(units, kept), in_lines))
-    lines = F.when(F.col("_nth").isNull(), 0).otherwise(let(units, lines_gone))
-    own = {"text": text, "lines_deleted": lines}
-    if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(F.col("_nth").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(
-            docs.schema["n_chars"].dataType
+    def cut(units: Column, gone: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), gone)
+        return F.struct(
+            let(F.transform(places, lambda i: F.get(units, i)), in_lines).alias("text"),
+            F.size(F.array_distinct(F.transform(gone, lambda i: F.get(units, i)["line"]))).alias("lines"),
         )
-    return joined.withColumns(own).drop("_nth", "_key")
+
+    # A text is cut once for all columns that its units give.
+    left = let(_units(F.col("text")), lambda units: let(gone_places(units), lambda gone: cut(units, gone)))
+    joined = joined.withColumn("_left", F.when(F.col("_nth").isNotNull(), left))
+    by_cut = lambda column, value: F.when(F.col("_nth").isNull(), column).otherwise(value)
+    own = {
+        "text": by_cut(F.col("text"), F.col("_left.text")), "lines_deleted": by_cut(F.lit(0), F.col("_left.lines")),
+    }
+    if "n_chars" in docs.columns:
+        own["n_chars"] = by_cut(F.col("n_chars"), F.length("_left.text")).cast(docs.schema["n_chars"].dataType)
+    return joined.withColumns(own).drop("_nth", "_key", "_left")
