@@ -21,6 +21,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from mixloom.llm.common import tokenizer_path
@@ -34,6 +35,8 @@ PIECES = (
 VOCABULARY = "byte_bpe_50k.json"
 # ASCII marks that may end a word: together they are one piece, none begins one of its own.
 WORD_ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Latin letters that every version of Unicode has: a run of them is one piece.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0217]+"
 # Entries that each memory of a worker holds; beyond, it forgets all and starts anew.
 REMEMBERED = 300_000
 # Rows that a worker encodes and hands on at once.
@@ -55,8 +58,12 @@ def byte_letters() -> list[str]:
 
 def read_vocabulary(path: str) -> dict:
     """Entries and merges of a byte-level vocabulary file, bounded by the vocabulary."""
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
+    with open(path, "rb") as file:
+        return parse_vocabulary(file.read())
+
+
+def parse_vocabulary(content: bytes) -> dict:
+    spec = json.loads(content)
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     return {
         "vocab": {t: i for t, i in spec["model"]["vocab"].items() if t not in special},
@@ -109,16 +116,19 @@ class Encoder:
         self.matches.make_automaton()
         self.adjacent = Memory(self._may_follow)
         self.word_ids = Memory(self._encode_word)
+        self.first_ids = Memory(self._encode_first)
         self.piece_ids = Memory(self.encode_piece)
         # White space other than the space and the line feed; some letters more do no harm.
+        self.line_feeds = re.compile("(\n+)").split
+        self.letters_only = re.compile(LETTERS).fullmatch
         self.odd_space = re.compile("[\\x09\\x0b-\\x0d\\x1c-\\x1f\\x85\\xa0\u1680\u2000-\u3000]").search
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves the two tokens side by side."""
-        return self.adjacent[left, right]
+        return self.adjacent[left << 32 | right]
 
-    def _may_follow(self, pair: tuple[int, int]) -> bool:
-        left, right = pair
+    def _may_follow(self, pair: int) -> bool:
+        left, right = pair >> 32, pair & 0xFFFFFFFF
         limit = float("inf")
         while True:
             rank = self.rank.get((left, right))
@@ -144,7 +154,7 @@ class Encoder:
         for end, token in self.matches.iter(letters):
             if last[end] < 0:
                 before = end - size_of[token]
-                if before < 0 or (left := last[before]) >= 0 and adjacent[left, token]:
+                if before < 0 or (left := last[before]) >= 0 and adjacent[left << 32 | token]:
                     last[end] = token
         ids, end = [], len(letters) - 1
         while end >= 0:
@@ -158,29 +168,47 @@ class Encoder:
         return tuple(chain.from_iterable(map(self.piece_ids.__getitem__, self.pieces(text))))
 
     def _encode_word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word and the space before it; ASCII letters are a piece without a look at the pattern."""
-        if word.isascii() and (body := word.rstrip(WORD_ENDS)).isalpha():
-            if len(body) == len(word):
-                return self._encode_letters(self.to_letters[32] + word)
-            return self.word_ids[body] + self.piece_ids[word[len(body):]]
+        """Ids of a word and the space before it; Latin letters are a piece without a look at the pattern."""
+        if self.letters_only(body := word.rstrip(WORD_ENDS)):
+            if len(body) < len(word):
+                return self.word_ids[body] + self.piece_ids[word[len(body):]]
+            # Remembered as a word, so not as a piece too.
+            return self._encode_letters(self.to_letters[32] + word) if word.isascii() else self.encode_piece(" " + word)
         return self._encode_pieces(" " + word)
 
+    def _encode_first(self, word: str) -> tuple[int, ...]:
+        """Ids of a line's first word, which has no space before it."""
+        return tuple(chain.from_iterable(map(self.encode_piece, self.pieces(word))))
+
     def _encode_plain(self, text: str) -> list[int]:
         """Ids of a text without special tokens.
 
         A piece holds a space only in front, so a space between two visible
         characters starts one: words are looked up with the space before them.
         A text with other white space beside a space is cut by the pattern alone.
+        Line feeds are cut off first: what stands around one is seldom met again.
         """
         if "  " in text or " \n" in text or "\n " in text or self.odd_space(text):
             return list(self._encode_pieces(text))
-        first, *words = text.split(" ")
-        if not first or not words or not words[-1]:
+        if text.startswith(" ") or text.endswith(" "):
             return list(self._encode_pieces(text))
-        ids = list(self._encode_pieces(first))
-        ids += chain.from_iterable(map(self.word_ids.__getitem__, words))
+        ids: list[int] = []
+        line, *more = self.line_feeds(text)
+        self._encode_line(line, ids)
+        for feeds, line in zip(more[::2], more[1::2]):
+            # Before a visible character the last line feed is a piece of its own.
+            if line:
+                ids += self.piece_ids[feeds[1:]] + self.piece_ids["\n"]
+                self._encode_line(line, ids)
+            else:
+                ids += self.piece_ids[feeds]
         return ids
 
+    def _encode_line(self, line: str, ids: list[int]) -> None:
+        first, *words = line.split(" ")
+        ids += self.first_ids[first]
+        ids += chain.from_iterable(map(self.word_ids.__getitem__, words))
+
     def encode(self, text: str) -> list[int]:
         if not self.split_special:
             return self._encode_plain(text)
@@ -196,11 +224,16 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def worker_encoder(name: str, vocabulary: dict) -> Encoder:
+def shared_vocabulary(spark: SparkSession, path: str | None) -> Broadcast:
+    with open(path or tokenizer_path(VOCABULARY), "rb") as file:
+        return spark.sparkContext.broadcast(file.read())
+
+
+def worker_encoder(name: str, vocabulary: bytes) -> Encoder:
     """The encoder of a call, kept by the worker from task to task."""
     if name not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(vocabulary)
+        _ENCODERS[name] = Encoder(parse_vocabulary(vocabulary))
     return _ENCODERS[name]
 
 
@@ -237,11 +270,10 @@ def encode_documents(
     ``keep_ids``, the ``ids`` themselves. A NULL text counts as empty and has no
     tokens; strings of special tokens in a text become those tokens, as the
     public library does. Rows are independent: repeated rows give repeated
-    results, other columns are not looked at. The vocabulary is read on the driver
-    and broadcast; its size is that of the file, whatever the corpus.
+    results, other columns are not looked at. The vocabulary's file is read on the
+    driver and broadcast as it is; a worker holds no parsed copy beside its encoder.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path or tokenizer_path(VOCABULARY)))
+    shared = shared_vocabulary(docs.sparkSession, vocabulary_path)
     name = uuid.uuid4().hex
     key_type = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {key_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -256,8 +288,7 @@ def encode_documents(
 
 def decode_documents(encoded: DataFrame, vocabulary_path: str | None = None, key: str = "doc_id") -> DataFrame:
     """Texts from the ``ids`` of :func:`encode_documents`; NULL ids give a NULL text."""
-    spark: SparkSession = encoded.sparkSession
-    shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path or tokenizer_path(VOCABULARY)))
+    shared = shared_vocabulary(encoded.sparkSession, vocabulary_path)
     name = uuid.uuid4().hex
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -84,3 +84,14 @@ def test_a_worker_hands_on_few_rows_at_once(encoder):
     assert [i for b in made for i in b.column(0).to_pylist()] == [*range(1_200), *range(3)]
     assert [x for b in made for x in b.column(4).to_pylist()] == [encoder.encode(t or "") for t in texts]
     assert [b.schema.names for b in bpe.encoded_batches(encoder, iter(batches[1:]), "k", False)] == [made[0].schema.names[:4]]
+
+
+def test_a_worker_remembers_a_word_once_and_no_line_ends(encoder, library):
+    fresh = bpe.Encoder(bpe.parse_vocabulary(open(PATH, "rb").read()))
+    text = "\n\nÜber été naïve größte.\nUn été,\n\n\nnaïve Ǆ über.\n\n"
+    assert fresh.encode(text) == library.encode(text, add_special_tokens=False).ids
+    remembered = [*fresh.word_ids, *fresh.first_ids, *fresh.piece_ids]
+    assert len([w for w in remembered if w.strip() == "naïve"]) == 2  # after a space, and first of a line
+    assert not [w for w in remembered if "\n" in w.strip("\n")]
+    # Beside its encoder a worker holds the file's bytes, not a parsed copy.
+    assert bpe.worker_encoder("bytes", open(PATH, "rb").read()).encode(text) == fresh.encode(text)
