@@ -1,20 +1,19 @@
 """Operator 4: repeated runs of lines, found by prefix doubling over line numbers.
 
 A line with several sentences is as many units, so that a passage may begin and end
-inside a line; every other line is one unit. Every unit becomes a number: its rank among
-the units that occur more than once. Units that occur once break a run and leave at the
-start, which is nearly all of them.
-The suffixes of a document's unit sequence are then ranked by their first unit, eight
+inside a line; every other line is one unit. Every unit has a name: two 64-bit hashes of
+its text. Units that occur once break a run and leave at the start.
+The suffixes of a document's unit sequence are then named by their first unit, eight
 units, 64 units and so on: doubling by a factor of ``STEP`` (a-tupling, Dementiev et al.
-2008), which takes a third of the rounds. A round ranks tuples of ranks, as in the
-construction of a suffix array, with ranks taken by distributed sorting. Suffixes of one
-rank after k rounds are an interval of the suffix array whose longest common prefix is
-at least STEP**k units. A run of any length between two powers is up to STEP ranks of the
-lower one, the last ending with it, so its interval needs no further sorting: suffixes
-with equal ranks there share the run.
-
-A document's ranks are arrays in one row: tuples are formed and runs looked up inside it,
-and only tuples move. A run matters when it has ``min_words`` words. For every unit the
+2008), which takes a third of the rounds. A round names tuples of names, as Karp, Miller
+and Rosenberg do; a name is two hashes of the tuple and not its place in a sorted list, as
+only equal names are asked for, so that no tuple moves. Suffixes of one name after k
+rounds are an interval of the suffix array whose longest common prefix is at least STEP**k
+units. A run of any length between two powers is up to STEP names of the lower one, the
+last ending with it: suffixes with equal names there share the run.
+
+A document's names are arrays in one row: tuples are formed and runs looked up inside it,
+and only runs move. A run matters when it has ``min_words`` words. For every unit the
 shortest such run that starts there and the shortest that ends there are looked up;
 together they cover exactly the units of all maximal repeated runs of that many words. The
 first copy in corpus order stays, later ones are deleted.
@@ -30,8 +29,10 @@ from mixloom.llm.common import WORD, let, number_rows
 from mixloom.session import materialize
 
 MIN_WORDS = 50
-# A round ranks suffixes by so many times the units of the round before.
+# A round names suffixes by so many times the units of the round before.
 STEP = 8
+# More than the units of any text.
+PLACES = 1 << 31
 # Where a sentence begins inside a line: after an end mark, a closing quote or bracket if
 # any, and blanks, or right after a full-width mark.
 SENTENCE_START = (
@@ -43,6 +44,9 @@ SENTENCE_END = (
     r"[.!?\u2026\u3002\uff01\uff1f]"
     r"(?:(?<=[\u3002\uff01\uff1f])|(?<=[.!?\u2026])[\"'\u201d\u2019)\]]?[ \t]{1,2})(?=\S)"
 )
+# The same in a text without the marks beyond ASCII, faster still.
+WIDE_MARKS = "\u2026\u3002\uff01\uff1f"
+PLAIN_END = r"[.!?][\"'\u201d\u2019)\]]?[ \t]{1,2}(?=\S)"
 # Put after every such end; a text that holds it already is cut at sentence starts.
 MARK = "\x1e"
 
@@ -67,18 +71,30 @@ def _units(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), by(SENTENCE_START, text)).otherwise(by(MARK, marked))
 
 
-def _word_count(trimmed: Column) -> Column:
-    """Words of a unit with a word at either end; cheap where single blanks part them."""
-    blanks = F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit("")))
-    other = F.contains(trimmed, F.lit("  "))
+def _odd_blanks(text: Column) -> Column:
+    """Whether words may be parted by anything but single blanks."""
+    odd = F.contains(text, F.lit("  "))
     for space in "\t\x0b\x0c\r":
-        other |= F.contains(trimmed, F.lit(space))
-    return F.when(other, F.regexp_count(trimmed, F.lit(WORD))).otherwise(blanks + 1).cast("int")
+        odd |= F.contains(text, F.lit(space))
+    return odd
+
+
+def _word_count(trimmed: Column, odd: Column) -> Column:
+    """Words of a unit with a word at either end; cheap where single blanks part them.
+
+    ``odd`` is :func:`_odd_blanks` of the whole text, which spares its units the look.
+    """
+    blanks = F.octet_length(trimmed) - F.octet_length(F.replace(trimmed, F.lit(" "), F.lit("")))
+    return F.when(odd & _odd_blanks(trimmed), F.regexp_count(trimmed, F.lit(WORD))).otherwise(blanks + 1).cast("int")
 
 
 def _unit_texts(text: Column) -> Column:
     """The texts of :func:`_units` alone, cut in one go: a sentence end becomes a line end too."""
-    return F.split(F.regexp_replace(text, SENTENCE_END, "$0\n"), "\n")
+    wide = F.lit(False)
+    for mark in WIDE_MARKS:
+        wide |= F.contains(text, F.lit(mark))
+    ended = F.when(wide, F.regexp_replace(text, SENTENCE_END, "$0\n"))
+    return F.split(ended.otherwise(F.regexp_replace(text, PLAIN_END, "$0\n")), "\n")
 
 
 def _trimmed(text: Column) -> Column:
@@ -97,105 +113,108 @@ def document_units(docs: DataFrame) -> DataFrame:
     # The key is computed with the units, once for a text and not once for every unit of it.
     cut = docs.select(
         _key().alias("key"), "doc_id", F.monotonically_increasing_id().alias("row"),
-        F.filter(texts, lambda t: t != "").alias("_units"),
+        F.filter(texts, lambda t: t != "").alias("_units"), _odd_blanks(F.col("text")).alias("_odd"),
     )
-    units = cut.select("key", "doc_id", "row", F.posexplode("_units").alias("nth", "_text"))
+    units = cut.select("key", "doc_id", "row", "_odd", F.posexplode("_units").alias("nth", "_text"))
     return units.select(
-        "key", "doc_id", "row", "nth", _word_count(F.col("_text")).alias("words"),
+        "key", "doc_id", "row", "nth", _word_count(F.col("_text"), F.col("_odd")).alias("words"),
         F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(1), "_text").alias("h2"),
     )
 
 
-def _ranked_units(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The units that occur more than once, with their rank among these; and each key's id."""
+def _repeating_units(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The units that occur more than once; and each key's place in corpus order, ``doc``.
+
+    A unit of the same first hash as another counts as repeated: it may only be looked up in
+    vain, as runs are told apart by both.
+    """
     units = materialize(document_units(docs), "units")
     # Rows alike in id and text are one document: the first of them stands for all.
     rows = units.filter("nth = 0").groupBy("key").agg(F.min("row").alias("_first"), F.count("*").alias("_n"))
     again = materialize(rows.filter("_n > 1").select("key", "_first"), "repeated-rows")
     if not again.isEmpty():
         units = units.join(again, "key", "left").filter("_first IS NULL OR row = _first").drop("_first")
-    repeated = units.groupBy("h1", "h2").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    ranks = number_rows(repeated, "h1", "h2", name="unit-ranks")
+    repeated = units.groupBy("h1").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     slim = units.select("h1", "h2", "key", "nth", "words")
-    ranked = slim.join(ranks, ["h1", "h2"]).select("key", "nth", "words", F.col("_number").alias("rank"))
-    return ranked, units.filter("nth = 0").select("key", "doc_id")
+    # The hashed side is the smaller one, and the units need no sorting.
+    repeating = slim.join(repeated.hint("shuffle_hash"), "h1", "left_semi")
+    ids = units.filter("nth = 0").select("key", "doc_id")
+    order = number_rows(ids, F.col("doc_id").asc_nulls_first(), "key", name="document-order")
+    return repeating, order.select("key", F.col("_number").alias("doc"))
 
 
-def _stretches(ranked: DataFrame, ids: DataFrame, min_words: int) -> DataFrame:
-    """One row a document of its units in stretches that are long enough.
+def _stretches(repeating: DataFrame, order: DataFrame, min_words: int) -> DataFrame:
+    """One row a document that has stretches long enough, with its repeated units.
 
-    Gives ``key``, ``doc_id`` and arrays of one length, in the order of the text: ``nth``,
-    ``rank0``, and the units of the shortest run of ``min_words`` words that starts there
-    (``ahead``) and that ends there (``behind``), NULL without one. A stretch is a sequence of
-    neighbouring repeated units.
+    Gives ``key``, ``doc`` and arrays of one length, in the order of the text: ``nth``,
+    ``h1_0`` and ``h2_0`` (the unit's name), and the units of the shortest run of
+    ``min_words`` words that starts there (``ahead``) and that ends there (``behind``), NULL
+    without one. A stretch is a sequence of neighbouring repeated units.
     """
     in_doc = Window.partitionBy("key").orderBy("nth")
-    stretched = ranked.withColumn("stretch", F.col("nth") - F.row_number().over(in_doc))
-    key = ["key", "stretch"]
-    in_stretch = Window.partitionBy(*key).orderBy("nth")
-    counted = stretched.withColumns({
-        "after": F.sum("words").over(in_stretch.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"),
-        "whole": F.sum("words").over(Window.partitionBy(*key)),
-    }).withColumn("before", F.col("after") - F.col("words")).filter(F.col("whole") >= min_words)
+    counted = repeating.withColumns({
+        "stretch": F.col("nth") - F.row_number().over(in_doc),
+        "after": F.sum("words").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"),
+    })
+    # A stretch starts so many words further on that no frame reaches from one into another.
+    placed = counted.withColumn("to", F.col("after") + F.col("stretch").cast("bigint") * min_words)
+    placed = placed.withColumn("from", F.col("to") - F.col("words"))
     # Units that start within the words wanted, or that end within them: every unit has
     # a word, so a frame holds at most min_words units.
-    ahead = Window.partitionBy(*key).orderBy("before").rangeBetween(0, min_words - 1)
-    behind = Window.partitionBy(*key).orderBy("after").rangeBetween(-(min_words - 1), 0)
-    spans = counted.withColumns({
+    ahead = Window.partitionBy("key").orderBy("from").rangeBetween(0, min_words - 1)
+    behind = Window.partitionBy("key").orderBy("to").rangeBetween(-(min_words - 1), 0)
+    spans = placed.withColumns({
         "ahead": F.count("*").over(ahead).cast("int"), "ahead_words": F.sum("words").over(ahead),
         "behind": F.count("*").over(behind).cast("int"), "behind_words": F.sum("words").over(behind),
     }).select(
-        "key", "nth", F.col("rank").alias("rank0"),
+        "key", "nth", F.col("h1").alias("h1_0"), F.col("h2").alias("h2_0"),
         F.when(F.col("ahead_words") >= min_words, F.col("ahead")).alias("ahead"),
         F.when(F.col("behind_words") >= min_words, F.col("behind")).alias("behind"),
     )
-    columns = ["nth", "rank0", "ahead", "behind"]
+    columns = ["nth", "h1_0", "h2_0", "ahead", "behind"]
     rows = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_units"))
+    rows = rows.filter(F.exists("_units", lambda u: u["ahead"].isNotNull()))
     return materialize(
-        rows.join(ids, "key").select("key", "doc_id", *[F.col(f"_units.{c}").alias(c) for c in columns]), "line-stretches"
+        rows.join(order, "key").select("key", "doc", *[F.col(f"_units.{c}").alias(c) for c in columns]), "line-stretches"
     )
 
 
 def _times(stretches: DataFrame, level: int) -> DataFrame:
-    """``key`` and the ranks by ``STEP`` times as many units; a suffix alone in its rank has NULL."""
+    """The stretches with names by ``STEP`` times as many units; NULL where a stretch ends before."""
     size = STEP**level
-    parts = [f"_r{j}" for j in range(STEP)]
-
-    def suffix(i: Column) -> Column:
-        # Places are numbered without gaps inside a stretch, and with one between two.
-        last = F.get("nth", i + STEP * size - 1) == F.get("nth", i) + (STEP * size - 1)
-        ranks = [F.when(last, F.get(f"rank{level}", i + j * size)).alias(part) for j, part in enumerate(parts)]
-        return F.struct(i.alias("at"), *ranks)
-
-    suffixes = stretches.select("key", F.inline(F.transform(F.sequence(F.lit(0), F.size("nth") - 1), suffix)))
-    known = " AND ".join(f"{part} IS NOT NULL" for part in parts)
-    tuples = suffixes.filter(known)
-    repeated = tuples.groupBy(*parts).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    numbered = number_rows(repeated, *parts, name="run-ranks")
-    ranked = tuples.join(numbered, parts, "left").select("key", "at", "_number")
-    rest = suffixes.filter(f"NOT ({known})").select("key", "at", F.lit(None).cast("bigint").alias("_number"))
-    sent = ranked.unionByName(rest).groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("at", "_number"))).alias("_ranks")
-    )
-    return materialize(sent.select("key", F.col("_ranks._number").alias(f"rank{level + 1}")), "suffix-ranks")
+
+    def names(name: str, *seed: Column) -> Column:
+        def suffix(i: Column) -> Column:
+            # Places are numbered without gaps inside a stretch, and with one between two.
+            last = F.get("nth", i + STEP * size - 1) == F.get("nth", i) + (STEP * size - 1)
+            return F.when(last, F.xxhash64(*seed, *[F.get(f"{name}_{level}", i + j * size) for j in range(STEP)]))
+
+        return F.transform(F.sequence(F.lit(0), F.size("nth") - 1), suffix).alias(f"{name}_{level + 1}")
+
+    return materialize(stretches.select("*", names("h1"), names("h2", F.lit(1))), "suffix-ranks")
 
 
 def _runs(stretches: DataFrame, levels: int) -> DataFrame:
-    """``key, doc_id, start, length, h1, h2`` of the runs to look up, alike where the units are.
+    """``key, place, length, h1, h2`` of the runs to look up, alike where the units are.
 
-    A run is the ranks of the highest level that fit into it, side by side, the last one
-    ending with it. Runs that hold a rank met once are met once and left out.
+    A run is the names of the highest level that fit into it, side by side, the last one
+    ending with it. ``place`` is one number for document and first unit, that needs no sorting
+    to find the least: a text has fewer than ``PLACES`` units.
     """
-    def ranks(start: Column, length: Column, level: int) -> Column:
+    def names(name: str, start: Column, length: Column, level: int) -> Column:
+        if level == 0:
+            return F.slice(f"{name}_0", start + 1, length)
         size = STEP**level
         last = F.ceil(length / size).cast("int") - 1
         at = lambda j: start + F.least(j * size, length - size)
-        own = F.transform(F.sequence(F.lit(0), last), lambda j: F.get(f"rank{level}", at(j)))
-        return own if level == 0 else F.when(length >= size, own).otherwise(ranks(start, length, level - 1))
+        own = F.transform(F.sequence(F.lit(0), last), lambda j: F.get(f"{name}_{level}", at(j)))
+        return F.when(length >= size, own).otherwise(names(name, start, length, level - 1))
 
     def run(start: Column, length: Column) -> Column:
         return F.struct(
-            F.get("nth", start).alias("start"), length.alias("length"), ranks(start, length, levels).alias("ranks")
+            F.get("nth", start).alias("start"), length.alias("length"),
+            F.xxhash64(names("h1", start, length, levels)).alias("h1"),
+            F.xxhash64(F.lit(1), names("h2", start, length, levels)).alias("h2"),
         )
 
     def both(i: Column) -> Column:
@@ -206,11 +225,9 @@ def _runs(stretches: DataFrame, levels: int) -> DataFrame:
         return F.array(F.when(ahead.isNotNull(), run(i, ahead)), F.when(behind.isNotNull() & other, run(first, behind)))
 
     places = F.sequence(F.lit(0), F.size("nth") - 1)
-    found = stretches.select("key", "doc_id", F.explode(F.flatten(F.transform(places, both))).alias("_run"))
-    runs = found.filter("_run IS NOT NULL").select("key", "doc_id", "_run.*")
-    return runs.filter(~F.exists("ranks", lambda r: r.isNull())).select(
-        "key", "doc_id", "start", "length", F.xxhash64("ranks").alias("h1"), F.xxhash64(F.lit(1), "ranks").alias("h2")
-    )
+    found = stretches.select("key", "doc", F.explode(F.flatten(F.transform(places, both))).alias("_run"))
+    place = F.col("doc") * PLACES + F.col("_run.start")
+    return found.filter("_run IS NOT NULL").select("key", place.alias("place"), "_run.length", "_run.h1", "_run.h2")
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -223,21 +240,20 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     if min_words < 1:
         raise ValueError(f"min_words={min_words} must be at least 1")
-    stretches = _stretches(*_ranked_units(docs), min_words)
+    stretches = _stretches(*_repeating_units(docs), min_words)
     longest = stretches.agg(F.max(F.greatest(F.array_max("ahead"), F.array_max("behind")))).first()[0]
     if longest is None:
         return stretches.select("key", F.explode("nth").alias("nth")).limit(0)
     levels = 0
     while STEP ** (levels + 1) <= longest:
-        stretches = stretches.join(_times(stretches, levels), "key")
+        stretches = _times(stretches, levels)
         levels += 1
     runs = materialize(_runs(stretches, levels), "runs")
-    # A struct is compared field by field, NULL first.
-    place = F.struct("doc_id", "key", "start")
     interval = ["length", "h1", "h2"]
-    first = runs.groupBy(*interval).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    later = runs.join(first.drop("_n"), interval).filter(~place.eqNullSafe(F.col("_first")))
+    first = runs.groupBy(*interval).agg(F.min("place").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    later = runs.join(first.drop("_n").hint("shuffle_hash"), interval).filter("place <> _first")
     # What a run covers beyond those that start before it.
+    later = later.withColumn("start", (F.col("place") % PLACES).cast("int"))
     ends = later.groupBy("key", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
     before = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     own = ends.withColumn("from", F.greatest("start", F.max("end").over(before))).filter(F.col("from") < F.col("end"))
@@ -270,7 +286,8 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     empty result.
     """
     gone = repeated_units(docs, min_words).groupBy(F.col("key").alias("_key")).agg(F.collect_list("nth").alias("_nth"))
-    joined = docs.withColumn("_key", _key()).join(gone, "_key", "left")
+    # The places are hashed, so that no text is sorted.
+    joined = docs.withColumn("_key", _key()).join(gone.hint("shuffle_hash"), "_key", "left")
     gone_places = lambda units: let(_worded(units), lambda w: F.transform("_nth", lambda n: F.get(w, n)))
 
     def in_lines(units: Column) -> Column:

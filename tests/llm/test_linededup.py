@@ -153,3 +153,30 @@ def test_a_text_is_cut_once_for_all_columns(spark):
     assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
     found = {r["doc_id"]: (r["text"], r["lines_deleted"], r["n_chars"]) for r in cleaned.collect()}
     assert found == {1: (run, 0, 9), 2: ("Alone here. ", 2, 12)}
+
+
+def test_only_units_and_runs_move_and_no_text_is_sorted(spark, monkeypatch):
+    run = "\n".join(f"w{i} x y z v" for i in range(14))
+    rows = [(None, f"a\n{run}"), (5, run), (5, f"{run}\nb"), (1, "\n".join(run.split("\n")[:11]) + " c"), (7, "one. alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sorted_by = []
+    number = linededup.number_rows
+    monkeypatch.setattr(linededup, "number_rows", lambda df, *a, name: sorted_by.append(name) or number(df, *a, name=name))
+    cleaned = linededup.drop_repeated_lines(docs)
+    # Documents alone are put in order; units and tuples of them are named by hashes.
+    assert sorted_by == ["document-order"]
+    assert "shuffle_hash" in cleaned._jdf.queryExecution().optimizedPlan().toString()
+    # NULL comes first; of equal ids either may, and then the other is a copy.
+    found = sorted((str(r["doc_id"]), r["text"], r["lines_deleted"]) for r in cleaned.collect())
+    assert found == sorted([
+        ("None", rows[0][1], 0), ("5", "", 14), ("5", "b", 14), ("1", run.split("\n")[10] + " c", 10), ("7", "one. alone", 0),
+    ])
+
+
+def test_words_and_ends_without_the_marks_beyond_ascii(spark):
+    texts = ["One two.  three\tfour! \"five\"", "été ß. x ü\r\n", "a  b. c d", "e.\u201d f? g… h", "x y\u00a0z. q"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in df.select("text", linededup._unit_texts(F.col("text")).alias("u"), linededup._units(F.col("text")).alias("v")).collect():
+        assert r["u"] == [v["text"] for v in r["v"]]
+    counted = {r["doc_id"]: r["n"] for r in linededup.document_units(df).groupBy("doc_id").agg(F.sum("words").alias("n")).collect()}
+    assert counted == {i: words(t) for i, t in enumerate(texts)}
