@@ -47,6 +47,9 @@ SENTENCE_END = (
 # The same in a text without the marks beyond ASCII, faster still.
 WIDE_MARKS = "\u2026\u3002\uff01\uff1f"
 PLAIN_END = r"[.!?][\"'\u201d\u2019)\]]?[ \t]{1,2}(?=\S)"
+# White space inside a line, and line ends with all of it on either side.
+BLANKS = " \t\x0b\x0c\r"
+AROUND_END = f"(?<![{BLANKS}])[{BLANKS}]*+\\n[{BLANKS}\\n]*+"
 # Put after every such end; a text that holds it already is cut at sentence starts.
 MARK = "\x1e"
 
@@ -55,6 +58,14 @@ def _key() -> Column:
     return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
 
 
+def _ends_followed_by(text: Column, mark: str) -> Column:
+    """The text with ``mark`` after every sentence end inside a line."""
+    wide = F.lit(False)
+    for end in WIDE_MARKS:
+        wide |= F.contains(text, F.lit(end))
+    return F.regexp_replace(text, F.when(wide, SENTENCE_END).otherwise(PLAIN_END), F.lit(f"$0{mark}"))
+
+
 def _units(text: Column) -> Column:
     """Lines cut at sentence starts, ``line, text`` each; a line's units make it up unchanged.
 
@@ -67,7 +78,7 @@ def _units(text: Column) -> Column:
         )))
 
     # One pass marks the ends in the whole text, and a single character is a cheap cut.
-    marked = F.regexp_replace(text, SENTENCE_END, f"$0{MARK}")
+    marked = _ends_followed_by(text, MARK)
     return F.when(F.contains(text, F.lit(MARK)), by(SENTENCE_START, text)).otherwise(by(MARK, marked))
 
 
@@ -90,15 +101,11 @@ def _word_count(trimmed: Column, odd: Column) -> Column:
 
 def _unit_texts(text: Column) -> Column:
     """The texts of :func:`_units` alone, cut in one go: a sentence end becomes a line end too."""
-    wide = F.lit(False)
-    for mark in WIDE_MARKS:
-        wide |= F.contains(text, F.lit(mark))
-    ended = F.when(wide, F.regexp_replace(text, SENTENCE_END, "$0\n"))
-    return F.split(ended.otherwise(F.regexp_replace(text, PLAIN_END, "$0\n")), "\n")
+    return F.split(_ends_followed_by(text, "\n"), "\n")
 
 
 def _trimmed(text: Column) -> Column:
-    return F.btrim(text, F.lit(" \t\x0b\x0c\r"))
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def document_units(docs: DataFrame) -> DataFrame:
@@ -109,14 +116,19 @@ def document_units(docs: DataFrame) -> DataFrame:
     ``row`` tells such rows apart. Two 64-bit hashes stand for the unit without
     the white space around it.
     """
-    texts = F.transform(_unit_texts(F.coalesce(F.col("text"), F.lit(""))), _trimmed)
+    text, odd = F.coalesce(F.col("text"), F.lit("")), _odd_blanks(F.col("text"))
+    # Where single blanks part the words, a unit has a blank at either end at most; else the
+    # text loses what is around its units in one go, which no function per unit does as cheaply.
+    ended = _ends_followed_by(text, "\n")
+    bare = F.when(odd, _trimmed(F.regexp_replace(ended, AROUND_END, "\n"))).otherwise(ended)
+    worded = F.array_remove(F.array_remove(F.split(bare, "\n"), ""), " ")
     # The key is computed with the units, once for a text and not once for every unit of it.
     cut = docs.select(
         _key().alias("key"), "doc_id", F.monotonically_increasing_id().alias("row"),
-        F.filter(texts, lambda t: t != "").alias("_units"), _odd_blanks(F.col("text")).alias("_odd"),
+        worded.alias("_units"), odd.alias("_odd"),
     )
     units = cut.select("key", "doc_id", "row", "_odd", F.posexplode("_units").alias("nth", "_text"))
-    return units.select(
+    return units.withColumn("_text", F.trim("_text")).select(
         "key", "doc_id", "row", "nth", _word_count(F.col("_text"), F.col("_odd")).alias("words"),
         F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(1), "_text").alias("h2"),
     )
@@ -130,16 +142,18 @@ def _repeating_units(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     units = materialize(document_units(docs), "units")
     # Rows alike in id and text are one document: the first of them stands for all.
-    rows = units.filter("nth = 0").groupBy("key").agg(F.min("row").alias("_first"), F.count("*").alias("_n"))
+    heads = materialize(units.filter("nth = 0").select("key", "doc_id", "row"), "document-keys")
+    rows = heads.groupBy("key").agg(F.min("row").alias("_first"), F.count("*").alias("_n"))
     again = materialize(rows.filter("_n > 1").select("key", "_first"), "repeated-rows")
     if not again.isEmpty():
-        units = units.join(again, "key", "left").filter("_first IS NULL OR row = _first").drop("_first")
+        units, heads = (
+            df.join(again, "key", "left").filter("_first IS NULL OR row = _first").drop("_first") for df in (units, heads)
+        )
     repeated = units.groupBy("h1").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     slim = units.select("h1", "h2", "key", "nth", "words")
     # The hashed side is the smaller one, and the units need no sorting.
     repeating = slim.join(repeated.hint("shuffle_hash"), "h1", "left_semi")
-    ids = units.filter("nth = 0").select("key", "doc_id")
-    order = number_rows(ids, F.col("doc_id").asc_nulls_first(), "key", name="document-order")
+    order = number_rows(heads.drop("row"), F.col("doc_id").asc_nulls_first(), "key", name="document-order")
     return repeating, order.select("key", F.col("_number").alias("doc"))
 
 
@@ -147,9 +161,14 @@ def _stretches(repeating: DataFrame, order: DataFrame, min_words: int) -> DataFr
     """One row a document that has stretches long enough, with its repeated units.
 
     Gives ``key``, ``doc`` and arrays of one length, in the order of the text: ``nth``,
-    ``h1_0`` and ``h2_0`` (the unit's name), and the units of the shortest run of
-    ``min_words`` words that starts there (``ahead``) and that ends there (``behind``), NULL
-    without one. A stretch is a sequence of neighbouring repeated units.
+    ``h1_0`` and ``h2_0`` (the unit's name), and ``ahead``, the units of the shortest run of
+    ``min_words`` words that starts there; without one, the units left of the stretch, below
+    zero. A stretch is a sequence of neighbouring repeated units.
+
+    A shortest run that ends at a unit starts at the last unit whose own run does not reach
+    beyond it. So the runs to look up from a unit have ``ahead`` units and more, until the
+    next unit's run fits (``upto``, NULL where no run starts): one less than would end where
+    that does, or all that is left of the stretch.
     """
     in_doc = Window.partitionBy("key").orderBy("nth")
     counted = repeating.withColumns({
@@ -159,23 +178,24 @@ def _stretches(repeating: DataFrame, order: DataFrame, min_words: int) -> DataFr
     # A stretch starts so many words further on that no frame reaches from one into another.
     placed = counted.withColumn("to", F.col("after") + F.col("stretch").cast("bigint") * min_words)
     placed = placed.withColumn("from", F.col("to") - F.col("words"))
-    # Units that start within the words wanted, or that end within them: every unit has
-    # a word, so a frame holds at most min_words units.
-    ahead = Window.partitionBy("key").orderBy("from").rangeBetween(0, min_words - 1)
-    behind = Window.partitionBy("key").orderBy("to").rangeBetween(-(min_words - 1), 0)
-    spans = placed.withColumns({
-        "ahead": F.count("*").over(ahead).cast("int"), "ahead_words": F.sum("words").over(ahead),
-        "behind": F.count("*").over(behind).cast("int"), "behind_words": F.sum("words").over(behind),
-    }).select(
-        "key", "nth", F.col("h1").alias("h1_0"), F.col("h2").alias("h2_0"),
-        F.when(F.col("ahead_words") >= min_words, F.col("ahead")).alias("ahead"),
-        F.when(F.col("behind_words") >= min_words, F.col("behind")).alias("behind"),
-    )
-    columns = ["nth", "h1_0", "h2_0", "ahead", "behind"]
-    rows = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_units"))
-    rows = rows.filter(F.exists("_units", lambda u: u["ahead"].isNotNull()))
+    # Units that start within the words wanted: every unit has a word, so a frame holds at
+    # most min_words units. The last of them ends furthest.
+    frame = Window.partitionBy("key").orderBy("from").rangeBetween(0, min_words - 1)
+    spans = placed.withColumns({"_n": F.count("*").over(frame).cast("int"), "_end": F.max("to").over(frame)})
+    enough = F.col("_end") - F.col("from") >= min_words
+    spans = spans.withColumn("ahead", F.when(enough, F.col("_n")).otherwise(-F.col("_n")))
+    in_order = Window.partitionBy("key").orderBy("from")
+    after, joined = F.lead("ahead").over(in_order), F.lead("nth").over(in_order) == F.col("nth") + 1
+    upto = F.when(joined, F.greatest("ahead", after, 1 - after)).otherwise(F.col("ahead"))
+    spans = spans.withColumns({"h1_0": F.col("h1"), "h2_0": F.col("h2"), "upto": F.when(F.col("ahead") > 0, upto)})
+    columns = ["nth", "h1_0", "h2_0", "ahead", "upto"]
+    rows = spans.groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct(*columns))).alias("_units"), F.max("upto").alias("_most")
+    ).filter("_most > 0")
+    # The numbers are hashed, so that no array is sorted.
+    numbered = rows.join(order.hint("shuffle_hash"), "key")
     return materialize(
-        rows.join(order, "key").select("key", "doc", *[F.col(f"_units.{c}").alias(c) for c in columns]), "line-stretches"
+        numbered.select("key", "doc", *[F.col(f"_units.{c}").alias(c) for c in columns]), "line-stretches"
     )
 
 
@@ -184,12 +204,16 @@ def _times(stretches: DataFrame, level: int) -> DataFrame:
     size = STEP**level
 
     def names(name: str, *seed: Column) -> Column:
-        def suffix(i: Column) -> Column:
+        own = f"{name}_{level}"
+
+        def suffix(nth: Column, i: Column) -> Column:
             # Places are numbered without gaps inside a stretch, and with one between two.
-            last = F.get("nth", i + STEP * size - 1) == F.get("nth", i) + (STEP * size - 1)
-            return F.when(last, F.xxhash64(*seed, *[F.get(f"{name}_{level}", i + j * size) for j in range(STEP)]))
+            last = F.get("nth", i + (STEP * size - 1)) == nth + (STEP * size - 1)
+            return F.when(last, F.xxhash64(*seed, *[F.get(own, i + j * size) for j in range(STEP)]))
 
-        return F.transform(F.sequence(F.lit(0), F.size("nth") - 1), suffix).alias(f"{name}_{level + 1}")
+        # None are asked for in a document without runs of that many units.
+        asked = F.array_max("upto") >= STEP * size
+        return F.when(asked, F.transform("nth", suffix)).alias(f"{name}_{level + 1}")
 
     return materialize(stretches.select("*", names("h1"), names("h2", F.lit(1))), "suffix-ranks")
 
@@ -203,7 +227,7 @@ def _runs(stretches: DataFrame, levels: int) -> DataFrame:
     """
     def names(name: str, start: Column, length: Column, level: int) -> Column:
         if level == 0:
-            return F.slice(f"{name}_0", start + 1, length)
+            return F.transform(F.sequence(start, start + length - 1), lambda i: F.get(f"{name}_0", i))
         size = STEP**level
         last = F.ceil(length / size).cast("int") - 1
         at = lambda j: start + F.least(j * size, length - size)
@@ -217,33 +241,23 @@ def _runs(stretches: DataFrame, levels: int) -> DataFrame:
             F.xxhash64(F.lit(1), names("h2", start, length, levels)).alias("h2"),
         )
 
-    def both(i: Column) -> Column:
-        ahead, behind = F.get("ahead", i), F.get("behind", i)
-        first = i - behind + 1
-        # The shortest run from a unit on may also be the shortest up to its last one.
-        other = ~F.get("ahead", first).eqNullSafe(behind)
-        return F.array(F.when(ahead.isNotNull(), run(i, ahead)), F.when(behind.isNotNull() & other, run(first, behind)))
+    def lengths(i: Column) -> Column:
+        return F.transform(F.sequence(F.get("ahead", i), F.get("upto", i)), lambda length: run(i, length))
 
-    places = F.sequence(F.lit(0), F.size("nth") - 1)
-    found = stretches.select("key", "doc", F.explode(F.flatten(F.transform(places, both))).alias("_run"))
+    places = F.filter(F.sequence(F.lit(0), F.size("nth") - 1), lambda i: F.get("ahead", i) > 0)
+    found = stretches.select("key", "doc", F.explode(F.flatten(F.transform(places, lengths))).alias("_run"))
     place = F.col("doc") * PLACES + F.col("_run.start")
-    return found.filter("_run IS NOT NULL").select("key", place.alias("place"), "_run.length", "_run.h1", "_run.h2")
+    return found.select("key", place.alias("place"), "_run.length", "_run.h1", "_run.h2")
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``key, nth``: the units of every later copy of a repeated run.
-
-    A run is a sequence of neighbouring units of one document, units without a word
-    left out. It counts when it has at least ``min_words`` words and the same sequence
-    occurs earlier: in a document with a smaller ``doc_id`` (NULL first), or in the
-    same one further up, where the two may overlap.
-    """
+def _repeated_spans(docs: DataFrame, min_words: int) -> DataFrame:
+    """``key, from, end``: the units of later copies as spans, apart from each other; ``end`` is outside."""
     if min_words < 1:
         raise ValueError(f"min_words={min_words} must be at least 1")
     stretches = _stretches(*_repeating_units(docs), min_words)
-    longest = stretches.agg(F.max(F.greatest(F.array_max("ahead"), F.array_max("behind")))).first()[0]
+    longest = stretches.agg(F.max(F.array_max("upto"))).first()[0]
     if longest is None:
-        return stretches.select("key", F.explode("nth").alias("nth")).limit(0)
+        return stretches.select("key", F.explode("nth").alias("from")).withColumn("end", F.col("from")).limit(0)
     levels = 0
     while STEP ** (levels + 1) <= longest:
         stretches = _times(stretches, levels)
@@ -252,18 +266,40 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     interval = ["length", "h1", "h2"]
     first = runs.groupBy(*interval).agg(F.min("place").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     later = runs.join(first.drop("_n").hint("shuffle_hash"), interval).filter("place <> _first")
-    # What a run covers beyond those that start before it.
-    later = later.withColumn("start", (F.col("place") % PLACES).cast("int"))
-    ends = later.groupBy("key", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
-    before = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    own = ends.withColumn("from", F.greatest("start", F.max("end").over(before))).filter(F.col("from") < F.col("end"))
-    return own.select("key", F.explode(F.sequence("from", F.col("end") - 1)).alias("nth"))
+    start = (F.col("place") % PLACES).cast("int")
+    later = later.select("key", start.alias("from"), (start + F.col("length")).alias("end"))
+    # A span begins at a run that those before it do not reach, and ends where they end.
+    runs_of = Window.partitionBy("key").orderBy("from")
+    before = F.max("end").over(runs_of.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.max("end").over(Window.partitionBy("key"))
+    begun = later.withColumns({"_before": before, "_last": last}).filter("_before IS NULL OR from > _before")
+    ends = F.coalesce(F.lead("_before").over(runs_of), F.col("_last"))
+    return begun.select("key", "from", ends.alias("end"))
+
+
+def _places(span: Column) -> Column:
+    return F.sequence(span["from"], span["end"] - 1)
+
+
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``key, nth``: the units of every later copy of a repeated run.
+
+    A run is a sequence of neighbouring units of one document, units without a word
+    left out. It counts when it has at least ``min_words`` words and the same sequence
+    occurs earlier: in a document with a smaller ``doc_id`` (NULL first), or in the
+    same one further up, where the two may overlap.
+    """
+    spans = _repeated_spans(docs, min_words)
+    return spans.select("key", F.explode(_places(F.struct("from", "end"))).alias("nth"))
 
 
 def _worded(units: Column) -> Column:
     """Places of the units that have a word."""
     places = F.sequence(F.lit(0), F.size(units) - 1)
-    return F.filter(places, lambda i: _trimmed(F.get(units, i)["text"]) != "")
+    # Any letter but a blank will do, so that most units need no second look.
+    first = lambda text: F.substring(text, 1, 1)
+    text = lambda i: F.get(units, i)["text"]
+    return F.filter(places, lambda i: (first(text(i)) > " ") | (_trimmed(text(i)) != ""))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -285,7 +321,9 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     ends are line feeds. An ``n_chars`` column is counted anew. An empty table gives an
     empty result.
     """
-    gone = repeated_units(docs, min_words).groupBy(F.col("key").alias("_key")).agg(F.collect_list("nth").alias("_nth"))
+    spans = _repeated_spans(docs, min_words).groupBy(F.col("key").alias("_key"))
+    gone = spans.agg(F.collect_list(F.struct("from", "end")).alias("_spans"))
+    gone = gone.select("_key", F.flatten(F.transform("_spans", _places)).alias("_nth"))
     # The places are hashed, so that no text is sorted.
     joined = docs.withColumn("_key", _key()).join(gone.hint("shuffle_hash"), "_key", "left")
     gone_places = lambda units: let(_worded(units), lambda w: F.transform("_nth", lambda n: F.get(w, n)))

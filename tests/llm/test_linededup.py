@@ -180,3 +180,81 @@ def test_words_and_ends_without_the_marks_beyond_ascii(spark):
         assert r["u"] == [v["text"] for v in r["v"]]
     counted = {r["doc_id"]: r["n"] for r in linededup.document_units(df).groupBy("doc_id").agg(F.sum("words").alias("n")).collect()}
     assert counted == {i: words(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("min_words, seed", [(3, 0), (7, 1), (12, 2)])
+def test_runs_looked_up_are_the_shortest_from_and_up_to_every_unit(spark, min_words, seed):
+    rnd = random.Random(seed)
+    units = [
+        (key, nth, rnd.randint(1, 2 * min_words if rnd.random() < 0.2 else 4))
+        for key in range(6) for nth in range(40) if rnd.random() < 0.85
+    ]
+    repeating = spark.createDataFrame([(nth, -nth, key, nth, n) for key, nth, n in units], "h1 long, h2 long, key long, nth int, words int")
+    order = spark.createDataFrame([(key, 10 + key) for key in range(6)], "key long, doc long")
+    stretches = linededup._stretches(repeating, order, min_words).collect()
+    want, counts = set(), {(key, nth): n for key, nth, n in units}
+    for key, nth in counts:
+        for step in (1, -1):
+            at, total = nth, 0
+            while (key, at) in counts and total < min_words:
+                total += counts[key, at]
+                at += step
+            if total >= min_words:
+                want.add((key, nth, at - nth) if step == 1 else (key, at + 1, nth - at))
+    found = [
+        (r["key"], nth, length)
+        for r in stretches for nth, least, most in zip(r["nth"], r["ahead"], r["upto"]) if least > 0
+        for length in range(least, most + 1)
+    ]
+    assert len(found) == len(set(found)) and set(found) == want
+    for r in stretches:
+        assert r["doc"] == 10 + r["key"] and r["nth"] == sorted(r["nth"]) == r["h1_0"] == [-h for h in r["h2_0"]]
+
+
+def test_units_are_sorted_twice_and_cut_without_a_function_for_each(spark, monkeypatch):
+    run = "\n".join(f"w{i} x y z v" for i in range(14))
+    docs = spark.createDataFrame([(1, run), (2, f"{run}\nb"), (3, f"c\n{run}")], "doc_id long, text string")
+    assert "lambdafunction" not in linededup.document_units(docs)._jdf.queryExecution().optimizedPlan().toString()
+    plans = {}
+    write = linededup.materialize
+
+    def keep(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(linededup, "materialize", keep)
+    gone = linededup.repeated_units(docs)
+    # By place and by words; the arrays of a document meet its number unsorted.
+    assert plans["line-stretches"].count("Sort [key") == 2 and "SortMergeJoin" not in plans["line-stretches"]
+    assert sorted((r["nth"] for r in gone.collect())) == sorted([*range(14), *range(1, 15)])
+
+
+def test_units_between_odd_blanks(spark):
+    rnd = random.Random(3)
+    parts = ["a", "b1", " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c ", "\n \n", "c. ", "d!\t", "。", "e?  "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = docs.select("doc_id", F.posexplode(linededup._units(F.col("text"))).alias("i", "u"))
+    want = {}
+    for r in cut.orderBy("doc_id", "i").collect():
+        if unit := r["u"]["text"].strip(" \t\x0b\x0c\r"):
+            want.setdefault(r["doc_id"], []).append((unit, words(unit)))
+    hashed = spark.createDataFrame([(u,) for units in want.values() for u, _ in units], "u string").distinct()
+    names = {r["u"]: r["h"] for r in hashed.select("u", F.xxhash64("u").alias("h")).collect()}
+    found = {}
+    for r in linededup.document_units(docs).orderBy("doc_id", "nth").collect():
+        assert r["nth"] == len(found.setdefault(r["doc_id"], []))
+        found[r["doc_id"]].append((r["h1"], r["words"]))
+    assert found == {doc: [(names[u], n) for u, n in units] for doc, units in want.items()}
+
+
+def test_spans_of_later_copies_lie_apart(spark):
+    run = [f"w{i} x y z v" for i in range(30)]
+    docs = spark.createDataFrame([
+        (1, "\n".join(run)), (2, "\n".join([*run[:12], "own", *run[10:30], "own two"])), (3, "\n".join([*run, *run])),
+    ], "doc_id long, text string")
+    spans = linededup._repeated_spans(docs, 50)
+    keys = docs.select(linededup._key().alias("key"), "doc_id")
+    found = sorted((r["doc_id"], r["from"], r["end"]) for r in spans.join(keys, "key").collect())
+    assert found == [(2, 0, 12), (2, 13, 33), (3, 0, 60)]
+    assert sorted(r["nth"] for r in linededup.repeated_units(docs).join(keys.filter("doc_id = 2"), "key").collect()) == [*range(12), *range(13, 33)]
